@@ -81,6 +81,15 @@ def combine_instances(spark: SparkSession, root: str, file: str, schema: T.Struc
     return df.withColumn("Subfolder", F.url_decode(folder)).drop("_file")
 
 
+def combine_parts(spark: SparkSession, root: str, name: str, schema: T.StructType | None = None) -> DataFrame:
+    """``combine_instances`` where each worker's table is a folder ``root/worker/name/part-*``."""
+    parts = list_files(spark, f"{root}/*/{name}", "part-*")
+    # The parts of one folder were written together and share a header.
+    df = _read_by_name(spark, sorted({p.rpartition("/")[0] for p in parts}), "\t", schema)
+    worker = F.regexp_extract("_file", r"([^/]+)/[^/]+/[^/]+$", 1)
+    return df.withColumn("Subfolder", F.url_decode(worker)).drop("_file")
+
+
 def scan_glob(
     spark: SparkSession,
     path: str,
