@@ -16,11 +16,13 @@ from pyspark.mllib.linalg.distributed import RowMatrix
 from pyspark.mllib.util import MLUtils
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from platewise.operators.emd import emd_pairs
 from platewise.operators.ordered import RANGES, long_form
 from platewise.operators.scaling import impute_group_mean, min_max, sanitize_columns
 from platewise.roles import Roles
+from platewise.session import stage
 
 GAMMA = 0.24
 RIDGE = 1e-6
@@ -31,21 +33,6 @@ def vector_of(features: Sequence[str]) -> Column:
     return F.array(*[F.col(f"`{f}`").cast("double") for f in features])
 
 
-def _blocked(df: DataFrame, group: str, levels: Sequence, vec: str, block_rows: int) -> DataFrame:
-    """Distinct vectors per group with their ``n``, the group's ``blocks`` and the row's ``block``."""
-    counted = (
-        df.where(F.col(group).isin(list(levels)))
-        .groupBy(group, F.col(vec).alias("v"))
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
-    # One row per design level.
-    sizes = counted.groupBy(group).agg(
-        F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("blocks"), F.sum("n").alias("size")
-    )
-    got = counted.join(F.broadcast(sizes), group)
-    return got.withColumn("block", F.pmod(F.xxhash64("v"), F.col("blocks").cast("bigint")).cast("int"))
-
-
 def _kernel_sum(gamma: float):
     def total(pdf: pd.DataFrame) -> pd.DataFrame:
         left, right = pdf[pdf.side != 2], pdf[pdf.side != 1]
@@ -78,61 +65,68 @@ def mmd(
 
     The control's own kernel mean is computed once. ``group`` is a numeric level column.
     """
+    kind = df.schema[group].dataType
     levels = [control, *others]
-    rows = _blocked(df, group, levels, vec, block_rows)
-    blocks = rows.select(group, "blocks").distinct()
-    count = {f"{i}": F.max(F.when(F.col(group) == F.lit(g), F.col("blocks"))) for i, g in enumerate(levels)}
-    of = blocks.agg(F.struct(*[c.alias(f"b{i}") for i, c in count.items()]).alias("s")).scalar()
-    rows = rows.withColumn("_of", of)
+    rows = (
+        df.where(F.col(group).isin(levels))
+        .groupBy(group, F.col(vec).alias("v"))
+        .agg(F.count(F.lit(1)).alias("n"))
+    )
+    # Two numbers per design level come to the driver: distinct vectors and rows.
+    found = rows.groupBy(group).agg(F.count(F.lit(1)), F.sum("n")).collect()
+    blocks = {g: -(-distinct // block_rows) for g, distinct, _ in found}
+    size = {g: total for g, _, total in found}
+    if control not in blocks:
+        return df.sparkSession.createDataFrame([], T.StructType([
+            T.StructField("Group_A", kind), T.StructField("Group_B", kind), T.StructField("MMD_Score", T.DoubleType()),
+        ]))
+    present = [g for g in others if g in blocks]
     me, my = F.col(group), F.col("block")
+    how_many = F.lit(None).cast("bigint")
+    for g, b in blocks.items():
+        how_many = F.when(me == F.lit(g), F.lit(b)).otherwise(how_many)
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("v"), how_many).cast("int"))
 
     def meeting(ga, gb, ba, bb, side) -> Column:
-        return F.struct(ga.alias("ga"), gb.alias("gb"), ba.alias("ba"), bb.alias("bb"), side.alias("side"))
+        return F.struct(
+            ga.cast(kind).alias("ga"), gb.cast(kind).alias("gb"),
+            ba.cast("int").alias("ba"), bb.cast("int").alias("bb"), side.cast("int").alias("side"),
+        )
 
     # Within a group block i meets every block j once; side 0 is a block that meets itself.
-    within = F.transform(
-        F.sequence(F.lit(0), F.col("blocks") - 1),
-        lambda j: meeting(
-            me, me, F.least(my, j), F.greatest(my, j),
-            F.when(j == my, 0).when(my < j, 1).otherwise(2),
-        ),
+    def own_block(j: Column) -> Column:
+        side = F.when(j == my, 0).when(my < j, 1).otherwise(2)
+        return meeting(me, me, F.least(my, j), F.greatest(my, j), side)
+
+    within = F.transform(F.sequence(F.lit(0), how_many.cast("int") - 1), own_block)
+    # A control block meets every block of every other group, and the other way round.
+    others_blocks = [F.struct(F.lit(g).cast(kind).alias("g"), F.lit(j).alias("j")) for g in present for j in range(blocks[g])]
+    as_control = F.transform(
+        F.array(*others_blocks), lambda o: meeting(F.lit(control), o["g"], my, o["j"], F.lit(1))
+    ) if others_blocks else F.slice(within, 1, 0)
+    as_other = F.transform(
+        F.sequence(F.lit(0), F.lit(blocks[control] - 1)),
+        lambda i: meeting(F.lit(control), me, i, my, F.lit(2)),
     )
-    empty = F.slice(within, 1, 0)
-    across = empty
-    for i, g in enumerate(levels):
-        if i == 0:
-            continue
-        theirs = F.col(f"_of.b{i}")
-        fan = F.when(theirs > 0, F.transform(
-            F.sequence(F.lit(0), F.greatest(theirs, F.lit(1)) - 1),
-            lambda j, g=g: meeting(me, F.lit(g).cast(df.schema[group].dataType), my, j, F.lit(1)),
-        )).otherwise(empty)
-        across = F.concat(across, F.coalesce(fan, empty))
-    controls = F.col("_of.b0")
-    back = F.when(controls > 0, F.transform(
-        F.sequence(F.lit(0), F.greatest(controls, F.lit(1)) - 1),
-        lambda i: meeting(F.lit(control).cast(df.schema[group].dataType), me, i, my, F.lit(2)),
-    )).otherwise(empty)
-    meetings = F.concat(within, F.when(me == F.lit(control), across).otherwise(F.coalesce(back, empty)))
+    meetings = F.concat(within, F.when(me == F.lit(control), as_control).otherwise(as_other))
     spread = rows.select("v", "n", F.inline(meetings))
-    kind = df.schema[group].dataType.simpleString()
+    name = kind.simpleString()
     sums = spread.groupBy("ga", "gb", "ba", "bb").applyInPandas(
-        _kernel_sum(gamma), f"ga {kind}, gb {kind}, total double"
-    )
-    # One row per pair of design levels from here on.
-    sums = sums.groupBy("ga", "gb").agg(F.sum("total").alias("total"))
-    sizes = rows.groupBy(group).agg(F.max("size").cast("double").alias("size"))
-    a = sizes.select(F.col(group).alias("ga"), F.col("size").alias("na"))
-    b = sizes.select(F.col(group).alias("gb"), F.col("size").alias("nb"))
-    means = sums.join(a, "ga").join(b, "gb").select("ga", "gb", (F.col("total") / F.col("na") / F.col("nb")).alias("k"))
-    own = means.where(F.col("ga") == F.col("gb"))
-    cross = means.where(F.col("ga") != F.col("gb"))
-    k_a = own.select("ga", F.col("k").alias("kaa"))
-    k_b = own.select("gb", F.col("k").alias("kbb"))
-    return cross.join(k_a, "ga").join(k_b, "gb").select(
-        F.col("ga").alias("Group_A"), F.col("gb").alias("Group_B"),
-        (F.col("kaa") + F.col("kbb") - 2 * F.col("k")).alias("MMD_Score"),
+        _kernel_sum(gamma), f"ga {name}, gb {name}, total double"
     )
+    of = {
+        (a, b): F.sum(F.when((F.col("ga") == F.lit(a)) & (F.col("gb") == F.lit(b)), F.col("total")))
+        / F.lit(float(size[a]) * float(size[b]))
+        for a, b in [(control, control), *[(g, g) for g in present], *[(control, g) for g in present]]
+    }
+    scores = [
+        F.struct(
+            F.lit(control).cast(kind).alias("Group_A"), F.lit(g).cast(kind).alias("Group_B"),
+            (of[control, control] + of[g, g] - 2 * of[control, g]).alias("MMD_Score"),
+        )
+        for g in present
+    ]
+    return sums.agg(F.array(*scores).alias("s")).select(F.inline("s"))
 
 
 def _inverse(cov: np.ndarray, pivot: float = 1e-12) -> np.ndarray:
@@ -213,12 +207,13 @@ def population_distances(
 ) -> DataFrame:
     """The three scores of one subset, control against every other concentration.
 
-    ``condition`` labels the subset (its day). ``df`` should be a stored table: it is read for the
-    imputation, the scaling and each score.
+    ``condition`` labels the subset (its day). The prepared features are written to the shared
+    folder once, because every score reads them.
     """
     features = list(features or roles.features(df, downstream=True))
     others = [c for c in sorted(roles.concentrations, reverse=True) if c != roles.control]
     ready, used = prepare_population(df, roles.conc, [roles.control, *others], features)
+    ready = stage(ready.select(roles.conc, *[F.col(f"`{f}`") for f in used]), "population")
     vectors = ready.select(roles.conc, vector_of(used).alias("v"))
     keys = ["Group_A", "Group_B"]
     got = (

@@ -59,15 +59,17 @@ def long_form(df: DataFrame, ids: Sequence[str], features: Sequence[str]) -> Dat
     return out.where(no_nan(F.col("value")).isNotNull())
 
 
-def assign_ranges(df: DataFrame, axis: str, value: str, ranges: int = RANGES) -> DataFrame:
+def assign_ranges(df: DataFrame, axis: str, value: str, weight: str, ranges: int = RANGES) -> DataFrame:
     """Add ``_range``: which of the value ranges of its ``axis`` level a row falls in.
 
     ``axis`` must have few levels known when the plan is built (feature names): the broadcast cut
-    points hold ``levels x ranges`` doubles.
+    points hold ``levels x ranges`` doubles. ``weight`` is a positive count; asking for it here
+    keeps this branch's shuffle identical to the caller's, so Spark runs that shuffle once.
     """
     salted = F.pmod(F.xxhash64(value), F.lit(ranges))
     cuts = (
-        df.groupBy(axis, salted.alias("_class"))
+        df.where(F.col(weight) > 0)
+        .groupBy(axis, salted.alias("_class"))
         .agg(F.min_by(value, F.xxhash64(F.col(value), F.lit(1))).alias("_cut"))
         .groupBy(axis)
         .agg(F.array_sort(F.collect_list("_cut")).alias("_cuts"))
@@ -89,28 +91,36 @@ def running_totals(
     by: Sequence[str],
     value: str,
     measures: Mapping[str, Column],
+    weight: str = "n",
     axis: str = "feature",
     ranges: int = RANGES,
     ties: bool = False,
 ) -> DataFrame:
     """Running sums of ``measures`` in order of ``value`` within ``by``.
 
-    Adds ``{m}_upto`` (sum over all rows of the group with value <= this one), ``{m}_total`` (sum
-    over the group), ``next_value`` (the value of the next row in order, NULL at the end) and, with
-    ``ties``, ``{m}_ties`` (sum over rows with this same value).
+    ``df`` is counted: ``weight`` holds how many rows share the value. Adds ``{m}_upto`` (sum over
+    all rows of the group with value <= this one), ``{m}_total`` (sum over the group),
+    ``next_value`` (the value of the next row in order, NULL at the end) and, with ``ties``,
+    ``{m}_ties`` (sum over rows with this same value). Rows without a value or a key drop out.
+
+    The counted rows are shuffled once more, by group and range; the running sums inside a range
+    and the totals per range both read that shuffle.
     """
     by = list(by)
     if axis not in by:
         raise ValueError(f"{axis} must be one of the grouping columns {by}")
-    ranged = assign_ranges(df, axis, value, ranges)
-    for name, expr in measures.items():
-        ranged = ranged.withColumn(f"_m_{name}", expr)
+    keep = df.columns
     cell = [*by, "_range"]
+    # Keys are checked up front so that the joins below add no filter of their own to one branch.
+    known = df.where(all_present([*by, value]))
+    ranged = assign_ranges(known, axis, value, weight, ranges).repartition(*cell)
+    ranged = ranged.select("*", *[expr.alias(f"_m_{m}") for m, expr in measures.items()])
     ordered = W.partitionBy(*cell).orderBy(value)
     peers_in = ordered.rangeBetween(W.unboundedPreceding, W.currentRow)
     peers = ordered.rangeBetween(W.currentRow, W.currentRow)
     local = ranged.select(
-        "*",
+        *keep,
+        "_range",
         F.lead(value).over(ordered).alias("_next_here"),
         *[F.sum(f"_m_{m}").over(peers_in).alias(f"_in_{m}") for m in measures],
         *([F.sum(f"_m_{m}").over(peers).alias(f"{m}_ties") for m in measures] if ties else []),
@@ -127,9 +137,7 @@ def running_totals(
         *[F.coalesce(F.sum(f"_sum_{m}").over(earlier), F.lit(0)).alias(f"_off_{m}") for m in measures],
         *[F.sum(f"_sum_{m}").over(W.partitionBy(*by)).alias(f"{m}_total") for m in measures],
     )
-    joined = local.join(offsets, cell)
-    keep = [c for c in df.columns]
-    return joined.select(
+    return local.join(offsets, cell).select(
         *keep,
         F.coalesce("_next_here", "_next_first").alias("next_value"),
         *[(F.col(f"_off_{m}") + F.col(f"_in_{m}")).alias(f"{m}_upto") for m in measures],
@@ -175,9 +183,13 @@ def quantiles_long(
     return out.select(*by, F.array(*qs).alias("q"))
 
 
-def _percentile(f: str, probs: Sequence[float]) -> Column:
-    c = no_nan(F.col(f"`{f}`").cast("double"))
-    return F.percentile(c, F.array(*[F.lit(float(p)) for p in probs]))
+def _probabilities(probs: Sequence[float]) -> Column:
+    return F.expr("array(" + ", ".join(f"{float(p)!r}D" for p in probs) + ")")
+
+
+def _percentiles(features: Sequence[str], probs: Sequence[float]) -> list[Column]:
+    at = _probabilities(probs)
+    return [F.percentile(no_nan(F.col(f"`{f}`").cast("double")), at) for f in features]
 
 
 def _hot_quantiles(
@@ -209,7 +221,8 @@ def group_quantiles(
     keyed = df.where(all_present(keys))
     hot = find_hot(df, keys, len(features), budget)
     cool = keyed if not hot else keyed.join(_hot_table(df, keys, hot), keys, "left_anti")
-    out = cool.groupBy(*keys).agg(*[_percentile(f, probs).alias(f) for f in features], *extra)
+    middle = [q.alias(f) for f, q in zip(features, _percentiles(features, probs))]
+    out = cool.groupBy(*keys).agg(*middle, *extra)
     if not hot:
         return out
     warm = keyed.join(_hot_table(df, keys, hot), keys, "left_semi")
@@ -239,7 +252,7 @@ def with_group_quantiles(
     keyed = df.where(all_present(keys))
     cool = keyed if not hot else keyed.join(_hot_table(df, keys, hot), keys, "left_anti")
     w = W.partitionBy(*keys)
-    parts = [cool.select("*", *[_percentile(f, probs).over(w).alias(n) for f, n in zip(features, names)])]
+    parts = [cool.select("*", *[q.over(w).alias(n) for q, n in zip(_percentiles(features, probs), names)])]
     if hot:
         warm = keyed.join(_hot_table(df, keys, hot), keys, "left_semi")
         stats = _hot_quantiles(warm, keys, features, probs, ranges)
@@ -264,7 +277,7 @@ def table_quantiles(
     """One row with ``{feature}: array<double>``: exact quantiles over the whole table."""
     features = list(features)
     if df.count() * len(features) <= budget:
-        return df.agg(*[_percentile(f, probs).alias(f) for f in features])
+        return df.agg(*[q.alias(f) for f, q in zip(features, _percentiles(features, probs))])
     q = quantiles_long(long_form(df, [], features), ["feature"], probs, ranges)
     return q.agg(
         *[F.first(F.when(F.col("feature") == f, F.col("q")), ignorenulls=True).alias(f) for f in features]

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from platewise.functions.numeric import sanitize
+from platewise.functions.numeric import no_nan, sanitize
 from platewise.operators.ordered import RANGES, VALUE_BUDGET, table_quantiles
 
 QUANTILES = 1000
@@ -26,17 +28,15 @@ def sanitize_columns(df: DataFrame, features: Sequence[str], limit: float = 1e12
     return replace_columns(df, {f: sanitize(_col(f), limit) for f in features})
 
 
-def table_stats(df: DataFrame, **aggs: Column) -> Column:
-    """A one-row aggregate of ``df`` as a struct-valued scalar subquery."""
-    return df.agg(F.struct(*[c.alias(n) for n, c in aggs.items()]).alias("s")).scalar()
+def table_stats(df: DataFrame, aggs: Sequence[Column]) -> list:
+    """Whole-table aggregates; a single row comes to the driver and is used as literals."""
+    return list(df.agg(*[c.alias(f"_{i}") for i, c in enumerate(aggs)]).first())
 
 
 def impute_mean(df: DataFrame, features: Sequence[str]) -> DataFrame:
     """Missing values become the column's mean over the whole table."""
-    s = table_stats(df, **{f"m{i}": F.avg(_col(f)) for i, f in enumerate(features)})
-    return replace_columns(
-        df, {f: F.coalesce(_col(f), s.getField(f"m{i}")) for i, f in enumerate(features)}
-    )
+    means = table_stats(df, [F.avg(_col(f)) for f in features])
+    return replace_columns(df, {f: F.coalesce(_col(f), F.lit(m)) for f, m in zip(features, means)})
 
 
 def impute_group_mean(
@@ -54,10 +54,8 @@ def impute_group_mean(
     filled = df.join(F.broadcast(means), group, "left")
     fix = {f: F.coalesce(_col(f), F.col(f"_m{i}")) for i, f in enumerate(features)}
     out = filled.select(*[fix[c].alias(c) if c in fix else F.col(f"`{c}`") for c in df.columns])
-    left = out.agg(*[F.count_if(F.col(f"`{f}`").isNull()).alias(f"_z{i}") for i, f in enumerate(features)])
-    # One number per feature comes to the driver, to choose columns.
-    row = left.first()
-    return out, [f for i, f in enumerate(features) if row[i] == 0]
+    left = table_stats(out, [F.count_if(F.col(f"`{f}`").isNull()) for f in features])
+    return out, [f for f, holes in zip(features, left) if holes == 0]
 
 
 def impute_median(
@@ -73,20 +71,21 @@ def impute_median(
 
 def min_max(df: DataFrame, features: Sequence[str]) -> DataFrame:
     """Rescale to [0, 1] over the whole table; a constant column becomes 0."""
-    lows = {f"lo{i}": F.min(_col(f)) for i, f in enumerate(features)}
-    highs = {f"hi{i}": F.max(_col(f)) for i, f in enumerate(features)}
-    s = table_stats(df, **lows, **highs)
+    ends = table_stats(df, [g(_col(f)) for f in features for g in (F.min, F.max)])
     out = {}
     for i, f in enumerate(features):
-        lo, hi = s.getField(f"lo{i}"), s.getField(f"hi{i}")
+        lo, hi = ends[2 * i], ends[2 * i + 1]
         v = _col(f)
-        out[f] = F.when(v.isNotNull(), F.coalesce(F.try_divide(v - lo, hi - lo), F.lit(0.0)))
+        if lo is None or hi == lo:
+            out[f] = F.when(v.isNotNull(), F.lit(0.0))
+        else:
+            out[f] = (v - F.lit(lo)) / F.lit(hi - lo)
     return replace_columns(df, out)
 
 
 def center(df: DataFrame, features: Sequence[str]) -> DataFrame:
-    s = table_stats(df, **{f"m{i}": F.avg(_col(f)) for i, f in enumerate(features)})
-    return replace_columns(df, {f: _col(f) - s.getField(f"m{i}") for i, f in enumerate(features)})
+    means = table_stats(df, [F.avg(_col(f)) for f in features])
+    return replace_columns(df, {f: _col(f) - F.lit(m) for f, m in zip(features, means)})
 
 
 def quantile_uniform(
@@ -101,46 +100,28 @@ def quantile_uniform(
     Between two reference quantiles the mapping is linear; a value equal to a run of references
     gets the middle of the run. The references are ``features x quantiles`` doubles.
     """
+    features = list(features)
     n = min(quantiles, df.count())
-    if n < 2:
-        return replace_columns(df, {f: F.when(_col(f).isNotNull(), F.lit(0.0)) for f in features})
-    probs = [i / (n - 1) for i in range(n)]
-    refs = table_quantiles(df, features, probs, budget, ranges)
-    refs = refs.select(F.struct(*[F.col(f"`{f}`").alias(f"r{i}") for i, f in enumerate(features)]))
-    # One row: a scalar subquery, so nothing is joined.
-    out = df.withColumn("_refs", refs.scalar())
-    out = out.withColumns({f"_ref{i}": F.col(f"_refs.r{i}") for i in range(len(features))})
-    steps = []
-    step = 1 << (n.bit_length() - 1)
-    while step:
-        steps.append(step)
-        step >>= 1
-    below = {f"_below{i}": F.lit(0) for i in range(len(features))}
-    upto = {f"_upto{i}": F.lit(0) for i in range(len(features))}
-    out = out.withColumns({**below, **upto})
-    for step in steps:
-        move = {}
-        for i, f in enumerate(features):
-            v = _col(f)
-            for name, strict in ((f"_below{i}", True), (f"_upto{i}", False)):
-                ahead = F.get(f"_ref{i}", F.col(name) + F.lit(step - 1))
-                go = ahead < v if strict else ahead <= v
-                move[name] = F.col(name) + F.when(go, step).otherwise(0)
-        out = out.withColumns(move)
-    mapped = {}
-    for i, f in enumerate(features):
-        v, ref = _col(f), F.col(f"_ref{i}")
-        below_i, upto_i = F.col(f"_below{i}"), F.col(f"_upto{i}")
-        left, right = F.get(ref, upto_i - 1), F.get(ref, upto_i)
-        tied = (below_i + upto_i - 1) / F.lit(2.0)
-        between = (upto_i - 1) + F.try_divide(v - left, right - left)
-        place = F.when(upto_i > below_i, tied).otherwise(between) / F.lit(float(n - 1))
-        mapped[f] = (
-            F.when(v <= F.get(ref, F.lit(0)), F.lit(0.0))
-            .when(v >= F.get(ref, F.lit(n - 1)), F.lit(1.0))
-            .when(v.isNotNull(), place)
-        )
-    return out.select(*[mapped[c].alias(c) if c in mapped else F.col(f"`{c}`") for c in df.columns])
+    at = [i / (n - 1) for i in range(n)] if n > 1 else [0.0]
+    row = table_quantiles(df, features, at, budget, ranges).first()
+    refs = {f: np.asarray(row[f], dtype=float) for f in features if row[f]}
+    grid = np.asarray(at)
+
+    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for f, q in refs.items():
+                x = batch[f].to_numpy(dtype=float)
+                up = np.interp(x, q, grid)
+                down = -np.interp(-x, -q[::-1], -grid[::-1])
+                u = np.where(x >= q[-1], 1.0, (up + down) / 2)
+                u = np.where(x <= q[0], 0.0, u)
+                batch[f] = pd.Series(u, index=batch.index).mask(np.isnan(x), None)
+            yield batch
+
+    values = replace_columns(df, {f: _col(f) for f in features})
+    mapped = values.mapInPandas(place, values.schema)
+    # A missing value comes back from pandas as NaN.
+    return replace_columns(mapped, {f: no_nan(F.col(f"`{f}`")) for f in features})
 
 
 def clip_scale(

@@ -513,7 +513,7 @@ def min_max(spark, sf):
 
 @query
 def center(spark, sf):
-    return rounded(S.center(X.profiles(spark, sf).select("cell_ID", *MEASURES), MEASURES), MEASURES)
+    return rounded(S.center(X.profiles(spark, sf).select("cell_ID", *MEASURES), MEASURES), MEASURES, 8)
 
 
 @query
@@ -539,7 +539,7 @@ DOSES_DOWN = [c for c in sorted(ROLES.concentrations, reverse=True) if c != ROLE
 
 def _ready_vectors(spark, sf):
     ready, dims = D.prepare_population(X.vectors(spark, sf), "Concentration", ROLES.concentrations, VECTOR_DIMS)
-    return ready.select("vec_id", "Concentration", *dims)
+    return stage(ready.select("vec_id", "Concentration", *dims), "vectors")
 
 
 @query

@@ -430,7 +430,7 @@ ORACLE["impute_mean"] = f"""{ctes(FLAWED)} SELECT "cell_ID", {", ".join(f'{r(f"c
 ORACLE["impute_median"] = f"""{ctes(FLAWED)} SELECT "cell_ID", {", ".join(f'{r(f"coalesce({f}, (SELECT median({f}) FROM clean))")} AS {f}' for f in MEASURES)} FROM clean"""
 ORACLE["impute_group_mean"] = f"""{ctes(FLAWED)}, m AS (SELECT {CONC}, {", ".join(f"avg({f}) AS m_{f}" for f in MEASURES)} FROM clean GROUP BY {CONC})
 SELECT "cell_ID", {CONC}, {", ".join(f'{r(f"coalesce({f}, m_{f})")} AS {f}' for f in MEASURES)} FROM clean JOIN m USING ({CONC})"""
-ORACLE["center"] = f"""{ctes(MEASURE)} SELECT "cell_ID", {", ".join(f'{r(f"{f} - (SELECT avg({f}) FROM measure)")} AS {f}' for f in MEASURES)} FROM measure"""
+ORACLE["center"] = f"""{ctes(MEASURE)} SELECT "cell_ID", {", ".join(f'{r(f"{f} - (SELECT avg({f}) FROM measure)", 8)} AS {f}' for f in MEASURES)} FROM measure"""
 VECTORS = "vec AS (SELECT vec_id, CAST(label + 2 AS INTEGER) AS \"Concentration\", " + ", ".join(
     f"CAST(embedding[{i + 1}] AS DOUBLE) AS f{i}" for i in range(DIMENSIONS)
 ) + " FROM embeddings)"
@@ -448,7 +448,10 @@ ORACLE["shuffled_rows"] = f"""{ctes(MEASURE)} SELECT "cell_ID", {rounded_list(ME
 
 def uniform(f: str) -> str:
     """Interpolate forward and backward over 1000 reference quantiles and take the middle."""
-    return f"""q_{f} AS (SELECT i, quantile_cont({f}, i / 999.0) AS q FROM measure, range(0, 1000) t(i) GROUP BY i),
+    return f"""s_{f} AS (SELECT {f} AS v, row_number() OVER (ORDER BY {f}) - 1 AS k, count(*) OVER () AS n FROM measure),
+q_{f} AS (SELECT i, lo.v + (h - floor(h)) * (hi.v - lo.v) AS q
+  FROM (SELECT i, i * ((SELECT count(*) FROM measure) - 1) / 999.0 AS h FROM range(0, 1000) t(i))
+  JOIN s_{f} lo ON lo.k = CAST(floor(h) AS BIGINT) JOIN s_{f} hi ON hi.k = CAST(ceil(h) AS BIGINT)),
 u_{f} AS (SELECT v, count(*) FILTER (q < v) AS lt, count(*) FILTER (q <= v) AS le, max(q) FILTER (q <= v) AS a, min(q) FILTER (q > v) AS b,
     v <= min(q) AS first, v >= max(q) AS last FROM (SELECT DISTINCT {f} AS v FROM measure), q_{f} GROUP BY v),
 m_{f} AS (SELECT v, CASE WHEN first THEN 0.0 WHEN last THEN 1.0 WHEN le > lt THEN (lt + le - 1) / 2.0 / 999.0
