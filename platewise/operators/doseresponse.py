@@ -12,7 +12,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from platewise.functions.numeric import natural_log
@@ -57,35 +57,41 @@ def dose_series(emd: DataFrame, roles: Roles, excluded: Sequence[int] = (2,)) ->
     return got.where(whole).select("Feature", "Day", F.array(*ys).alias("y"))
 
 
-def _total(terms: Sequence[Column]) -> Column:
-    out = terms[0]
-    for t in terms[1:]:
-        out = out + t
-    return out
+def _sum(terms: Sequence[str]) -> str:
+    return "(" + " + ".join(terms) + ")"
 
 
-def _points(n: int) -> list[Column]:
-    return [F.get("y", F.lit(i)) for i in range(n)]
+def _number(x: float) -> str:
+    return f"({float(x)!r}D)"
+
+
+# Sums over the points of a series are SQL text: one call per sum instead of one per term.
+def _ys(n: int) -> list[str]:
+    return [f"y[{i}]" for i in range(n)]
+
+
+def _points(df: DataFrame, n: int) -> DataFrame:
+    """Give each point its own column, so generated code reads it once."""
+    return df.select("*", *[F.expr(f"y[{i}] AS _y{i}") for i in range(n)])
 
 
 def fit_linear(series: DataFrame, n: int) -> DataFrame:
     """Least-squares line through ``y`` over x = 0..n-1: ``Feature, Day, Slope, Intercept, ssr``."""
-    y = _points(n)
+    y = _ys(n)
     mid = (n - 1) / 2
     sxx = sum((i - mid) ** 2 for i in range(n))
-    mean = _total(y) / F.lit(float(n))
-    slope = _total([F.lit(i - mid) * y[i] for i in range(n)]) / F.lit(sxx) if sxx else F.lit(0.0)
-    got = series.select("*", slope.alias("Slope"), mean.alias("_mean"))
-    at = F.col("_mean") - F.col("Slope") * F.lit(mid)
-    ssr = _total([F.pow(y[i] - (at + F.col("Slope") * F.lit(float(i))), F.lit(2.0)) for i in range(n)])
-    return got.select("Feature", "Day", "Slope", at.alias("Intercept"), ssr.alias("ssr"))
+    slope = _sum([f"{_number(i - mid)} * {y[i]}" for i in range(n)]) + f" / {_number(sxx or 1.0)}"
+    got = series.select("*", F.expr(f"{slope} AS Slope"), F.expr(f"{_sum(y)} / {_number(n)} AS _mean"))
+    got = got.select("*", F.expr(f"_mean - Slope * {_number(mid)} AS Intercept"))
+    ssr = _sum([f"power({y[i]} - (Intercept + Slope * {_number(i)}), 2)" for i in range(n)])
+    return got.select("Feature", "Day", "Slope", "Intercept", F.expr(f"{ssr} AS ssr"))
 
 
 def fit_constant(series: DataFrame, n: int) -> DataFrame:
-    y = _points(n)
-    got = series.select("*", (_total(y) / F.lit(float(n))).alias("_mean"))
-    ssr = _total([F.pow(v - F.col("_mean"), F.lit(2.0)) for v in y])
-    return got.select("Feature", "Day", F.col("_mean").alias("Level"), ssr.alias("ssr"))
+    y = _ys(n)
+    got = series.select("*", F.expr(f"{_sum(y)} / {_number(n)} AS Level"))
+    ssr = _sum([f"power({v} - Level, 2)" for v in y])
+    return got.select("Feature", "Day", "Level", F.expr(f"{ssr} AS ssr"))
 
 
 def _geometric(low: float, high: float, steps: int) -> list[float]:
@@ -93,18 +99,17 @@ def _geometric(low: float, high: float, steps: int) -> list[float]:
 
 
 def _shapes(df: DataFrame, n: int) -> DataFrame:
-    """Add the curve's shape ``g_i`` at every point for the row's model, ``b`` and ``e``."""
-    log_e = F.ln(F.col("e") + F.lit(LOG_OFFSET))
-    out = df.withColumn("_le", log_e)
-    z = [F.col("b") * (F.lit(math.log(i + LOG_OFFSET)) - F.col("_le")) for i in range(n)]
-    out = out.select("*", *[F.exp(v).alias(f"_z{i}") for i, v in enumerate(z)])
-    weibull = F.col("Model") == "WB1.4"
+    """Add the curve's shape ``_g{i}`` at every point for the row's model, ``b`` and ``e``."""
+    keep = df.columns
+    out = _points(df, n).select("*", F.expr(f"ln(e + {_number(LOG_OFFSET)}) AS _le"))
+    ys = [f"_y{i}" for i in range(n)]
+    z = [F.expr(f"exp(b * ({_number(math.log(i + LOG_OFFSET))} - _le)) AS _z{i}") for i in range(n)]
+    out = out.select(*keep, *ys, *z)
     g = [
-        F.when(weibull, F.exp(-F.col(f"_z{i}"))).otherwise(F.lit(1.0) / (F.lit(1.0) + F.col(f"_z{i}")))
+        F.expr(f"CASE WHEN Model = 'WB1.4' THEN exp(-_z{i}) ELSE 1.0D / (1.0D + _z{i}) END AS _g{i}")
         for i in range(n)
     ]
-    keep = [c for c in out.columns if not c.startswith("_z") and c != "_le"]
-    return out.select(*keep, *[v.alias(f"_g{i}") for i, v in enumerate(g)])
+    return out.select(*keep, *ys, *g)
 
 
 def _solve(df: DataFrame, n: int) -> DataFrame:
@@ -113,37 +118,31 @@ def _solve(df: DataFrame, n: int) -> DataFrame:
     ``_gain`` is how much of the (centered) sum of squares ``_syy`` the curve explains. BC4 has no
     intercept; LL4 and WB1.4 have no x g term.
     """
-    y = _points(n)
-    g = [F.col(f"_g{i}") for i in range(n)]
-    h = [F.lit(float(i)) * g[i] for i in range(n)]
-    free = F.when(F.col("Model") == "BC4", F.lit(0.0)).otherwise(F.lit(1.0))
-    size = F.lit(float(n))
+    y = [f"_y{i}" for i in range(n)]
+    g = [f"_g{i}" for i in range(n)]
+    h = [f"{_number(i)} * _g{i}" for i in range(n)]
+    free = "CASE WHEN Model = 'BC4' THEN 0.0D ELSE 1.0D END"
+    means = {"_my": y, "_mg": g, "_mh": h}
     out = df.select(
-        "*",
-        (free * _total(y) / size).alias("_my"),
-        (free * _total(g) / size).alias("_mg"),
-        (free * _total(h) / size).alias("_mh"),
+        "*", *[F.expr(f"{free} * {_sum(v)} / {_number(n)} AS {name}") for name, v in means.items()]
     )
-    dy = [v - F.col("_my") for v in y]
-    dg = [v - F.col("_mg") for v in g]
-    dh = [v - F.col("_mh") for v in h]
-    dot = lambda a, b: _total([p * q for p, q in zip(a, b)])
+    dy = [f"({v} - _my)" for v in y]
+    dg = [f"({v} - _mg)" for v in g]
+    dh = [f"({v} - _mh)" for v in h]
+    sums = {"_syy": (dy, dy), "_sgg": (dg, dg), "_shh": (dh, dh), "_sgh": (dg, dh), "_sgy": (dg, dy), "_shy": (dh, dy)}
     out = out.select(
         "*",
-        dot(dy, dy).alias("_syy"), dot(dg, dg).alias("_sgg"), dot(dh, dh).alias("_shh"),
-        dot(dg, dh).alias("_sgh"), dot(dg, dy).alias("_sgy"), dot(dh, dy).alias("_shy"),
-    )
-    a, c, b = F.col("_sgg"), F.col("_shh"), F.col("_sgh")
-    p, q = F.col("_sgy"), F.col("_shy")
-    det = a * c - b * b
-    two = F.col("Model").isin("BC4", "BC5") & (det > F.lit(SINGULAR) * a * c)
-    one = a > F.lit(SINGULAR)
+        *[F.expr(_sum([f"{p} * {q}" for p, q in zip(u, v)]) + f" AS {name}") for name, (u, v) in sums.items()],
+    ).withColumn("_det", F.expr("_sgg * _shh - _sgh * _sgh"))
+    two = f"Model IN ('BC4', 'BC5') AND _det > {_number(SINGULAR)} * _sgg * _shh"
+    one = f"_sgg > {_number(SINGULAR)}"
     out = out.select(
         "*",
-        F.when(two, F.try_divide(p * c - q * b, det)).when(one, F.try_divide(p, a)).otherwise(F.lit(0.0)).alias("_c1"),
-        F.when(two, F.try_divide(q * a - p * b, det)).otherwise(F.lit(0.0)).alias("_c2"),
+        F.expr(f"CASE WHEN {two} THEN try_divide(_sgy * _shh - _shy * _sgh, _det) "
+               f"WHEN {one} THEN try_divide(_sgy, _sgg) ELSE 0.0D END AS _c1"),
+        F.expr(f"CASE WHEN {two} THEN try_divide(_shy * _sgg - _sgy * _sgh, _det) ELSE 0.0D END AS _c2"),
     )
-    return out.withColumn("_gain", F.col("_c1") * p + F.col("_c2") * q)
+    return out.withColumn("_gain", F.expr("_c1 * _sgy + _c2 * _shy"))
 
 
 def _best(grid: DataFrame, n: int) -> DataFrame:
@@ -163,37 +162,30 @@ def fit_curves(
 ) -> DataFrame:
     """``Feature, Day, Model, b, e, ssr`` of the Brain-Cousens, log-logistic and Weibull curves."""
     sizes = _geometric(*B_RANGE, B_STEPS)
-    slopes = [s for b in sizes for s in (b, -b)]
     mids = _geometric(*E_RANGE, E_STEPS)
-    signs = F.when(F.col("Model") == "LL4", F.array(*[F.lit(b) for b in sizes])).otherwise(
-        F.array(*[F.lit(b) for b in slopes])
-    )
+
+    def listed(values: Sequence[float]) -> str:
+        return "array(" + ", ".join(_number(v) for v in values) + ")"
+
+    up = listed(sizes)
+    both = listed([s for b in sizes for s in (b, -b)])
     todo = series.select("*", F.explode(F.array(*[F.lit(m) for m in models])).alias("Model"))
-    grid = todo.select("*", F.explode(signs).alias("b")).select(
-        "*", F.explode(F.array(*[F.lit(e) for e in mids])).alias("e")
-    )
-    best = _best(grid, n)
+    grid = todo.select("*", F.expr(f"explode(CASE WHEN Model = 'LL4' THEN {up} ELSE {both} END) AS b"))
+    best = _best(grid.select("*", F.expr(f"explode({listed(mids)}) AS e")), n)
     log_b = math.log(B_RANGE[1] / B_RANGE[0]) / (B_STEPS - 1)
     log_e = math.log(E_RANGE[1] / E_RANGE[0]) / (E_STEPS - 1)
+    moves = range(-FINE_STEPS, FINE_STEPS + 1)
     for _ in range(refinements):
-        moves = range(-FINE_STEPS, FINE_STEPS + 1)
-        up_b = F.array(*[F.lit(math.exp(log_b * k / FINE_STEPS)) for k in moves])
-        up_e = F.array(*[F.lit(math.exp(log_e * k / FINE_STEPS)) for k in moves])
-        near = best.select("*", F.explode(up_b).alias("_ub")).select("*", F.explode(up_e).alias("_ue"))
-        near = near.select(
-            "Feature", "Day", "Model", "y",
-            (F.col("b") * F.col("_ub")).alias("b"), (F.col("e") * F.col("_ue")).alias("e"),
-        )
-        best = _best(near, n)
+        up_b = listed([math.exp(log_b * k / FINE_STEPS) for k in moves])
+        up_e = listed([math.exp(log_e * k / FINE_STEPS) for k in moves])
+        near = best.select("*", F.expr(f"explode({up_b}) AS _ub")).select("*", F.expr(f"explode({up_e}) AS _ue"))
+        best = _best(near.selectExpr("Feature", "Day", "Model", "y", "b * _ub AS b", "e * _ue AS e"), n)
         log_b, log_e = log_b / FINE_STEPS, log_e / FINE_STEPS
     solved = _solve(_shapes(best, n), n)
-    y = _points(n)
-    left = []
-    for i in range(n):
-        g = F.col(f"_g{i}")
-        curve = F.col("_c1") * (g - F.col("_mg")) + F.col("_c2") * (F.lit(float(i)) * g - F.col("_mh"))
-        left.append(F.pow(y[i] - F.col("_my") - curve, F.lit(2.0)))
-    return solved.select("Feature", "Day", "Model", "b", "e", _total(left).alias("ssr"))
+    left = [
+        f"power(_y{i} - _my - _c1 * (_g{i} - _mg) - _c2 * ({_number(i)} * _g{i} - _mh), 2)" for i in range(n)
+    ]
+    return solved.select("Feature", "Day", "Model", "b", "e", F.expr(f"{_sum(left)} AS ssr"))
 
 
 def score_models(residuals: DataFrame, n: int) -> DataFrame:

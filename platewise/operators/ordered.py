@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from platewise.functions.numeric import all_present, no_nan
 
 # Values one task may buffer for a grouped percentile (rows of the group x features).
-VALUE_BUDGET = 10_000_000
+VALUE_BUDGET = 4_000_000
 # Hot keys treated one by one; a key outside this many largest ones holds < 1e-4 of all rows.
 HOT_KEYS = 10_000
 # Value ranges per feature.
@@ -54,8 +54,10 @@ def _hot_table(df: DataFrame, keys: Sequence[str], hot: list[Row]) -> DataFrame:
 
 def long_form(df: DataFrame, ids: Sequence[str], features: Sequence[str]) -> DataFrame:
     """``ids, feature, value`` with missing values left out."""
-    wide = df.select(*ids, *[F.col(f"`{f}`").cast("double").alias(f) for f in features])
-    out = wide.unpivot(list(ids), list(features), "feature", "value")
+    # stack, not unpivot: filters on the ids move below it in every copy of the plan, which keeps
+    # the copies equal and lets Spark share their shuffles.
+    pairs = [p for f in features for p in (F.lit(f), F.col(f"`{f}`").cast("double"))]
+    out = df.select(*ids, F.stack(F.lit(len(features)), *pairs).alias("feature", "value"))
     return out.where(no_nan(F.col("value")).isNotNull())
 
 

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import math
+
+from platewise.operators.doseresponse import (
+    B_RANGE, B_STEPS, E_RANGE, E_STEPS, FINE_STEPS, REFINEMENTS, _geometric,
+)
 from platewise.plans.inputs import DIMENSIONS, MEASURES
 
 ORACLE: dict[str, str] = {}
@@ -292,6 +297,54 @@ resid AS (SELECT "Feature", "Day", any_value(slope) AS slope, any_value(icept) A
 ORACLE["fit_lines"] = f"""{ctes(LINES)} SELECT "Feature", "Day", {r("slope", 3)} AS "Slope", {r("icept", 3)} AS "Intercept",
   {r("level", 3)} AS "Level", {r("line_ssr", 3)} AS line_ssr, {r("level_ssr", 3)} AS level_ssr FROM resid"""
 
+def _curve_fits() -> str:
+    """The grid search of the curve models with its refinements, level by level."""
+    sizes = _geometric(*B_RANGE, B_STEPS)
+    both = [s for b in sizes for s in (b, -b)]
+    listed = lambda values: "[" + ", ".join(f"CAST({v!r} AS DOUBLE)" for v in values) + "]"
+    id_ = '"Feature", "Day", "Model"'
+    parts = [f"""grid0 AS (SELECT {id_}, b, unnest({listed(_geometric(*E_RANGE, E_STEPS))}) AS e FROM (
+  SELECT {id_}, unnest(CASE WHEN "Model" = 'LL4' THEN {listed(sizes)} ELSE {listed(both)} END) AS b FROM (
+    SELECT DISTINCT "Feature", "Day", unnest(['BC4', 'BC5', 'LL4', 'WB1.4']) AS "Model" FROM series)))"""]
+    log_b = math.log(B_RANGE[1] / B_RANGE[0]) / (B_STEPS - 1)
+    log_e = math.log(E_RANGE[1] / E_RANGE[0]) / (E_STEPS - 1)
+    for k in range(REFINEMENTS + 1):
+        parts.append(f"""shape{k} AS (SELECT {id_}, b, e, x, y, CASE WHEN "Model" = 'WB1.4' THEN exp(-exp(z)) ELSE 1 / (1 + exp(z)) END AS g
+  FROM (SELECT grid{k}.*, x, y, least(b * (ln(x + 1e-10) - ln(e + 1e-10)), 700) AS z FROM grid{k} JOIN series USING ("Feature", "Day"))),
+mean{k} AS (SELECT *, f * avg(y) OVER w AS my, f * avg(g) OVER w AS mg, f * avg(x * g) OVER w AS mh
+  FROM (SELECT *, CASE "Model" WHEN 'BC4' THEN 0.0 ELSE 1.0 END AS f FROM shape{k}) WINDOW w AS (PARTITION BY {id_}, b, e)),
+dots{k} AS (SELECT {id_}, b, e, any_value(my) AS my, any_value(mg) AS mg, any_value(mh) AS mh, sum((y - my) * (y - my)) AS syy, sum((g - mg) * (g - mg)) AS sgg,
+  sum((x * g - mh) * (x * g - mh)) AS shh, sum((g - mg) * (x * g - mh)) AS sgh, sum((g - mg) * (y - my)) AS sgy,
+  sum((x * g - mh) * (y - my)) AS shy FROM mean{k} GROUP BY {id_}, b, e),
+coef{k} AS (SELECT *, CASE WHEN two THEN (sgy * shh - shy * sgh) / det WHEN sgg > 1e-12 THEN sgy / sgg ELSE 0 END AS c1,
+    CASE WHEN two THEN (shy * sgg - sgy * sgh) / det ELSE 0 END AS c2
+  FROM (SELECT *, "Model" IN ('BC4', 'BC5') AND det > 1e-12 * sgg * shh AS two FROM (SELECT *, sgg * shh - sgh * sgh AS det FROM dots{k}))),
+best{k} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY {id_}
+  ORDER BY round(1 - coalesce((c1 * sgy + c2 * shy) / nullif(syy, 0), 0), 12), b, e) AS place FROM coef{k}) WHERE place = 1)""")
+        if k < REFINEMENTS:
+            moves = range(-FINE_STEPS, FINE_STEPS + 1)
+            up_b = listed([math.exp(log_b * m / FINE_STEPS) for m in moves])
+            up_e = listed([math.exp(log_e * m / FINE_STEPS) for m in moves])
+            parts.append(f"""grid{k + 1} AS (SELECT {id_}, b * ub AS b, e * unnest({up_e}) AS e
+  FROM (SELECT {id_}, b, e, unnest({up_b}) AS ub FROM best{k}))""")
+            log_b, log_e = log_b / FINE_STEPS, log_e / FINE_STEPS
+    last = REFINEMENTS
+    parts.append(f"""curve_ssr AS (SELECT {id_}, sum(power(y - my - c1 * (g - mg) - c2 * (x * g - mh), 2)) AS ssr
+  FROM best{last} JOIN shape{last} USING ({id_}, b, e) GROUP BY {id_}),
+fits AS (SELECT "Feature", "Day", "Model", 8 * ln(ssr / 8) + 2 * k AS "AIC", 8 * ln(ssr / 8) + k * ln(8) AS "BIC", slope AS "Slope" FROM (
+    SELECT {id_}, ssr, CAST(NULL AS DOUBLE) AS slope, CASE "Model" WHEN 'BC5' THEN 5 ELSE 4 END AS k FROM curve_ssr
+    UNION ALL SELECT "Feature", "Day", 'Lin', line_ssr, slope, 2 FROM resid
+    UNION ALL SELECT "Feature", "Day", 'Con', level_ssr, NULL, 1 FROM resid))""")
+    return ",\n".join(parts)
+
+
+FITS = LINES + ",\n" + _curve_fits()
+ORACLE["fit_models"] = f"""{ctes(FITS)} SELECT "Feature", "Day", "Model", {r('"AIC"', 3)} AS "AIC", {r('"BIC"', 3)} AS "BIC", {r('"Slope"', 3)} AS "Slope" FROM fits"""
+ORACLE["select_features"] = f"""{ctes(FITS)},
+days AS (SELECT "Feature", "Day", min("AIC" + "BIC") AS best, min(CASE WHEN "Model" = 'Con' THEN "AIC" + "BIC" END) AS flat,
+  bool_or("Model" = 'Lin' AND "Slope" > 0) AS rises FROM fits GROUP BY "Feature", "Day")
+SELECT "Feature" FROM days GROUP BY "Feature" HAVING bool_or(rises) AND NOT bool_or(coalesce(flat = best, false))"""
+
 # ---- correlation
 
 _WIDE = (*STANDARDIZED, "rp_norm_twice", "rp_norm_negated", "rp_norm_even", "rp_norm_holed")
