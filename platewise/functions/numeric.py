@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from functools import reduce
-
 
 def no_nan(c: Column) -> Column:
     """NaN counts as missing."""
@@ -68,4 +68,5 @@ def chi2_tail(x: Column, df: Column) -> Column:
     """P(X > x) of the chi-squared distribution, to about 1e-14 absolute."""
     y = x / 2
     tail = F.greatest(F.lit(0.0), F.lit(1.0) - lower_gamma_ratio(df / 2, y))
-    return F.when(x <= 0, F.lit(1.0)).when(y > 200, F.lit(0.0)).otherwise(tail)
+    known = F.when(x <= 0, F.lit(1.0)).when(y > 200, F.lit(0.0)).otherwise(tail)
+    return F.when(x.isNotNull() & df.isNotNull(), known)

@@ -56,7 +56,8 @@ def feature_correlation(
 def corr_distance(r: str | Column) -> Column:
     """1 - |r|, never negative; 1 where the correlation is undefined."""
     r = F.col(r) if isinstance(r, str) else r
-    return F.coalesce(F.greatest(F.lit(1.0) - F.abs(r), F.lit(0.0)), F.lit(1.0))
+    # greatest skips NULL, so an undefined correlation is told apart first.
+    return F.when(r.isNull() | F.isnan(r), F.lit(1.0)).otherwise(F.greatest(F.lit(1.0) - F.abs(r), F.lit(0.0)))
 
 
 def _average_linkage(names: list[str], dist: np.ndarray, below: float) -> list[list[str]]:

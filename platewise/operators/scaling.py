@@ -88,6 +88,25 @@ def center(df: DataFrame, features: Sequence[str]) -> DataFrame:
     return replace_columns(df, {f: _col(f) - F.lit(m) for f, m in zip(features, means)})
 
 
+def _references(df: DataFrame, features: Sequence[str], rows: int, grid: np.ndarray, budget: int, ranges: int) -> dict:
+    """Values at the given shares of each column, missing values aside; columns without any are absent.
+
+    With no more rows than references (so at most a thousand values per column) the sorted values
+    are interpolated by position, which keeps a reference that is one row's value equal to it.
+    """
+    if rows > len(grid):
+        row = table_quantiles(df, features, grid.tolist(), budget, ranges).first()
+        return {f: np.asarray(row[f], dtype=float) for f in features if row[f]}
+    row = df.agg(*[F.array_sort(F.collect_list(no_nan(_col(f)))).alias(f"_{i}") for i, f in enumerate(features)]).first()
+    out = {}
+    for f, values in zip(features, row):
+        if values:
+            place = (len(values) - 1) * grid
+            place = np.where(np.abs(place - np.round(place)) < 1e-9, np.round(place), place)
+            out[f] = np.interp(place, np.arange(len(values)), np.asarray(values))
+    return out
+
+
 def quantile_uniform(
     df: DataFrame,
     features: Sequence[str],
@@ -101,11 +120,10 @@ def quantile_uniform(
     gets the middle of the run. The references are ``features x quantiles`` doubles.
     """
     features = list(features)
-    n = min(quantiles, df.count())
-    at = [i / (n - 1) for i in range(n)] if n > 1 else [0.0]
-    row = table_quantiles(df, features, at, budget, ranges).first()
-    refs = {f: np.asarray(row[f], dtype=float) for f in features if row[f]}
-    grid = np.asarray(at)
+    rows = df.count()
+    n = min(quantiles, rows)
+    grid = np.linspace(0, 1, n) if n > 1 else np.zeros(1)
+    refs = _references(df, features, rows, grid, budget, ranges)
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

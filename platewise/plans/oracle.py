@@ -358,7 +358,7 @@ corr AS (SELECT a.feature AS feature_a, b.feature AS feature_b,
     CASE WHEN stddev_samp(a.value) > 0 AND stddev_samp(b.value) > 0 THEN corr(a.value, b.value) END AS r
   FROM well_long a JOIN well_long b USING ({WELL_KEYS}) WHERE a.feature < b.feature GROUP BY a.feature, b.feature)"""
 ORACLE["feature_correlation"] = f"""{ctes(WIDE)} SELECT feature_a, feature_b, {r("r", 6)} AS r,
-  {r("coalesce(greatest(1 - abs(r), 0), 1)", 6)} AS distance FROM corr"""
+  {r("CASE WHEN r IS NULL THEN 1.0 ELSE greatest(1 - abs(r), 0) END", 6)} AS distance FROM corr"""
 ORACLE["embedding_correlation"] = f"""WITH long AS (SELECT vec_id, concat('f', i - 1) AS feature, CAST(embedding[i] AS DOUBLE) AS value
   FROM embeddings, range(1, {DIMENSIONS + 1}) t(i))
 SELECT a.feature AS feature_a, b.feature AS feature_b, {r("corr(a.value, b.value)", 6)} AS r

@@ -6,6 +6,7 @@ from collections import defaultdict
 from collections.abc import Sequence
 from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -51,7 +52,12 @@ def list_files(spark: SparkSession, path: str, pattern: str | None = None, recur
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", recursive)
     if pattern:
         reader = reader.option("pathGlobFilter", pattern)
-    return sorted(r["path"] for r in reader.load(path).select("path").collect())
+    try:
+        return sorted(r["path"] for r in reader.load(path).select("path").collect())
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            return []
+        raise
 
 
 def _read_by_name(spark: SparkSession, files: Sequence[str], sep: str, schema=None) -> DataFrame:
