@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from platewise.functions.numeric import natural_log
 from platewise.roles import Roles
+from platewise.session import stage
 
 # Parameters per model, and the offset inside the logarithms.
 MODEL_PARAMETERS = {"BC4": 4, "BC5": 5, "LL4": 4, "WB1.4": 4, "Lin": 2, "Con": 1}
@@ -207,9 +208,12 @@ def score_models(residuals: DataFrame, n: int) -> DataFrame:
 
 
 def fit_models(emd: DataFrame, roles: Roles, excluded: Sequence[int] = (2,)) -> DataFrame:
-    """All six models of every complete dose series."""
+    """All six models of every complete dose series.
+
+    The series (one row per feature and day) are written once; three fits read them.
+    """
     n = len(fitted_doses(roles, excluded))
-    series = dose_series(emd, roles, excluded)
+    series = stage(dose_series(emd, roles, excluded), "dose-series")
     none = F.lit(None).cast("double").alias("Slope")
     curves = fit_curves(series, n).select("Feature", "Day", "Model", "ssr", none)
     line = fit_linear(series, n).select("Feature", "Day", F.lit("Lin").alias("Model"), "ssr", "Slope")

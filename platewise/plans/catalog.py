@@ -256,7 +256,7 @@ def dose_series(spark, sf):
 @query
 def fit_lines(spark, sf):
     n = len(M.fitted_doses(ROLES))
-    series = M.dose_series(dose_scores(spark, sf), ROLES)
+    series = stage(M.dose_series(dose_scores(spark, sf), ROLES), "dose-series")
     line = M.fit_linear(series, n).select("Feature", "Day", "Slope", "Intercept", F.col("ssr").alias("line_ssr"))
     flat = M.fit_constant(series, n).select("Feature", "Day", "Level", F.col("ssr").alias("level_ssr"))
     return rounded(line.join(flat, ["Feature", "Day"]), ["Slope", "Intercept", "line_ssr", "Level", "level_ssr"], 3)
@@ -276,6 +276,28 @@ def select_features(spark, sf):
     return M.select_features(fits(spark, sf), ROLES.days)
 
 
+def _shifted_fits(spark, sf):
+    dose = F.col("Concentration")
+    q = F.col("rp_norm_l_quantity")
+    p = standardized(spark, sf).withColumns({
+        "rp_norm_shifted": q + (F.lit(ROLES.control) - dose) * 4,
+        "rp_norm_bent": q + F.greatest(F.lit(0), F.lit(7) - dose) * 6,
+    })
+    names = ["rp_norm_l_tax", "rp_norm_shifted", "rp_norm_bent"]
+    return M.fit_models(W.emd_concentrations(T.trim_selected(p, names, ROLES), ROLES), ROLES)
+
+
+@query
+def fit_responding(spark, sf):
+    """Fits of two features made to respond to the dose and one that does not."""
+    return rounded(_shifted_fits(spark, sf), ["AIC", "BIC", "Slope"], 3)
+
+
+@query
+def select_responding(spark, sf):
+    return M.select_features(_shifted_fits(spark, sf), ROLES.days)
+
+
 # ---- correlation -----------------------------------------------------------------------------
 
 
@@ -661,4 +683,4 @@ def lookup_round_trip(spark, sf):
 
 @query
 def profile_dose_scores(spark, sf):
-    return rounded(profile_scores(spark, sf), ["EMD_score"])
+    return rounded(profile_scores(spark, sf), ["EMD_score"], 6)

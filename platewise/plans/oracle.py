@@ -155,11 +155,15 @@ def unpivoted(source: str, ids: str, features) -> str:
     )
 
 
-DOSE = STD + ",\n" + trimmed("std", "trim", STANDARDIZED) + f""",
-dose_long AS ({unpivoted("trim", f"{DAY}, {CONC} AS pop", STANDARDIZED)}),
+def dose_ctes(before: str, source: str, features) -> str:
+    return before + ",\n" + trimmed(source, "trim", features) + f""",
+dose_long AS ({unpivoted("trim", f"{DAY}, {CONC} AS pop", features)}),
 {emd("dose_long", "dose", f"{DAY}, feature")},
 dose_scores AS (SELECT feature AS "Feature", CAST(p AS VARCHAR) AS "Population1", CAST(q AS VARCHAR) AS "Population2",
   concat(p, '_vs_', q) AS "Concentration", {DAY}, na AS "Count1", nb AS "Count2", score AS "EMD_score" FROM dose)"""
+
+
+DOSE = dose_ctes(STD, "std", STANDARDIZED)
 CONTROL = f"""control_std AS (SELECT * FROM std WHERE {CONC} = 11),
 {trimmed("control_std", "control_trim", STANDARDIZED)},
 control_long AS ({unpivoted("control_trim", f"{DAY}, {BIOREP} AS pop", STANDARDIZED)}),
@@ -284,16 +288,18 @@ ORACLE["filter_features"] = f"""{ctes(HOLED)} SELECT {META_LIST}, {rounded_list(
 
 # ---- dose response
 
-SERIES = DOSE + f""",
+SERIES_TAIL = f""",
 points AS (SELECT "Feature", {DAY} AS "Day", CAST(10 - CAST("Population1" AS INTEGER) AS INTEGER) AS x, "EMD_score" AS y
   FROM dose_scores WHERE {VS_CONTROL} AND "Population1" <> '2'),
 series AS (SELECT * FROM points WHERE ("Feature", "Day") IN (SELECT ("Feature", "Day") FROM points GROUP BY "Feature", "Day" HAVING count(*) = 8))"""
+SERIES = DOSE + SERIES_TAIL
 ORACLE["dose_series"] = f"""{ctes(SERIES)} SELECT "Feature", "Day", x, {r("y")} AS y FROM series"""
-LINES = SERIES + """,
+LINES_TAIL = """,
 lines AS (SELECT "Feature", "Day", regr_slope(y, x) AS slope, regr_intercept(y, x) AS icept, avg(y) AS level FROM series GROUP BY ALL),
 resid AS (SELECT "Feature", "Day", any_value(slope) AS slope, any_value(icept) AS icept, any_value(level) AS level,
     sum(power(y - slope * x - icept, 2)) AS line_ssr, sum(power(y - level, 2)) AS level_ssr
   FROM series JOIN lines USING ("Feature", "Day") GROUP BY "Feature", "Day")"""
+LINES = SERIES + LINES_TAIL
 ORACLE["fit_lines"] = f"""{ctes(LINES)} SELECT "Feature", "Day", {r("slope", 3)} AS "Slope", {r("icept", 3)} AS "Intercept",
   {r("level", 3)} AS "Level", {r("line_ssr", 3)} AS line_ssr, {r("level_ssr", 3)} AS level_ssr FROM resid"""
 
@@ -340,10 +346,17 @@ fits AS (SELECT "Feature", "Day", "Model", 8 * ln(ssr / 8) + 2 * k AS "AIC", 8 *
 
 FITS = LINES + ",\n" + _curve_fits()
 ORACLE["fit_models"] = f"""{ctes(FITS)} SELECT "Feature", "Day", "Model", {r('"AIC"', 3)} AS "AIC", {r('"BIC"', 3)} AS "BIC", {r('"Slope"', 3)} AS "Slope" FROM fits"""
-ORACLE["select_features"] = f"""{ctes(FITS)},
-days AS (SELECT "Feature", "Day", min("AIC" + "BIC") AS best, min(CASE WHEN "Model" = 'Con' THEN "AIC" + "BIC" END) AS flat,
-  bool_or("Model" = 'Lin' AND "Slope" > 0) AS rises FROM fits GROUP BY "Feature", "Day")
-SELECT "Feature" FROM days GROUP BY "Feature" HAVING bool_or(rises) AND NOT bool_or(coalesce(flat = best, false))"""
+SELECTED = """days AS (SELECT "Feature", "Day", min("AIC" + "BIC") AS best, min(CASE WHEN "Model" = 'Con' THEN "AIC" + "BIC" END) AS flat,
+  bool_or("Model" = 'Lin' AND "Slope" > 0) AS rises FROM fits GROUP BY "Feature", "Day"),
+selected AS (SELECT "Feature" FROM days GROUP BY "Feature" HAVING bool_or(rises) AND NOT bool_or(coalesce(flat = best, false)))"""
+ORACLE["select_features"] = f"""{ctes(FITS, SELECTED)} SELECT "Feature" FROM selected"""
+_SHIFTED = ("rp_norm_l_tax", "rp_norm_shifted", "rp_norm_bent")
+SHIFTED = STD + f""",
+shifted AS (SELECT {META_LIST}, rp_norm_l_tax, rp_norm_l_quantity + (11 - {CONC}) * 4 AS rp_norm_shifted,
+  rp_norm_l_quantity + greatest(0, 7 - {CONC}) * 6 AS rp_norm_bent FROM std)"""
+SHIFTED_FITS = dose_ctes(SHIFTED, "shifted", _SHIFTED) + SERIES_TAIL + LINES_TAIL + ",\n" + _curve_fits()
+ORACLE["select_responding"] = f"""{ctes(SHIFTED_FITS, SELECTED)} SELECT "Feature" FROM selected"""
+ORACLE["fit_responding"] = f"""{ctes(SHIFTED_FITS)} SELECT "Feature", "Day", "Model", {r('"AIC"', 3)} AS "AIC", {r('"BIC"', 3)} AS "BIC", {r('"Slope"', 3)} AS "Slope" FROM fits"""
 
 # ---- correlation
 
@@ -540,6 +553,41 @@ def mean_emd(source: str, name: str) -> str:
 
 ORACLE["mmd"] = f"""{ctes(VECTORS, ready("vec", "rdy"), mmd("rdy", "m"))} SELECT "Group_A", "Group_B", {r("score", 6)} AS "MMD_Score" FROM m"""
 ORACLE["mean_emd"] = f"""{ctes(VECTORS, ready("vec", "rdy"), mean_emd("rdy", "e"))} SELECT "Group_A", "Group_B", {r("score", 6)} AS "EMD_Score" FROM e"""
+def mahalanobis(source: str, name: str) -> str:
+    """Squared distance as the sum of squared residuals of each dimension on those before it."""
+    parts = [f"""{name}_0 AS (SELECT vec_id, {CONC}, {", ".join(f"{f} - (SELECT avg({f}) FROM {source} WHERE {CONC} = 11) AS {f}" for f in _DIMS)} FROM {source})"""]
+    for k, f in enumerate(_DIMS):
+        done = [f"r{j}" for j in range(k)]
+        if k == 0:
+            parts.append(f"{name}_1 AS (SELECT *, {f} AS r0 FROM {name}_0)")
+            continue
+        slopes = ", ".join(f"sum({f} * {q}) / sum({q} * {q}) AS s_{q}" for q in done)
+        left = f + "".join(f" - s_{q} * {q}" for q in done)
+        keep = ", ".join([f"{name}_{k}.*"])
+        parts.append(f"""{name}_{k + 1} AS (SELECT {keep}, {left} AS r{k} FROM {name}_{k},
+  (SELECT {slopes} FROM {name}_{k} WHERE {CONC} = 11))""")
+    d = len(_DIMS)
+    variances = ", ".join(f"sum(r{k} * r{k}) / (count(*) - 1) AS v{k}" for k in range(d))
+    total = " + ".join(f"r{k} * r{k} / v{k}" for k in range(d))
+    parts.append(f"""{name} AS (SELECT 11 AS "Group_A", {CONC} AS "Group_B", avg(sqrt({total})) AS score
+  FROM {name}_{d}, (SELECT {variances} FROM {name}_{d} WHERE {CONC} = 11) WHERE {CONC} <> 11 GROUP BY {CONC})""")
+    return ",\n".join(parts)
+
+
+ORACLE["mahalanobis"] = f"""{ctes(VECTORS, ready("vec", "rdy"), mahalanobis("rdy", "h"))} SELECT "Group_A", "Group_B", {r("score", 6)} AS "Mahalanobis_Score" FROM h"""
+
+
+def _distances() -> str:
+    parts, rows = [VECTORS], []
+    for day, odd in (("D1", 0), ("D5", 1)):
+        parts += [f"v{odd} AS (SELECT * FROM vec WHERE vec_id % 2 = {odd})", ready(f"v{odd}", f"y{odd}"),
+                  mmd(f"y{odd}", f"m{odd}"), mahalanobis(f"y{odd}", f"h{odd}"), mean_emd(f"y{odd}", f"e{odd}")]
+        rows.append(f"""SELECT "Group_A", "Group_B", {r(f"m{odd}.score", 6)} AS "MMD_Score", {r(f"h{odd}.score", 6)} AS "Mahalanobis_Score",
+  {r(f"e{odd}.score", 6)} AS "EMD_Score", '{day}' AS "Condition" FROM m{odd} JOIN h{odd} USING ("Group_A", "Group_B") JOIN e{odd} USING ("Group_A", "Group_B")""")
+    return ctes(*parts) + " " + " UNION ALL ".join(rows)
+
+
+ORACLE["population_distances"] = _distances()
 ORACLE["knn"] = f"""WITH d AS (SELECT a.vec_id, b.vec_id AS neighbour, sqrt(list_sum(list_transform(range(1, {DIMENSIONS + 1}),
     lambda i: power(CAST(a.embedding[i] AS DOUBLE) - CAST(b.embedding[i] AS DOUBLE), 2)))) AS distance FROM embeddings a, embeddings b),
 k AS (SELECT *, CAST(row_number() OVER (PARTITION BY vec_id ORDER BY distance, neighbour) AS INTEGER) AS rank FROM d)
@@ -568,3 +616,21 @@ ORACLE["combine_instances"] = f"""{ctes(MEASURE)} SELECT object AS "Subfolder",
 ORACLE["partitioned_sink"] = f"""{ctes(MEASURE)} SELECT {DAY}, {CONC}, count(*) AS n, {r("sum(l_quantity)")} AS quantity FROM measure GROUP BY {DAY}, {CONC}"""
 ORACLE["feature_list_round_trip"] = f"{ctes(NAMED)} SELECT DISTINCT feature FROM named"
 ORACLE["lookup_round_trip"] = f"{ctes(NAMED, LOOKUP)} SELECT feature, category, organelle FROM lookup"
+
+# ---- the whole analysis
+
+_POOLED = [f"{f}_{o}" for o in OBJECT_NAMES for f in MEASURES]
+_CHAIN_OBJECTS = ",\n".join(
+    f"""c_{o} AS (SELECT "cell_ID", {", ".join(f'median({f}) AS "{f}_{o}"' for f in MEASURES)} FROM measure WHERE object = '{o}' GROUP BY "cell_ID")"""
+    for o in OBJECT_NAMES
+)
+_CHAIN = MEASURE + ",\n" + _CHAIN_OBJECTS + f""",
+meta AS (SELECT {META_LIST} FROM (SELECT *, row_number() OVER (PARTITION BY "cell_ID" ORDER BY {WELL}, {DAY}, {BIOREP}, "Day_Well_BR") AS place
+  FROM measure WHERE object = 'Cells') WHERE place = 1),
+cells AS (SELECT meta.*, {", ".join(_POOLED)} FROM meta {" ".join(f'LEFT JOIN c_{o} USING ("cell_ID")' for o in OBJECT_NAMES)}),
+row_med AS (SELECT {ROW_KEYS}, {", ".join(f"median({f}) AS m_{f}" for f in _POOLED)} FROM cells GROUP BY {ROW_KEYS}),
+row_off AS (SELECT {META_LIST}, {", ".join(f"{f} - m_{f} AS {f}" for f in _POOLED)} FROM cells JOIN row_med USING ({ROW_KEYS})),
+day_med AS (SELECT {DAY}, {", ".join(f"median({f}) AS d_{f}" for f in _POOLED)} FROM row_off GROUP BY {DAY}),
+std AS (SELECT {META_LIST}, {", ".join(f"{f} - d_{f} AS rp_norm_{f}" for f in _POOLED)} FROM row_off JOIN day_med USING ({DAY}))"""
+ORACLE["profile_dose_scores"] = f"""{ctes(dose_ctes(_CHAIN, "std", [f"rp_norm_{f}" for f in _POOLED]))}
+SELECT {SCORE_COLUMNS}, {r('"EMD_score"', 6)} AS "EMD_score" FROM dose_scores"""
