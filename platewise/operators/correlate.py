@@ -15,6 +15,7 @@ from platewise.functions.numeric import all_present
 from platewise.operators.ordered import VALUE_BUDGET, group_quantiles
 from platewise.operators.scaling import impute_mean
 from platewise.roles import Roles
+from platewise.session import stage
 
 CLUSTER_BELOW = 0.1
 
@@ -49,8 +50,13 @@ def pearson_pairs(profiles: DataFrame, features: Sequence[str]) -> DataFrame:
 def feature_correlation(
     df: DataFrame, roles: Roles, features: Sequence[str] | None = None, budget: int = VALUE_BUDGET
 ) -> DataFrame:
+    """Pearson correlation of the well medians for every pair of features.
+
+    ``df`` should be a stored table (it is read for the means, the group sizes and the medians); the
+    medians, one row per well, are written once because the matrix takes two passes over them.
+    """
     features = list(features or roles.features(df, downstream=True))
-    return pearson_pairs(well_medians(df, roles, features, budget), features)
+    return pearson_pairs(stage(well_medians(df, roles, features, budget), "well-medians"), features)
 
 
 def corr_distance(r: str | Column) -> Column:

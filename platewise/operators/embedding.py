@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from platewise.functions.numeric import finite
 from platewise.operators.ordered import RANGES, VALUE_BUDGET, table_quantiles
 from platewise.operators.scaling import clip_scale, impute_median, quantile_uniform, replace_columns
+from platewise.session import stage
 
 NEIGHBOURS = 15
 GRID_POINTS = 200
@@ -28,7 +29,7 @@ def ready_features(
     """Infinite values as missing, median imputation, and the quantile transform if ``scale``."""
     clean = replace_columns(df, {f: finite(F.col(f"`{f}`").cast("double")) for f in features})
     filled, known = impute_median(clean, features, budget)
-    return (quantile_uniform(filled, known, budget=budget) if scale else filled), known
+    return (quantile_uniform(filled, known) if scale else filled), known
 
 
 def embed(
@@ -36,9 +37,11 @@ def embed(
 ) -> DataFrame:
     """``id, dim1..dimk``: principal components of the prepared features, keyed by id.
 
-    Each axis points so that its largest loading is positive.
+    Each axis points so that its largest loading is positive. The prepared features are written to
+    the shared folder once: the fit takes several passes over them.
     """
     ready, used = ready_features(df, features, scale)
+    ready = stage(ready.select(id_col, *[F.col(f"`{f}`") for f in used]), "embedding-input")
     vectors = ready.select(id_col, array_to_vector(F.array(*[F.col(f"`{f}`") for f in used])).alias("_v"))
     model = PCA(k=k, inputCol="_v", outputCol="_p").fit(vectors)
     loadings = model.pc.toArray()

@@ -284,3 +284,36 @@ def table_quantiles(
     return q.agg(
         *[F.first(F.when(F.col("feature") == f, F.col("q")), ignorenulls=True).alias(f) for f in features]
     )
+
+
+def grid_quantiles(
+    df: DataFrame, features: Sequence[str], points: int, ranges: int = RANGES
+) -> DataFrame:
+    """``feature, q``: each column's exact quantiles at ``points`` even steps from 0 to 1.
+
+    For many points: a value finds the few grid points whose rank it covers, instead of every
+    point searching all values. The result is features x points doubles.
+    """
+    counted = long_form(df, [], features).groupBy("feature", "value").agg(F.count(F.lit(1)).alias("n"))
+    ranked = running_totals(counted, ["feature"], "value", {"n": F.col("n")}, ranges=ranges)
+    last = F.col("n_total") - 1
+    steps = F.lit(points - 1)
+    # Grid points near the ranks [n_upto - n, n_upto) this value covers, one to spare on each side.
+    per_rank = F.coalesce(F.try_divide(steps.cast("double"), last.cast("double")), F.lit(0.0))
+    first = F.greatest(F.lit(0), F.floor((F.col("n_upto") - F.col("n") - 1) * per_rank) - 1)
+    final = F.when(last == 0, steps).otherwise(F.least(steps, F.ceil(F.col("n_upto") * per_rank) + 1))
+    near = ranked.select("feature", "value", "n", "n_upto", "n_total", F.explode(F.sequence(first.cast("int"), final.cast("int"))).alias("i"))
+    at = (F.col("n_total") - 1) * F.col("i") / steps
+    # A rank that is whole up to rounding is one value, not a blend of two.
+    at = F.when(F.abs(at - F.rint(at)) < 1e-9, F.rint(at)).otherwise(at)
+    near = near.withColumn("_at", at).withColumn("_from", F.col("n_upto") - F.col("n"))
+    low = (F.col("_from") <= F.floor("_at")) & (F.floor("_at") < F.col("n_upto"))
+    high = (F.col("_from") <= F.ceil("_at")) & (F.ceil("_at") < F.col("n_upto"))
+    found = near.where(low | high).groupBy("feature", "i", "_at").agg(
+        F.max(F.when(low, F.col("value"))).alias("_lo"), F.max(F.when(high, F.col("value"))).alias("_hi")
+    )
+    part = F.col("_at") - F.floor("_at")
+    q = F.when(part == 0, F.col("_lo")).otherwise(F.col("_lo") + part * (F.col("_hi") - F.col("_lo")))
+    return found.groupBy("feature").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("i", q.alias("q")))), lambda s: s["q"]).alias("q")
+    )

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from platewise.functions.numeric import no_nan, sanitize
-from platewise.operators.ordered import RANGES, VALUE_BUDGET, table_quantiles
+from platewise.operators.ordered import RANGES, VALUE_BUDGET, grid_quantiles, table_quantiles
 
 QUANTILES = 1000
 
@@ -88,15 +88,15 @@ def center(df: DataFrame, features: Sequence[str]) -> DataFrame:
     return replace_columns(df, {f: _col(f) - F.lit(m) for f, m in zip(features, means)})
 
 
-def _references(df: DataFrame, features: Sequence[str], rows: int, grid: np.ndarray, budget: int, ranges: int) -> dict:
+def _references(df: DataFrame, features: Sequence[str], rows: int, grid: np.ndarray, ranges: int) -> dict:
     """Values at the given shares of each column, missing values aside; columns without any are absent.
 
     With no more rows than references (so at most a thousand values per column) the sorted values
     are interpolated by position, which keeps a reference that is one row's value equal to it.
     """
     if rows > len(grid):
-        row = table_quantiles(df, features, grid.tolist(), budget, ranges).first()
-        return {f: np.asarray(row[f], dtype=float) for f in features if row[f]}
+        found = grid_quantiles(df, features, len(grid), ranges).collect()
+        return {r["feature"]: np.asarray(r["q"], dtype=float) for r in found}
     row = df.agg(*[F.array_sort(F.collect_list(no_nan(_col(f)))).alias(f"_{i}") for i, f in enumerate(features)]).first()
     out = {}
     for f, values in zip(features, row):
@@ -111,7 +111,6 @@ def quantile_uniform(
     df: DataFrame,
     features: Sequence[str],
     quantiles: int = QUANTILES,
-    budget: int = VALUE_BUDGET,
     ranges: int = RANGES,
 ) -> DataFrame:
     """Map each column to [0, 1] through its own empirical quantiles (at most one per row).
@@ -123,7 +122,7 @@ def quantile_uniform(
     rows = df.count()
     n = min(quantiles, rows)
     grid = np.linspace(0, 1, n) if n > 1 else np.zeros(1)
-    refs = _references(df, features, rows, grid, budget, ranges)
+    refs = _references(df, features, rows, grid, ranges)
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

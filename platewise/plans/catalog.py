@@ -68,7 +68,7 @@ def standardized(spark, sf):
 
 
 def trimmed(spark, sf):
-    return T.trim_wells(standardized(spark, sf), ROLES)
+    return T.trim_wells(stage(standardized(spark, sf), "standardized"), ROLES)
 
 
 @query
@@ -304,10 +304,11 @@ def select_responding(spark, sf):
 def _wider(spark, sf):
     p = standardized(spark, sf)
     q, e, t = (F.col(f"rp_norm_{f}") for f in ("l_quantity", "l_extendedprice", "l_tax"))
-    return p.withColumns({
+    wide = p.withColumns({
         "rp_norm_twice": q * 2 + t, "rp_norm_negated": F.lit(0.0) - e + t, "rp_norm_even": F.lit(1.5),
         "rp_norm_holed": F.when(q > -20, q + t * 3),
     })
+    return stage(wide, "wide-standardized")
 
 
 @query

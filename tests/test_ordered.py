@@ -74,3 +74,18 @@ def test_all_missing_group_is_kept(spark):
     for budget in (10**7, 1):
         got = {r["g"]: r["x"] for r in O.group_quantiles(df, ["g"], ["x"], [0.5], budget=budget).collect()}
         assert got["b"] == [1.0] and not got["a"]
+
+
+@pytest.mark.parametrize("points,ranges", [(2, 3), (11, 1), (250, 8)])
+def test_grid_quantiles(frame, points, ranges):
+    pdf, df = frame
+    got = {r["feature"]: r["q"] for r in O.grid_quantiles(df, ["x", "y"], points, ranges).collect()}
+    for f in ("x", "y"):
+        want = np.nanquantile(pdf[f], np.linspace(0, 1, points))
+        np.testing.assert_allclose(got[f], want, rtol=1e-9, atol=1e-12)
+
+
+def test_grid_quantiles_of_one_value(spark):
+    df = spark.createDataFrame([(3.0, None)], "x double, y double")
+    got = {r["feature"]: r["q"] for r in O.grid_quantiles(df, ["x", "y"], 4).collect()}
+    assert got == {"x": [3.0] * 4}
