@@ -23,7 +23,7 @@ from platewise.operators import subsets as U
 from platewise.operators import violin as V
 from platewise.operators.ordered import long_form
 from platewise.plans import inputs as X
-from platewise.plans.inputs import MEASURES, ROLES, rnd, rounded
+from platewise.plans.inputs import MEASURES, ROLES, rnd, rounded, with_steady
 from platewise.plans.profile import profile_scores
 from platewise.session import new_folder, stage
 from platewise.sources import tables as IO
@@ -106,12 +106,12 @@ def control_scores(spark, sf):
 
 @query
 def emd_concentrations(spark, sf):
-    return rounded(dose_scores(spark, sf), ["EMD_score"])
+    return with_steady(dose_scores(spark, sf), "EMD_score")
 
 
 @query
 def emd_controls(spark, sf):
-    return rounded(control_scores(spark, sf), ["EMD_score"])
+    return with_steady(control_scores(spark, sf), "EMD_score")
 
 
 @query
@@ -136,7 +136,7 @@ def rank_features(spark, sf):
 def score_panels(spark, sf):
     scores = stage(dose_scores(spark, sf), "dose-scores")
     out = W.score_panels(W.against_control(scores, ROLES))
-    return rounded(out, ["EMD_score", "median_emd"])
+    return with_steady(rounded(out, ["median_emd"]), "EMD_score")
 
 
 @query
@@ -684,4 +684,4 @@ def lookup_round_trip(spark, sf):
 
 @query
 def profile_dose_scores(spark, sf):
-    return rounded(profile_scores(spark, sf), ["EMD_score"], 6)
+    return with_steady(profile_scores(spark, sf), "EMD_score")

@@ -26,6 +26,16 @@ def rnd(c: str | Column, digits: int = 4) -> Column:
     return F.round(c, digits) + F.lit(0.0)
 
 
+def steady(c: str | Column, digits: int = 5) -> Column:
+    """Rounded on a grid of irrational step, so that no fraction of counts lies between two steps."""
+    c = F.col(f"`{c}`") if isinstance(c, str) else c
+    return F.round(c * F.pi(), digits) / F.pi() + F.lit(0.0)
+
+
+def with_steady(df: DataFrame, column: str) -> DataFrame:
+    return df.withColumn(column, steady(column))
+
+
 def rounded(df: DataFrame, columns: Sequence[str], digits: int = 4) -> DataFrame:
     chosen = set(columns)
     return df.select(*[rnd(c, digits).alias(c) if c in chosen else F.col(f"`{c}`") for c in df.columns])

@@ -23,6 +23,10 @@ def r(expr: str, digits: int = 4) -> str:
     return f"(round({expr}, {digits}) + 0.0)"
 
 
+def steady(expr: str, digits: int = 5) -> str:
+    return f"(round(({expr}) * pi(), {digits}) / pi() + 0.0)"
+
+
 def ctes(*parts: str) -> str:
     return "WITH " + ",\n".join(parts)
 
@@ -174,8 +178,8 @@ control_scores AS (SELECT feature AS "Feature", concat(p, '_', {DAY}, '_11') AS
 SCORE_COLUMNS = f'"Feature", "Population1", "Population2", "Concentration", {DAY}, "Count1", "Count2"'
 VS_CONTROL = """"Population2" = '11'"""
 
-ORACLE["emd_concentrations"] = f"""{ctes(DOSE)} SELECT {SCORE_COLUMNS}, {r('"EMD_score"')} AS "EMD_score" FROM dose_scores"""
-ORACLE["emd_controls"] = f"""{ctes(STD, CONTROL)} SELECT {SCORE_COLUMNS}, {r('"EMD_score"')} AS "EMD_score" FROM control_scores"""
+ORACLE["emd_concentrations"] = f"""{ctes(DOSE)} SELECT {SCORE_COLUMNS}, {steady('"EMD_score"')} AS "EMD_score" FROM dose_scores"""
+ORACLE["emd_controls"] = f"""{ctes(STD, CONTROL)} SELECT {SCORE_COLUMNS}, {steady('"EMD_score"')} AS "EMD_score" FROM control_scores"""
 
 EVENTS = """event_long AS (SELECT concat('D', dayofmonth(ts) % 4) AS "Metadata_Day", event_type AS pop, value FROM events)"""
 ORACLE["emd_event_types"] = f"""{ctes(EVENTS, emd("event_long", "ev", DAY))}
@@ -186,7 +190,7 @@ RANKED = """ranked AS (SELECT "Feature", median_emd, CAST(row_number() OVER (ORD
 ORACLE["rank_features"] = f"""{ctes(DOSE, RANKED.format(source="dose_scores"))}
 SELECT "Feature", {r("median_emd")} AS median_emd, position FROM ranked"""
 ORACLE["score_panels"] = f"""{ctes(DOSE, f"treat AS (SELECT * FROM dose_scores WHERE {VS_CONTROL})", RANKED.format(source="treat"))}
-SELECT {SCORE_COLUMNS}, {r('"EMD_score"')} AS "EMD_score", {r("median_emd")} AS median_emd, position,
+SELECT {SCORE_COLUMNS}, {steady('"EMD_score"')} AS "EMD_score", {r("median_emd")} AS median_emd, position,
   CASE WHEN "EMD_score" > 7 THEN 'log' ELSE 'linear' END AS panel
 FROM treat JOIN ranked USING ("Feature")"""
 
@@ -633,4 +637,4 @@ row_off AS (SELECT {META_LIST}, {", ".join(f"{f} - m_{f} AS {f}" for f in _POOLE
 day_med AS (SELECT {DAY}, {", ".join(f"median({f}) AS d_{f}" for f in _POOLED)} FROM row_off GROUP BY {DAY}),
 std AS (SELECT {META_LIST}, {", ".join(f"{f} - d_{f} AS rp_norm_{f}" for f in _POOLED)} FROM row_off JOIN day_med USING ({DAY}))"""
 ORACLE["profile_dose_scores"] = f"""{ctes(dose_ctes(_CHAIN, "std", [f"rp_norm_{f}" for f in _POOLED]))}
-SELECT {SCORE_COLUMNS}, {r('"EMD_score"', 6)} AS "EMD_score" FROM dose_scores"""
+SELECT {SCORE_COLUMNS}, {steady('"EMD_score"')} AS "EMD_score" FROM dose_scores"""
