@@ -119,7 +119,7 @@ def margins(selected: DataFrame, lookup: DataFrame) -> DataFrame:
     return placed.rollup(F.col("_column").alias("category")).agg(F.count(F.lit(1)).alias("features"))
 
 
-def unplaced(selected: DataFrame, lookup: DataFrame, table: str = "feature_categories.tsv") -> DataFrame:
+def unplaced(selected: DataFrame, lookup: DataFrame, table: str = "the lookup") -> DataFrame:
     """Selected features that cannot be counted, with the reason."""
     got = _placed(selected, lookup)
 

@@ -429,7 +429,7 @@ ORACLE["category_margins"] = f"""{ctes(NAMED, LOOKUP, PLACED)}
 SELECT col AS category, count(*) AS features FROM placed WHERE col IS NOT NULL AND row IS NOT NULL GROUP BY col
 UNION ALL SELECT NULL, count(*) FROM placed WHERE col IS NOT NULL AND row IS NOT NULL"""
 ORACLE["unplaced_features"] = f"""{ctes(NAMED, LOOKUP, PLACED)}
-SELECT feature, CASE WHEN NOT known THEN 'not in feature_categories.tsv' ELSE concat_ws('; ',
+SELECT feature, CASE WHEN NOT known THEN 'not in the lookup' ELSE concat_ws('; ',
   CASE WHEN category = '' THEN 'category blank' WHEN col IS NULL THEN concat('category ''', category, ''' is not in category_labels') END,
   CASE WHEN organelle = '' THEN 'organelle blank' WHEN row IS NULL THEN concat('organelle ''', organelle, ''' is not in organelle_labels') END) END AS reason
 FROM placed WHERE NOT known OR col IS NULL OR row IS NULL"""

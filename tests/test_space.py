@@ -215,7 +215,7 @@ def test_lookup_upsert_crosstab_and_reasons(spark):
     assert reasons == {
         "b": "category blank; organelle 'Golgi' is not in organelle_labels",
         "c": "category 'Odd' is not in category_labels; organelle blank",
-        "zzz": "not in feature_categories.tsv",
+        "zzz": "not in the lookup",
     }
     table = [tuple(r) for r in C.crosstab(selected, lookup).orderBy("position").collect()]
     assert [t[1] for t in table] == list(C.ORGANELLE_ROWS)
