@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from platewise.llm import line_dedup, packing, wavelet
+from platewise.llm import chosen_path, line_dedup, packing, wavelet
 from platewise.llm.common import table
 from platewise.session import new_folder
 
@@ -30,6 +30,10 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op9_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chosen_path.near_duplicates(table(spark, sf_dir, "documents"), percent=85)
+
+
 #: Lines are cut, stripped and folded as the operator does; translate changes A-Z alone.
 _LINES = r"""
 with lines as (
@@ -50,5 +54,6 @@ QUERIES = {
     "op2_wavelet_tokens": op2_wavelet_tokens,
     "op5_packing": op5_packing,
     "op8_line_dedup": op8_line_dedup,
+    "op9_chosen_path": op9_chosen_path,
 }
 ORACLE = {"op8_line_dedup": _LINES}
