@@ -6,13 +6,28 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from platewise.llm import chosen_path, line_dedup, packing, wavelet
+from platewise.llm import chosen_path, decontaminate, hash_forest, line_dedup, packing, url_templates, wavelet
 from platewise.llm.common import table
 from platewise.session import new_folder
 
 TOKENIZER = "word_bpe_49k.json"
 
 
+URL_RULES = (
+    ("allow", "org/"),
+    ("block", "example.org/es/"),
+    ("block", "example.org/en/1"),
+    ("allow", "com/fr/"),
+    ("block", "com/de/"),
+)
+
+
+def op1_hash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = hash_forest.distinct_vectors(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+    index = hash_forest.build_index(vectors)
+    return hash_forest.search(index, vectors.where(F.col("vec_id") % 50 == 0), k=5)
+
+
 def op2_wavelet_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_folder(spark, "wavelet")
     wavelet.write_tokens(table(spark, sf_dir, "documents"), path, public_tokenizers.path(TOKENIZER))
@@ -24,6 +39,14 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op7_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_templates.judge_urls(table(spark, sf_dir, "pages"), URL_RULES)
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     kept = line_dedup.drop_lines(docs, line_dedup.build_store(docs, min_docs=10, min_chars=1))
@@ -51,8 +74,11 @@ from keyed group by doc_id
 """
 
 QUERIES = {
+    "op1_hash_forest": op1_hash_forest,
     "op2_wavelet_tokens": op2_wavelet_tokens,
     "op5_packing": op5_packing,
+    "op6_decontamination": op6_decontamination,
+    "op7_url_templates": op7_url_templates,
     "op8_line_dedup": op8_line_dedup,
     "op9_chosen_path": op9_chosen_path,
 }
