@@ -86,7 +86,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, r
     item_runs = items.select("m", F.posexplode("runs").alias("_at", "run")).distinct()
     item_runs = stage(item_runs.groupBy("run").agg(F.collect_set(F.struct("_at", "m")).alias("places")), "benchmark_runs")
     known = F.broadcast(item_runs) if item_runs.count() <= SENT_RUNS else item_runs
-    positions = texts.select("text_key", F.posexplode(runs(word_hashes(F.col("text")))).alias("pos", "run"))
+    hashed = texts.select("text_key", word_hashes(F.col("text")).alias("hashes"))
+    positions = hashed.select("text_key", F.posexplode(runs(F.col("hashes"))).alias("pos", "run"))
     laid = positions.join(known, "run").select("text_key", "pos", F.explode("places").alias("place"))
     laid = laid.select("text_key", (F.col("pos") - F.col("place._at")).alias("start"), F.col("place.m").alias("m")).distinct()
     laid = stage(laid.groupBy("text_key").agg(F.collect_set(F.struct("start", "m")).alias("windows")), "windows")
