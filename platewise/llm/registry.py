@@ -6,11 +6,23 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from platewise.llm import chosen_path, decontaminate, hash_forest, line_dedup, packing, url_templates, wavelet
-from platewise.llm.common import table
+from platewise.llm import (
+    chosen_path,
+    decontaminate,
+    hash_forest,
+    language,
+    line_dedup,
+    packing,
+    token_counts,
+    toxicity,
+    url_templates,
+    wavelet,
+)
+from platewise.llm.common import crc_remainder, table
 from platewise.session import new_folder
 
 TOKENIZER = "word_bpe_49k.json"
+BYTE_RANKS = "byte_bpe_50k.tiktoken"
 
 
 URL_RULES = (
@@ -34,6 +46,19 @@ def op2_wavelet_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wavelet.read_tokens(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = crc_remainder("doc_id", 5) == 0
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), ~held_out)
+    return toxicity.score(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
+def op4_token_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = token_counts.record_with_sections(table(spark, sf_dir, "documents"), ["source", "lang", "text"])
+    path, pattern = public_tokenizers.path(BYTE_RANKS), public_tokenizers.PATTERN
+    return token_counts.attribute_tokens(records, "record", "sections", path, pattern, rule="most")
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
@@ -47,6 +72,13 @@ def op7_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_templates.judge_urls(table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = crc_remainder("doc_id", 4) == 2
+    model = language.fit(docs, ~held_out)
+    return language.predict(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     kept = line_dedup.drop_lines(docs, line_dedup.build_store(docs, min_docs=10, min_chars=1))
@@ -76,10 +108,13 @@ from keyed group by doc_id
 QUERIES = {
     "op1_hash_forest": op1_hash_forest,
     "op2_wavelet_tokens": op2_wavelet_tokens,
+    "op3_toxicity": op3_toxicity,
+    "op4_token_attribution": op4_token_attribution,
     "op5_packing": op5_packing,
     "op6_decontamination": op6_decontamination,
     "op7_url_templates": op7_url_templates,
     "op8_line_dedup": op8_line_dedup,
     "op9_chosen_path": op9_chosen_path,
+    "op10_language": op10_language,
 }
 ORACLE = {"op8_line_dedup": _LINES}
