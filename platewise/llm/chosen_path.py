@@ -285,7 +285,8 @@ def confirmed_edges(docs: DataFrame, classes: DataFrame, groups: DataFrame, perc
 
 
 def near_duplicates(
-    docs: DataFrame, percent: int = 85, size: int = 5, trees: int = 8, node_limit: int = 2048, depth: int = 4, group_limit: int = 4096
+    docs: DataFrame, percent: int = 85, size: int = 5, trees: int = 8, node_limit: int = 2048, depth: int = 4, group_limit: int = 4096,
+    with_text_hash: bool = False,
 ) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id (smallest doc_id reachable over links), kept.
 
@@ -307,7 +308,21 @@ def near_duplicates(
     found = named.join(smallest, "component").select(F.col("node").alias("set_key"), "_c")
     # Every class has one row here, so copies of one text meet no crowd.
     answers = classes.select("set_key", "least").join(found, "set_key", "left").select("set_key", F.coalesce("_c", "least").alias("_c"))
-    out = rows.select("doc_id", "n_shingles", "set_key").join(answers, "set_key", "left")
+    out = rows.select("doc_id", "h", "n_shingles", "set_key").join(answers, "set_key", "left")
     component = F.when(F.col("set_key").isNull(), F.col("doc_id")).otherwise(F.col("_c"))
     kept = F.coalesce(F.col("doc_id") == component, component.isNull())
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), kept.alias("kept"))
+    more = ["h"] if with_text_hash else []
+    return out.select("doc_id", *more, "n_shingles", component.alias("component_id"), kept.alias("kept"))
+
+
+def keep_one(docs: DataFrame, **how) -> DataFrame:
+    """One row of each near-duplicate component of ``docs``: the one with the smallest doc_id; columns as they are.
+
+    Rows that repeat a doc_id and its text are one. What has no words stays, as do components without any doc_id.
+    """
+    kept = near_duplicates(docs, with_text_hash=True, **how).where("kept").select("doc_id", "h").distinct()
+    kept = kept.select(F.col("doc_id").alias("_id"), F.col("h").alias("_h"))
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), F.col("doc_id").cast("long").alias("_d"), F.xxhash64(whole_text()).alias("_t"))
+    some = rows.join(kept, F.col("_d").eqNullSafe(F.col("_id")) & (F.col("_t") == F.col("_h")), "left_semi")
+    named = some.where(F.col("_d").isNotNull()).dropDuplicates(["_d", "_t"])
+    return named.unionByName(some.where(F.col("_d").isNull())).select("_row.*")

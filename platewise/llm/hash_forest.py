@@ -7,7 +7,7 @@ that share the prefix hold enough different candidates. Candidates are scored ex
 
 Every row is indexed. Queries go in blocks, each block meets each shard once, and a shard gives back only its best k.
 The share of a shard that must be looked at depends on how close true neighbours are: vectors in no particular order
-(cosines of 0.4 to 0.5 in 64 dimensions) need about half of it for a recall above 0.9. ``share`` states it.
+(cosines of 0.4 to 0.5 in 64 dimensions) need half of it and more for a recall above 0.9. ``share`` states it.
 """
 
 from __future__ import annotations
@@ -124,7 +124,7 @@ def _best(x: np.ndarray, norms: np.ndarray, ids: np.ndarray, query: np.ndarray,
     return zip(ids[rows[best]].tolist(), exact[best].tolist())
 
 
-def search(index: DataFrame, queries: DataFrame, k: int = 5, trees: int = 32, share: float = 0.5, least: int = 512, block_rows: int = 512) -> DataFrame:
+def search(index: DataFrame, queries: DataFrame, k: int = 5, trees: int = 32, share: float = 0.6, least: int = 1024, block_rows: int = 512) -> DataFrame:
     """query_id, rank, vec_id, score: the ``k`` nearest found for each query (vec_id, vector), by cosine.
 
     A row is no candidate of a query with the same id or of another dimension. Ties go to the smaller vec_id. Fewer

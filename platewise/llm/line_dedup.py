@@ -175,7 +175,7 @@ def _shards_for(keys: int) -> int:
 
 
 def build_store(docs: DataFrame, min_docs: int = 10, min_chars: int = 1) -> LineStore:
-    """A store that holds all rows of ``docs``."""
+    """A store that holds all rows of ``docs``. To count copies of a text once, hand in distinct texts."""
     return _with_filters(stage(count_lines(docs, min_chars), "line_refs"), min_docs, min_chars)
 
 
