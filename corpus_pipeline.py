@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from platewise.llm import chosen_path, decontaminate, line_dedup, packing, toxicity
-from platewise.llm.common import crc_remainder, table, whole_text
+from platewise.llm.common import crc_remainder, table
 from platewise.session import stage
 
 TOKENIZER = "word_bpe_49k.json"
@@ -28,8 +28,7 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    texts = docs.select(F.md5(whole_text()).alias("key"), whole_text().alias("text")).dropDuplicates(["key"])
-    store = line_dedup.build_store(texts.select("text"), min_docs=MIN_TEXTS)
+    store = line_dedup.build_store(docs.select("text"), min_docs=MIN_TEXTS, by_text=True)
     rows = docs.select(F.struct(*docs.columns).alias("_row"), "text")
     kept = line_dedup.drop_lines(rows, store)
     # A text that loses nothing stays as it is, also a null one.

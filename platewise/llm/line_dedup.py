@@ -151,15 +151,20 @@ def _shard(shards: int):
     return F.pmod(F.crc32(F.substring(F.col("key"), 1, 8)), F.lit(shards)).cast("int")
 
 
-def count_lines(docs: DataFrame, min_chars: int = 1) -> DataFrame:
-    """key, n: how many rows of ``docs`` hold a line with this key."""
+def count_lines(docs: DataFrame, min_chars: int = 1, by_text: bool = False) -> DataFrame:
+    """key, n: how many rows of ``docs`` hold a line with this key; by_text: how many different texts do."""
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [k for text in pieces_of(batch, "text") for k in {*hashed_keys(text, min_chars)} if k]
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["key"])
+            out, owners = [], []
+            for text in pieces_of(batch, "text"):
+                own = [k for k in {*hashed_keys(text, min_chars)} if k]
+                out += own
+                owners += [xxhash.xxh3_64_intdigest(text) >> 1 if by_text else 0] * len(own)
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary()), pa.array(owners, pa.int64())], ["key", "owner"])
 
-    return docs.select(whole_text().alias("text")).mapInArrow(keys, "key binary").groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    lines = docs.select(whole_text().alias("text")).mapInArrow(keys, "key binary, owner long")
+    return (lines.distinct() if by_text else lines).groupBy("key").agg(F.count(F.lit(1)).alias("n"))
 
 
 def _build_filters(frequent: DataFrame, shards: int) -> DataFrame:
@@ -174,9 +179,9 @@ def _shards_for(keys: int) -> int:
     return 1 << max(0, -(-keys // SHARD_KEYS) - 1).bit_length()
 
 
-def build_store(docs: DataFrame, min_docs: int = 10, min_chars: int = 1) -> LineStore:
-    """A store that holds all rows of ``docs``. To count copies of a text once, hand in distinct texts."""
-    return _with_filters(stage(count_lines(docs, min_chars), "line_refs"), min_docs, min_chars)
+def build_store(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, by_text: bool = False) -> LineStore:
+    """A store that holds all rows of ``docs``. by_text: copies of a text count once; such a store can't take deletions."""
+    return _with_filters(stage(count_lines(docs, min_chars, by_text), "line_refs"), min_docs, min_chars)
 
 
 def _with_filters(refs: DataFrame, min_docs: int, min_chars: int) -> LineStore:
