@@ -151,7 +151,7 @@ class WaveletMatrix:
 def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 2, shard_ids: int = SHARD_IDS) -> None:
     """Encode every text and write the ids, with ``end_id`` after each document, as wavelet shards under ``path``.
 
-    Documents are ordered by doc_id (null first, equal ids by text) through a range partitioning; each task writes the
+    Documents are ordered by doc_id (null first, equal ids by a hash of the text) through a range partitioning; each task writes the
     shards of its range one after another and holds one shard at a time. A null text is empty. Rows that repeat are
     written as often as they come. An empty table writes no shard. Other columns are ignored.
     """
@@ -183,8 +183,10 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int =
 
         yield from chunked(rows(), _ARROW)
 
-    read = docs.select(F.col("doc_id").cast("long"), whole_text().alias("text"))
-    ordered = read.repartitionByRange(F.asc_nulls_first("doc_id"), "text").sortWithinPartitions(F.asc_nulls_first("doc_id"), "text")
+    read = docs.select(F.col("doc_id").cast("long"), whole_text().alias("text"), F.xxhash64(whole_text()).alias("tie"))
+    # The sample that cuts the ranges goes to the driver; with a hash for ties it holds no texts.
+    order = [F.asc_nulls_first("doc_id"), F.asc("tie")]
+    ordered = read.repartitionByRange(*order).sortWithinPartitions(*order).drop("tie")
     ordered.mapInArrow(shards, SHARDS).write.option("compression", "uncompressed").parquet(path)
 
 
