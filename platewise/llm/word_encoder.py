@@ -54,10 +54,11 @@ class WordEncoder(dict):
     def __missing__(self, word: str) -> bytes:
         out = self.before.get(word)
         if out is None:
-            if word.isalpha() and word == word.lower() and not _BEYOND.search(word):
+            folded = word == word.lower()  # folding a case can make marks of letters
+            if folded and word.isalpha() and not _BEYOND.search(word):
                 shown = word if word.isascii() else "".join(map(self.letters.__getitem__, word.encode()))
                 out = array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
-            elif found := _MARKED.fullmatch(word):
+            elif folded and (found := _MARKED.fullmatch(word)):
                 # Letters and a run of marks are two words to the tokenizer.
                 out = self[found[1]] + self[found[2]]
             else:
