@@ -20,26 +20,21 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from platewise.llm.common import BLANKS, pieces_of, whole_text
+from platewise.llm.common import pieces_of, whole_text
 from platewise.llm.components import connected_components
 from platewise.session import stage
 
 COORDINATES = 128
 _SEED = 0x5EED
-_LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ\t\n\x0b\x0c\r", "abcdefghijklmnopqrstuvwxyz     ")
-_LOWER_ASCII = str.maketrans("\t\n\x0b\x0c\r", "     ")
-assert set(BLANKS) - {" "} == set("\t\n\x0b\x0c\r")
-
 
 class _WordHashes(dict):
-    def __missing__(self, word: str) -> int:
-        if len(self) >= 300_000:
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= 400_000:
             self.clear()
         out = self[word] = xxhash.xxh3_64_intdigest(word)
         return out
@@ -54,9 +49,9 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def words_of(text: str) -> list[str]:
-    flat = text.lower().translate(_LOWER_ASCII) if text.isascii() else text.translate(_LOWER)
-    return [w for w in flat.split(" ") if w]
+def words_of(text: str) -> list[bytes]:
+    """On bytes, lower() changes A-Z alone and split() cuts at space and \\t to \\r alone."""
+    return text.encode().lower().split()
 
 
 def shingle_set(text: str, size: int = 5) -> np.ndarray:
@@ -66,7 +61,7 @@ def shingle_set(text: str, size: int = 5) -> np.ndarray:
         return np.zeros(0, np.uint64)
     if len(words) < size:
         # A short sequence is one shingle; its length goes in, so that it differs from all others.
-        return np.array([xxhash.xxh3_64_intdigest(" ".join(words), len(words))], np.uint64)
+        return np.array([xxhash.xxh3_64_intdigest(b" ".join(words), len(words))], np.uint64)
     h = np.fromiter(map(_HASHES.__getitem__, words), np.uint64, len(words))
     n = len(words) - size + 1
     out = h[:n].copy()
@@ -77,22 +72,31 @@ def shingle_set(text: str, size: int = 5) -> np.ndarray:
 
 def _coefficients() -> tuple[np.ndarray, np.ndarray]:
     rng = np.random.default_rng(_SEED)
-    return rng.integers(1, 1 << 63, COORDINATES, np.uint64) * np.uint64(2) + np.uint64(1), rng.integers(0, 1 << 63, COORDINATES, np.uint64)
+    return rng.integers(0, 1 << 31, COORDINATES, np.uint32) * np.uint32(2) + np.uint32(1), rng.integers(0, 1 << 32, COORDINATES, np.uint32)
 
 
-_ODD, _ADD = _coefficients()
+_ODD, _FLIP = _coefficients()
 
 
-def embed(shingles: np.ndarray) -> np.ndarray:
-    """Minwise values, one per coordinate (32 bits)."""
-    low = np.full(COORDINATES, np.iinfo(np.uint32).max, np.uint32)
-    for at in range(0, len(shingles), 2048):
-        part = shingles[at : at + 2048]
+def embed(sets: list[np.ndarray]) -> np.ndarray:
+    """Minwise values of non-empty sets, one row each and one column per coordinate (32 bits)."""
+    out = np.empty((len(sets), COORDINATES), np.uint32)
+    at = 0
+    while at < len(sets):
+        # As many sets at once as stay in a core's cache, or one long one.
+        to, total = at, 0
+        while to < len(sets) and (to == at or total + len(sets[to]) <= 1 << 15):
+            total += len(sets[to])
+            to += 1
+        flat = (np.concatenate(sets[at:to]) >> np.uint64(32)).astype(np.uint32)
+        starts = np.cumsum([0] + [len(s) for s in sets[at : to - 1]])
+        work = np.empty_like(flat)
         for c in range(COORDINATES):
-            least = ((part * _ODD[c] + _ADD[c]) >> np.uint64(32)).min()
-            if least < low[c]:
-                low[c] = least
-    return low
+            np.bitwise_xor(flat, _FLIP[c], out=work)
+            np.multiply(work, _ODD[c], out=work)
+            out[at:to, c] = np.minimum.reduceat(work, starts)
+        at = to
+    return out
 
 
 def _sets_table(docs: DataFrame, size: int) -> DataFrame:
@@ -100,11 +104,11 @@ def _sets_table(docs: DataFrame, size: int) -> DataFrame:
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for text in pieces_of(batch, "text"):
-                s = shingle_set(text, size)
-                out.append((len(s), xxhash.xxh3_128_digest(s.tobytes()), embed(s).tobytes()) if len(s) else (0, None, None))
-            n, key, sketch = zip(*out) if out else ((), (), ())
+            sets = [shingle_set(text, size) for text in pieces_of(batch, "text")]
+            full = [i for i, s in enumerate(sets) if len(s)]
+            n, key, sketch = [len(s) for s in sets], [None] * len(sets), [None] * len(sets)
+            for i, row in zip(full, embed([sets[i] for i in full])):
+                key[i], sketch[i] = xxhash.xxh3_128_digest(sets[i].tobytes()), row.tobytes()
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(key, pa.binary()), pa.array(sketch, pa.binary())],
                 ["doc_id", "h", "n_shingles", "set_key", "sketch"],
@@ -147,39 +151,62 @@ def _children(df: DataFrame, level: int, trees: int, branch: float) -> DataFrame
     return df.mapInArrow(rows, "node long, set_key binary")
 
 
-def _join_similar(sketches: np.ndarray, least: int, left: int | None = None) -> list[tuple[int, int]]:
-    """Edges that connect what pairs with ``least`` equal coordinates connect. left: only pairs across this index."""
+def _by_cell(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
+    """The rows of each cell, from batches in order of their first column. One cell is held at a time."""
+    held, last = [], None
+    for batch in batches:
+        for row in zip(*(c.to_pylist() for c in batch.columns)):
+            if row[0] != last and held:
+                yield held
+                held = []
+            last = row[0]
+            held.append(row)
+    if held:
+        yield held
+
+
+def _edge_batches(edges: Iterator[list[tuple[bytes, bytes]]]) -> Iterator[pa.RecordBatch]:
+    held: list = []
+    for some in edges:
+        held += some
+        if len(held) >= 10_000:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*held)], ["a", "b"])
+            held = []
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*held)], ["a", "b"])
+
+
+def _join_similar(sketches: np.ndarray, least: int) -> list[tuple[int, int]]:
+    """Edges that connect what pairs with ``least`` equal coordinates connect: what is reached is held against the rest."""
     n = len(sketches)
+    if n <= 24:
+        same = (sketches[:, None, :] == sketches[None, :, :]).sum(axis=2)
+        return [(int(i), int(j)) for i, j in zip(*np.nonzero(same >= least)) if i < j]
     columns = np.ascontiguousarray(sketches.T)
-    sides = [(np.arange(n), np.arange(n))] if left is None else [(np.arange(left), np.arange(left, n))]
     free = np.ones(n, bool)
     edges = []
-    for start in sides[0][0] if left is not None else range(n):
-        if left is None:
-            if not free[start]:
-                continue
-            free[start] = False
-            wave = np.array([start])
-            while len(wave):
-                reached = []
-                for at in range(0, len(wave), 64):
-                    rest = np.flatnonzero(free)
-                    if not len(rest):
-                        break
-                    some = wave[at : at + 64]
-                    same = np.zeros((len(some), len(rest)), np.uint8)
-                    for c in columns:
-                        same += c[some][:, None] == c[rest][None, :]
-                    hit = same >= least
-                    found = hit.any(axis=0)
-                    by = hit.argmax(axis=0)
-                    edges += zip(some[by[found]].tolist(), rest[found].tolist())
-                    free[rest[found]] = False
-                    reached.append(rest[found])
-                wave = np.concatenate(reached) if reached else np.zeros(0, int)
-        else:
-            same = (sketches[start][None, :] == sketches[left:]).sum(axis=1)
-            edges += [(start, left + int(j)) for j in np.flatnonzero(same >= least)]
+    for start in range(n):
+        if not free[start]:
+            continue
+        free[start] = False
+        wave = np.array([start])
+        while len(wave):
+            reached = []
+            for at in range(0, len(wave), 64):
+                rest = np.flatnonzero(free)
+                if not len(rest):
+                    break
+                some = wave[at : at + 64]
+                own, others = columns[:, some], columns[:, rest]
+                same = np.zeros((len(some), len(rest)), np.uint8)
+                for a, b in zip(own, others):
+                    same += a[:, None] == b[None, :]
+                hit = same >= least
+                found = hit.any(axis=0)
+                edges += zip(some[hit.argmax(axis=0)[found]].tolist(), rest[found].tolist())
+                free[rest[found]] = False
+                reached.append(rest[found])
+            wave = np.concatenate(reached) if reached else np.zeros(0, int)
     return edges
 
 
@@ -244,15 +271,18 @@ def candidate_edges(classes: DataFrame, percent: int, trees: int, node_limit: in
     p = percent / 100
     least = int(np.floor(COORDINATES * p - 4 * np.sqrt(COORDINATES * p * (1 - p))))
 
-    def compare(group: pd.DataFrame) -> pd.DataFrame:
-        keys = group["set_key"].tolist()
-        sketches = np.frombuffer(b"".join(group["sketch"]), np.uint32).reshape(-1, COORDINATES)
-        # A short set's minwise values are all the same; 16 bits of each tell them apart well enough.
-        edges = _join_similar((sketches & 0xFFFF).astype(np.uint16), least)
-        return pd.DataFrame([(keys[i], keys[j]) for i, j in edges], columns=["a", "b"])
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def edges():
+            for rows in _by_cell(batches):
+                keys = [r[1] for r in rows]
+                sketches = np.frombuffer(b"".join(r[2] for r in rows), np.uint32).reshape(-1, COORDINATES)
+                # 16 bits of each value tell them apart well enough.
+                yield [(keys[i], keys[j]) for i, j in _join_similar((sketches & 0xFFFF).astype(np.uint16), least)]
 
-    shipped = cells.join(classes.select("set_key", "sketch"), "set_key")
-    return shipped.groupBy("_cell").applyInPandas(compare, "a binary, b binary")
+        yield from _edge_batches(edges())
+
+    shipped = cells.join(classes.select("set_key", "sketch"), "set_key").select("_cell", "set_key", "sketch")
+    return shipped.repartition("_cell").sortWithinPartitions("_cell").mapInArrow(compare, "a binary, b binary")
 
 
 def confirmed_edges(docs: DataFrame, classes: DataFrame, groups: DataFrame, percent: int, group_limit: int, size: int) -> DataFrame:
@@ -275,13 +305,17 @@ def confirmed_edges(docs: DataFrame, classes: DataFrame, groups: DataFrame, perc
     cells = sets.where(F.col("_n") <= group_limit).withColumn("_cell", F.xxhash64("group"))
     cells = cells.unionByName(_blocks(sets.where(F.col("_n") > group_limit), "group", group_limit))
 
-    def confirm(group: pd.DataFrame) -> pd.DataFrame:
-        one = group.drop_duplicates("set_key")
-        keys = one["set_key"].tolist()
-        edges = _exact_links([np.frombuffer(s, np.uint64) for s in one["set"]], percent)
-        return pd.DataFrame([(keys[i], keys[j]) for i, j in edges], columns=["a", "b"])
+    def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def edges():
+            for rows in _by_cell(batches):
+                own = {r[1]: r[2] for r in rows}
+                keys = list(own)
+                yield [(keys[i], keys[j]) for i, j in _exact_links([np.frombuffer(s, np.uint64) for s in own.values()], percent)]
+
+        yield from _edge_batches(edges())
 
-    return cells.select("_cell", "set_key", "set").groupBy("_cell").applyInPandas(confirm, "a binary, b binary")
+    shipped = cells.select("_cell", "set_key", "set").repartition("_cell").sortWithinPartitions("_cell")
+    return shipped.mapInArrow(confirm, "a binary, b binary")
 
 
 def near_duplicates(

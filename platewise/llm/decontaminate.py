@@ -72,7 +72,7 @@ def _weighted_similarity(a: Column, b: Column) -> Column:
     return both / (F.size(a) + F.size(b) - both)
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, radius: int = 11) -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, radius: int = 13) -> DataFrame:
     """doc_id, item_id, start (word number), n_words, hamming, similarity: the best window per document and item.
 
     ``docs`` needs doc_id and text, ``benchmark`` item_id and text; other columns are ignored. Null and empty texts have

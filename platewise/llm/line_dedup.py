@@ -210,10 +210,12 @@ def _changed(store: LineStore, docs: DataFrame, sign: int) -> LineStore:
     if _shards_for(frequent.count()) > 2 * store.shards:
         return _with_filters(refs, store.min_docs, store.min_chars)
 
+    min_docs = store.min_docs
+
     def update(keys: pd.DataFrame, old: pd.DataFrame) -> pd.DataFrame:
         """``keys``: the frequent keys and those that have just ceased to be."""
         shard = (keys if len(keys) else old)["shard"].iloc[0]
-        stay, came = keys["n"] >= store.min_docs, keys["was"] < store.min_docs
+        stay, came = keys["n"] >= min_docs, keys["was"] < min_docs
         if len(old):
             out = CuckooFilter.from_bytes(old["body"].iloc[0])
             out.delete(_halves(keys["key"][~stay].tolist())[1])
