@@ -32,17 +32,6 @@ from platewise.session import stage
 COORDINATES = 128
 _SEED = 0x5EED
 
-class _WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= 400_000:
-            self.clear()
-        out = self[word] = xxhash.xxh3_64_intdigest(word)
-        return out
-
-
-_HASHES = _WordHashes()
-
-
 def _mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
@@ -62,7 +51,7 @@ def shingle_set(text: str, size: int = 5) -> np.ndarray:
     if len(words) < size:
         # A short sequence is one shingle; its length goes in, so that it differs from all others.
         return np.array([xxhash.xxh3_64_intdigest(b" ".join(words), len(words))], np.uint64)
-    h = np.fromiter(map(_HASHES.__getitem__, words), np.uint64, len(words))
+    h = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
     n = len(words) - size + 1
     out = h[:n].copy()
     for k in range(1, size):
