@@ -1,6 +1,6 @@
 """Toxicity by subword-bag embeddings averaged into a linear softmax, trained jointly in numpy.
 
-A word is the bag of its character n-grams (3 to 5, with its ends marked) and itself, hashed into buckets. Each bucket has
+A word is the bag of its character n-grams (3 to 5, with its ends marked), hashed into buckets. Each bucket has
 a small embedding; a word's vector is the mean of its bag, a window's the mean of its words, and a linear softmax over two
 classes reads it. Embeddings and softmax are learned together by stochastic gradients (Adagrad). A misspelt word shares
 most n-grams with the word it stands for.
@@ -28,7 +28,7 @@ from platewise.llm.word_grams import WordTable, grams, plain
 
 SIZES = (3, 4, 5)
 BUCKETS = 1 << 17
-WINDOW = 8
+WINDOW = 3
 
 
 @dataclasses.dataclass(frozen=True)
@@ -42,11 +42,11 @@ class ToxicityModel:
 
 
 def word_margins(words: list[str], margins: np.ndarray) -> np.ndarray:
-    """The mean margin of each word's bag; 0 for a word without letters or digits."""
-    bucket, owner = grams(words, SIZES, BUCKETS, whole=True)
+    """The mean margin of each word's bag; NaN for no word at all."""
+    bucket, owner = grams(words, SIZES, BUCKETS, whole=False)
     count = np.maximum(np.bincount(owner, minlength=len(words)), 1)
     out = np.bincount(owner, margins[bucket], minlength=len(words)) / count
-    out[[not w for w in words]] = 0
+    out[[not w for w in words]] = np.nan
     return out[:, None]
 
 
@@ -71,7 +71,7 @@ def train(texts: list[str], labels: np.ndarray, dim: int = 8, rounds: int = 3, s
         sure = 30.0 if docs_y and docs_y[0][1] else -30.0
         return ToxicityModel(np.zeros(BUCKETS), 0.0, 0.0, sure)
     vocabulary = {w: i for i, w in enumerate(dict.fromkeys(w for d, _ in docs_y for w in d))}
-    bucket, owner = grams(list(vocabulary), SIZES, BUCKETS, whole=True)
+    bucket, owner = grams(list(vocabulary), SIZES, BUCKETS, whole=False)
     order = np.argsort(owner, kind="stable")
     bucket = bucket[order]
     size = np.bincount(owner, minlength=len(vocabulary))
@@ -162,7 +162,7 @@ def _logistic(x: np.ndarray, y: np.ndarray, turns: int = 60) -> tuple[float, flo
     return float(slope), float(t[1] - slope * mean)
 
 
-def fit(docs: DataFrame, labels: DataFrame, learn: Column, per_class: int = 1500, clean_share: int = 2) -> ToxicityModel:
+def fit(docs: DataFrame, labels: DataFrame, learn: Column, per_class: int = 2000, clean_share: int = 3) -> ToxicityModel:
     """A model from rows of ``docs`` (doc_id, text) that ``labels`` (doc_id, toxic) marks, where ``learn`` holds.
 
     Rows without doc_id, text or label teach nothing; a doc_id with several labels is toxic if any says so.
@@ -197,7 +197,9 @@ def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
         for at in range(0, len(texts), 200):
             docs = [chunks_of(t) for t in texts.iloc[at : at + 200]]
             for numbers in table.lookup(docs):
-                if not len(numbers) or not (values := table.rows[numbers, 0]).any():
+                values = table.rows[numbers, 0] if len(numbers) else np.zeros(0)
+                values = values[~np.isnan(values)]
+                if not len(values):
                     out.append(0.0)
                     continue
                 x = model.slope * (highest(values) + model.bias) + model.offset
