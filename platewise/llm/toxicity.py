@@ -62,22 +62,30 @@ def chunks_of(text: str) -> list[str]:
     return text.lower().split()
 
 
+def _bags(words: list[str], at_once: int = 20_000) -> tuple[np.ndarray, np.ndarray]:
+    """The buckets of all words, word after word, and how many each has."""
+    buckets, sizes = [], []
+    for at in range(0, len(words), at_once):
+        some = words[at : at + at_once]
+        bucket, owner = grams(some, SIZES, BUCKETS, whole=False)
+        buckets.append(bucket[np.argsort(owner, kind="stable")].astype(np.int32))
+        sizes.append(np.bincount(owner, minlength=len(some)).astype(np.int32))
+    return np.concatenate(buckets), np.concatenate(sizes).astype(np.int64)
+
+
 def train(texts: list[str], labels: np.ndarray, dim: int = 8, rounds: int = 3, seed: int = 7) -> ToxicityModel:
     """A model from whole texts and their labels (0 or 1)."""
-    docs = [[w for w in map(plain, chunks_of(t)) if w] for t in texts]
-    docs_y = [(d, y) for d, y in zip(docs, labels.tolist()) if d]
-    if len({y for _, y in docs_y}) < 2:
+    # Texts become numbers one by one, so that their words are not held as strings.
+    vocabulary: dict[str, int] = {}
+    words = [np.array([vocabulary.setdefault(w, len(vocabulary)) for w in map(plain, chunks_of(t)) if w], np.int32) for t in texts]
+    y = np.array([v for v, d in zip(labels.tolist(), words) if len(d)])
+    words = [d for d in words if len(d)]
+    if len(set(y.tolist())) < 2:
         # Nothing to tell apart: every text gets the one class there is, or none.
-        sure = 30.0 if docs_y and docs_y[0][1] else -30.0
-        return ToxicityModel(np.zeros(BUCKETS), 0.0, 0.0, sure)
-    vocabulary = {w: i for i, w in enumerate(dict.fromkeys(w for d, _ in docs_y for w in d))}
-    bucket, owner = grams(list(vocabulary), SIZES, BUCKETS, whole=False)
-    order = np.argsort(owner, kind="stable")
-    bucket = bucket[order]
-    size = np.bincount(owner, minlength=len(vocabulary))
+        return ToxicityModel(np.zeros(BUCKETS), 0.0, 0.0, 30.0 if len(y) and y[0] else -30.0)
+    bucket, size = _bags(list(vocabulary))
+    del vocabulary
     first = np.cumsum(size) - size
-    words = [np.fromiter(map(vocabulary.__getitem__, d), np.int64, len(d)) for d, _ in docs_y]
-    y = np.array([v for _, v in docs_y])
     # All windows, side by side; the last of a text is shorter.
     starts = [np.arange(0, len(w), WINDOW) for w in words]
     flat = np.concatenate(words)
@@ -122,7 +130,12 @@ def train(texts: list[str], labels: np.ndarray, dim: int = 8, rounds: int = 3, s
         return (w[1] - w[0]) @ e
 
     def word_values() -> np.ndarray:
-        return np.add.reduceat(margins()[bucket], first) / size
+        values, out = margins(), np.empty(len(size))
+        for at in range(0, len(size), 50_000):
+            to = min(len(size), at + 50_000)
+            part = bucket[first[at] : first[to - 1] + size[to - 1]]
+            out[at:to] = np.add.reduceat(values[part], first[at:to] - first[at]) / size[at:to]
+        return out
 
     def pass_over(some: np.ndarray, rate: float) -> None:
         toxic = y[doc_of[some]] == 1
@@ -162,7 +175,7 @@ def _logistic(x: np.ndarray, y: np.ndarray, turns: int = 60) -> tuple[float, flo
     return float(slope), float(t[1] - slope * mean)
 
 
-def fit(docs: DataFrame, labels: DataFrame, learn: Column, per_class: int = 2000, clean_share: int = 3) -> ToxicityModel:
+def fit(docs: DataFrame, labels: DataFrame, learn: Column, per_class: int = 1500, clean_share: int = 3) -> ToxicityModel:
     """A model from rows of ``docs`` (doc_id, text) that ``labels`` (doc_id, toxic) marks, where ``learn`` holds.
 
     Rows without doc_id, text or label teach nothing; a doc_id with several labels is toxic if any says so.
@@ -176,7 +189,8 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, per_class: int = 2000
     picked = some[0].unionByName(some[1])
     rows = docs.select("doc_id", "text").where(F.length("text") > 0).join(F.broadcast(picked), "doc_id").dropDuplicates(["doc_id"])
     sample = sorted((r["doc_id"], r["text"], r["y"]) for r in rows.collect())
-    return train([t for _, t, _ in sample], np.array([v for _, _, v in sample], np.int64))
+    marks = np.array([v for _, _, v in sample], np.int64)
+    return train([t for _, t, _ in sample], marks)
 
 
 def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
