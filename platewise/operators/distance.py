@@ -100,10 +100,12 @@ def mmd(
 
     within = F.transform(F.sequence(F.lit(0), how_many.cast("int") - 1), own_block)
     # A control block meets every block of every other group, and the other way round.
-    others_blocks = [F.struct(F.lit(g).cast(kind).alias("g"), F.lit(j).alias("j")) for g in present for j in range(blocks[g])]
-    as_control = F.transform(
-        F.array(*others_blocks), lambda o: meeting(F.lit(control), o["g"], my, o["j"], F.lit(1))
-    ) if others_blocks else F.slice(within, 1, 0)
+    # The plan has one sequence per group, however many blocks there are.
+    def against(g) -> Column:
+        numbers = F.sequence(F.lit(0), F.lit(blocks[g] - 1))
+        return F.transform(numbers, lambda j: meeting(F.lit(control), F.lit(g), my, j, F.lit(1)))
+
+    as_control = F.concat(*[against(g) for g in present]) if present else F.slice(within, 1, 0)
     as_other = F.transform(
         F.sequence(F.lit(0), F.lit(blocks[control] - 1)),
         lambda i: meeting(F.lit(control), me, i, my, F.lit(2)),
@@ -141,9 +143,14 @@ def mahalanobis(df: DataFrame, group: str, control, others: Sequence, vec: str =
     """``Group_A, Group_B, Mahalanobis_Score``: mean distance of each group's rows from the control.
 
     Mean and covariance (ddof 1) are tree-aggregated; only the features x features matrix reaches
-    the driver.
+    the driver. A control of fewer than two rows has no covariance: then there are no rows.
     """
     reference = df.where(F.col(group) == F.lit(control)).select(array_to_vector(vec).alias("v"))
+    kind = df.schema[group].dataType
+    if reference.limit(2).count() < 2:
+        return df.sparkSession.createDataFrame([], T.StructType([
+            T.StructField("Group_A", kind), T.StructField("Group_B", kind), T.StructField("Mahalanobis_Score", T.DoubleType()),
+        ]))
     matrix = RowMatrix(MLUtils.convertVectorColumnsFromML(reference, "v"))
     summary = matrix.computeColumnSummaryStatistics()
     mean, inv = np.asarray(summary.mean()), _inverse(matrix.computeCovariance().toArray())
@@ -158,7 +165,6 @@ def mahalanobis(df: DataFrame, group: str, control, others: Sequence, vec: str =
 
     distances.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
     each = F.pandas_udf(distances, "double")
-    kind = df.schema[group].dataType
     return (
         df.where(F.col(group).isin(list(others)))
         .select(F.col(group).alias("Group_B"), each(vec).alias("_d"))
@@ -208,7 +214,8 @@ def population_distances(
     """The three scores of one subset, control against every other concentration.
 
     ``condition`` labels the subset (its day). The prepared features are written to the shared
-    folder once, because every score reads them.
+    folder once, because every score reads them. A pair that lacks one score has NULL there; a day without
+    control has no rows.
     """
     features = list(features or roles.features(df, downstream=True))
     others = [c for c in sorted(roles.concentrations, reverse=True) if c != roles.control]
@@ -218,8 +225,8 @@ def population_distances(
     keys = ["Group_A", "Group_B"]
     got = (
         mmd(vectors, roles.conc, roles.control, others, "v", gamma, block_rows)
-        .join(mahalanobis(vectors, roles.conc, roles.control, others), keys)
-        .join(mean_emd(ready, roles.conc, roles.control, others, used, ranges), keys)
+        .join(mahalanobis(vectors, roles.conc, roles.control, others), keys, "full")
+        .join(mean_emd(ready, roles.conc, roles.control, others, used, ranges), keys, "full")
     )
     return got.withColumn("Condition", F.lit(condition))
 

@@ -13,7 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from platewise.functions.numeric import finite
-from platewise.operators.ordered import RANGES, VALUE_BUDGET, table_quantiles
+from platewise.operators.ordered import VALUE_BUDGET, table_quantiles
 from platewise.operators.scaling import clip_scale, impute_median, quantile_uniform, replace_columns
 from platewise.session import stage
 
@@ -107,7 +107,7 @@ def density(
     upper: float = 95,
     points: int = GRID_POINTS,
     budget: int = VALUE_BUDGET,
-    ranges: int = RANGES,
+    ranges: int | None = None,
 ) -> DataFrame:
     """``feature, point, x, density``: Gaussian kernel density of each feature clipped to percentiles.
 

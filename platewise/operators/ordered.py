@@ -5,7 +5,7 @@ order. A group (a day, a well, a cell) can hold a third of all rows, so nothing
 buffers a whole unbounded group in one task:
 
 * groups of bounded size use Spark's own exact ``percentile``;
-* the others are counted per distinct value first, cut into value ranges, summed per range, and
+* the others, however many, are counted per distinct value first, cut into value ranges, summed per range, and
   put together again with the totals of the ranges before them.
 
 The cut points only decide how work is spread; results never depend on them. They are a pure
@@ -17,39 +17,31 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Row
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from platewise.functions.numeric import all_present, no_nan
+from platewise.session import stage
 
-# Values one task may buffer for a grouped percentile (rows of the group x features).
+# Values one task may buffer for a grouped percentile (rows of the group x features). Groups beyond it, however many
+# there are, are spread over value ranges.
 VALUE_BUDGET = 4_000_000
-# Hot keys treated one by one; a key outside this many largest ones holds < 1e-4 of all rows.
-HOT_KEYS = 10_000
-# Value ranges per feature.
+# Value ranges per feature, at least; ``ranges_for`` gives more where there is more to spread.
 RANGES = 64
 
 
-def find_hot(df: DataFrame, keys: Sequence[str], n_features: int, budget: int = VALUE_BUDGET) -> list[Row]:
-    """Keys whose group exceeds the budget, largest first; at most ``HOT_KEYS`` rows reach the driver."""
-    limit = max(1, budget // max(1, n_features))
-    return (
-        df.where(all_present(list(keys)))
-        .groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("_rows"))
-        .where(F.col("_rows") > limit)
-        .orderBy(F.desc("_rows"), *keys)
-        .limit(HOT_KEYS)
-        .select(*keys)
-        .collect()
-    )
+def ranges_for(values: int, budget: int = VALUE_BUDGET) -> int:
+    """Value ranges per feature, so that a range holds about an eighth of the budget of all values to be spread."""
+    return max(RANGES, -(-8 * values // max(1, budget)))
 
 
-def _hot_table(df: DataFrame, keys: Sequence[str], hot: list[Row]) -> DataFrame:
-    """The hot keys as a table to broadcast; its size is bounded by ``HOT_KEYS``."""
-    schema = df.select(*keys).schema
-    return F.broadcast(df.sparkSession.createDataFrame([tuple(r) for r in hot], schema))
+def _hot_keys(df: DataFrame, keys: Sequence[str], n_features: int, budget: int) -> tuple[DataFrame, int]:
+    """The keys of groups beyond the budget, as a table of any size, and how many values they hold (one number)."""
+    limit = max(1, budget // max(1, n_features))
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") > limit)
+    held = sizes.agg(F.coalesce(F.sum("_rows"), F.lit(0))).first()[0]
+    return sizes.select(*keys), held * n_features
 
 
 def long_form(df: DataFrame, ids: Sequence[str], features: Sequence[str]) -> DataFrame:
@@ -212,26 +204,28 @@ def group_quantiles(
     probs: Sequence[float],
     extra: Sequence[Column] = (),
     budget: int = VALUE_BUDGET,
-    ranges: int = RANGES,
+    ranges: int | None = None,
 ) -> DataFrame:
     """One row per group: ``keys``, ``{feature}: array<double>`` of exact quantiles, and ``extra``.
 
     Rows with a missing key belong to no group. ``extra`` are ordinary aggregates (they combine
-    map-side, so hot groups need nothing special for them).
+    map-side, so hot groups need nothing special for them). Groups within the budget take Spark's
+    ``percentile``; all others, any number of them, are counted by value and spread over ranges.
+    No key and no result passes through the driver, and joins are left to the optimizer.
     """
     keys, features = list(keys), list(features)
     keyed = df.where(all_present(keys))
-    hot = find_hot(df, keys, len(features), budget)
-    cool = keyed if not hot else keyed.join(_hot_table(df, keys, hot), keys, "left_anti")
+    hot, held = _hot_keys(keyed, keys, len(features), budget)
+    cool = keyed if not held else keyed.join(hot, keys, "left_anti")
     middle = [q.alias(f) for f, q in zip(features, _percentiles(features, probs))]
     out = cool.groupBy(*keys).agg(*middle, *extra)
-    if not hot:
+    if not held:
         return out
-    warm = keyed.join(_hot_table(df, keys, hot), keys, "left_semi")
-    wide = _hot_quantiles(warm, keys, features, probs, ranges)
+    warm = keyed.join(hot, keys, "left_semi")
+    wide = _hot_quantiles(warm, keys, features, probs, ranges or ranges_for(held, budget))
     rest = warm.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"), *extra)
-    # Both sides have at most HOT_KEYS rows. Left: a group whose features are all missing stays.
-    return out.unionByName(rest.join(F.broadcast(wide), keys, "left").select(*out.columns))
+    # Left: a group whose features are all missing stays.
+    return out.unionByName(rest.join(wide, keys, "left").select(*out.columns))
 
 
 def with_group_quantiles(
@@ -241,32 +235,18 @@ def with_group_quantiles(
     probs: Sequence[float],
     prefix: str = "_q_",
     budget: int = VALUE_BUDGET,
-    ranges: int = RANGES,
+    ranges: int | None = None,
 ) -> DataFrame:
     """All rows of ``df`` plus ``{prefix}{feature}``: the quantiles of the row's group.
 
-    Bounded groups take one shuffle (a partition window); hot groups get theirs by a broadcast of
-    at most ``HOT_KEYS`` rows and are never brought together. Rows with a missing key get NULL.
+    The statistics are one row per group. They are stored first, so that the join knows their true size: small
+    ones are broadcast by Spark itself and the rows are not shuffled; large ones are joined by key. Rows with a
+    missing key match nothing and get NULL.
     """
     keys, features = list(keys), list(features)
-    names = [f"{prefix}{f}" for f in features]
-    hot = find_hot(df, keys, len(features), budget)
-    keyed = df.where(all_present(keys))
-    cool = keyed if not hot else keyed.join(_hot_table(df, keys, hot), keys, "left_anti")
-    w = W.partitionBy(*keys)
-    parts = [cool.select("*", *[q.over(w).alias(n) for q, n in zip(_percentiles(features, probs), names)])]
-    if hot:
-        warm = keyed.join(_hot_table(df, keys, hot), keys, "left_semi")
-        stats = _hot_quantiles(warm, keys, features, probs, ranges)
-        stats = stats.select(*keys, *[F.col(f"`{f}`").alias(n) for f, n in zip(features, names)])
-        parts.append(warm.join(F.broadcast(stats), keys, "left").select(*df.columns, *names))
-    unkeyed = df.where(~all_present(keys))
-    nothing = [F.lit(None).cast("array<double>").alias(n) for n in names]
-    parts.append(unkeyed.select("*", *nothing))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    stats = group_quantiles(df, keys, features, probs, budget=budget, ranges=ranges)
+    stats = stage(stats.select(*keys, *[F.col(f"`{f}`").alias(f"{prefix}{f}") for f in features]), "group-quantiles")
+    return df.join(stats, keys, "left").select(*df.columns, *[F.col(f"`{prefix}{f}`") for f in features])
 
 
 def table_quantiles(
@@ -274,13 +254,12 @@ def table_quantiles(
     features: Sequence[str],
     probs: Sequence[float],
     budget: int = VALUE_BUDGET,
-    ranges: int = RANGES,
+    ranges: int | None = None,
 ) -> DataFrame:
-    """One row with ``{feature}: array<double>``: exact quantiles over the whole table."""
+    """One row with ``{feature}: array<double>``: exact quantiles over the whole table, spread over value ranges."""
     features = list(features)
-    if df.count() * len(features) <= budget:
-        return df.agg(*[q.alias(f) for f, q in zip(features, _percentiles(features, probs))])
-    q = quantiles_long(long_form(df, [], features), ["feature"], probs, ranges)
+    long = long_form(df, [], features)
+    q = quantiles_long(long, ["feature"], probs, ranges or ranges_for(df.count() * len(features), budget))
     return q.agg(
         *[F.first(F.when(F.col("feature") == f, F.col("q")), ignorenulls=True).alias(f) for f in features]
     )

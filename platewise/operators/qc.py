@@ -52,13 +52,10 @@ def split_manifest(
     files: DataFrame, removal: DataFrame, name: str = "file", listed: str = "remove"
 ) -> DataFrame:
     """``file, status``: ``removed`` / ``kept`` for existing files, ``missing`` for listed ones not found."""
-    gone = removal.select(F.col(listed).alias(name)).where(F.col(name).isNotNull()).distinct()
-    have = files.select(name)
-    return (
-        have.join(gone, name, "left_semi").withColumn("status", F.lit("removed"))
-        .unionByName(have.join(gone, name, "left_anti").withColumn("status", F.lit("kept")))
-        .unionByName(gone.join(have, name, "left_anti").withColumn("status", F.lit("missing")))
-    )
+    gone = removal.select(F.col(listed).alias(name)).where(F.col(name).isNotNull()).distinct().withColumn("_listed", F.lit(True))
+    have = files.select(name).withColumn("_there", F.lit(True))
+    status = F.when(F.col("_there").isNull(), "missing").when(F.col("_listed"), "removed").otherwise("kept")
+    return have.join(gone, name, "full").select(name, status.alias("status"))
 
 
 def image_ranges(files: DataFrame, instances: int = 20, files_per_image: int = 3) -> DataFrame:

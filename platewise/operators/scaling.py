@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from platewise.functions.numeric import no_nan, sanitize
-from platewise.operators.ordered import RANGES, VALUE_BUDGET, grid_quantiles, table_quantiles
+from platewise.operators.ordered import VALUE_BUDGET, grid_quantiles, ranges_for, table_quantiles
 
 QUANTILES = 1000
 
@@ -59,7 +59,7 @@ def impute_group_mean(
 
 
 def impute_median(
-    df: DataFrame, features: Sequence[str], budget: int = VALUE_BUDGET, ranges: int = RANGES
+    df: DataFrame, features: Sequence[str], budget: int = VALUE_BUDGET, ranges: int | None = None
 ) -> tuple[DataFrame, list[str]]:
     """Missing values become the column's median; also the features that have any value."""
     med = table_quantiles(df, features, [0.5], budget, ranges).first()
@@ -88,30 +88,11 @@ def center(df: DataFrame, features: Sequence[str]) -> DataFrame:
     return replace_columns(df, {f: _col(f) - F.lit(m) for f, m in zip(features, means)})
 
 
-def _references(df: DataFrame, features: Sequence[str], rows: int, grid: np.ndarray, ranges: int) -> dict:
-    """Values at the given shares of each column, missing values aside; columns without any are absent.
-
-    With no more rows than references (so at most a thousand values per column) the sorted values
-    are interpolated by position, which keeps a reference that is one row's value equal to it.
-    """
-    if rows > len(grid):
-        found = grid_quantiles(df, features, len(grid), ranges).collect()
-        return {r["feature"]: np.asarray(r["q"], dtype=float) for r in found}
-    row = df.agg(*[F.array_sort(F.collect_list(no_nan(_col(f)))).alias(f"_{i}") for i, f in enumerate(features)]).first()
-    out = {}
-    for f, values in zip(features, row):
-        if values:
-            place = (len(values) - 1) * grid
-            place = np.where(np.abs(place - np.round(place)) < 1e-9, np.round(place), place)
-            out[f] = np.interp(place, np.arange(len(values)), np.asarray(values))
-    return out
-
-
 def quantile_uniform(
     df: DataFrame,
     features: Sequence[str],
     quantiles: int = QUANTILES,
-    ranges: int = RANGES,
+    ranges: int | None = None,
 ) -> DataFrame:
     """Map each column to [0, 1] through its own empirical quantiles (at most one per row).
 
@@ -122,23 +103,22 @@ def quantile_uniform(
     rows = df.count()
     n = min(quantiles, rows)
     grid = np.linspace(0, 1, n) if n > 1 else np.zeros(1)
-    refs = _references(df, features, rows, grid, ranges)
+    found = grid_quantiles(df, features, n, ranges or ranges_for(rows * len(features))).collect() if rows else []
+    refs = {r["feature"]: np.asarray(r["q"], dtype=float) for r in found}
+
+    def placed(q: np.ndarray):
+        @F.pandas_udf("double")
+        def place(x: pd.Series) -> pd.Series:
+            v = x.to_numpy(dtype=float)
+            up = np.interp(v, q, grid)
+            down = -np.interp(-v, -q[::-1], -grid[::-1])
+            u = np.where(v >= q[-1], 1.0, (up + down) / 2)
+            return pd.Series(np.where(v <= q[0], 0.0, u)).mask(np.isnan(v), None)
 
-    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for f, q in refs.items():
-                x = batch[f].to_numpy(dtype=float)
-                up = np.interp(x, q, grid)
-                down = -np.interp(-x, -q[::-1], -grid[::-1])
-                u = np.where(x >= q[-1], 1.0, (up + down) / 2)
-                u = np.where(x <= q[0], 0.0, u)
-                batch[f] = pd.Series(u, index=batch.index).mask(np.isnan(x), None)
-            yield batch
+        return place
 
-    values = replace_columns(df, {f: _col(f) for f in features})
-    mapped = values.mapInPandas(place, values.schema)
-    # A missing value comes back from pandas as NaN.
-    return replace_columns(mapped, {f: no_nan(F.col(f"`{f}`")) for f in features})
+    # Only the features themselves go through Arrow. A missing value comes back from pandas as NaN.
+    return replace_columns(df, {f: no_nan(placed(refs[f])(_col(f))) if f in refs else _col(f) for f in features})
 
 
 def clip_scale(
@@ -147,7 +127,7 @@ def clip_scale(
     lower: float = 5,
     upper: float = 95,
     budget: int = VALUE_BUDGET,
-    ranges: int = RANGES,
+    ranges: int | None = None,
 ) -> DataFrame:
     """Clip to two percentiles and rescale to [0, 1]; NULL when the percentiles coincide."""
     bounds = table_quantiles(df, features, [lower / 100, upper / 100], budget, ranges).first()

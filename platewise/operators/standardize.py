@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from platewise.functions.numeric import all_present, at_least, at_most, no_nan
+from platewise.functions.numeric import at_least, at_most, no_nan
 from platewise.operators.identity import require, select_listed
 from platewise.operators.ordered import VALUE_BUDGET, with_group_quantiles
 from platewise.roles import Roles
@@ -83,12 +83,13 @@ def trim_wells(
     """Values outside the well's percentile bounds become NULL; rows stay.
 
     Bounds are inclusive up to a relative 1e-9, so an interpolated bound cannot drop a value equal
-    to it. Rows that name no well are in no group and are left out.
+    to it. A missing day or well is a group of its own; rows without a biorep are left out.
     """
-    keys = [roles.day, roles.biorep, roles.well]
-    require(df, keys)
+    require(df, [roles.day, roles.biorep, roles.well])
     features = list(features or roles.features(df, downstream=True))
-    keyed = df.where(all_present(keys))
+    keys = ["_group_day", roles.biorep, "_group_well"]
+    named = {"_group_day": F.coalesce(F.col(roles.day), F.lit("NAN")), "_group_well": F.coalesce(F.col(roles.well), F.lit("NAN"))}
+    keyed = df.where(F.col(roles.biorep).isNotNull()).withColumns(named)
     got = with_group_quantiles(keyed, keys, features, [lower / 100, upper / 100], budget=budget)
     chosen = set(features)
     out = []

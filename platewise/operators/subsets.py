@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from platewise.functions.numeric import finite
 from platewise.roles import Roles
 
-SALTS = 64
+# Leading hex digits of the hash that name a bucket.
+BUCKET_DIGITS = 4
 # Rows per concentration and day in the concentration view; others get the default.
 CONCENTRATION_CAPS = {2: 5000, 3: 7000}
 DEFAULT_CAP = 10000
@@ -50,22 +51,25 @@ def stratum_counts(df: DataFrame, roles: Roles) -> DataFrame:
     return grouped.where(whole).select(name.alias("stratum"), d, c, b, "Counts")
 
 
-def _draw(df: DataFrame, strata: Sequence[str], id_col: str, seed: int, cap: Column, most: int | None) -> DataFrame:
-    """The ``cap`` rows of each stratum with the smallest hash of their id.
+def _draw(df: DataFrame, strata: Sequence[str], id_col: str, seed: int, cap: Column) -> DataFrame:
+    """The ``cap`` rows of each stratum with the smallest md5 of id and seed; ``cap`` depends on the stratum alone.
 
-    A hot stratum is first cut down in salted parts (no row outside its part's first ``most`` can
-    be among the stratum's first ``most``), so no task orders a whole stratum.
+    Rows are counted per stratum and hash bucket (map-side), so each stratum's last bucket is known before any row
+    moves: lower buckets stay as a whole, and only the rows of the last one are put in order.
     """
     strata = list(strata)
-    draw = F.xxhash64(F.col(id_col), F.lit(seed))
-    pool = df.withColumn("_draw", draw)
-    order = ["_draw", id_col]
-    if most is not None:
-        salted = pool.withColumn("_salt", F.pmod(F.xxhash64(F.col(id_col), F.lit(seed + 1)), F.lit(SALTS)))
-        part = W.partitionBy(*strata, "_salt").orderBy(*order)
-        pool = salted.withColumn("_at", F.row_number().over(part)).where(F.col("_at") <= most).drop("_at", "_salt")
-    at = F.row_number().over(W.partitionBy(*strata).orderBy(*order))
-    return pool.withColumn("_at", at).where(F.col("_at") <= cap).drop("_at", "_draw")
+    draw = F.md5(F.concat_ws(":", F.col(id_col).cast("string"), F.lit(str(seed))))
+    pool = df.withColumn("_draw", draw).withColumn("_bucket", F.substring("_draw", 1, BUCKET_DIGITS))
+    counts = pool.groupBy(*strata, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
+    upto = F.sum("_n").over(W.partitionBy(*strata).orderBy("_bucket"))
+    counts = counts.withColumn("_upto", upto).withColumn("_cap", cap).where((F.col("_upto") - F.col("_n") < F.col("_cap")) & (F.col("_upto") >= F.col("_cap")))
+    edges = counts.select(*strata, F.col("_bucket").alias("_edge"), (F.col("_cap") - F.col("_upto") + F.col("_n")).alias("_left"))
+    # One row per stratum; a stratum below its cap has no edge and stays whole, one with a cap of 0 goes.
+    near = pool.where(cap > 0).join(edges, strata, "left").where(F.col("_edge").isNull() | (F.col("_bucket") <= F.col("_edge")))
+    sure = near.where(F.col("_edge").isNull() | (F.col("_bucket") < F.col("_edge")))
+    at = F.row_number().over(W.partitionBy(*strata).orderBy("_draw", id_col))
+    last = near.where(F.col("_bucket") == F.col("_edge")).withColumn("_at", at).where(F.col("_at") <= F.col("_left"))
+    return sure.select(*df.columns).unionByName(last.select(*df.columns))
 
 
 def _in_design(df: DataFrame, roles: Roles, exclude: Sequence[int]) -> DataFrame:
@@ -77,7 +81,7 @@ def sample_capped(
     df: DataFrame, roles: Roles, cap: int = DAY_CAP, exclude: Sequence[int] = (), seed: int = 1
 ) -> DataFrame:
     """At most ``cap`` rows of every day and concentration, the same rows on every run."""
-    return _draw(_in_design(df, roles, exclude), [roles.day, roles.conc], roles.cell, seed, F.lit(cap), cap)
+    return _draw(_in_design(df, roles, exclude), [roles.day, roles.conc], roles.cell, seed, F.lit(cap))
 
 
 def sample_by_cap(
@@ -91,15 +95,13 @@ def sample_by_cap(
     cap = F.lit(default)
     for dose, n in caps.items():
         cap = F.when(F.col(roles.conc) == dose, n).otherwise(cap)
-    most = max([default, *caps.values()])
-    return _draw(_in_design(df, roles, ()), [roles.day, roles.conc], roles.cell, seed, cap, most)
+    return _draw(_in_design(df, roles, ()), [roles.day, roles.conc], roles.cell, seed, cap)
 
 
 def sample_equal(df: DataFrame, roles: Roles, exclude: Sequence[int] = (), seed: int = 1) -> DataFrame:
     """As many rows of every concentration as the day's rarest one has.
 
-    The stratum sizes (days x concentrations, from a key-only scan) come to the driver first, so
-    the largest cap is a plain number that prunes each salted part before rows are shuffled.
+    The stratum sizes (days x concentrations, from a key-only scan) come to the driver first.
     """
     kept = _in_design(df, roles, exclude)
     sizes = kept.groupBy(roles.day, roles.conc).count().collect()
@@ -111,7 +113,7 @@ def sample_equal(df: DataFrame, roles: Roles, exclude: Sequence[int] = (), seed:
     cap = F.lit(0)
     for day, n in smallest.items():
         cap = F.when(F.col(roles.day) == day, n).otherwise(cap)
-    return _draw(kept, [roles.day, roles.conc], roles.cell, seed, cap, max(smallest.values()))
+    return _draw(kept, [roles.day, roles.conc], roles.cell, seed, cap)
 
 
 def filter_report(

@@ -38,9 +38,8 @@ def group_stats(
 def kruskal(long: DataFrame, by: Sequence[str], group: str, ranges: int = RANGES) -> DataFrame:
     """Kruskal-Wallis test of ``value`` across ``group`` levels within ``by``, corrected for ties.
 
-    Levels with a single distinct value do not take part; at least two must remain. ``group`` and
-    ``by`` are levels of the design, so there are few of them: what is broadcast has one row per
-    ``by`` and level. Output: ``by, groups, n, h, p, significant``.
+    Levels with a single distinct value do not take part; at least two must remain. There may be any
+    number of levels. Output: ``by, groups, n, h, p, significant``.
     """
     by = list(by)
     counted = long.groupBy(*by, group, "value").agg(F.count(F.lit(1)).alias("n"))
@@ -50,7 +49,7 @@ def kruskal(long: DataFrame, by: Sequence[str], group: str, ranges: int = RANGES
         .where("_varies")
         .select(*by, group)
     )
-    taking_part = counted.join(F.broadcast(varied), [*by, group], "left_semi")
+    taking_part = counted.join(varied, [*by, group], "left_semi")
     ranked = running_totals(taking_part, by, "value", {"n": F.col("n")}, ranges=ranges, ties=True)
     mean_rank = F.col("n_upto") - (F.col("n_ties") - 1) / 2
     squares = F.col("n_ties").cast("double") * F.col("n_ties") - 1
@@ -64,15 +63,12 @@ def kruskal(long: DataFrame, by: Sequence[str], group: str, ranges: int = RANGES
         F.count(F.lit(1)).alias("groups"),
         F.sum("_ng").alias("n"),
         F.sum("_ties").alias("_ties"),
-        F.collect_list(F.struct("_ng", "_ranks")).alias("_levels"),
     )
     size = F.col("n").cast("double")
-    spread = F.aggregate(
-        "_levels",
-        F.lit(0.0),
-        lambda acc, g: acc + g["_ng"] * F.pow(g["_ranks"] / g["_ng"] - (size + 1) / 2, F.lit(2.0)),
-    )
-    plain = F.lit(12.0) * spread / (size * (size + 1))
+    off = F.col("_ranks") / F.col("_ng") - (size + 1) / 2
+    spread = per_level.drop("_ties").join(total, by).groupBy(*by).agg(F.sum(F.col("_ng") * off * off).alias("_spread"))
+    total = total.join(spread, by)
+    plain = F.lit(12.0) * F.col("_spread") / (size * (size + 1))
     fixed = F.lit(1.0) - F.try_divide(F.col("_ties"), size * size * size - size)
     out = total.where(F.col("groups") >= 2).withColumn("h", F.try_divide(plain, fixed))
     out = out.withColumn("p", chi2_tail(F.col("h"), (F.col("groups") - 1).cast("double")))

@@ -171,6 +171,14 @@ def dose_test(spark, sf):
     return V.kruskal(long, ["feature", "Metadata_Day"], "Concentration")
 
 
+@query
+def kruskal_parts(spark, sf):
+    """Hundreds of levels: one per part."""
+    items = X.table(spark, sf, "lineitem")
+    long = items.select(F.lit("l_quantity").alias("feature"), F.col("l_partkey").alias("part"), F.col("l_quantity").cast("double").alias("value"))
+    return rounded(V.kruskal(long, ["feature"], "part"), ["h", "p"])
+
+
 @query
 def kruskal_doses(spark, sf):
     return rounded(dose_test(spark, sf), ["h", "p"])
@@ -194,28 +202,24 @@ def stratum_counts(spark, sf):
     return U.stratum_counts(X.profiles(spark, sf), ROLES)
 
 
-def _sizes(df):
-    return df.groupBy("Metadata_Day", "Concentration").agg(F.count(F.lit(1)).alias("n"))
-
-
 @query
 def sample_capped(spark, sf):
-    return _sizes(U.sample_capped(X.profiles(spark, sf), ROLES, cap=900))
+    return U.sample_capped(X.profiles(spark, sf), ROLES, cap=900).select("cell_ID", "Metadata_Day", "Concentration")
 
 
 @query
 def sample_capped_without_top_dose(spark, sf):
-    return _sizes(U.sample_capped(X.profiles(spark, sf), ROLES, cap=900, exclude=(2,)))
+    return U.sample_capped(X.profiles(spark, sf), ROLES, cap=900, exclude=(2,)).select("cell_ID", "Metadata_Day", "Concentration")
 
 
 @query
 def sample_equal(spark, sf):
-    return _sizes(U.sample_equal(X.profiles(spark, sf), ROLES))
+    return U.sample_equal(X.profiles(spark, sf), ROLES).select("cell_ID", "Metadata_Day", "Concentration")
 
 
 @query
 def sample_by_cap(spark, sf):
-    return _sizes(U.sample_by_cap(X.profiles(spark, sf), ROLES, {2: 900, 3: 1200}, 1500))
+    return U.sample_by_cap(X.profiles(spark, sf), ROLES, {2: 900, 3: 1200}, 1500).select("cell_ID", "Metadata_Day", "Concentration")
 
 
 def _flawed_with_flat(spark, sf):
@@ -401,9 +405,10 @@ def removal_list(spark, sf):
 
 @query
 def split_manifest(spark, sf):
-    manifest = X.image_manifest(spark, sf).where(F.col("ImageNumber") % 10 != 3)
+    manifest = X.image_manifest(spark, sf)
     files = manifest.select(F.explode(F.array(*Q.FILE_COLUMNS)).alias("file"))
-    return Q.split_manifest(files, Q.removal_list(_flagged(spark, sf)))
+    absent = manifest.where("ImageNumber % 10 = 3").select(F.concat(F.lit("absent_"), "ImageNumber").alias("remove"))
+    return Q.split_manifest(files, Q.removal_list(_flagged(spark, sf)).unionByName(absent))
 
 
 @query
@@ -556,12 +561,18 @@ def shuffled_rows(spark, sf):
 
 # ---- population distances and embedding ------------------------------------------------------
 
-VECTOR_DIMS = [f"f{i}" for i in range(8)]
+VECTOR_DIMS = [f"f{i}" for i in range(X.DIMENSIONS)]
 DOSES_DOWN = [c for c in sorted(ROLES.concentrations, reverse=True) if c != ROLES.control]
 
 
+def _populations(spark, sf):
+    """Half of the levels are control, so that it has more rows than dimensions and a regular covariance."""
+    v = X.vectors(spark, sf)
+    return v.withColumn("Concentration", F.when(F.col("Concentration") >= 7, ROLES.control).otherwise(F.col("Concentration")))
+
+
 def _ready_vectors(spark, sf):
-    ready, dims = D.prepare_population(X.vectors(spark, sf), "Concentration", ROLES.concentrations, VECTOR_DIMS)
+    ready, dims = D.prepare_population(_populations(spark, sf), "Concentration", ROLES.concentrations, VECTOR_DIMS)
     return stage(ready.select("vec_id", "Concentration", *dims), "vectors")
 
 
@@ -586,7 +597,7 @@ def mean_emd(spark, sf):
 @query
 def population_distances(spark, sf):
     dims = [*VECTOR_DIMS]
-    v = X.vectors(spark, sf).select("vec_id", "Concentration", *dims)
+    v = _populations(spark, sf).select("vec_id", "Concentration", *dims)
     day = F.concat(F.lit("D"), F.get(F.array(F.lit("1"), F.lit("5"), F.lit("7"), F.lit("9")), (F.col("vec_id") % 2).cast("int")))
     roles = replace(ROLES, days=("D1", "D5"))
     got = D.distances_by_day(v.withColumn("Metadata_Day", day), roles, dims)
@@ -625,7 +636,7 @@ def embedding_features(spark, sf):
     v = X.vectors(spark, sf)
     holed = v.withColumn("f0", F.when(F.col("vec_id") % 5 != 0, F.col("f0")))
     coords = v.select("vec_id", rnd("f10", 6).alias("dim1"), rnd("f11", 6).alias("dim2"))
-    return rounded(E.embedding_features(coords, holed, "vec_id", ["f0", "f1", "f2"]), ["value"], 6)
+    return rounded(E.embedding_features(coords, holed, "vec_id", VECTOR_DIMS), ["value"], 6)
 
 
 # ---- sources and sinks -----------------------------------------------------------------------

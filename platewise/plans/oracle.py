@@ -225,13 +225,15 @@ def kruskal(long: str, name: str, by: str) -> str:
   FROM {name}_g JOIN (SELECT {by}, CAST(sum(ng) AS DOUBLE) AS total FROM {name}_g GROUP BY {by}) USING ({by}) GROUP BY {by}),
 {name}_f AS (SELECT {by}, groups, n, plain / (1 - ties / (power(total, 3) - total)) AS h
   FROM {name}_h JOIN {name}_t USING ({by}) WHERE groups >= 2),
-{name} AS (SELECT {by}, groups, n, h, CASE WHEN h / 2 > 200 THEN 0.0 ELSE greatest(0.0, 1.0 - power(h / 2, (groups - 1) / 2.0) * exp(-h / 2)
-    * list_sum(list_transform(range(0, 400), lambda i: exp(i * ln(h / 2) + lgamma((groups - 1) / 2.0) - lgamma((groups - 1) / 2.0 + i + 1))))
-    / gamma((groups - 1) / 2.0)) END AS p FROM {name}_f)"""
+{name} AS (SELECT {by}, groups, n, h, greatest(0.0, 1.0
+    - list_sum(list_transform(range(0, CAST(h AS BIGINT) + 400), lambda i: exp(((groups - 1) / 2.0 + i) * ln(h / 2) - h / 2 - lgamma((groups - 1) / 2.0 + i + 1))))) AS p FROM {name}_f)"""
 
 
 ORACLE["kruskal_events"] = f"""{ctes(EVENTS, f"ev AS (SELECT {DAY}, pop AS grp, value FROM event_long)", kruskal("ev", "kw", DAY))}
 SELECT {DAY}, groups, n, {r("h")} AS h, {r("p")} AS p, p < 0.05 AS significant FROM kw"""
+ORACLE["kruskal_parts"] = f"""WITH long AS (SELECT 'l_quantity' AS feature, l_partkey AS grp, CAST(l_quantity AS DOUBLE) AS value FROM lineitem),
+{kruskal("long", "kw", "feature")}
+SELECT feature, groups, n, {r("h")} AS h, {r("p")} AS p, p < 0.05 AS significant FROM kw"""
 ORACLE["kruskal_doses"] = f"""{ctes(MEASURE)}, long AS ({unpivoted("measure", f"{DAY}, {CONC} AS grp", MEASURES)}),
 {kruskal("long", "kw", f"feature, {DAY}")}
 SELECT feature, {DAY}, groups, n, {r("h")} AS h, {r("p")} AS p, p < 0.05 AS significant FROM kw"""
@@ -262,12 +264,19 @@ ORACLE["stratum_counts"] = ctes(MEASURE) + " UNION ALL ".join(
     + f', count(*) AS "Counts" FROM measure GROUP BY {", ".join(keys)}'
     for name, keys in STRATA.items()
 )
-SIZES = f"{ctes(MEASURE)} SELECT {DAY}, {CONC}, least(count(*), {{cap}}) AS n FROM measure {{where}} GROUP BY {DAY}, {CONC}"
-ORACLE["sample_capped"] = SIZES.format(cap="900", where="")
-ORACLE["sample_capped_without_top_dose"] = SIZES.format(cap="900", where=f"WHERE {CONC} <> 2")
-ORACLE["sample_by_cap"] = SIZES.format(cap=f"CASE {CONC} WHEN 2 THEN 900 WHEN 3 THEN 1200 ELSE 1500 END", where="")
-ORACLE["sample_equal"] = f"""{ctes(MEASURE)}, sizes AS (SELECT {DAY}, {CONC}, count(*) AS n FROM measure GROUP BY {DAY}, {CONC})
-SELECT {DAY}, {CONC}, min(n) OVER (PARTITION BY {DAY}) AS n FROM sizes"""
+def _sample(cap: str, where: str = "") -> str:
+    ranked = f"""drawn AS (SELECT "cell_ID", {DAY}, {CONC}, {cap} AS cap,
+  row_number() OVER (PARTITION BY {DAY}, {CONC} ORDER BY md5("cell_ID" || ':1'), "cell_ID") AS place FROM sized {where})"""
+    sized = f"""sizes AS (SELECT {DAY}, {CONC}, count(*) AS size FROM measure GROUP BY {DAY}, {CONC}),
+least_sizes AS (SELECT {DAY}, min(size) AS least_size FROM sizes GROUP BY {DAY}),
+sized AS (SELECT * FROM measure JOIN least_sizes USING ({DAY}))"""
+    return f"""{ctes(MEASURE, sized, ranked)} SELECT "cell_ID", {DAY}, {CONC} FROM drawn WHERE place <= cap"""
+
+
+ORACLE["sample_capped"] = _sample("900")
+ORACLE["sample_capped_without_top_dose"] = _sample("900", f"WHERE {CONC} <> 2")
+ORACLE["sample_by_cap"] = _sample(f"CASE {CONC} WHEN 2 THEN 900 WHEN 3 THEN 1200 ELSE 1500 END")
+ORACLE["sample_equal"] = _sample("least_size")
 
 HOLED = FLAWED + """,
 holed AS (SELECT *, CASE WHEN l_orderkey % 3 <> 0 THEN l_tax END AS holes,
@@ -449,9 +458,10 @@ hit AS (SELECT * FROM flagged WHERE "Artefacts  Image Count" = 1 OR "Empty  Imag
 removal AS (""" + " UNION ".join(f"SELECT {f} AS remove FROM hit" for f in _FILES) + ")"
 ORACLE["attach_tags"] = f"{ctes(MANIFEST)} SELECT * FROM flagged"
 ORACLE["removal_list"] = f"{ctes(REMOVAL)} SELECT remove FROM removal"
-ORACLE["split_manifest"] = f"""{ctes(REMOVAL)}, files AS ({" UNION ALL ".join(f'SELECT {f} AS file FROM manifest WHERE "ImageNumber" % 10 <> 3' for f in _FILES)})
-SELECT file, CASE WHEN file IN (SELECT remove FROM removal) THEN 'removed' ELSE 'kept' END AS status FROM files
-UNION ALL SELECT remove, 'missing' FROM removal WHERE remove NOT IN (SELECT file FROM files)"""
+ORACLE["split_manifest"] = f"""{ctes(REMOVAL)}, files AS ({" UNION ALL ".join(f'SELECT {f} AS file FROM manifest' for f in _FILES)}),
+listed AS (SELECT remove FROM removal UNION SELECT concat('absent_', "ImageNumber") FROM manifest WHERE "ImageNumber" % 10 = 3)
+SELECT file, CASE WHEN file IN (SELECT remove FROM listed) THEN 'removed' ELSE 'kept' END AS status FROM files
+UNION ALL SELECT remove, 'missing' FROM listed WHERE remove NOT IN (SELECT file FROM files)"""
 ORACLE["image_ranges"] = """WITH c AS (SELECT count(*) // 3 AS images, count(*) // 3 // 20 AS per FROM pages)
 SELECT i AS instance, (i - 1) * per + 1 AS first_image, CASE WHEN i = 20 THEN images ELSE i * per END AS last_image FROM c, range(1, 21) t(i)"""
 
@@ -534,7 +544,9 @@ FROM measure {" ".join(f"JOIN m_{f} ON m_{f}.v = measure.{f}" for f in MEASURES)
 
 # ---- population distances and embedding
 
-_DIMS = [f"f{i}" for i in range(8)]
+_DIMS = [f"f{i}" for i in range(DIMENSIONS)]
+POPULATIONS = VECTORS + f""",
+pop AS (SELECT * REPLACE (CASE WHEN {CONC} >= 7 THEN 11 ELSE {CONC} END AS {CONC}) FROM vec)"""
 
 
 def ready(source: str, name: str) -> str:
@@ -555,8 +567,8 @@ def mean_emd(source: str, name: str) -> str:
 {name} AS (SELECT 11 AS "Group_A", p AS "Group_B", avg(score) AS score FROM {name}_e0 WHERE q = 11 GROUP BY p)"""
 
 
-ORACLE["mmd"] = f"""{ctes(VECTORS, ready("vec", "rdy"), mmd("rdy", "m"))} SELECT "Group_A", "Group_B", {r("score", 6)} AS "MMD_Score" FROM m"""
-ORACLE["mean_emd"] = f"""{ctes(VECTORS, ready("vec", "rdy"), mean_emd("rdy", "e"))} SELECT "Group_A", "Group_B", {r("score", 6)} AS "EMD_Score" FROM e"""
+ORACLE["mmd"] = f"""{ctes(POPULATIONS, ready("pop", "rdy"), mmd("rdy", "m"))} SELECT "Group_A", "Group_B", {r("score", 6)} AS "MMD_Score" FROM m"""
+ORACLE["mean_emd"] = f"""{ctes(POPULATIONS, ready("pop", "rdy"), mean_emd("rdy", "e"))} SELECT "Group_A", "Group_B", {r("score", 6)} AS "EMD_Score" FROM e"""
 def mahalanobis(source: str, name: str) -> str:
     """Squared distance as the sum of squared residuals of each dimension on those before it."""
     parts = [f"""{name}_0 AS (SELECT vec_id, {CONC}, {", ".join(f"{f} - (SELECT avg({f}) FROM {source} WHERE {CONC} = 11) AS {f}" for f in _DIMS)} FROM {source})"""]
@@ -578,13 +590,13 @@ def mahalanobis(source: str, name: str) -> str:
     return ",\n".join(parts)
 
 
-ORACLE["mahalanobis"] = f"""{ctes(VECTORS, ready("vec", "rdy"), mahalanobis("rdy", "h"))} SELECT "Group_A", "Group_B", {r("score", 6)} AS "Mahalanobis_Score" FROM h"""
+ORACLE["mahalanobis"] = f"""{ctes(POPULATIONS, ready("pop", "rdy"), mahalanobis("rdy", "h"))} SELECT "Group_A", "Group_B", {r("score", 6)} AS "Mahalanobis_Score" FROM h"""
 
 
 def _distances() -> str:
-    parts, rows = [VECTORS], []
+    parts, rows = [POPULATIONS], []
     for day, odd in (("D1", 0), ("D5", 1)):
-        parts += [f"v{odd} AS (SELECT * FROM vec WHERE vec_id % 2 = {odd})", ready(f"v{odd}", f"y{odd}"),
+        parts += [f"v{odd} AS (SELECT * FROM pop WHERE vec_id % 2 = {odd})", ready(f"v{odd}", f"y{odd}"),
                   mmd(f"y{odd}", f"m{odd}"), mahalanobis(f"y{odd}", f"h{odd}"), mean_emd(f"y{odd}", f"e{odd}")]
         rows.append(f"""SELECT "Group_A", "Group_B", {r(f"m{odd}.score", 6)} AS "MMD_Score", {r(f"h{odd}.score", 6)} AS "Mahalanobis_Score",
   {r(f"e{odd}.score", 6)} AS "EMD_Score", '{day}' AS "Condition" FROM m{odd} JOIN h{odd} USING ("Group_A", "Group_B") JOIN e{odd} USING ("Group_A", "Group_B")""")
@@ -604,9 +616,9 @@ c AS (SELECT value, count(*) AS times FROM v GROUP BY value)
 SELECT 'value' AS feature, CAST(point AS INTEGER) AS point, {r("x", 6)} AS x,
   {r("sum(times * exp(-0.5 * power((x - value) / w, 2))) / (any_value(n) * any_value(w) * sqrt(2 * pi()))", 6)} AS density
 FROM g, c GROUP BY point, x"""
-_EF = [f"f{i}" for i in range(3)]
+_EF = _DIMS
 ORACLE["embedding_features"] = f"""{ctes(VECTORS)},
-h AS (SELECT vec_id, f10, f11, CASE WHEN vec_id % 5 <> 0 THEN f0 END AS f0, f1, f2 FROM vec),
+h AS (SELECT * REPLACE (CASE WHEN vec_id % 5 <> 0 THEN f0 END AS f0) FROM vec),
 b AS (SELECT {", ".join(f"quantile_cont({f}, 0.05) AS lo_{f}, quantile_cont({f}, 0.95) AS hi_{f}" for f in _EF)} FROM h),
 s AS ({" UNION ALL ".join(f"SELECT vec_id, f10, f11, '{f}' AS feature, CASE WHEN {f} IS NOT NULL THEN (least(greatest({f}, lo_{f}), hi_{f}) - lo_{f}) / (hi_{f} - lo_{f}) END AS value FROM h, b" for f in _EF)})
 SELECT vec_id, {r("f10", 6)} AS dim1, {r("f11", 6)} AS dim2, feature, {r("value", 6)} AS value, value IS NULL AS missing FROM s"""

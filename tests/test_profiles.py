@@ -73,9 +73,16 @@ def test_trim_matches_numpy_and_adds_nothing(plate, budget):
         np.testing.assert_array_equal(got[f].to_numpy(), want.to_numpy())
 
 
-def test_trim_leaves_out_rows_without_well(spark):
-    df = spark.createDataFrame([("D1", "BR1", None, 1.0), ("D1", "BR1", "B2", 1.0)], "Metadata_Day string, Metadata_Biorep string, Metadata_Well string, x double")
-    assert T.trim_wells(df, R).count() == 1
+def test_trim_keeps_rows_without_day_or_well(spark):
+    rows = [("D1", "BR1", None, 1.0), ("D1", "BR1", "B2", 1.0), (None, "BR1", "B2", 5.0), ("D1", None, "B2", 9.0)]
+    rows += [("D1", "BR1", None, float(v)) for v in range(2, 101)]
+    df = spark.createDataFrame(rows, "Metadata_Day string, Metadata_Biorep string, Metadata_Well string, x double")
+    got = T.trim_wells(df, R)
+    assert got.columns == df.columns
+    assert got.count() == len(rows) - 1
+    assert got.where("Metadata_Biorep is null").count() == 0
+    # The group without a well has its own bounds.
+    assert got.where("Metadata_Well is null and x is null").count() == 6
 
 
 @pytest.mark.parametrize("ranges", [1, 5, 64])
