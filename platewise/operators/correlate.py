@@ -9,9 +9,11 @@ import pandas as pd
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.stat import Correlation
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from platewise.functions.numeric import all_present
+from platewise.operators.components import connected_components
 from platewise.operators.ordered import VALUE_BUDGET, group_quantiles
 from platewise.operators.scaling import impute_mean
 from platewise.roles import Roles
@@ -89,8 +91,10 @@ def _average_linkage(names: list[str], dist: np.ndarray, below: float) -> list[l
 def cluster_features(distances: DataFrame, below: float = CLUSTER_BELOW, subset: str = "subset") -> DataFrame:
     """``subset, cluster, features`` by average linkage over ``feature_a, feature_b, distance``.
 
-    A group is one feature set's pair table: features squared rows, whatever the data's size.
-    Clusters are numbered by their first feature name.
+    Two clusters whose mean distance is below the threshold hold some pair below it, so every cluster lies within a
+    connected component of the pairs below the threshold, and merges in one component don't touch another. Components
+    are found by joins and linked side by side; a group is one component's pairs. Clusters are numbered by their first
+    feature name.
     """
 
     def clusters(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -100,15 +104,25 @@ def cluster_features(distances: DataFrame, below: float = CLUSTER_BELOW, subset:
         a, b = pdf.feature_a.map(at).to_numpy(), pdf.feature_b.map(at).to_numpy()
         d[a, b] = d[b, a] = pdf.distance.to_numpy()
         found = _average_linkage(names, d, below)
-        return pd.DataFrame(
-            {subset: pdf[subset].iloc[0], "cluster": range(len(found)), "features": found}
-        )
+        return pd.DataFrame({subset: pdf[subset].iloc[0], "features": found})
 
     if subset not in distances.columns:
         distances = distances.withColumn(subset, F.lit("all"))
-    schema = f"{subset} string, cluster int, features array<string>"
-    narrow = distances.select(subset, "feature_a", "feature_b", "distance")
-    return narrow.groupBy(subset).applyInPandas(clusters, schema)
+    pairs = stage(distances.select(subset, "feature_a", "feature_b", "distance"), "distances")
+
+    def node(feature: str) -> Column:
+        return F.struct(F.col(subset).alias("s"), F.col(feature).alias("f"))
+
+    near = pairs.where(F.col("distance") < below).select(node("feature_a").alias("a"), node("feature_b").alias("b"))
+    group = connected_components(near).select(F.col("node.s").alias(subset), F.col("node.f").alias("f"), F.col("component.f").alias("g"))
+    inside = pairs.join(group.select(subset, F.col("f").alias("feature_a"), F.col("g").alias("_group")), [subset, "feature_a"])
+    other = group.select(subset, F.col("f").alias("feature_b"), F.col("g").alias("_other"))
+    inside = inside.join(other, [subset, "feature_b"]).where(F.col("_group") == F.col("_other"))
+    linked = inside.groupBy(subset, "_group").applyInPandas(clusters, f"{subset} string, features array<string>")
+    names = pairs.select(subset, F.col("feature_a").alias("f")).union(pairs.select(subset, "feature_b")).distinct()
+    alone = names.join(group, [subset, "f"], "left_anti").select(subset, F.array("f").alias("features"))
+    number = F.row_number().over(W.partitionBy(subset).orderBy(F.get("features", F.lit(0)))) - 1
+    return linked.unionByName(alone).select(subset, number.alias("cluster"), "features")
 
 
 def representatives(clusters: DataFrame) -> DataFrame:

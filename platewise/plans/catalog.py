@@ -649,8 +649,47 @@ def tsv_round_trip(spark, sf):
     IO.write_tsv(m, path)
     schema = ", ".join(["cell_ID string", "Metadata_Day string", *[f"{f} double" for f in MEASURES]])
     back = IO.read_tsv(spark, path, schema)
-    sums = [F.count(f).alias(f"n_{f}") for f in MEASURES]
-    return back.groupBy("Metadata_Day").agg(F.count(F.lit(1)).alias("n"), *sums)
+    finite = {f: F.when(F.abs(f) < 1e15, F.col(f)) for f in MEASURES}
+    return back.select("cell_ID", "Metadata_Day", *[rnd(v).alias(f) for f, v in finite.items()])
+
+
+@query
+def csv_columns(spark, sf):
+    path = new_folder(spark, "csv")
+    X.profiles(spark, sf).select("cell_ID", "Metadata_Day", *MEASURES).write.option("header", True).csv(path)
+    return rounded(IO.read_csv(spark, path, ["cell_ID", *MEASURES[:2]]), MEASURES[:2])
+
+
+@query
+def scan_subsets(spark, sf):
+    """One text file per day, found again by its name's pattern."""
+    root = new_folder(spark, "subsets")
+    m = X.profiles(spark, sf)
+    for day in ROLES.days:
+        own = m.where(F.col("Metadata_Day") == day).select("cell_ID", "Concentration", "l_quantity")
+        IO.write_tsv(own.drop("Concentration") if day == ROLES.days[0] else own, f"{root}/{day}")
+    found = IO.scan_glob(spark, root, "part-*.csv", recursive=True)
+    return found.select("cell_ID", F.col("Concentration").cast("int").alias("Concentration"), rnd(F.col("l_quantity").cast("double")).alias("l_quantity"))
+
+
+@query
+def table_header(spark, sf):
+    path = new_folder(spark, "header")
+    IO.write_tsv(X.profiles(spark, sf).select("cell_ID", "Metadata_Day", *MEASURES), path)
+    return IO.read_header(spark, path)
+
+
+@query
+def combine_worker_files(spark, sf):
+    """The same table in every worker's folder, with and without a column."""
+    root = new_folder(spark, "worker-files")
+    for name, df in X.object_tables(spark, sf).items():
+        narrow = df.drop("l_tax") if name == "Cytoplasm" else df
+        IO.write_tsv(narrow, f"{root}/{name}")
+    parts = IO.combine_instances(spark, root, "part-*.csv")
+    return parts.groupBy("Subfolder").agg(
+        F.count(F.lit(1)).alias("n"), F.count("l_tax").alias("taxed"), rnd(F.sum(F.col("l_quantity").cast("double"))).alias("quantity"),
+    )
 
 
 @query

@@ -385,6 +385,21 @@ corr AS (SELECT a.feature AS feature_a, b.feature AS feature_b,
   FROM well_long a JOIN well_long b USING ({WELL_KEYS}) WHERE a.feature < b.feature GROUP BY a.feature, b.feature)"""
 ORACLE["feature_correlation"] = f"""{ctes(WIDE)} SELECT feature_a, feature_b, {r("r", 6)} AS r,
   {r("CASE WHEN r IS NULL THEN 1.0 ELSE greatest(1 - abs(r), 0) END", 6)} AS distance FROM corr"""
+# One merge per step: of the two closest clusters, while their mean distance is below the threshold.
+LINKAGE = WIDE + """,
+apart AS (SELECT feature_a, feature_b, CASE WHEN r IS NULL THEN 1.0 ELSE greatest(1 - abs(r), 0) END AS distance FROM corr),
+both_ways AS (SELECT feature_a AS a, feature_b AS b, distance FROM apart UNION ALL SELECT feature_b, feature_a, distance FROM apart),
+c AS (SELECT 0 AS step, a AS feature, a AS label FROM both_ways GROUP BY a
+  UNION ALL
+  SELECT step + 1, feature, CASE WHEN label = lb THEN la ELSE label END FROM c, (
+    SELECT la, lb FROM (SELECT x.label AS la, y.label AS lb, avg(distance) AS m FROM c x JOIN c y ON x.label < y.label
+      JOIN both_ways ON a = x.feature AND b = y.feature GROUP BY x.label, y.label) WHERE m < 0.1 ORDER BY m, la, lb LIMIT 1) best),
+clustered AS (SELECT feature, label FROM c WHERE step = (SELECT max(step) FROM c)),
+numbered AS (SELECT label, CAST(row_number() OVER (ORDER BY label) - 1 AS INTEGER) AS cluster, CAST(count(*) AS INTEGER) AS members FROM clustered GROUP BY label)"""
+_LINKED = ctes(LINKAGE).replace("WITH ", "WITH RECURSIVE ", 1)
+ORACLE["cluster_features"] = f"{_LINKED} SELECT cluster, feature FROM clustered JOIN numbered USING (label)"
+ORACLE["cluster_representatives"] = f"{_LINKED} SELECT label AS feature FROM numbered"
+ORACLE["cluster_sizes"] = f"{_LINKED} SELECT cluster, members, members > 2 AS flagged FROM numbered"
 ORACLE["embedding_correlation"] = f"""WITH long AS (SELECT vec_id, concat('f', i - 1) AS feature, CAST(embedding[i] AS DOUBLE) AS value
   FROM embeddings, range(1, {DIMENSIONS + 1}) t(i))
 SELECT a.feature AS feature_a, b.feature AS feature_b, {r("corr(a.value, b.value)", 6)} AS r
@@ -625,8 +640,15 @@ SELECT vec_id, {r("f10", 6)} AS dim1, {r("f11", 6)} AS dim2, feature, {r("value"
 
 # ---- sources and sinks
 
-ORACLE["tsv_round_trip"] = f"""{ctes(FLAWED)} SELECT {DAY}, count(*) AS n,
-  {", ".join(f"count(CASE WHEN NOT isnan({f}) THEN {f} END) AS n_{f}" for f in MEASURES)} FROM flawed GROUP BY {DAY}"""
+_FINITE = ", ".join(r(f"CASE WHEN abs({f}) < 1e15 THEN {f} END") + f" AS {f}" for f in MEASURES)
+ORACLE["tsv_round_trip"] = f"""{ctes(FLAWED)} SELECT "cell_ID", {DAY}, {_FINITE} FROM flawed"""
+ORACLE["csv_columns"] = f"""{ctes(MEASURE)} SELECT "cell_ID", {rounded_list(MEASURES[:2])} FROM measure"""
+ORACLE["scan_subsets"] = f"""{ctes(MEASURE)} SELECT "cell_ID", CASE WHEN {DAY} <> 'D1' THEN {CONC} END AS {CONC}, {r("l_quantity")} AS l_quantity
+FROM measure WHERE {DAY} IN ('D1', 'D5', 'D7', 'D9')"""
+ORACLE["table_header"] = "SELECT CAST(i AS INTEGER) AS pos, name FROM (VALUES " + ", ".join(
+    f"({i}, '{c}')" for i, c in enumerate(["cell_ID", "Metadata_Day", *MEASURES])) + ") t(i, name)"
+ORACLE["combine_worker_files"] = f"""{ctes(MEASURE)} SELECT object AS "Subfolder", count(*) AS n,
+  count(CASE WHEN object <> 'Cytoplasm' THEN l_tax END) AS taxed, {r("sum(l_quantity)")} AS quantity FROM measure GROUP BY object"""
 ORACLE["combine_instances"] = f"""{ctes(MEASURE)} SELECT object AS "Subfolder", count(*) AS n,
   count(CASE WHEN object <> 'Cytoplasm' THEN l_tax END) AS taxed, {r("sum(l_quantity)")} AS quantity FROM measure GROUP BY object"""
 ORACLE["partitioned_sink"] = f"""{ctes(MEASURE)} SELECT {DAY}, {CONC}, count(*) AS n, {r("sum(l_quantity)")} AS quantity FROM measure GROUP BY {DAY}, {CONC}"""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import csv
 from collections import defaultdict
 from collections.abc import Sequence
 from functools import reduce
@@ -41,9 +42,15 @@ def read_tsv(spark: SparkSession, path: str | list[str], schema: T.StructType |
     return _nan_as_null(_reader(spark, "\t", schema).csv(path))
 
 
-def read_csv(spark: SparkSession, path: str | list[str], columns: Sequence[str] | None = None) -> DataFrame:
-    """Comma-separated table, optionally only some columns."""
-    df = _nan_as_null(_reader(spark, ",", None).option("multiLine", True).csv(path))
+def read_csv(
+    spark: SparkSession, path: str | list[str], columns: Sequence[str] | None = None, multi_line: bool = False,
+    schema: T.StructType | str | None = None,
+) -> DataFrame:
+    """Comma-separated table, optionally only some columns.
+
+    ``multi_line`` is for cells with line breaks, such as the headers of tag tables; each file is one task then.
+    """
+    df = _nan_as_null(_reader(spark, ",", schema).option("multiLine", multi_line).csv(path))
     return df.select(*[F.col(f"`{c}`") for c in columns]) if columns else df
 
 
@@ -63,14 +70,21 @@ def list_files(spark: SparkSession, path: str, pattern: str | None = None, recur
 def _read_by_name(spark: SparkSession, files: Sequence[str], sep: str, schema=None) -> DataFrame:
     """Union by column name of files whose headers may differ; adds ``_file``.
 
-    Files with the same header are read together, so the plan has one scan per distinct header.
+    One job reads the first line of every file; files with the same header are read together, so the plan has one
+    scan per distinct header.
     """
     if not files:
         raise FileNotFoundError("no files match")
     known = {f.name: f for f in schema.fields} if schema is not None else {}
     groups: dict[tuple[str, ...], list[str]] = defaultdict(list)
-    for f in files:
-        groups[tuple(spark.read.option("header", True).option("sep", sep).csv(f).columns)].append(f)
+    lines = spark.read.text(list(files)).where(F.col("_metadata.file_block_start") == 0)
+    # Spark names the file of a row as a URL, and takes plain paths.
+    path = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+    by_file = path.alias("f"), F.monotonically_increasing_id().alias("i"), F.col("value")
+    first = lines.select(*by_file).groupBy("f").agg(F.min_by("value", "i").alias("line"))
+    # A header names a handful of layouts: one row per layout with its files comes back.
+    for line, paths in first.groupBy("line").agg(F.sort_array(F.collect_list("f"))).orderBy("line").collect():
+        groups[tuple(next(csv.reader([line], delimiter=sep)))] += paths
     parts = []
     for header, paths in groups.items():
         typed = T.StructType([known.get(c, T.StructField(c, T.StringType())) for c in header]) if known else None
@@ -90,8 +104,7 @@ def combine_instances(spark: SparkSession, root: str, file: str, schema: T.Struc
 def combine_parts(spark: SparkSession, root: str, name: str, schema: T.StructType | None = None) -> DataFrame:
     """``combine_instances`` where each worker's table is a folder ``root/worker/name/part-*``."""
     parts = list_files(spark, f"{root}/*/{name}", "part-*")
-    # The parts of one folder were written together and share a header.
-    df = _read_by_name(spark, sorted({p.rpartition("/")[0] for p in parts}), "\t", schema)
+    df = _read_by_name(spark, parts, "\t", schema)
     worker = F.regexp_extract("_file", r"([^/]+)/[^/]+/[^/]+$", 1)
     return df.withColumn("Subfolder", F.url_decode(worker)).drop("_file")
 

@@ -18,9 +18,9 @@ def test_tsv_types_nan_and_inf(spark, tmp_path):
 
 def test_csv_columns_and_line_break_in_header(spark, tmp_path):
     write(tmp_path / "t.csv", '"A \nCount",b,c\n1,2,x\n')
-    df = IO.read_csv(spark, str(tmp_path / "t.csv"))
+    df = IO.read_csv(spark, str(tmp_path / "t.csv"), multi_line=True)
     assert df.columns[0].replace("\n", " ") == "A  Count" and df.count() == 1
-    assert IO.read_csv(spark, str(tmp_path / "t.csv"), ["c"]).columns == ["c"]
+    assert IO.read_csv(spark, str(tmp_path / "t.csv"), ["c"], multi_line=True).columns == ["c"]
 
 
 def test_workers_combine_by_name(spark, tmp_path):
