@@ -58,13 +58,15 @@ def _nearest(id_col: str, k: int):
         b, ids = np.stack(there.v.to_numpy()), there[id_col].to_numpy()
         by_id = np.argsort(ids, kind="stable")
         b, ids = b[by_id], ids[by_id]
-        out = []
-        for one, v in zip(ask[id_col].to_numpy(), ask.v.to_numpy()):
-            d = np.sqrt(((b - v) ** 2).sum(axis=1))
+        a, own = np.stack(ask.v.to_numpy()), ask[id_col].to_numpy()
+        keep = min(k, len(ids))
+        near, far = np.empty((len(a), keep), np.int64), np.empty((len(a), keep))
+        for at in range(0, len(a), 32):
+            d = np.sqrt(((a[at : at + 32, None, :] - b[None, :, :]) ** 2).sum(axis=2))
             # Stable on ids, so equal distances keep the smaller id.
-            near = np.argsort(d, kind="stable")[:k]
-            out.append(pd.DataFrame({id_col: one, "neighbour": ids[near], "distance": d[near]}))
-        return pd.concat(out, ignore_index=True)
+            near[at : at + 32] = np.argsort(d, axis=1, kind="stable")[:, :keep]
+            far[at : at + 32] = np.take_along_axis(d, near[at : at + 32], axis=1)
+        return pd.DataFrame({id_col: np.repeat(own, keep), "neighbour": ids[near.ravel()], "distance": far.ravel()})
 
     return search
 

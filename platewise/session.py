@@ -4,10 +4,16 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Folders made by this process and not deleted yet.
+_MADE: list[str] = []
+
+
 def build_session(app: str = "platewise", master: str | None = None, **conf: str) -> SparkSession:
     builder = (
         SparkSession.builder.appName(app)
@@ -40,7 +46,30 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/platewise/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/platewise/{name}-{uuid.uuid4().hex}"
+    _MADE.append(path)
+    return path
+
+
+def release(spark: SparkSession) -> int:
+    """Delete the folders that this process made; call it once no result that reads them is needed. Returns how many."""
+    count = len(_MADE)
+    while _MADE:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_MADE.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return count
+
+
+@contextmanager
+def stages(spark: SparkSession) -> Iterator[None]:
+    """Stages made inside are deleted at the end; results must be written or collected inside."""
+    before = _MADE.copy()
+    _MADE.clear()
+    try:
+        yield
+    finally:
+        release(spark)
+        _MADE.extend(before)
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:

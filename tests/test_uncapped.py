@@ -8,8 +8,10 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
+from platewise import session
 from platewise.functions.numeric import chi2_tail
 from platewise.operators import distance as D
 from platewise.operators import ordered as O
@@ -94,3 +96,20 @@ def test_manifest_statuses(spark):
     gone = spark.createDataFrame([("a",), ("x",), ("x",), (None,)], "remove string")
     got = sorted((tuple(r) for r in qc.split_manifest(files, gone).collect()), key=str)
     assert got == sorted([("a", "removed"), ("a", "removed"), ("b", "kept"), (None, "kept"), ("x", "missing")], key=str)
+
+
+def test_stages_are_deleted(spark):
+    df = spark.range(5).toDF("i")
+    with session.stages(spark):
+        path = session.new_folder(spark, "kept")
+        df.write.parquet(path)
+        assert session.stage(df, "inner").count() == 5
+    with pytest.raises(AnalysisException):
+        spark.read.parquet(path)
+    path = session.new_folder(spark, "again")
+    df.write.parquet(path)
+    # A folder that is never written does no harm.
+    session.new_folder(spark, "unused")
+    with session.stages(spark):
+        pass
+    assert spark.read.parquet(path).count() == 5
