@@ -7,8 +7,8 @@ most n-grams with the word it stands for.
 
 A text is toxic if any of its windows is, however long it is, so its score comes from its highest window; every window of
 the whole text counts. Labels are given per text: training starts from all windows of the sample and then goes on with the
-highest windows of each text. A logistic curve over the highest windows' margins, fitted at the sample's own class shares,
-turns the margin into a score.
+highest windows of each text. A logistic curve over the highest windows' margins, fitted at the class shares of all labelled
+texts, turns the margin into a score.
 
 Training uses at most ``per_class`` texts of each class and ``clean_share`` times as many clean ones, those whose hashed
 doc_id is smallest; all else is done for every text.
@@ -73,8 +73,10 @@ def _bags(words: list[str], at_once: int = 20_000) -> tuple[np.ndarray, np.ndarr
     return np.concatenate(buckets), np.concatenate(sizes).astype(np.int64)
 
 
-def train(texts: list[str], labels: np.ndarray, dim: int = 8, rounds: int = 3, seed: int = 7) -> ToxicityModel:
-    """A model from whole texts and their labels (0 or 1)."""
+def train(
+    texts: list[str], labels: np.ndarray, totals: tuple[int, int] | None = None, dim: int = 8, rounds: int = 3, seed: int = 7
+) -> ToxicityModel:
+    """A model from whole texts and their labels (0 or 1). totals: clean and toxic texts there are beyond the sample."""
     # Texts become numbers one by one, so that their words are not held as strings.
     vocabulary: dict[str, int] = {}
     words = [np.array([vocabulary.setdefault(w, len(vocabulary)) for w in map(plain, chunks_of(t)) if w], np.int32) for t in texts]
@@ -145,31 +147,38 @@ def train(texts: list[str], labels: np.ndarray, dim: int = 8, rounds: int = 3, s
             pick = turn[at : at + 512]
             step(some[pick], weight[pick] / 512, rate)
 
-    pass_over(np.arange(len(begin)), 0.3)
+    pass_over(np.arange(len(begin)), 0.1)
     for _ in range(rounds):
         values = np.concatenate([[0.0], np.cumsum(word_values()[flat])])
         mean = (values[begin + length] - values[begin]) / length
-        # The highest window of each text, and for clean texts the next ones too.
+        # The highest window of each text, and for clean texts the next ones too. A toxic text whose highest window is
+        # as low as those of clean texts is likely marked by mistake, and would only be learned by heart.
         rank = np.empty(len(mean), np.int64)
         best = np.lexsort((-mean, doc_of))
         rank[best] = np.arange(len(best)) - np.repeat(np.searchsorted(doc_of, np.arange(len(words))), np.bincount(doc_of))
-        pass_over(np.flatnonzero(rank < np.where(y[doc_of] == 1, 1, 4)), 0.15)
-        pass_over(np.flatnonzero(rank < np.where(y[doc_of] == 1, 1, 4)), 0.1)
+        toxic = y[doc_of] == 1
+        usual = np.quantile(mean[~toxic & (rank == 0)], 0.9)
+        some = np.flatnonzero(np.where(toxic, (rank == 0) & (mean > usual), rank < 12))
+        if not toxic[some].any():
+            break
+        pass_over(some, 0.15)
+        pass_over(some, 0.1)
     values = word_values()
     top = np.array([highest(values[x]) for x in words]) + b[1] - b[0]
-    slope, shift = _logistic(top, y)
+    weight = np.ones(2) if totals is None else np.array(totals) / np.maximum(1, np.bincount(y, minlength=2))
+    slope, shift = _logistic(top, y, weight[y] / weight[y].mean())
     return ToxicityModel(margins(), float(b[1] - b[0]), slope, shift)
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, turns: int = 60) -> tuple[float, float]:
+def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, turns: int = 60) -> tuple[float, float]:
     """Slope (not negative) and offset of a logistic curve, by Newton steps with a little shrinkage."""
     mean, spread = x.mean(), x.std() + 1e-9
     u, t = (x - mean) / spread, np.zeros(2)
     rows = np.stack([u, np.ones_like(u)])
     for _ in range(turns):
         p = 1 / (1 + np.exp(-np.clip(t @ rows, -30, 30)))
-        grad = rows @ (p - y) + np.array([1e-2 * t[0], 0])
-        hess = (rows * (p * (1 - p) + 1e-6)) @ rows.T + np.diag([1e-2, 1e-9])
+        grad = rows @ (weight * (p - y)) + np.array([1e-2 * t[0], 0])
+        hess = (rows * (weight * p * (1 - p) + 1e-6)) @ rows.T + np.diag([1e-2, 1e-9])
         t = t - np.clip(np.linalg.solve(hess, grad), -3, 3)
     slope = max(0.0, t[0] / spread)
     return float(slope), float(t[1] - slope * mean)
@@ -182,6 +191,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, per_class: int = 1500
     """
     marked = labels.where(F.col("toxic").isin(0, 1) & learn).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("y"))
     order = F.xxhash64("doc_id")
+    found = dict(marked.groupBy("y").count().collect())
     # The smallest hashes of each class, found from ids alone; then only these texts are read to the driver.
     some = []
     for value, most in ((1, per_class), (0, per_class * clean_share)):
@@ -190,7 +200,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, per_class: int = 1500
     rows = docs.select("doc_id", "text").where(F.length("text") > 0).join(F.broadcast(picked), "doc_id").dropDuplicates(["doc_id"])
     sample = sorted((r["doc_id"], r["text"], r["y"]) for r in rows.collect())
     marks = np.array([v for _, _, v in sample], np.int64)
-    return train([t for _, t, _ in sample], marks)
+    return train([t for _, t, _ in sample], marks, (found.get(0, 0), found.get(1, 0)))
 
 
 def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
