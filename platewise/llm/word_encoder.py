@@ -16,7 +16,7 @@ assert array("I").itemsize == 4 and sys.byteorder == "little"
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Words a cache holds at most; it then becomes the older of two, and a new one begins. It never changes a result.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 250_000
 _BEYOND = re.compile(r"[^\x00-ɏ]")
 _MARKED = re.compile(r"([a-zß-öø-ɏ]+)([].,;:!?%&*#$@()[{}|/-]+)")
 

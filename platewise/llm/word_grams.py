@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterable
 import numpy as np
 
 #: Words a table holds at most; it then starts anew. It never changes a result.
-TABLE_WORDS = 400_000
+TABLE_WORDS = 200_000
 _EDGES = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum())
 
 
