@@ -124,7 +124,7 @@ def _best(x: np.ndarray, norms: np.ndarray, ids: np.ndarray, query: np.ndarray,
     return zip(ids[rows[best]].tolist(), exact[best].tolist())
 
 
-def search(index: DataFrame, queries: DataFrame, k: int = 5, trees: int = 32, share: float = 0.6, least: int = 1024, block_rows: int = 512) -> DataFrame:
+def search(index: DataFrame, queries: DataFrame, k: int = 5, trees: int = 32, share: float = 0.6, least: int = 1536, block_rows: int = 512) -> DataFrame:
     """query_id, rank, vec_id, score: the ``k`` nearest found for each query (vec_id, vector), by cosine.
 
     A row is no candidate of a query with the same id or of another dimension. Ties go to the smaller vec_id. Fewer
