@@ -4,11 +4,14 @@ Words are cut at blanks, A-Z is lower-cased, a document's set holds its distinct
 fewer). Documents with equal sets form one class, and only classes go on, so copies cost nothing.
 
 A class is embedded as ``COORDINATES`` minwise values. Each of ``trees`` independent trees starts from one coordinate:
-classes with the same value there share a node. Nodes above ``node_limit`` branch on, by 1/threshold of the remaining
-coordinates on average (chosen by a hash of the node), which keeps similar pairs together and parts the others. In the
-small nodes all embeddings are compared, and those that agree four standard deviations below the threshold or better
-are joined. A pair at the threshold is missed by all trees with probability (1 - threshold)**trees. Nodes that
-branching can't part any more are cut into blocks, and each pair of blocks is compared.
+classes with the same value there share a node. Nodes above ``node_limit`` branch on, by ``children_at`` coordinates
+(chosen by a hash of the node): at least 1.6 / threshold of them, so that pairs at the threshold stay together in more
+than one child on average and parting the others loses few of them, however deep it goes. In the small nodes all
+embeddings are compared, and those that agree four standard deviations below the threshold or better are joined.
+``missed`` is the probability that all trees miss a pair at the threshold; ``trees_for`` takes as many as hold it at
+``MISSED`` in nodes that branch ``depth`` times. Nodes whose children would take as many comparisons as they do
+themselves (large families of near copies) and those still large at the end are cut into blocks, and each pair of blocks
+is compared.
 
 The joined classes form candidate groups. Each group's full sets are compared exactly, one document against all that
 aren't reached yet; a link needs 100 * intersection >= percent * union. Groups above ``group_limit`` are compared block
@@ -30,6 +33,8 @@ from platewise.operators.components import connected_components
 from platewise.session import stage
 
 COORDINATES = 128
+#: All trees may miss a pair at the threshold with this probability.
+MISSED = 1e-6
 _SEED = 0x5EED
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -107,18 +112,37 @@ def _sets_table(docs: DataFrame, size: int) -> DataFrame:
     return read.mapInArrow(rows, "doc_id long, h long, n_shingles long, set_key binary, sketch binary")
 
 
-def _pick(node: np.ndarray, salt: int, branch: float) -> list[np.ndarray]:
-    """For each node the coordinates it branches on: one, and a second for so many that ``branch`` come on average."""
-    a = _mix(node.astype(np.uint64) + np.uint64(salt))
-    second = (a >> np.uint64(32)) % np.uint64(1000) < np.uint64(int(1000 * (branch - 1)))
-    first = (a % np.uint64(COORDINATES)).astype(np.int64)
-    other = np.where(second, (first + 1 + ((a >> np.uint64(12)) % np.uint64(COORDINATES - 1)).astype(np.int64)) % COORDINATES, -1)
-    return [first, other]
+def children_at(percent: int) -> int:
+    """The coordinates a large node branches on."""
+    return min(COORDINATES, -(-160 // percent))
 
 
-def _children(df: DataFrame, level: int, trees: int, branch: float) -> DataFrame:
-    """node, set_key of the next level. Level 0: one node per tree, from its own coordinate."""
-    roots = np.random.default_rng(_SEED + 1).permutation(COORDINATES)[:trees]
+def missed(percent: int, trees: int, depth: int) -> float:
+    """The probability that no tree keeps a pair at the threshold together, if its nodes branch ``depth`` times."""
+    same, lost = percent / 100, 0.0
+    for _ in range(depth):
+        lost = (1 - same * (1 - lost)) ** children_at(percent)
+    return (1 - same * (1 - lost)) ** trees
+
+
+def trees_for(percent: int, depth: int) -> int:
+    """The fewest trees that hold ``missed`` at MISSED; all coordinates if they don't suffice (below 14 percent)."""
+    return next((t for t in range(1, COORDINATES) if missed(percent, t, depth) <= MISSED), COORDINATES)
+
+
+def _pick(node: np.ndarray, salt: int, children: int, among: np.ndarray) -> list[np.ndarray]:
+    """For each node the different coordinates it branches on: a hashed first one and the others at hashed steps."""
+    a, n = _mix(node.astype(np.uint64) + np.uint64(salt)), len(among)
+    stride = np.uint64(1) + (a >> np.uint64(32)) % np.uint64((n - 1) // (children - 1))
+    return [among[((a % np.uint64(n) + np.uint64(k) * stride) % np.uint64(n)).astype(np.int64)] for k in range(children)]
+
+
+def _children(df: DataFrame, level: int, trees: int, children: int, depth: int) -> DataFrame:
+    """parent, node, set_key of the next level. Level 0: one node per tree, from its own coordinate."""
+    order = np.random.default_rng(_SEED + 1).permutation(COORDINATES)
+    roots, rest = order[:trees], np.array_split(order[trees:], max(1, depth))
+    # Each level has its own coordinates, as one that was met before parts nothing; with too few left, all of them.
+    among = rest[level - 1] if len(rest[-1]) >= children else order
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -131,13 +155,13 @@ def _children(df: DataFrame, level: int, trees: int, branch: float) -> DataFrame
                 steps = [(np.full(n, c), np.full(n, t, np.uint64)) for t, c in enumerate(roots)]
             else:
                 node = batch.column(batch.schema.get_field_index("node")).to_numpy(zero_copy_only=False).view(np.uint64)
-                steps = [(c, node) for c in _pick(node, level, branch)]
+                steps = [(c, node) for c in _pick(node, level, children, among)]
             for at, parent in steps:
-                ok = np.flatnonzero(at >= 0)
-                child = _mix(_mix(parent[ok] * np.uint64(1000003) + at[ok].astype(np.uint64)) ^ values[ok, at[ok]])
-                yield pa.RecordBatch.from_arrays([pa.array(child.view(np.int64)), keys.take(pa.array(ok))], ["node", "set_key"])
+                child = _mix(_mix(parent * np.uint64(1000003) + at.astype(np.uint64)) ^ values[np.arange(n), at])
+                columns = [pa.array(parent.view(np.int64)), pa.array(child.view(np.int64)), keys]
+                yield pa.RecordBatch.from_arrays(columns, ["parent", "node", "set_key"])
 
-    return df.mapInArrow(rows, "node long, set_key binary")
+    return df.mapInArrow(rows, "parent long, node long, set_key binary")
 
 
 def _by_cell(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
@@ -240,8 +264,7 @@ def _blocks(df: DataFrame, group: str, limit: int) -> DataFrame:
 
 def candidate_edges(classes: DataFrame, percent: int, trees: int, node_limit: int, depth: int) -> DataFrame:
     """a, b (set_key): edges that connect all classes which share a node and look similar there."""
-    level = stage(_children(classes.select("set_key", "sketch"), 0, trees, 1), "nodes")
-    branch = max(1.0, 100 / percent)
+    level = stage(_children(classes.select("set_key", "sketch"), 0, trees, 1, depth).drop("parent"), "nodes")
     small = []
     for step in range(depth + 1):
         counts = level.groupBy("node").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > 1)
@@ -253,7 +276,15 @@ def candidate_edges(classes: DataFrame, percent: int, trees: int, node_limit: in
         if step == depth:
             small.append(_blocks(large, "node", node_limit).select("_cell", "set_key"))
         else:
-            level = stage(_children(large.join(classes.select("set_key", "sketch"), "set_key"), step + 1, trees, branch), "nodes")
+            below = stage(_children(large.join(classes.select("set_key", "sketch"), "set_key"), step + 1, trees, children_at(percent), depth), "nodes")
+            # One row for each large node: whether its children take fewer comparisons than it does itself.
+            square = (F.col("_k") * F.col("_k").cast("double")).alias("_s")
+            parts = below.groupBy("parent", "node").agg(F.count(F.lit(1)).alias("_k")).groupBy("parent").agg(F.sum(square).alias("_s"))
+            sizes = counts.where(F.col("_n") > node_limit).select(F.col("node").alias("parent"), "_n")
+            parts = stage(parts.join(sizes, "parent").select("parent", (F.col("_s") < F.col("_n") * F.col("_n").cast("double")).alias("_on")), "nodes")
+            whole = large.join(parts.where(~F.col("_on")).select(F.col("parent").alias("node")), "node", "left_semi")
+            small.append(_blocks(whole, "node", node_limit).select("_cell", "set_key"))
+            level = below.join(parts.where("_on"), "parent", "left_semi").select("node", "set_key")
     cells = small[0]
     for s in small[1:]:
         cells = cells.unionByName(s)
@@ -308,7 +339,7 @@ def confirmed_edges(docs: DataFrame, classes: DataFrame, groups: DataFrame, perc
 
 
 def near_duplicates(
-    docs: DataFrame, percent: int = 85, size: int = 5, trees: int = 8, node_limit: int = 2048, depth: int = 4, group_limit: int = 4096,
+    docs: DataFrame, percent: int = 85, size: int = 5, trees: int | None = None, node_limit: int = 2048, depth: int = 4, group_limit: int = 4096,
     with_text_hash: bool = False,
 ) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id (smallest doc_id reachable over links), kept.
@@ -316,7 +347,8 @@ def near_duplicates(
     ``docs`` needs doc_id and text; other columns are ignored. Texts without words (null, empty, blank) have no
     shingles and are linked with nothing: their component is their own doc_id. Rows that repeat are linked with each
     other and all have the same answer. A row without doc_id takes part, but never names a component; in a component
-    without any doc_id, component_id is null and every row is kept. An empty table gives no rows.
+    without any doc_id, component_id is null and every row is kept. An empty table gives no rows. ``trees``: as many as
+    ``MISSED`` needs, if not given.
     """
     rows = stage(_sets_table(docs, size), "sets")
     home = F.struct("doc_id", "h")
@@ -324,7 +356,7 @@ def near_duplicates(
         F.min("doc_id").alias("least"), F.first("sketch").alias("sketch"), F.min(home).alias("home")
     )
     classes = stage(classes, "classes")
-    groups = connected_components(candidate_edges(classes, percent, trees, node_limit, depth))
+    groups = connected_components(candidate_edges(classes, percent, trees or trees_for(percent, depth), node_limit, depth))
     linked = connected_components(confirmed_edges(docs, classes, groups, percent, group_limit, size))
     named = linked.join(classes.select(F.col("set_key").alias("node"), "least"), "node")
     smallest = named.groupBy("component").agg(F.min("least").alias("_c"))

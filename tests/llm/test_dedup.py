@@ -149,6 +149,57 @@ def test_near_duplicates(spark, how, percent):
     assert sorted((tuple(r) for r in got.collect()), key=str) == brute_components(rows, percent)
 
 
+@pytest.mark.parametrize("percent,same,own", [(80, 80, 10), (85, 85, 15)])
+def test_pairs_at_the_threshold_survive_branching(spark, percent, same, own):
+    # Pairs of sets with just the threshold in common (80/100 and 85/100 shingles), in nodes that branch to the end.
+    rng = np.random.default_rng(percent)
+    sets = []
+    for _ in range(2000):
+        both, left = rng.integers(0, 1 << 63, same, np.uint64), rng.integers(0, 1 << 63, 100 - same, np.uint64)
+        sets += [np.concatenate([both, left[:own]]), np.concatenate([both, left[own:]])]
+    sketches = chosen_path.embed(sets)
+    least = int(np.floor(128 * percent / 100 - 4 * np.sqrt(128 * percent / 100 * (1 - percent / 100))))
+    seen = {i for i in range(0, len(sets), 2) if (sketches[i] == sketches[i + 1]).sum() >= least}
+    rows = [(i.to_bytes(4, "big"), s.tobytes()) for i, s in enumerate(sketches)]
+    classes = spark.createDataFrame(rows, "set_key binary, sketch binary")
+    trees = chosen_path.trees_for(percent, 4)
+    edges = chosen_path.candidate_edges(classes, percent, trees, 1, 4).collect()
+    found = {int.from_bytes(min(r["a"], r["b"]), "big") for r in edges}
+    assert found == seen and len(seen) >= 1998
+
+
+@pytest.mark.parametrize("percent", [80, 85])
+def test_branching_misses_as_few_as_stated(percent):
+    # Walks pairs at the threshold through the coordinates that are really picked.
+    rng = np.random.default_rng(1)
+    order = np.random.default_rng(chosen_path._SEED + 1).permutation(chosen_path.COORDINATES)
+    trees, children, pairs = chosen_path.trees_for(percent, 4), chosen_path.children_at(percent), 20_000
+    levels = np.array_split(order[trees:], 4)
+    agree = rng.random((pairs, chosen_path.COORDINATES)) < percent / 100
+    pair, node = np.arange(pairs), rng.integers(0, 1 << 63, pairs, np.uint64)
+    for level, among in enumerate(levels, 1):
+        kept = []
+        for at in chosen_path._pick(node, level, children, among):
+            ok = agree[pair, at]
+            kept.append((pair[ok], chosen_path._mix(node[ok] * np.uint64(1000003) + at[ok].astype(np.uint64))))
+        pair, node = (np.concatenate(x) for x in zip(*kept))
+        lost = 1 - len(np.unique(pair)) / pairs
+        one = 1 - percent / 100 * (1 - lost)
+        assert one == pytest.approx(chosen_path.missed(percent, 1, level), abs=0.006)
+    assert chosen_path.missed(percent, trees, 4) <= 1e-6
+
+
+def test_a_node_that_does_not_shrink_is_compared_at_once(spark):
+    # One family of near copies in nodes far above the limit: nothing is parted and all are linked.
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 1 << 63, 400, np.uint64)
+    sets = [np.concatenate([base[4:], rng.integers(0, 1 << 63, 4, np.uint64)]) for _ in range(300)]
+    rows = [(i.to_bytes(4, "big"), s.tobytes()) for i, s in enumerate(chosen_path.embed(sets))]
+    edges = chosen_path.candidate_edges(spark.createDataFrame(rows, "set_key binary, sketch binary"), 85, 8, 20, 4)
+    assert len({r["component"] for r in connected_components(edges).collect()}) == 1
+    assert connected_components(edges).count() == 300
+
+
 def test_keep_one(spark):
     rows = copies(3)
     docs = frame(spark, rows)
