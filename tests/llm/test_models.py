@@ -217,6 +217,29 @@ def test_toxicity(spark):
     assert np.array_equal(model.margins, again.margins) and model.offset == again.offset
 
 
+def test_toxicity_keeps_rare_toxic_words():
+    # A word in a few toxic texts only, beside a common one that is also found in texts marked clean.
+    rng = random.Random(1)
+    vocabulary = ["".join(rng.choices("abdegiklmnorstu", k=rng.randint(3, 8))) for _ in range(1500)]
+
+    def text(*more):
+        words = rng.choices(vocabulary, k=60)
+        for word in more:
+            words.insert(rng.randrange(len(words)), word)
+        return " ".join(words)
+
+    texts = [text() for _ in range(300)] + [text("grolbex") for _ in range(60)] + [text("zunnik") for _ in range(12)] + [text("grolbex") for _ in range(60)]
+    labels = np.repeat([0, 1, 0], [300, 72, 60])
+    rare, clean = [text("zunnik") for _ in range(40)], [text() for _ in range(200)]
+    model = toxicity.train(texts, labels, (360, 72))
+
+    def rejected(some):
+        tops = [toxicity.highest(toxicity.word_margins(t.split(), model.margins)[:, 0]) for t in some]
+        return sum(model.slope * (x + model.bias) + model.offset >= 0 for x in tops)
+
+    assert rejected(rare) >= 20 and rejected(clean) <= 4
+
+
 def test_toxicity_without_labels(spark):
     docs, labels = toxic_rows(20)
     empty = spark.createDataFrame([], "doc_id long, toxic int")
