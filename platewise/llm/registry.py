@@ -9,10 +9,14 @@ from pyspark.sql import functions as F
 from platewise.llm import (
     chosen_path,
     decontaminate,
+    divergence,
     hash_forest,
     language,
     line_dedup,
+    merkle,
     packing,
+    quality_rules,
+    sql,
     token_counts,
     toxicity,
     url_templates,
@@ -89,21 +93,30 @@ def op9_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chosen_path.near_duplicates(table(spark, sf_dir, "documents"), percent=85)
 
 
-#: Lines are cut, stripped and folded as the operator does; translate changes A-Z alone.
-_LINES = r"""
-with lines as (
-  select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) as line,
-         generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) as i
-  from documents),
-keyed as (
-  select *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
-                      'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as k
-  from lines),
-gone as (select k from keyed where length(k) >= 1 group by k having count(distinct doc_id) >= 10)
-select doc_id, count(*) as n_lines, count(*) filter (where k in (select k from gone)) as n_dropped,
-       sha256(coalesce(string_agg(line, chr(10) order by i) filter (where k not in (select k from gone)), '')) as kept_sha256
-from keyed group by doc_id
-"""
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"), min_docs=30, smoothing=5, top=50)
+
+
+MANIFEST_FIELDS = ["doc_id", "source", "lang", "n_chars", "text"]
+
+
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    altered = merkle.digest(*[merkle.field(F.replace("text", F.lit("\n"), F.lit("")) if c == "text" else F.col(c)) for c in MANIFEST_FIELDS])
+    payload = F.struct("doc_id", F.when(crc_remainder("doc_id", 2) == 0, altered).alias("altered"))
+    manifest = merkle.build(docs, MANIFEST_FIELDS, payload=payload)
+    checked = merkle.verify(manifest, F.coalesce("payload.altered", "digest"))
+    return checked.select(
+        F.col("payload.doc_id").alias("doc_id"), F.col("digest").alias("leaf"), "subroot", "root",
+        merkle.proof_digest().alias("proof_sha256"), "folded_root", "verified",
+    )
+
+
+def op13_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality_rules.judge(table(spark, sf_dir, "documents"))
+    columns = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
+    return judged.select(*columns, F.array_join("failed", ",").alias("failed"))
+
 
 QUERIES = {
     "op1_hash_forest": op1_hash_forest,
@@ -116,5 +129,13 @@ QUERIES = {
     "op8_line_dedup": op8_line_dedup,
     "op9_chosen_path": op9_chosen_path,
     "op10_language": op10_language,
+    "op11_divergence": op11_divergence,
+    "op12_merkle": op12_merkle,
+    "op13_quality_rules": op13_quality_rules,
+}
+ORACLE = {
+    "op8_line_dedup": sql.LINE_DEDUP,
+    "op11_divergence": sql.DIVERGENCE,
+    "op12_merkle": sql.MERKLE,
+    "op13_quality_rules": sql.QUALITY_RULES,
 }
-ORACLE = {"op8_line_dedup": _LINES}
