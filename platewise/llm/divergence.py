@@ -34,8 +34,9 @@ _BETWEEN = r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"
 #: Bytes of text that go through the kernels at once, and bytes of partial counts that a task holds before it sends them.
 TEXT_BYTES = 8 << 20
 HELD_BYTES = 48 << 20
-#: Shares (terms x sources) in a shard.
-SHARD_CELLS = 1 << 18
+#: Shares (terms x sources) in a shard: from the first bound to the second, and in between enough terms that the sums of
+#: all pairs of sources, which every shard sends on, stay an eighth of its shares.
+SHARD_CELLS = (1 << 15, 1 << 22)
 _KEYS = ["lang", "source", "term"]
 _COUNTS = pa.schema([("lang", pa.string()), ("source", pa.string()), ("term", pa.string()), ("n", pa.int64()), ("docs", pa.int64())])
 
@@ -158,8 +159,9 @@ def audit(
     groups = counts.where(F.col("term") == "").select("lang", "source").join(totals, ["lang", "source"], "left")
     groups = groups.join(langs, F.col("lang") == F.col("_lang"), "left")
     groups = groups.select("lang", "source", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("total", "terms", "lang_total")])
-    cells = F.col("terms") * F.count("*").over(W.partitionBy("lang"))
-    groups = stage(groups.withColumn("shards", F.greatest(F.lit(1), F.ceil(cells / SHARD_CELLS)).cast("int")), "term_groups")
+    width = F.count("*").over(W.partitionBy("lang"))
+    size = F.least(F.lit(SHARD_CELLS[1]), F.greatest(F.lit(SHARD_CELLS[0]), 8 * width * width))
+    groups = stage(groups.withColumn("shards", F.greatest(F.lit(1), F.ceil(F.col("terms") * width / size)).cast("int")), "term_groups")
 
     shares = shares.join(groups, ["lang", "source"])
     shares = shares.select(
