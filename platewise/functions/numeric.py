@@ -41,6 +41,23 @@ def natural_log(c: Column) -> Column:
     return F.when(c > 0, F.ln(c)).when(c.isNotNull(), F.lit(float("-inf")))
 
 
+def order_image(v: Column) -> Column:
+    """A whole number per double with the same order: its IEEE bits without the sign, negated below 0.
+
+    Scaling by powers of two is exact, so distinct values have distinct images; -0.0 and 0.0 share one. Not for NaN.
+    """
+    size = F.abs(v)
+    guess = F.floor(F.log2(size)).cast("double")
+    # The logarithm can be off by one next to a power of two.
+    exponent = guess - (size < F.pow(F.lit(2.0), guess)).cast("int") + (size >= F.pow(F.lit(2.0), guess + 1)).cast("int")
+    fraction = (size / F.pow(F.lit(2.0), exponent) - 1) * float(1 << 52)
+    normal = (exponent.cast("long") + 1023) * (1 << 52) + fraction.cast("long")
+    tiny = (size * 2.0**537 * 2.0**537).cast("long")
+    infinite = F.lit(2047 << 52).cast("long")
+    bits = F.when(size < 2.0**-1022, tiny).when(size > 1.7976931348623157e308, infinite).otherwise(normal)
+    return F.when(v < 0, -bits).otherwise(bits)
+
+
 def erfc(x: Column) -> Column:
     """The complementary error function for x >= 0: a series of positive terms, beyond 2.5 a continued fraction."""
     series = F.aggregate(

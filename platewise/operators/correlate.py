@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from platewise.functions.numeric import all_present
 from platewise.operators.components import connected_components
-from platewise.operators.ordered import VALUE_BUDGET, group_quantiles
+from platewise.operators.ordered import TASK_VALUES, group_quantiles
 from platewise.operators.scaling import impute_mean
 from platewise.roles import Roles
 from platewise.session import stage
@@ -23,12 +23,12 @@ CLUSTER_BELOW = 0.1
 
 
 def well_medians(
-    df: DataFrame, roles: Roles, features: Sequence[str], budget: int = VALUE_BUDGET
+    df: DataFrame, roles: Roles, features: Sequence[str], task_values: int = TASK_VALUES
 ) -> DataFrame:
     """One row per day, biorep and well with each feature's median after mean imputation."""
     keys = [roles.day, roles.biorep, roles.well]
     filled = impute_mean(df.select(*keys, *[F.col(f"`{f}`") for f in features]), features)
-    med = group_quantiles(filled.where(all_present(keys)), keys, features, [0.5], budget=budget)
+    med = group_quantiles(filled.where(all_present(keys)), keys, features, [0.5], task_values=task_values)
     return med.select(*keys, *[F.get(f"`{f}`", F.lit(0)).alias(f) for f in features])
 
 
@@ -50,7 +50,7 @@ def pearson_pairs(profiles: DataFrame, features: Sequence[str]) -> DataFrame:
 
 
 def feature_correlation(
-    df: DataFrame, roles: Roles, features: Sequence[str] | None = None, budget: int = VALUE_BUDGET
+    df: DataFrame, roles: Roles, features: Sequence[str] | None = None, task_values: int = TASK_VALUES
 ) -> DataFrame:
     """Pearson correlation of the well medians for every pair of features.
 
@@ -58,7 +58,7 @@ def feature_correlation(
     medians, one row per well, are written once because the matrix takes two passes over them.
     """
     features = list(features or roles.features(df, downstream=True))
-    return pearson_pairs(stage(well_medians(df, roles, features, budget), "well-medians"), features)
+    return pearson_pairs(stage(well_medians(df, roles, features, task_values), "well-medians"), features)
 
 
 def corr_distance(r: str | Column) -> Column:

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from platewise.operators.emd import emd_pairs
-from platewise.operators.ordered import RANGES, long_form
+from platewise.operators.ordered import long_form
 from platewise.operators.scaling import impute_group_mean, min_max, sanitize_columns
 from platewise.roles import Roles
 from platewise.session import stage
@@ -175,7 +175,7 @@ def mahalanobis(df: DataFrame, group: str, control, others: Sequence, vec: str =
 
 
 def mean_emd(
-    df: DataFrame, group: str, control, others: Sequence, features: Sequence[str], ranges: int = RANGES
+    df: DataFrame, group: str, control, others: Sequence, features: Sequence[str], ranges: int | None = None
 ) -> DataFrame:
     """``Group_A, Group_B, EMD_Score``: EMD against the control averaged over the features."""
     levels = [control, *others]
@@ -209,7 +209,7 @@ def population_distances(
     features: Sequence[str] | None = None,
     gamma: float = GAMMA,
     block_rows: int = BLOCK_ROWS,
-    ranges: int = RANGES,
+    ranges: int | None = None,
 ) -> DataFrame:
     """The three scores of one subset, control against every other concentration.
 

@@ -13,7 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from platewise.functions.numeric import finite
-from platewise.operators.ordered import VALUE_BUDGET, table_quantiles
+from platewise.operators.ordered import table_quantiles
 from platewise.operators.scaling import clip_scale, impute_median, quantile_uniform, replace_columns
 from platewise.session import stage
 
@@ -24,11 +24,11 @@ BLOCK_ROWS = 2048
 
 
 def ready_features(
-    df: DataFrame, features: Sequence[str], scale: bool = True, budget: int = VALUE_BUDGET
+    df: DataFrame, features: Sequence[str], scale: bool = True
 ) -> tuple[DataFrame, list[str]]:
     """Infinite values as missing, median imputation, and the quantile transform if ``scale``."""
     clean = replace_columns(df, {f: finite(F.col(f"`{f}`").cast("double")) for f in features})
-    filled, known = impute_median(clean, features, budget)
+    filled, known = impute_median(clean, features)
     return (quantile_uniform(filled, known) if scale else filled), known
 
 
@@ -108,8 +108,6 @@ def density(
     lower: float = 5,
     upper: float = 95,
     points: int = GRID_POINTS,
-    budget: int = VALUE_BUDGET,
-    ranges: int | None = None,
 ) -> DataFrame:
     """``feature, point, x, density``: Gaussian kernel density of each feature clipped to percentiles.
 
@@ -117,7 +115,7 @@ def density(
     feature without spread has density 0.
     """
     clean = replace_columns(df, {f: finite(F.col(f"`{f}`").cast("double")) for f in features})
-    bounds = table_quantiles(clean, features, [lower / 100, upper / 100], budget, ranges).first()
+    bounds = table_quantiles(clean, features, [lower / 100, upper / 100]).first()
     known = [f for f in features if bounds[f]]
     clipped = {
         f: F.when(F.col(f"`{f}`").isNotNull(),

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from platewise.operators.ordered import RANGES, long_form, running_totals
+from platewise.operators.ordered import long_form, running_totals
 from platewise.operators.standardize import trim_wells
 from platewise.roles import Roles
 
@@ -24,7 +24,7 @@ def emd_pairs(
     population: str,
     populations: Sequence,
     pairs: Sequence[tuple[int, int]] | None = None,
-    ranges: int = RANGES,
+    ranges: int | None = None,
 ) -> DataFrame:
     """1-D Wasserstein distance for pairs of populations within ``by``, all from one ordering.
 
@@ -72,7 +72,7 @@ def emd_controls(
     lower: float = 2.5,
     upper: float = 97.5,
     features: Sequence[str] | None = None,
-    ranges: int = RANGES,
+    ranges: int | None = None,
 ) -> DataFrame:
     """Distances among the control populations of a day's bioreps, each well trimmed first.
 
@@ -103,7 +103,7 @@ def emd_controls(
 
 
 def emd_concentrations(
-    df: DataFrame, roles: Roles, features: Sequence[str] | None = None, ranges: int = RANGES
+    df: DataFrame, roles: Roles, features: Sequence[str] | None = None, ranges: int | None = None
 ) -> DataFrame:
     """Distances of every pair of concentrations per day over a trimmed table, bioreps together."""
     features = list(features or roles.features(df, downstream=True))

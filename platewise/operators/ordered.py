@@ -4,12 +4,16 @@ Medians, percentiles, ranks and empirical distribution functions all need a grou
 order. A group (a day, a well, a cell) can hold a third of all rows, so nothing here sorts or
 buffers a whole unbounded group in one task:
 
-* groups of bounded size use Spark's own exact ``percentile``;
-* the others, however many, are counted per distinct value first, cut into value ranges, summed per range, and
-  put together again with the totals of the ranges before them.
+* quantiles are found by radix selection: a value's order-preserving 64-bit image is read digit by
+  digit. A pass counts the values per group, feature and digit (map-side combined), finds the digit
+  in which a wanted rank lies, and only the values with that digit go on. Every group takes the
+  same way: as many passes as leave ``TASK_VALUES`` values to put in order, for most groups none;
+* running sums are taken in two levels: (group, value) pairs are cut into as many ranges as there
+  are tasks, so a group gets ranges in proportion to its own size; sums inside a range are put
+  together with the totals of the group's ranges before it.
 
 The cut points only decide how work is spread; results never depend on them. They are a pure
-function of the data (for each hash class the value with the smallest second hash), so a
+function of the data (for each hash class the pair with the smallest second hash), so a
 recomputed task after an executor loss cuts exactly as before.
 """
 
@@ -21,27 +25,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from platewise.functions.numeric import all_present, no_nan
+from platewise.functions.numeric import all_present, no_nan, order_image
 from platewise.session import stage
 
-# Values one task may buffer for a grouped percentile (rows of the group x features). Groups beyond it, however many
-# there are, are spread over value ranges.
-VALUE_BUDGET = 4_000_000
-# Value ranges per feature, at least; ``ranges_for`` gives more where there is more to spread.
-RANGES = 64
+#: Values (rows x features) of one group that a task puts in order. Radix passes narrow larger groups down to it.
+TASK_VALUES = 1 << 20
+#: Bits that one radix pass reads; a task holds at most 2^DIGIT counts per group and feature.
+DIGIT = 16
+#: Ranges of (group, value) pairs per task.
+RANGES_PER_TASK = 4
 
 
-def ranges_for(values: int, budget: int = VALUE_BUDGET) -> int:
-    """Value ranges per feature, so that a range holds about an eighth of the budget of all values to be spread."""
-    return max(RANGES, -(-8 * values // max(1, budget)))
-
-
-def _hot_keys(df: DataFrame, keys: Sequence[str], n_features: int, budget: int) -> tuple[DataFrame, int]:
-    """The keys of groups beyond the budget, as a table of any size, and how many values they hold (one number)."""
-    limit = max(1, budget // max(1, n_features))
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") > limit)
-    held = sizes.agg(F.coalesce(F.sum("_rows"), F.lit(0))).first()[0]
-    return sizes.select(*keys), held * n_features
+def task_ranges(df: DataFrame) -> int:
+    """How many ranges ordered work is cut into; it follows the cluster's setting, not the data."""
+    return RANGES_PER_TASK * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
 def long_form(df: DataFrame, ids: Sequence[str], features: Sequence[str]) -> DataFrame:
@@ -53,31 +50,25 @@ def long_form(df: DataFrame, ids: Sequence[str], features: Sequence[str]) -> Dat
     return out.where(no_nan(F.col("value")).isNotNull())
 
 
-def assign_ranges(df: DataFrame, axis: str, value: str, weight: str, ranges: int = RANGES) -> DataFrame:
-    """Add ``_range``: which of the value ranges of its ``axis`` level a row falls in.
+def assign_ranges(df: DataFrame, by: Sequence[str], value: str, ranges: int | None = None) -> DataFrame:
+    """Add ``_range``: which of the ranges of (``by``, ``value``) pairs a row falls in.
 
-    ``axis`` must have few levels known when the plan is built (feature names): the broadcast cut
-    points hold ``levels x ranges`` doubles. ``weight`` is a positive count; asking for it here
-    keeps this branch's shuffle identical to the caller's, so Spark runs that shuffle once.
+    Cuts are drawn evenly from all rows, so a group gets ranges in proportion to its rows. There is one per hash class,
+    ``ranges`` in all, which every task gets as one array; its size is set by the cluster.
     """
-    salted = F.pmod(F.xxhash64(value), F.lit(ranges))
-    cuts = (
-        df.where(F.col(weight) > 0)
-        .groupBy(axis, salted.alias("_class"))
-        .agg(F.min_by(value, F.xxhash64(F.col(value), F.lit(1))).alias("_cut"))
-        .groupBy(axis)
-        .agg(F.array_sort(F.collect_list("_cut")).alias("_cuts"))
-    )
-    out = df.join(F.broadcast(cuts), axis).withColumn("_range", F.lit(0))
+    ranges = ranges or task_ranges(df)
+    pair = F.struct(*[F.col(f"`{c}`") for c in by], F.col(value).alias(value))
+    drawn = df.groupBy(F.pmod(F.xxhash64(*by, value), F.lit(ranges)).alias("_class"))
+    drawn = drawn.agg(F.min_by(pair, F.xxhash64(F.lit(1), *by, value)).alias("_cut"))
+    out = df.withColumn("_cuts", drawn.agg(F.array_sort(F.collect_list("_cut")).alias("_cuts")).scalar())
+    out = out.withColumn("_pair", pair).withColumn("_range", F.lit(0))
     step = 1 << (ranges.bit_length() - 1)
     while step:
         # One binary-search step per projection keeps the search inside generated code.
         ahead = F.get("_cuts", F.col("_range") + F.lit(step - 1))
-        out = out.withColumn(
-            "_range", F.col("_range") + F.when(ahead <= F.col(value), step).otherwise(0)
-        )
+        out = out.withColumn("_range", F.col("_range") + F.when(ahead <= F.col("_pair"), step).otherwise(0))
         step >>= 1
-    return out.drop("_cuts")
+    return out.drop("_cuts", "_pair")
 
 
 def running_totals(
@@ -85,29 +76,25 @@ def running_totals(
     by: Sequence[str],
     value: str,
     measures: Mapping[str, Column],
-    weight: str = "n",
-    axis: str = "feature",
-    ranges: int = RANGES,
+    ranges: int | None = None,
     ties: bool = False,
 ) -> DataFrame:
     """Running sums of ``measures`` in order of ``value`` within ``by``.
 
-    ``df`` is counted: ``weight`` holds how many rows share the value. Adds ``{m}_upto`` (sum over
-    all rows of the group with value <= this one), ``{m}_total`` (sum over the group),
-    ``next_value`` (the value of the next row in order, NULL at the end) and, with ``ties``,
-    ``{m}_ties`` (sum over rows with this same value). Rows without a value or a key drop out.
+    ``df`` is counted: rows that share a value are few. Adds ``{m}_upto`` (sum over all rows of the
+    group with value <= this one), ``{m}_total`` (sum over the group), ``next_value`` (the value of
+    the next row in order, NULL at the end) and, with ``ties``, ``{m}_ties`` (sum over rows with
+    this same value). Rows without a value or a key drop out.
 
     The counted rows are shuffled once more, by group and range; the running sums inside a range
     and the totals per range both read that shuffle.
     """
     by = list(by)
-    if axis not in by:
-        raise ValueError(f"{axis} must be one of the grouping columns {by}")
     keep = df.columns
     cell = [*by, "_range"]
     # Keys are checked up front so that the joins below add no filter of their own to one branch.
     known = df.where(all_present([*by, value]))
-    ranged = assign_ranges(known, axis, value, weight, ranges).repartition(*cell)
+    ranged = assign_ranges(known, by, value, ranges).repartition(*cell)
     ranged = ranged.select("*", *[expr.alias(f"_m_{m}") for m, expr in measures.items()])
     ordered = W.partitionBy(*cell).orderBy(value)
     peers_in = ordered.rangeBetween(W.unboundedPreceding, W.currentRow)
@@ -119,7 +106,7 @@ def running_totals(
         *[F.sum(f"_m_{m}").over(peers_in).alias(f"_in_{m}") for m in measures],
         *([F.sum(f"_m_{m}").over(peers).alias(f"{m}_ties") for m in measures] if ties else []),
     )
-    # One row per group and range: at most by-groups x (ranges + 1) rows.
+    # One row per group and range: at most groups + ranges rows.
     per_range = ranged.groupBy(*cell).agg(
         F.min(value).alias("_first"), *[F.sum(f"_m_{m}").alias(f"_sum_{m}") for m in measures]
     )
@@ -140,61 +127,119 @@ def running_totals(
     )
 
 
-def quantiles_long(
-    long: DataFrame, by: Sequence[str], probs: Sequence[float], ranges: int = RANGES
-) -> DataFrame:
-    """Exact linear-interpolated quantiles of ``value`` per ``by`` as ``q: array<double>``, spread out.
+def _position(p: float, n: Column) -> Column:
+    return F.lit(float(p)) * (n - 1)
+
 
-    ``by`` must contain ``feature``.
+def _blend(p: float, n: Column, at) -> Column:
+    """The value at share ``p`` of ``n`` ordered values, linear between two ranks; ``at`` gives the value of a rank."""
+    h = _position(p, n)
+    lo, hi = F.floor(h).cast("long"), F.ceil(h).cast("long")
+    return F.when(lo == hi, at(lo)).otherwise((hi - h) * at(lo) + (h - lo) * at(hi))
+
+
+def select_ranks(df: DataFrame, keys: Sequence[str], features: Sequence[str], probs: Sequence[float], enough: int) -> DataFrame:
+    """Radix selection: ``keys, feature, n, rank, value, low, high, below, inside``, a row per rank that ``probs`` ask for.
+
+    Passes go on until a rank's value is known (then it is ``value``) or at most ``enough`` values share its digits so
+    far: those with images from ``low`` to ``high``, with ``below`` smaller ones before them. With ``enough`` 0 every
+    value becomes known. ``df`` is read twice per pass that has anything left to read; hand it over stored.
     """
-    by = list(by)
-    counted = long.groupBy(*by, "value").agg(F.count(F.lit(1)).alias("n"))
-    ranked = running_totals(counted, by, "value", {"n": F.col("n")}, ranges=ranges)
-    before = F.col("n_upto") - F.col("n")
-    last = F.col("n_total") - 1
-    picks = []
-    for p in probs:
-        h = last * F.lit(float(p))
-        picks.append((h, F.floor(h), F.ceil(h)))
-    hit = [
-        (before <= edge) & (edge < F.col("n_upto")) for _, lo, hi in picks for edge in (lo, hi)
-    ]
-    any_hit = hit[0]
-    for h in hit[1:]:
-        any_hit = any_hit | h
-    flagged = ranked.where(any_hit)
-    aggs = []
-    for i, (h, lo, hi) in enumerate(picks):
-        aggs += [
-            F.max(F.when(hit[2 * i], F.col("value"))).alias(f"_lo{i}"),
-            F.max(F.when(hit[2 * i + 1], F.col("value"))).alias(f"_hi{i}"),
-        ]
-    out = flagged.groupBy(*by, "n_total").agg(*aggs)
-    qs = []
-    for i, (h, lo, hi) in enumerate(picks):
-        mixed = (hi - h) * F.col(f"_lo{i}") + (h - lo) * F.col(f"_hi{i}")
-        qs.append(F.when(lo == hi, F.col(f"_lo{i}")).otherwise(mixed))
-    return out.select(*by, F.array(*qs).alias("q"))
-
-
-def _probabilities(probs: Sequence[float]) -> Column:
-    return F.expr("array(" + ", ".join(f"{float(p)!r}D" for p in probs) + ")")
-
-
-def _percentiles(features: Sequence[str], probs: Sequence[float]) -> list[Column]:
-    at = _probabilities(probs)
-    return [F.percentile(no_nan(F.col(f"`{f}`").cast("double")), at) for f in features]
-
-
-def _hot_quantiles(
-    df: DataFrame, keys: Sequence[str], features: Sequence[str], probs: Sequence[float], ranges: int
-) -> DataFrame:
-    """Wide ``keys, {feature}: array<double>`` for hot groups."""
-    keys = list(keys)
-    q = quantiles_long(long_form(df, keys, features), [*keys, "feature"], probs, ranges)
-    return q.groupBy(*keys).agg(
-        *[F.first(F.when(F.col("feature") == f, F.col("q")), ignorenulls=True).alias(f) for f in features]
+    by = [*keys, "feature"]
+    values = long_form(df, keys, features).withColumn("n", F.lit(1).cast("long")).withColumn("image", order_image(F.col("value")))
+    counts = values.groupBy(*by).agg(F.sum("n").alias("n"))
+    ends = F.array_distinct(F.flatten(F.array(*[F.array(F.floor(_position(p, F.col("n"))), F.ceil(_position(p, F.col("n")))) for p in probs])))
+    wanted = counts.select(
+        *by, "n", F.explode(ends).alias("rank"), F.lit(None).cast("double").alias("value"),
+        F.lit(-(1 << 63)).cast("long").alias("low"), F.lit((1 << 63) - 1).cast("long").alias("high"),
+        F.lit(0).cast("long").alias("below"), F.col("n").alias("inside"), F.lit(0).cast("long").alias("prefix"),
+    )
+    current, prefix, shift, done = values, F.lit(0).cast("long"), 64, []
+    wanted = stage(wanted, "ranks")
+    while True:
+        settled = F.col("value").isNotNull() | (F.col("inside") <= enough)
+        done.append(wanted.where(settled))
+        unsettled = wanted.where(~settled)
+        if not shift or unsettled.isEmpty():
+            break
+        places = unsettled.select(*by, "prefix").distinct()
+        here = current.withColumn("prefix", prefix).join(places, [*by, "prefix"], "left_semi")
+        if shift < 64:
+            # What shares no digits with a wanted rank is left behind.
+            here = stage(here.groupBy(*by, "prefix", "image", "value").agg(F.sum("n").alias("n")), "rank-values")
+        shift -= DIGIT
+        digit = F.shiftright("image", shift)
+        held = here.groupBy(*by, "prefix", digit.alias("_digit")).agg(
+            F.sum("n").alias("_n"), F.min("value").alias("_min"), F.max("value").alias("_max")
+        )
+        along = W.partitionBy(*by, "prefix").orderBy("_digit")
+        held = held.withColumn("_upto", F.sum("_n").over(along))
+        rank, before = F.col("rank") - F.col("below"), F.col("_upto") - F.col("_n")
+        found = unsettled.join(held, [*by, "prefix"]).where((before <= rank) & (rank < F.col("_upto")))
+        low = F.shiftleft("_digit", shift)
+        wanted = stage(found.select(
+            *by, "n", "rank", F.when(F.col("_min") == F.col("_max"), F.col("_min")).alias("value"),
+            low.alias("low"), (low + F.lit((1 << shift) - 1)).alias("high"),
+            (F.col("below") + before).alias("below"), F.col("_n").alias("inside"), F.col("_digit").alias("prefix"),
+        ), "ranks")
+        current, prefix = here.drop("prefix"), digit
+    out = done[0]
+    for more in done[1:]:
+        out = out.unionByName(more)
+    return out.drop("prefix")
+
+
+def _crowded(df: DataFrame, keys: Sequence[str], limit: int) -> DataFrame | None:
+    """Keys of the groups with more rows than a task should put in order."""
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") > limit)
+    found = stage(sizes.select(*keys), "crowded-groups")
+    return None if found.isEmpty() else found
+
+
+def _narrowed(df: DataFrame, keys: list[str], features: list[str], probs: Sequence[float], limit: int) -> DataFrame | None:
+    """Per group that is too large: ``_spans`` and ``_ranks`` of each feature, by feature number; None if there is none."""
+    crowded = _crowded(df, keys, max(1, limit // max(1, len(features))))
+    if crowded is None:
+        return None
+    enough = max(1, limit // (2 * len(features) * len(probs)))
+    ranks = select_ranks(df.join(crowded, keys, "left_semi"), keys, features, probs, enough)
+    open_ = F.when(F.col("value").isNull(), F.struct("low", "high", "inside"))
+    spots = ranks.groupBy(*keys, "feature").agg(
+        F.array_sort(F.collect_set(open_)).alias("spans"), F.max("n").alias("n"),
+        F.collect_list(F.struct("rank", "value", "low", "below")).alias("ranks"),
+    )
+    spot = F.struct("spans", "n", "ranks")
+    wide = spots.groupBy(*keys).agg(
+        *[F.first(F.when(F.col("feature") == f, spot), ignorenulls=True).alias(f"_narrow{i}") for i, f in enumerate(features)]
     )
+    # A crowded group none of whose features has a value is marked too.
+    marked = crowded.withColumn("_crowded", F.lit(True)).join(wide, keys, "left")
+    return stage(marked, "narrowed-groups")
+
+
+def _candidate(v: Column, i: int) -> Column:
+    """The value, unless its group is narrowed and it lies outside of all spans."""
+    image = order_image(v)
+    inside = F.exists(F.col(f"_narrow{i}.spans"), lambda s: (s["low"] <= image) & (image <= s["high"]))
+    return F.when(F.col("_crowded").isNull() | inside, v)
+
+
+def _picked(values: str, probs: Sequence[float], narrow: Column | None = None) -> Column:
+    """Quantiles from the ordered candidates of a group, narrowed or not; an empty array without values."""
+
+    def at(rank: Column) -> Column:
+        if narrow is None:
+            return F.get(values, rank.cast("int"))
+        found = F.get(F.filter(narrow["ranks"], lambda r: r["rank"] == rank), F.lit(0))
+        earlier = F.aggregate(
+            F.filter(narrow["spans"], lambda s: s["low"] < found["low"]), F.lit(0).cast("long"), lambda total, s: total + s["inside"]
+        )
+        place = F.when(narrow.isNull(), rank).otherwise(rank - found["below"] + earlier)
+        return F.coalesce(found["value"], F.get(values, place.cast("int")))
+
+    n = F.size(values).cast("long")
+    n = n if narrow is None else F.coalesce(narrow["n"], n)
+    return F.when(n > 0, F.array(*[_blend(p, n, at) for p in probs])).otherwise(F.array().cast("array<double>"))
 
 
 def group_quantiles(
@@ -203,29 +248,29 @@ def group_quantiles(
     features: Sequence[str],
     probs: Sequence[float],
     extra: Sequence[Column] = (),
-    budget: int = VALUE_BUDGET,
-    ranges: int | None = None,
+    task_values: int = TASK_VALUES,
 ) -> DataFrame:
     """One row per group: ``keys``, ``{feature}: array<double>`` of exact quantiles, and ``extra``.
 
-    Rows with a missing key belong to no group. ``extra`` are ordinary aggregates (they combine
-    map-side, so hot groups need nothing special for them). Groups within the budget take Spark's
-    ``percentile``; all others, any number of them, are counted by value and spread over ranges.
-    No key and no result passes through the driver, and joins are left to the optimizer.
+    Rows with a missing key belong to no group; a feature without values has an empty array. ``extra`` are ordinary
+    aggregates. Groups of more than ``task_values`` values are narrowed by radix passes first; then each group's candidates are
+    put in order and the quantiles picked by rank. No key and no result passes through the driver, and joins are left to
+    the optimizer. ``df`` is read once to count and once to pick, and twice per radix pass.
     """
     keys, features = list(keys), list(features)
     keyed = df.where(all_present(keys))
-    hot, held = _hot_keys(keyed, keys, len(features), budget)
-    cool = keyed if not held else keyed.join(hot, keys, "left_anti")
-    middle = [q.alias(f) for f, q in zip(features, _percentiles(features, probs))]
-    out = cool.groupBy(*keys).agg(*middle, *extra)
-    if not held:
-        return out
-    warm = keyed.join(hot, keys, "left_semi")
-    wide = _hot_quantiles(warm, keys, features, probs, ranges or ranges_for(held, budget))
-    rest = warm.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"), *extra)
-    # Left: a group whose features are all missing stays.
-    return out.unionByName(rest.join(wide, keys, "left").select(*out.columns))
+    narrowed = _narrowed(keyed, keys, features, probs, task_values)
+    cells = [no_nan(F.col(f"`{f}`").cast("double")) for f in features]
+    if narrowed is None:
+        lists = keyed.groupBy(*keys).agg(*[F.sort_array(F.collect_list(v)).alias(f"_list{i}") for i, v in enumerate(cells)], *extra)
+        picked = [_picked(f"_list{i}", probs) for i in range(len(features))]
+    else:
+        spread = keyed.join(narrowed, keys, "left")
+        lists = spread.groupBy(*keys).agg(*[F.sort_array(F.collect_list(_candidate(v, i))).alias(f"_list{i}") for i, v in enumerate(cells)], *extra)
+        lists = lists.join(narrowed, keys, "left")
+        picked = [_picked(f"_list{i}", probs, F.col(f"_narrow{i}")) for i in range(len(features))]
+    rest = [c for c in lists.columns if c not in keys and not c.startswith(("_list", "_narrow", "_crowded"))]
+    return lists.select(*keys, *[q.alias(f) for q, f in zip(picked, features)], *rest)
 
 
 def with_group_quantiles(
@@ -234,8 +279,7 @@ def with_group_quantiles(
     features: Sequence[str],
     probs: Sequence[float],
     prefix: str = "_q_",
-    budget: int = VALUE_BUDGET,
-    ranges: int | None = None,
+    task_values: int = TASK_VALUES,
 ) -> DataFrame:
     """All rows of ``df`` plus ``{prefix}{feature}``: the quantiles of the row's group.
 
@@ -244,29 +288,22 @@ def with_group_quantiles(
     missing key match nothing and get NULL.
     """
     keys, features = list(keys), list(features)
-    stats = group_quantiles(df, keys, features, probs, budget=budget, ranges=ranges)
+    stats = group_quantiles(df, keys, features, probs, task_values=task_values)
     stats = stage(stats.select(*keys, *[F.col(f"`{f}`").alias(f"{prefix}{f}") for f in features]), "group-quantiles")
     return df.join(stats, keys, "left").select(*df.columns, *[F.col(f"`{prefix}{f}`") for f in features])
 
 
-def table_quantiles(
-    df: DataFrame,
-    features: Sequence[str],
-    probs: Sequence[float],
-    budget: int = VALUE_BUDGET,
-    ranges: int | None = None,
-) -> DataFrame:
-    """One row with ``{feature}: array<double>``: exact quantiles over the whole table, spread over value ranges."""
+def table_quantiles(df: DataFrame, features: Sequence[str], probs: Sequence[float]) -> DataFrame:
+    """One row with ``{feature}: array<double>``: exact quantiles over the whole table, by radix selection alone."""
     features = list(features)
-    long = long_form(df, [], features)
-    q = quantiles_long(long, ["feature"], probs, ranges or ranges_for(df.count() * len(features), budget))
-    return q.agg(
-        *[F.first(F.when(F.col("feature") == f, F.col("q")), ignorenulls=True).alias(f) for f in features]
-    )
+    ranks = select_ranks(df, [], features, probs, 0)
+    found = ranks.groupBy("feature").agg(F.max("n").alias("n"), F.map_from_entries(F.collect_list(F.struct("rank", "value"))).alias("at"))
+    q = F.array(*[_blend(p, F.col("n"), lambda r: F.element_at("at", r)) for p in probs])
+    return found.agg(*[F.first(F.when(F.col("feature") == f, q), ignorenulls=True).alias(f) for f in features])
 
 
 def grid_quantiles(
-    df: DataFrame, features: Sequence[str], points: int, ranges: int = RANGES
+    df: DataFrame, features: Sequence[str], points: int, ranges: int | None = None
 ) -> DataFrame:
     """``feature, q``: each column's exact quantiles at ``points`` even steps from 0 to 1.
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from platewise.operators.identity import clean_well_table, object_features, parse_well
-from platewise.operators.ordered import VALUE_BUDGET, group_quantiles
+from platewise.operators.ordered import TASK_VALUES, group_quantiles
 from platewise.roles import Roles, numeric_columns
 
 
@@ -19,7 +19,7 @@ def pool(
     features: Mapping[str, Sequence[str]],
     metadata_from: str | None = None,
     metadata: Sequence[str] = (),
-    budget: int = VALUE_BUDGET,
+    task_values: int = TASK_VALUES,
 ) -> DataFrame:
     """Medians ``{feature}_{object}`` and ``counts_{object}`` per key over all object tables.
 
@@ -34,7 +34,7 @@ def pool(
         carry = name == metadata_from and len(metadata) > 0
         if carry:
             extra.append(F.min(F.struct(*metadata)).alias("_meta"))
-        med = group_quantiles(df, [key], features[name], [0.5], extra, budget)
+        med = group_quantiles(df, [key], features[name], [0.5], extra, task_values)
         pooled.append(
             med.select(
                 key,
@@ -56,20 +56,20 @@ def pool(
 
 
 def pool_cells(
-    tables: Mapping[str, DataFrame], roles: Roles, cells: str = "Cells", budget: int = VALUE_BUDGET
+    tables: Mapping[str, DataFrame], roles: Roles, cells: str = "Cells", task_values: int = TASK_VALUES
 ) -> DataFrame:
     """Cell profiles: pooled features, object counts, metadata of the cell, parsed well name."""
     features = {n: object_features(df, roles.cell) for n, df in tables.items()}
     meta = [roles.well, roles.day, roles.biorep, roles.well_key]
-    out = pool(tables, roles.cell, features, cells, meta, budget)
+    out = pool(tables, roles.cell, features, cells, meta, task_values)
     return parse_well(out, roles)
 
 
 def pool_wells(
-    tables: Mapping[str, DataFrame], roles: Roles, cells: str = "Cells", budget: int = VALUE_BUDGET
+    tables: Mapping[str, DataFrame], roles: Roles, cells: str = "Cells", task_values: int = TASK_VALUES
 ) -> DataFrame:
     """Well profiles: the same per well, with the columns that are not measurements cleaned away."""
     features = {n: [c for c in numeric_columns(df) if c != roles.well_key] for n, df in tables.items()}
     meta = [roles.well, roles.day, roles.biorep]
-    out = pool(tables, roles.well_key, features, cells, meta, budget)
+    out = pool(tables, roles.well_key, features, cells, meta, task_values)
     return clean_well_table(parse_well(out, roles), roles.well_key)

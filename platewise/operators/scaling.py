@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from platewise.functions.numeric import no_nan, sanitize
-from platewise.operators.ordered import VALUE_BUDGET, grid_quantiles, ranges_for, table_quantiles
+from platewise.operators.ordered import grid_quantiles, table_quantiles
 
 QUANTILES = 1000
 
@@ -59,10 +59,10 @@ def impute_group_mean(
 
 
 def impute_median(
-    df: DataFrame, features: Sequence[str], budget: int = VALUE_BUDGET, ranges: int | None = None
+    df: DataFrame, features: Sequence[str]
 ) -> tuple[DataFrame, list[str]]:
     """Missing values become the column's median; also the features that have any value."""
-    med = table_quantiles(df, features, [0.5], budget, ranges).first()
+    med = table_quantiles(df, features, [0.5]).first()
     known = [f for f in features if med[f]]
     gone = [f for f in features if not med[f]]
     fix = {f: F.coalesce(_col(f), F.lit(med[f][0])) for f in known}
@@ -103,7 +103,7 @@ def quantile_uniform(
     rows = df.count()
     n = min(quantiles, rows)
     grid = np.linspace(0, 1, n) if n > 1 else np.zeros(1)
-    found = grid_quantiles(df, features, n, ranges or ranges_for(rows * len(features))).collect() if rows else []
+    found = grid_quantiles(df, features, n, ranges).collect() if rows else []
     refs = {r["feature"]: np.asarray(r["q"], dtype=float) for r in found}
 
     def placed(q: np.ndarray):
@@ -126,11 +126,9 @@ def clip_scale(
     features: Sequence[str],
     lower: float = 5,
     upper: float = 95,
-    budget: int = VALUE_BUDGET,
-    ranges: int | None = None,
 ) -> DataFrame:
     """Clip to two percentiles and rescale to [0, 1]; NULL when the percentiles coincide."""
-    bounds = table_quantiles(df, features, [lower / 100, upper / 100], budget, ranges).first()
+    bounds = table_quantiles(df, features, [lower / 100, upper / 100]).first()
     out = {}
     for f in features:
         if not bounds[f]:

@@ -8,21 +8,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from platewise.functions.numeric import chi2_tail
-from platewise.operators.ordered import RANGES, VALUE_BUDGET, group_quantiles, running_totals
+from platewise.operators.ordered import TASK_VALUES, group_quantiles, running_totals
 
 MEAN_DIFFERENCE = 0.3
 SIGNIFICANT = 0.05
 
 
 def group_stats(
-    df: DataFrame, keys: Sequence[str], features: Sequence[str], budget: int = VALUE_BUDGET
+    df: DataFrame, keys: Sequence[str], features: Sequence[str], task_values: int = TASK_VALUES
 ) -> DataFrame:
     """``keys, feature, n, median, mean`` over the non-missing values (sanitize them first)."""
     keys, features = list(keys), list(features)
     extra = []
     for f in features:
         extra += [F.count(f"`{f}`").alias(f"_n_{f}"), F.avg(f"`{f}`").alias(f"_a_{f}")]
-    wide = group_quantiles(df, keys, features, [0.5], extra, budget)
+    wide = group_quantiles(df, keys, features, [0.5], extra, task_values)
     rows = [
         F.struct(
             F.lit(f).alias("feature"),
@@ -35,7 +35,7 @@ def group_stats(
     return wide.select(*keys, F.inline(F.array(*rows))).where(F.col("n") > 0)
 
 
-def kruskal(long: DataFrame, by: Sequence[str], group: str, ranges: int = RANGES) -> DataFrame:
+def kruskal(long: DataFrame, by: Sequence[str], group: str, ranges: int | None = None) -> DataFrame:
     """Kruskal-Wallis test of ``value`` across ``group`` levels within ``by``, corrected for ties.
 
     Levels with a single distinct value do not take part; at least two must remain. There may be any

@@ -41,7 +41,7 @@ def wasserstein(a, b):
 @pytest.mark.parametrize("budget", [10**7, 10])
 def test_standardize_leaves_zero_day_median(plate, budget):
     pdf, df = plate
-    got = T.standardize_row_day(df, R, ["x", "y"], budget=budget).toPandas()
+    got = T.standardize_row_day(df, R, ["x", "y"], task_values=budget).toPandas()
     assert list(got.columns[-2:]) == ["rp_norm_x", "rp_norm_y"] and len(got) == len(pdf)
     r = pdf.x - pdf.groupby(["Metadata_Day", "Metadata_Biorep", "Tech_replica"]).x.transform("median")
     want = r - r.groupby(pdf.Metadata_Day).transform("median")
@@ -64,7 +64,7 @@ def test_robust_z_zero_mad_is_null(plate, spark):
 @pytest.mark.parametrize("budget", [10**7, 10])
 def test_trim_matches_numpy_and_adds_nothing(plate, budget):
     pdf, df = plate
-    got = T.trim_wells(df, R, features=["x", "y"], budget=budget).toPandas().set_index("cell_ID").loc[pdf.cell_ID]
+    got = T.trim_wells(df, R, features=["x", "y"], task_values=budget).toPandas().set_index("cell_ID").loc[pdf.cell_ID]
     keys = ["Metadata_Day", "Metadata_Biorep", "Metadata_Well"]
     for f in ("x", "y"):
         lo = pdf.groupby(keys)[f].transform(lambda v: np.nanpercentile(v, 2.5))
@@ -146,7 +146,7 @@ def _objects(spark):
 
 @pytest.mark.parametrize("budget", [10**7, 1])
 def test_pool_cells_outer_and_counts(spark, budget):
-    got = {r["cell_ID"]: r.asDict() for r in P.pool_cells(_objects(spark), R, budget=budget).collect()}
+    got = {r["cell_ID"]: r.asDict() for r in P.pool_cells(_objects(spark), R, task_values=budget).collect()}
     assert set(got) == {"1_1", "1_2", "1_9"}
     assert got["1_1"]["Area_Cytoplasm"] == 2.5 and got["1_1"]["counts_Cytoplasm"] == 2
     assert got["1_2"]["Area_Cells"] is None and got["1_2"]["counts_Cells"] == 1
