@@ -1,8 +1,8 @@
-"""Distances between whole populations: MMD, Mahalanobis and mean EMD.
+"""Distances between whole populations: MMD, Mahalanobis and mean EMD, for all subsets (days) at once.
 
-Kernel means and neighbours need every pair of vectors. Pairs are never rows: distinct vectors are
-dealt into hashed blocks of bounded size, each pair of blocks meets once in one small task, and
-only its result leaves the task.
+Kernel means need every pair of vectors. Pairs are never rows: distinct vectors are dealt into hashed blocks, each pair
+of blocks meets once in one task, and only its sum leaves the task. With N vectors there are about sqrt(N / BLOCK_ROWS)
+blocks, so a vector is copied to that many tasks, not to N / BLOCK_ROWS, until a task would hold more than ``TILE_ROWS``.
 """
 
 from __future__ import annotations
@@ -11,13 +11,11 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.functions import array_to_vector
-from pyspark.mllib.linalg.distributed import RowMatrix
-from pyspark.mllib.util import MLUtils
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from platewise.functions.numeric import sanitize
 from platewise.operators.emd import emd_pairs
 from platewise.operators.ordered import long_form
 from platewise.operators.scaling import impute_group_mean, min_max, sanitize_columns
@@ -27,65 +25,61 @@ from platewise.session import stage
 GAMMA = 0.24
 RIDGE = 1e-6
 BLOCK_ROWS = 2048
+#: Vectors of one side that a task holds at most.
+TILE_ROWS = 1 << 17
+#: Partial moments that are merged in one step.
+MERGED = 64
 
 
 def vector_of(features: Sequence[str]) -> Column:
     return F.array(*[F.col(f"`{f}`").cast("double") for f in features])
 
 
-def _kernel_sum(gamma: float):
+def _blocks(distinct: Column, block_rows: int) -> Column:
+    tiles = F.ceil(F.sqrt(F.ceil(distinct / block_rows)))
+    return F.greatest(tiles, F.ceil(distinct / TILE_ROWS)).cast("int")
+
+
+def _kernel_sum(by: Sequence[str], gamma: float):
     def total(pdf: pd.DataFrame) -> pd.DataFrame:
         left, right = pdf[pdf.side != 2], pdf[pdf.side != 1]
         out = 0.0
         if len(left) and len(right):
             a, b = np.stack(left.v.to_numpy()), np.stack(right.v.to_numpy())
             wa, wb = left.n.to_numpy(float), right.n.to_numpy(float)
-            bb = (b * b).sum(axis=1)
-            for lo in range(0, len(a), 256):
-                part = a[lo : lo + 256]
-                d2 = (part * part).sum(axis=1)[:, None] + bb[None, :] - 2.0 * part @ b.T
-                out += float(wa[lo : lo + 256] @ np.exp(-gamma * np.maximum(d2, 0.0)) @ wb)
+            aa, bb = (a * a).sum(axis=1), (b * b).sum(axis=1)
+            for i in range(0, len(a), 256):
+                for j in range(0, len(b), 4096):
+                    d2 = aa[i : i + 256, None] + bb[None, j : j + 4096] - 2.0 * a[i : i + 256] @ b[j : j + 4096].T
+                    out += float(wa[i : i + 256] @ np.exp(-gamma * np.maximum(d2, 0.0)) @ wb[j : j + 4096])
         first = pdf.iloc[0]
         twice = 2.0 if first.ga == first.gb and first.ba != first.bb else 1.0
-        return pd.DataFrame({"ga": [first.ga], "gb": [first.gb], "total": [out * twice]})
+        return pd.DataFrame({**{c: [first[c]] for c in by}, "ga": [first.ga], "gb": [first.gb], "total": [out * twice]})
 
     return total
 
 
-def mmd(
-    df: DataFrame,
-    group: str,
-    control,
-    others: Sequence,
-    vec: str = "v",
-    gamma: float = GAMMA,
-    block_rows: int = BLOCK_ROWS,
-) -> DataFrame:
-    """``Group_A, Group_B, MMD_Score``: biased squared MMD with an RBF kernel, control against each.
+def kernel_blocks(
+    df: DataFrame, group: str, control, others: Sequence, vec: str, by: Sequence[str], block_rows: int = BLOCK_ROWS
+) -> tuple[DataFrame, DataFrame]:
+    """The distinct vectors, one row per meeting of their block with another, and the size of every population.
 
-    The control's own kernel mean is computed once. ``group`` is a numeric level column.
+    ``by, v, n, ga, gb, ba, bb, side``: block ``ba`` of population ``ga`` meets block ``bb`` of ``gb``, this vector on the
+    left (1), the right (2) or both (0). A population meets itself and the control; subsets without control have no rows.
     """
-    kind = df.schema[group].dataType
-    levels = [control, *others]
-    rows = (
-        df.where(F.col(group).isin(levels))
-        .groupBy(group, F.col(vec).alias("v"))
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
-    # Two numbers per design level come to the driver: distinct vectors and rows.
-    found = rows.groupBy(group).agg(F.count(F.lit(1)), F.sum("n")).collect()
-    blocks = {g: -(-distinct // block_rows) for g, distinct, _ in found}
-    size = {g: total for g, _, total in found}
-    if control not in blocks:
-        return df.sparkSession.createDataFrame([], T.StructType([
-            T.StructField("Group_A", kind), T.StructField("Group_B", kind), T.StructField("MMD_Score", T.DoubleType()),
-        ]))
-    present = [g for g in others if g in blocks]
-    me, my = F.col(group), F.col("block")
-    how_many = F.lit(None).cast("bigint")
-    for g, b in blocks.items():
-        how_many = F.when(me == F.lit(g), F.lit(b)).otherwise(how_many)
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("v"), how_many).cast("int"))
+    by, kind = list(by), df.schema[group].dataType
+    rows = df.where(F.col(group).isin([control, *others])).groupBy(*by, group, F.col(vec).alias("v")).agg(F.count(F.lit(1)).alias("n"))
+    rows = stage(rows, "distinct-vectors")
+    # One row per subset and population, then one per subset.
+    sizes = rows.groupBy(*by, group).agg(F.count(F.lit(1)).alias("_distinct"), F.sum("n").cast("double").alias("_size"))
+    sizes = stage(sizes.withColumn("_blocks", _blocks(F.col("_distinct"), block_rows)), "population-sizes")
+    against = F.when(F.col(group) != F.lit(control), F.struct(F.col(group).alias("g"), F.col("_blocks").alias("blocks")))
+    subsets = sizes.groupBy(*by).agg(
+        F.max(F.when(F.col(group) == F.lit(control), F.col("_blocks"))).alias("_control"), F.collect_list(against).alias("_others")
+    ).where(F.col("_control").isNotNull())
+    dealt = rows.join(sizes.select(*by, group, "_blocks"), [*by, group])
+    dealt = dealt.join(subsets, by)
+    me, my = F.col(group), F.pmod(F.xxhash64("v"), F.col("_blocks")).cast("int")
 
     def meeting(ga, gb, ba, bb, side) -> Column:
         return F.struct(
@@ -93,42 +87,53 @@ def mmd(
             ba.cast("int").alias("ba"), bb.cast("int").alias("bb"), side.cast("int").alias("side"),
         )
 
-    # Within a group block i meets every block j once; side 0 is a block that meets itself.
+    # Within a population block i meets every block j once; side 0 is a block that meets itself.
     def own_block(j: Column) -> Column:
-        side = F.when(j == my, 0).when(my < j, 1).otherwise(2)
-        return meeting(me, me, F.least(my, j), F.greatest(my, j), side)
-
-    within = F.transform(F.sequence(F.lit(0), how_many.cast("int") - 1), own_block)
-    # A control block meets every block of every other group, and the other way round.
-    # The plan has one sequence per group, however many blocks there are.
-    def against(g) -> Column:
-        numbers = F.sequence(F.lit(0), F.lit(blocks[g] - 1))
-        return F.transform(numbers, lambda j: meeting(F.lit(control), F.lit(g), my, j, F.lit(1)))
-
-    as_control = F.concat(*[against(g) for g in present]) if present else F.slice(within, 1, 0)
-    as_other = F.transform(
-        F.sequence(F.lit(0), F.lit(blocks[control] - 1)),
-        lambda i: meeting(F.lit(control), me, i, my, F.lit(2)),
-    )
+        mine = F.col("_my")
+        side = F.when(j == mine, 0).when(mine < j, 1).otherwise(2)
+        return meeting(me, me, F.least(mine, j), F.greatest(mine, j), side)
+
+    def numbers(count: Column) -> Column:
+        return F.sequence(F.lit(0), count - 1)
+
+    within = F.transform(numbers(F.col("_blocks")), own_block)
+    as_control = F.flatten(F.transform(
+        "_others", lambda o: F.transform(numbers(o["blocks"]), lambda j: meeting(F.lit(control), o["g"], F.col("_my"), j, F.lit(1)))
+    ))
+    as_other = F.transform(numbers(F.col("_control")), lambda i: meeting(F.lit(control), me, i, F.col("_my"), F.lit(2)))
     meetings = F.concat(within, F.when(me == F.lit(control), as_control).otherwise(as_other))
-    spread = rows.select("v", "n", F.inline(meetings))
-    name = kind.simpleString()
-    sums = spread.groupBy("ga", "gb", "ba", "bb").applyInPandas(
-        _kernel_sum(gamma), f"ga {name}, gb {name}, total double"
-    )
-    of = {
-        (a, b): F.sum(F.when((F.col("ga") == F.lit(a)) & (F.col("gb") == F.lit(b)), F.col("total")))
-        / F.lit(float(size[a]) * float(size[b]))
-        for a, b in [(control, control), *[(g, g) for g in present], *[(control, g) for g in present]]
-    }
-    scores = [
-        F.struct(
-            F.lit(control).cast(kind).alias("Group_A"), F.lit(g).cast(kind).alias("Group_B"),
-            (of[control, control] + of[g, g] - 2 * of[control, g]).alias("MMD_Score"),
-        )
-        for g in present
-    ]
-    return sums.agg(F.array(*scores).alias("s")).select(F.inline("s"))
+    return dealt.withColumn("_my", my).select(*by, "v", "n", F.inline(meetings)), sizes.select(*by, group, "_size")
+
+
+def mmd(
+    df: DataFrame, group: str, control, others: Sequence, vec: str = "v", gamma: float = GAMMA,
+    block_rows: int = BLOCK_ROWS, by: Sequence[str] = (),
+) -> DataFrame:
+    """``by, Group_A, Group_B, MMD_Score``: biased squared MMD with an RBF kernel, control against each, per subset.
+
+    The control's own kernel mean is computed once per subset. ``group`` is a numeric level column.
+    """
+    if not by:
+        whole = mmd(df.withColumn("_subset", F.lit(0)), group, control, others, vec, gamma, block_rows, ["_subset"])
+        return whole.drop("_subset")
+    by, name = list(by), df.schema[group].dataType.simpleString()
+    spread, sizes = kernel_blocks(df, group, control, others, vec, by, block_rows)
+    typed = "".join(f"{c} {df.schema[c].dataType.simpleString()}, " for c in by)
+    sums = spread.groupBy(*by, "ga", "gb", "ba", "bb").applyInPandas(_kernel_sum(by, gamma), f"{typed}ga {name}, gb {name}, total double")
+    sums = sums.groupBy(*by, "ga", "gb").agg(F.sum("total").alias("total"))
+    # From here on one row per subset and pair of populations.
+    size_a = sizes.select(*by, F.col(group).alias("ga"), F.col("_size").alias("_sa"))
+    size_b = sizes.select(*by, F.col(group).alias("gb"), F.col("_size").alias("_sb"))
+    means = stage(sums.join(size_a, [*by, "ga"]).join(size_b, [*by, "gb"]).withColumn("m", F.col("total") / (F.col("_sa") * F.col("_sb"))), "kernel-means")
+    own = means.where(F.col("ga") == F.col("gb"))
+    cross = means.where((F.col("ga") == F.lit(control)) & (F.col("gb") != F.lit(control))).select(*by, "ga", "gb", F.col("m").alias("_cross"))
+    mine = own.select(*by, "ga", F.col("m").alias("_mine"))
+    theirs = own.select(*by, "gb", F.col("m").alias("_theirs"))
+    joined = cross.join(mine, [*by, "ga"]).join(theirs, [*by, "gb"])
+    return joined.select(
+        *by, F.col("ga").alias("Group_A"), F.col("gb").alias("Group_B"),
+        (F.col("_mine") + F.col("_theirs") - 2 * F.col("_cross")).alias("MMD_Score"),
+    )
 
 
 def _inverse(cov: np.ndarray, pivot: float = 1e-12) -> np.ndarray:
@@ -139,56 +144,105 @@ def _inverse(cov: np.ndarray, pivot: float = 1e-12) -> np.ndarray:
     return np.linalg.inv(cov)
 
 
-def mahalanobis(df: DataFrame, group: str, control, others: Sequence, vec: str = "v") -> DataFrame:
-    """``Group_A, Group_B, Mahalanobis_Score``: mean distance of each group's rows from the control.
+def _merge(parts: Sequence[tuple[float, np.ndarray, np.ndarray]]) -> tuple[float, np.ndarray, np.ndarray]:
+    """Count, mean and scatter about the mean of several parts together."""
+    n, mean, scatter = parts[0]
+    for m, other, spread in parts[1:]:
+        off, total = other - mean, n + m
+        scatter = scatter + spread + np.outer(off, off) * (n * m / total)
+        mean, n = mean + off * (m / total), total
+    return n, mean, scatter
+
+
+def moments(df: DataFrame, vec: str, by: Sequence[str] = ()) -> DataFrame:
+    """``by, n, mean, scatter``: count, mean and sums of products about the mean (row by row) of all vectors per subset.
 
-    Mean and covariance (ddof 1) are tree-aggregated; only the features x features matrix reaches
-    the driver. A control of fewer than two rows has no covariance: then there are no rows.
+    Every task adds up its own rows; the parts, one per task and subset, are merged in two steps, so that no task
+    meets more than a share of them. Vectors have one length.
     """
-    reference = df.where(F.col(group) == F.lit(control)).select(array_to_vector(vec).alias("v"))
-    kind = df.schema[group].dataType
-    if reference.limit(2).count() < 2:
-        return df.sparkSession.createDataFrame([], T.StructType([
-            T.StructField("Group_A", kind), T.StructField("Group_B", kind), T.StructField("Mahalanobis_Score", T.DoubleType()),
-        ]))
-    matrix = RowMatrix(MLUtils.convertVectorColumnsFromML(reference, "v"))
-    summary = matrix.computeColumnSummaryStatistics()
-    mean, inv = np.asarray(summary.mean()), _inverse(matrix.computeCovariance().toArray())
-
-    def distances(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for batch in batches:
-            if not len(batch):
-                yield pd.Series([], dtype=float)
-                continue
-            off = np.stack(batch.to_numpy()) - mean
-            yield pd.Series(np.sqrt(np.maximum(np.einsum("ij,jk,ik->i", off, inv, off, optimize=True), 0.0)))
-
-    distances.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
-    each = F.pandas_udf(distances, "double")
-    return (
-        df.where(F.col(group).isin(list(others)))
-        .select(F.col(group).alias("Group_B"), each(vec).alias("_d"))
-        .groupBy("Group_B")
-        .agg(F.avg("_d").alias("Mahalanobis_Score"))
-        .select(F.lit(control).cast(kind).alias("Group_A"), "Group_B", "Mahalanobis_Score")
-    )
+    by = list(by)
+    typed = ", ".join([*[f"{c} {df.schema[c].dataType.simpleString()}" for c in by], "n double, mean array<double>, scatter array<double>"])
+
+    def frame(rows: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame(dict(zip([*by, "n", "mean", "scatter"], zip(*rows))))
+
+    def unpacked(pdf: pd.DataFrame) -> list[tuple]:
+        return [(n, np.asarray(m), np.asarray(s).reshape(len(m), len(m))) for n, m, s in zip(pdf.n, pdf["mean"], pdf.scatter)]
+
+    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[tuple, tuple] = {}
+        for pdf in batches:
+            groups = pdf.groupby(by, dropna=False) if by else [((), pdf)]
+            for key, part in groups:
+                v = np.stack(part["_v"].to_numpy())
+                mean = v.mean(axis=0)
+                new = (float(len(v)), mean, (v - mean).T @ (v - mean))
+                held[key] = _merge([held[key], new]) if key in held else new
+        if held:
+            yield frame([(*key, n, m.tolist(), s.ravel().tolist()) for key, (n, m, s) in held.items()])
+
+    def merged(pdf: pd.DataFrame) -> pd.DataFrame:
+        n, m, s = _merge(unpacked(pdf))
+        return frame([(*(pdf[c].iloc[0] for c in by), n, m.tolist(), s.ravel().tolist())])
+
+    parts = df.select(*by, F.col(vec).cast("array<double>").alias("_v")).mapInPandas(partial, typed)
+    salt = F.pmod(F.spark_partition_id(), F.lit(MERGED)).alias("_salt")
+    first = parts.select("*", salt).groupBy(*by, "_salt").applyInPandas(merged, typed)
+    return first.groupBy(*by).applyInPandas(merged, typed)
+
+
+def mahalanobis(df: DataFrame, group: str, control, others: Sequence, vec: str = "v", by: Sequence[str] = (), used: dict | None = None) -> DataFrame:
+    """``by, Group_A, Group_B, Mahalanobis_Score``: mean distance of each group's rows from the control, per subset.
+
+    Mean and covariance (ddof 1) come from one grouped aggregate; a features x features matrix per subset reaches the
+    driver. A control of fewer than two rows has no covariance: then there are no rows. ``used`` maps a subset's key to
+    the positions of the vector that count there (default: all).
+    """
+    if not by:
+        return mahalanobis(df.withColumn("_subset", F.lit(0)), group, control, others, vec, ["_subset"]).drop("_subset")
+    by, kind = list(by), df.schema[group].dataType
+    reference = {}
+    for r in moments(df.where(F.col(group) == F.lit(control)), vec, by).where("n >= 2").collect():
+        key = tuple(r[c] for c in by)
+        at = (used or {}).get(key, list(range(len(r["mean"]))))
+        cov = np.asarray(r["scatter"]).reshape(len(r["mean"]), -1) / (r["n"] - 1)
+        reference[repr(key)] = (at, np.asarray(r["mean"])[at], _inverse(cov[np.ix_(at, at)]))
+    if not reference:
+        fields = [*[df.schema[c] for c in by], T.StructField("Group_A", kind), T.StructField("Group_B", kind), T.StructField("Mahalanobis_Score", T.DoubleType())]
+        return df.sparkSession.createDataFrame([], T.StructType(fields))
+
+    @F.pandas_udf("double")
+    def distances(v: pd.Series, keys: pd.DataFrame) -> pd.Series:
+        out = np.full(len(v), np.nan)
+        named = [repr(k) for k in keys.itertuples(index=False, name=None)]
+        for key, (at, mean, inv) in reference.items():
+            rows = np.flatnonzero([k == key for k in named])
+            if len(rows):
+                off = np.stack(v.to_numpy()[rows])[:, at] - mean
+                out[rows] = np.sqrt(np.maximum(((off @ inv) * off).sum(axis=1), 0.0))
+        return pd.Series(out)
+
+    each = df.where(F.col(group).isin(list(others)))
+    each = each.select(*by, F.col(group).alias("Group_B"), distances(vec, F.struct(*by)).alias("_d"))
+    scored = each.where(~F.isnan("_d")).groupBy(*by, "Group_B").agg(F.avg("_d").alias("Mahalanobis_Score"))
+    return scored.select(*by, F.lit(control).cast(kind).alias("Group_A"), "Group_B", "Mahalanobis_Score")
 
 
 def mean_emd(
-    df: DataFrame, group: str, control, others: Sequence, features: Sequence[str], ranges: int | None = None
+    df: DataFrame, group: str, control, others: Sequence, features: Sequence[str], ranges: int | None = None, by: Sequence[str] = ()
 ) -> DataFrame:
-    """``Group_A, Group_B, EMD_Score``: EMD against the control averaged over the features."""
-    levels = [control, *others]
-    long = long_form(df.where(F.col(group).isin(levels)), [group], features)
+    """``by, Group_A, Group_B, EMD_Score``: EMD against the control averaged over the features that have values, per subset."""
+    by, levels = list(by), [control, *others]
+    long = long_form(df.where(F.col(group).isin(levels)), [*by, group], features)
     pairs = [(0, i) for i in range(1, len(levels))]
-    got = emd_pairs(long, ["feature"], group, levels, pairs, ranges)
+    got = emd_pairs(long, [*by, "feature"], group, levels, pairs, ranges)
     kind = df.schema[group].dataType
     other = F.get(F.array(*[F.lit(v).cast(kind) for v in levels]), F.col("second"))
     return (
-        got.select(other.alias("Group_B"), "EMD_score")
-        .groupBy("Group_B")
+        got.select(*by, other.alias("Group_B"), "EMD_score")
+        .groupBy(*by, "Group_B")
         .agg(F.avg("EMD_score").alias("EMD_Score"))
-        .select(F.lit(control).cast(kind).alias("Group_A"), "Group_B", "EMD_Score")
+        .select(*by, F.lit(control).cast(kind).alias("Group_A"), "Group_B", "EMD_Score")
     )
 
 
@@ -202,6 +256,39 @@ def prepare_population(df: DataFrame, group: str, levels: Sequence, features: Se
     return min_max(filled.drop(*[f for f in features if f not in complete]), complete), complete
 
 
+def prepare_populations(
+    df: DataFrame, subset: str, subsets: Sequence, group: str, levels: Sequence, features: Sequence[str]
+) -> tuple[DataFrame, dict]:
+    """``prepare_population`` of every subset in the same passes; also the features that are complete, per subset.
+
+    Features that stay incomplete in a subset are NULL there. Means have one row per subset and level of the design, ends
+    one per subset; both are joined by key.
+    """
+    features = list(features)
+    rows = df.where(F.col(subset).isin(list(subsets)) & F.col(group).isin(list(levels)))
+    value = {f: sanitize(F.col(f"`{f}`").cast("double")) for f in features}
+    clean = rows.select(subset, group, *[v.alias(f) for f, v in value.items()])
+    means = clean.groupBy(subset, group).agg(*[F.avg(f"`{f}`").alias(f"_m{i}") for i, f in enumerate(features)])
+    means = stage(means, "population-means")
+    filled = clean.join(means, [subset, group]).select(
+        subset, group, *[sanitize(F.coalesce(F.col(f"`{f}`"), F.col(f"_m{i}"))).alias(f) for i, f in enumerate(features)]
+    )
+    ends = filled.groupBy(subset).agg(
+        F.count(F.lit(1)).alias("_rows"),
+        *[g(f"`{f}`").alias(f"_{g.__name__}{i}") for i, f in enumerate(features) for g in (F.min, F.max, F.count)],
+    )
+    ends = stage(ends, "population-ends")
+    scaled = []
+    for i, f in enumerate(features):
+        lo, hi = F.col(f"_min{i}"), F.col(f"_max{i}")
+        v = F.when(hi > lo, (F.col(f"`{f}`") - lo) / (hi - lo)).otherwise(F.lit(0.0))
+        scaled.append(F.when(F.col(f"_count{i}") == F.col("_rows"), v).alias(f))
+    complete = {
+        r[subset]: [f for i, f in enumerate(features) if r[f"_count{i}"] == r["_rows"]] for r in ends.collect()
+    }
+    return filled.join(ends, subset).select(subset, group, *scaled), complete
+
+
 def population_distances(
     df: DataFrame,
     roles: Roles,
@@ -211,30 +298,34 @@ def population_distances(
     block_rows: int = BLOCK_ROWS,
     ranges: int | None = None,
 ) -> DataFrame:
-    """The three scores of one subset, control against every other concentration.
+    """The three scores of one subset, control against every other concentration; ``condition`` labels it (its day)."""
+    rows = df.withColumn(roles.day, F.lit(condition))
+    return _distances(rows, roles, [condition], features, gamma, block_rows, ranges)
+
+
+def distances_by_day(df: DataFrame, roles: Roles, features: Sequence[str] | None = None) -> DataFrame:
+    """The three scores of every day of the design, all days side by side in the same jobs."""
+    return _distances(df, roles, list(roles.days), features, GAMMA, BLOCK_ROWS, None)
+
 
-    ``condition`` labels the subset (its day). The prepared features are written to the shared
-    folder once, because every score reads them. A pair that lacks one score has NULL there; a day without
-    control has no rows.
+def _distances(df, roles: Roles, days: Sequence[str], features, gamma: float, block_rows: int, ranges: int | None) -> DataFrame:
+    """A pair that lacks one score has NULL there; a day without control has no rows.
+
+    The prepared features are stored once, because every score reads them.
     """
-    features = list(features or roles.features(df, downstream=True))
+    features, day = list(features or roles.features(df, downstream=True)), roles.day
     others = [c for c in sorted(roles.concentrations, reverse=True) if c != roles.control]
-    ready, used = prepare_population(df, roles.conc, [roles.control, *others], features)
-    ready = stage(ready.select(roles.conc, *[F.col(f"`{f}`") for f in used]), "population")
-    vectors = ready.select(roles.conc, vector_of(used).alias("v"))
-    keys = ["Group_A", "Group_B"]
+    ready, used = prepare_populations(df, day, days, roles.conc, [roles.control, *others], features)
+    if used and not any(used.values()):
+        raise ValueError("every feature has missing values in some group")
+    ready = stage(ready, "population")
+    # What doesn't count on a day is 0 in all its vectors and so adds nothing to a distance.
+    vectors = ready.select(day, roles.conc, F.array(*[F.coalesce(F.col(f"`{f}`"), F.lit(0.0)) for f in features]).alias("v"))
+    at = {(d,): [features.index(f) for f in kept] for d, kept in used.items()}
+    keys, by = [day, "Group_A", "Group_B"], [day]
     got = (
-        mmd(vectors, roles.conc, roles.control, others, "v", gamma, block_rows)
-        .join(mahalanobis(vectors, roles.conc, roles.control, others), keys, "full")
-        .join(mean_emd(ready, roles.conc, roles.control, others, used, ranges), keys, "full")
+        mmd(vectors, roles.conc, roles.control, others, "v", gamma, block_rows, by)
+        .join(mahalanobis(vectors, roles.conc, roles.control, others, "v", by, at), keys, "full")
+        .join(mean_emd(ready, roles.conc, roles.control, others, features, ranges, by), keys, "full")
     )
-    return got.withColumn("Condition", F.lit(condition))
-
-
-def distances_by_day(df: DataFrame, roles: Roles, features: Sequence[str] | None = None) -> DataFrame:
-    """``population_distances`` of every day of the design, one under the other."""
-    out = None
-    for day in roles.days:
-        got = population_distances(df.where(F.col(roles.day) == day), roles, day, features)
-        out = got if out is None else out.unionByName(got)
-    return out
+    return got.select("Group_A", "Group_B", "MMD_Score", "Mahalanobis_Score", "EMD_Score", F.col(day).alias("Condition"))

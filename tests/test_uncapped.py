@@ -111,3 +111,45 @@ def test_stages_are_deleted(spark):
     with session.stages(spark):
         pass
     assert spark.read.parquet(path).count() == 5
+
+
+def test_moments_over_many_parts(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(500, 4)) * [1, 10, 0.1, 1] + [1e6, 0, -3, 5]
+    rows = [("ab"[i % 3 == 0], r.tolist()) for i, r in enumerate(x)]
+    df = spark.createDataFrame(rows, "g string, v array<double>").repartition(23)
+    for r in D.moments(df, "v", ["g"]).collect():
+        own = np.array([v for g, v in rows if g == r["g"]])
+        assert r["n"] == len(own)
+        np.testing.assert_allclose(r["mean"], own.mean(axis=0), rtol=1e-12)
+        np.testing.assert_allclose(np.reshape(r["scatter"], (4, 4)) / (len(own) - 1), np.cov(own, rowvar=False), rtol=1e-9, atol=1e-9)
+
+
+def test_a_vector_is_copied_to_the_root_of_the_blocks(spark):
+    rng = np.random.default_rng(6)
+    rows = [(g, rng.normal(size=3).tolist()) for g in (11, 2) for _ in range(900)]
+    df = spark.createDataFrame(rows, "g int, v array<double>").withColumn("day", F.lit("D1"))
+    spread, _ = D.kernel_blocks(df, "g", 11, [2], "v", ["day"], block_rows=9)
+    # 100 blocks of nine rows make 10 tiles: a vector meets 10 of its own population and 10 of the other.
+    per_vector = spread.groupBy("v").agg(F.count("*").alias("n")).agg(F.max("n"), F.min("n")).first()
+    assert tuple(per_vector) == (20, 20)
+
+
+def test_days_side_by_side_equal_days_alone(spark):
+    rng = np.random.default_rng(8)
+    rows = [(d, int(g), *map(float, rng.normal(size=3))) for d in ("D1", "D5") for g in rng.choice([11, 2, 3], 80)]
+    df = spark.createDataFrame(rows, "Metadata_Day string, Concentration int, a double, b double, c double")
+    # On one day a feature is missing in a whole group, and one is constant.
+    df = df.withColumn("b", F.when(~((F.col("Metadata_Day") == "D5") & (F.col("Concentration") == 2)), F.col("b")))
+    df = df.withColumn("c", F.when(F.col("Metadata_Day") == "D1", F.lit(1.5)).otherwise(F.col("c")))
+    roles = Roles(days=("D1", "D5", "D9"), concentrations=(2, 3, 11))
+    every = {(r["Condition"], r["Group_B"]): r for r in D.distances_by_day(df, roles, ["a", "b", "c"]).collect()}
+    assert set(every) == {(d, g) for d in ("D1", "D5") for g in (2, 3)}
+    for d in ("D1", "D5"):
+        for r in D.population_distances(df.where(F.col("Metadata_Day") == d), roles, d, ["a", "b", "c"]).collect():
+            for c in ("MMD_Score", "Mahalanobis_Score", "EMD_Score"):
+                assert every[d, r["Group_B"]][c] == pytest.approx(r[c], rel=1e-9)
+    # The day's own features alone give the same scores.
+    alone = D.population_distances(df.where("Metadata_Day = 'D5'").drop("b"), roles, "D5", ["a", "c"]).collect()
+    for r in alone:
+        assert all(every["D5", r["Group_B"]][c] == pytest.approx(r[c], rel=1e-9) for c in ("MMD_Score", "Mahalanobis_Score", "EMD_Score"))
