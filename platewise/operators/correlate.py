@@ -2,24 +2,25 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.functions import array_to_vector
-from pyspark.ml.stat import Correlation
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from platewise.functions.numeric import all_present
+from platewise.functions.numeric import all_present, no_nan
 from platewise.operators.components import connected_components
+from platewise.operators.moments import TILE, moments
 from platewise.operators.ordered import TASK_VALUES, group_quantiles
 from platewise.operators.scaling import impute_mean
 from platewise.roles import Roles
 from platewise.session import stage
 
 CLUSTER_BELOW = 0.1
+#: A standard deviation below this share of the mean is rounding.
+CONSTANT = 1e-13
 
 
 def well_medians(
@@ -32,21 +33,33 @@ def well_medians(
     return med.select(*keys, *[F.get(f"`{f}`", F.lit(0)).alias(f) for f in features])
 
 
-def pearson_pairs(profiles: DataFrame, features: Sequence[str]) -> DataFrame:
-    """``feature_a < feature_b, r`` for every pair; NULL where a column is constant or empty.
+def pearson_pairs(profiles: DataFrame, features: Sequence[str], tile: int = TILE) -> DataFrame:
+    """``feature_a < feature_b, r`` for every pair; NULL where a column is constant or empty. Missing values count as 0.
 
-    The Gram matrix is summed up over the rows by a tree aggregate; only the features x features
-    result reaches the driver.
+    Sums of products come by tiles of features and each tile becomes pairs where it was merged: nothing passes the driver.
     """
     names = sorted(features)
-    vector = array_to_vector(F.array(*[F.coalesce(F.col(f"`{f}`").cast("double"), F.lit(0.0)) for f in names]))
-    matrix = Correlation.corr(profiles.select(vector.alias("v")), "v").head()[0].toArray()
-    rows, cols = np.triu_indices(len(names), 1)
-    pdf = pd.DataFrame(
-        {"feature_a": [names[i] for i in rows], "feature_b": [names[j] for j in cols], "r": matrix[rows, cols]}
-    )
-    pairs = profiles.sparkSession.createDataFrame(pdf, "feature_a string, feature_b string, r double")
-    return pairs.withColumn("r", F.when(~F.isnan("r"), F.col("r")))
+    vector = F.array(*[F.coalesce(no_nan(F.col(f"`{f}`").cast("double")), F.lit(0.0)) for f in names])
+
+    def spread(n: float, mean: np.ndarray, var: np.ndarray) -> np.ndarray:
+        """Standard deviations, NaN for a column that is constant but for rounding."""
+        size = np.sqrt(np.maximum(var, 0.0) / max(n - 1, 1.0))
+        return np.where((var > 0) & (size > CONSTANT * np.abs(mean)), np.sqrt(var), np.nan)
+
+    def pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for t in pdf.itertuples():
+                mi, mj, vi, vj = map(np.asarray, (t.mean_i, t.mean_j, t.var_i, t.var_j))
+                r = np.asarray(t.scatter).reshape(len(mi), len(mj)) / np.outer(spread(t.n, mi, vi), spread(t.n, mj, vj))
+                a, b = np.indices(r.shape)
+                a, b, r = a.ravel() + t.ti * tile, b.ravel() + t.tj * tile, r.ravel()
+                above = a < b
+                r = pd.Series(np.clip(r[above], -1.0, 1.0))
+                yield pd.DataFrame({"feature_a": [names[i] for i in a[above]], "feature_b": [names[i] for i in b[above]], "r": r})
+
+    tiles = moments(profiles.select(vector.alias("v")), "v", tile=tile)
+    found = tiles.mapInPandas(pairs, "feature_a string, feature_b string, r double")
+    return found.withColumn("r", no_nan(F.col("r")))
 
 
 def feature_correlation(
@@ -69,23 +82,52 @@ def corr_distance(r: str | Column) -> Column:
 
 
 def _average_linkage(names: list[str], dist: np.ndarray, below: float) -> list[list[str]]:
-    """Merge the closest two clusters while their mean distance is below the threshold."""
+    """Average linkage by chains of nearest neighbours, cut where the mean distance reaches the threshold.
+
+    A chain steps from a cluster to its nearest until two are each other's nearest; those merge, and what is left of
+    the chain stays valid. Mean distances never shrink by a merge, so the merges below the threshold are those that
+    merging the closest two first would do; the work is quadratic.
+    """
     d = dist.astype(float).copy()
     np.fill_diagonal(d, np.inf)
-    members = {i: [n] for i, n in enumerate(names)}
-    size = np.ones(len(names))
-    while len(members) > 1:
-        i, j = divmod(int(np.argmin(d)), len(names))
-        if not d[i, j] < below:
-            break
-        i, j = min(i, j), max(i, j)
+    m = len(names)
+    size, chain = np.ones(m), []
+    alive = np.ones(m, bool)
+    joins: list[tuple[int, int]] = []
+    for _ in range(m - 1):
+        if not chain:
+            chain = [int(np.flatnonzero(alive)[0])]
+        while True:
+            last = chain[-1]
+            near = int(np.argmin(d[last]))
+            # Between equals the one before goes first, or the chain would run in circles.
+            if len(chain) > 1 and d[last, chain[-2]] <= d[last, near]:
+                near = chain[-2]
+                break
+            chain.append(near)
+        i, j = sorted((chain.pop(), chain.pop()))
+        if d[i, j] < below:
+            joins.append((i, j))
         joined = (size[i] * d[i] + size[j] * d[j]) / (size[i] + size[j])
         d[i], d[:, i] = joined, joined
         d[i, i] = np.inf
         d[j], d[:, j] = np.inf, np.inf
         size[i] += size[j]
-        members[i] += members.pop(j)
-    return sorted(sorted(m) for m in members.values())
+        alive[j] = False
+    parent = list(range(m))
+
+    def top(i: int) -> int:
+        while parent[i] != i:
+            parent[i] = parent[parent[i]]
+            i = parent[i]
+        return i
+
+    for i, j in joins:
+        parent[top(j)] = top(i)
+    members: dict[int, list[str]] = {}
+    for i, name in enumerate(names):
+        members.setdefault(top(i), []).append(name)
+    return sorted(sorted(c) for c in members.values())
 
 
 def cluster_features(distances: DataFrame, below: float = CLUSTER_BELOW, subset: str = "subset") -> DataFrame:

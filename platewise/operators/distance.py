@@ -7,7 +7,7 @@ blocks, so a vector is copied to that many tasks, not to N / BLOCK_ROWS, until a
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 
 from platewise.functions.numeric import sanitize
 from platewise.operators.emd import emd_pairs
+from platewise.operators.moments import moments, whole_scatter
 from platewise.operators.ordered import long_form
 from platewise.operators.scaling import impute_group_mean, min_max, sanitize_columns
 from platewise.roles import Roles
@@ -27,8 +28,6 @@ RIDGE = 1e-6
 BLOCK_ROWS = 2048
 #: Vectors of one side that a task holds at most.
 TILE_ROWS = 1 << 17
-#: Partial moments that are merged in one step.
-MERGED = 64
 
 
 def vector_of(features: Sequence[str]) -> Column:
@@ -144,53 +143,6 @@ def _inverse(cov: np.ndarray, pivot: float = 1e-12) -> np.ndarray:
     return np.linalg.inv(cov)
 
 
-def _merge(parts: Sequence[tuple[float, np.ndarray, np.ndarray]]) -> tuple[float, np.ndarray, np.ndarray]:
-    """Count, mean and scatter about the mean of several parts together."""
-    n, mean, scatter = parts[0]
-    for m, other, spread in parts[1:]:
-        off, total = other - mean, n + m
-        scatter = scatter + spread + np.outer(off, off) * (n * m / total)
-        mean, n = mean + off * (m / total), total
-    return n, mean, scatter
-
-
-def moments(df: DataFrame, vec: str, by: Sequence[str] = ()) -> DataFrame:
-    """``by, n, mean, scatter``: count, mean and sums of products about the mean (row by row) of all vectors per subset.
-
-    Every task adds up its own rows; the parts, one per task and subset, are merged in two steps, so that no task
-    meets more than a share of them. Vectors have one length.
-    """
-    by = list(by)
-    typed = ", ".join([*[f"{c} {df.schema[c].dataType.simpleString()}" for c in by], "n double, mean array<double>, scatter array<double>"])
-
-    def frame(rows: list[tuple]) -> pd.DataFrame:
-        return pd.DataFrame(dict(zip([*by, "n", "mean", "scatter"], zip(*rows))))
-
-    def unpacked(pdf: pd.DataFrame) -> list[tuple]:
-        return [(n, np.asarray(m), np.asarray(s).reshape(len(m), len(m))) for n, m, s in zip(pdf.n, pdf["mean"], pdf.scatter)]
-
-    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: dict[tuple, tuple] = {}
-        for pdf in batches:
-            groups = pdf.groupby(by, dropna=False) if by else [((), pdf)]
-            for key, part in groups:
-                v = np.stack(part["_v"].to_numpy())
-                mean = v.mean(axis=0)
-                new = (float(len(v)), mean, (v - mean).T @ (v - mean))
-                held[key] = _merge([held[key], new]) if key in held else new
-        if held:
-            yield frame([(*key, n, m.tolist(), s.ravel().tolist()) for key, (n, m, s) in held.items()])
-
-    def merged(pdf: pd.DataFrame) -> pd.DataFrame:
-        n, m, s = _merge(unpacked(pdf))
-        return frame([(*(pdf[c].iloc[0] for c in by), n, m.tolist(), s.ravel().tolist())])
-
-    parts = df.select(*by, F.col(vec).cast("array<double>").alias("_v")).mapInPandas(partial, typed)
-    salt = F.pmod(F.spark_partition_id(), F.lit(MERGED)).alias("_salt")
-    first = parts.select("*", salt).groupBy(*by, "_salt").applyInPandas(merged, typed)
-    return first.groupBy(*by).applyInPandas(merged, typed)
-
-
 def mahalanobis(df: DataFrame, group: str, control, others: Sequence, vec: str = "v", by: Sequence[str] = (), used: dict | None = None) -> DataFrame:
     """``by, Group_A, Group_B, Mahalanobis_Score``: mean distance of each group's rows from the control, per subset.
 
@@ -202,11 +154,13 @@ def mahalanobis(df: DataFrame, group: str, control, others: Sequence, vec: str =
         return mahalanobis(df.withColumn("_subset", F.lit(0)), group, control, others, vec, ["_subset"]).drop("_subset")
     by, kind = list(by), df.schema[group].dataType
     reference = {}
+    tiles: dict[tuple, list] = {}
     for r in moments(df.where(F.col(group) == F.lit(control)), vec, by).where("n >= 2").collect():
-        key = tuple(r[c] for c in by)
-        at = (used or {}).get(key, list(range(len(r["mean"]))))
-        cov = np.asarray(r["scatter"]).reshape(len(r["mean"]), -1) / (r["n"] - 1)
-        reference[repr(key)] = (at, np.asarray(r["mean"])[at], _inverse(cov[np.ix_(at, at)]))
+        tiles.setdefault(tuple(r[c] for c in by), []).append(r)
+    for key, own in tiles.items():
+        mean, scatter = whole_scatter(own)
+        at = (used or {}).get(key, list(range(len(mean))))
+        reference[repr(key)] = (at, mean[at], _inverse(scatter[np.ix_(at, at)] / (own[0]["n"] - 1)))
     if not reference:
         fields = [*[df.schema[c] for c in by], T.StructField("Group_A", kind), T.StructField("Group_B", kind), T.StructField("Mahalanobis_Score", T.DoubleType())]
         return df.sparkSession.createDataFrame([], T.StructType(fields))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import math
 import random
+import time
 
 import numpy as np
 import pytest
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 
 from platewise import session
 from platewise.functions.numeric import chi2_tail
+from platewise.operators import correlate, moments
 from platewise.operators import distance as D
 from platewise.operators import ordered as O
 from platewise.operators import qc, subsets
@@ -113,16 +115,61 @@ def test_stages_are_deleted(spark):
     assert spark.read.parquet(path).count() == 5
 
 
-def test_moments_over_many_parts(spark):
+@pytest.mark.parametrize("tile,held", [(256, 1 << 23), (3, 1 << 23), (2, 1)])
+def test_moments_over_many_parts(spark, tile, held):
     rng = np.random.default_rng(5)
     x = rng.normal(size=(500, 4)) * [1, 10, 0.1, 1] + [1e6, 0, -3, 5]
     rows = [("ab"[i % 3 == 0], r.tolist()) for i, r in enumerate(x)]
     df = spark.createDataFrame(rows, "g string, v array<double>").repartition(23)
-    for r in D.moments(df, "v", ["g"]).collect():
-        own = np.array([v for g, v in rows if g == r["g"]])
-        assert r["n"] == len(own)
-        np.testing.assert_allclose(r["mean"], own.mean(axis=0), rtol=1e-12)
-        np.testing.assert_allclose(np.reshape(r["scatter"], (4, 4)) / (len(own) - 1), np.cov(own, rowvar=False), rtol=1e-9, atol=1e-9)
+    got = moments.moments(df, "v", ["g"], tile, held).collect()
+    for g in "ab":
+        own = np.array([v for h, v in rows if h == g])
+        mean, scatter = moments.whole_scatter([r for r in got if r["g"] == g], tile)
+        assert {r["n"] for r in got if r["g"] == g} == {len(own)}
+        np.testing.assert_allclose(mean, own.mean(axis=0), rtol=1e-12)
+        np.testing.assert_allclose(scatter / (len(own) - 1), np.cov(own, rowvar=False), rtol=1e-9, atol=1e-9)
+
+
+@pytest.mark.parametrize("tile", [256, 3])
+def test_pearson_pairs_by_tiles(spark, tile):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(300, 7)) @ rng.normal(size=(7, 7)) + 1e4
+    x[:, 3] = 0.1
+    names = [f"f{i}" for i in range(7)]
+    df = spark.createDataFrame([tuple(map(float, r)) for r in x], ", ".join(f"{n} double" for n in names))
+    got = {(r["feature_a"], r["feature_b"]): r["r"] for r in correlate.pearson_pairs(df, names, tile).collect()}
+    assert len(got) == 21
+    for (a, b), r in got.items():
+        i, j = int(a[1]), int(b[1])
+        assert r is None if 3 in (i, j) else r == pytest.approx(np.corrcoef(x[:, i], x[:, j])[0, 1], abs=1e-9)
+
+
+def greedy_average_linkage(names, dist, below):
+    groups = [[i] for i in range(len(names))]
+    while len(groups) > 1:
+        d, a, b = min((np.mean([dist[x, y] for x in g for y in h]), a, b) for a, g in enumerate(groups) for b, h in enumerate(groups) if a < b)
+        if d >= below:
+            break
+        groups[a] += groups.pop(b)
+    return sorted(sorted(names[i] for i in g) for g in groups)
+
+
+def test_chains_merge_like_the_closest_two_first():
+    rng = np.random.default_rng(9)
+    for below in (0.05, 0.1, 0.2, 0.6):
+        for n in (1, 2, 9, 25):
+            x = rng.uniform(size=(n, 2)) * 0.7
+            d = np.abs(x[:, None] - x[None]).sum(axis=2)
+            names = [f"f{i:02}" for i in range(n)]
+            assert correlate._average_linkage(names, d, below) == greedy_average_linkage(names, d, below)
+
+
+def test_a_component_of_many_features_is_linked_in_seconds():
+    rng = np.random.default_rng(10)
+    x = rng.uniform(size=(2500, 1))
+    start = time.perf_counter()
+    found = correlate._average_linkage([str(i) for i in range(2500)], np.abs(x - x.T), 0.1)
+    assert time.perf_counter() - start < 20 and sum(map(len, found)) == 2500
 
 
 def test_a_vector_is_copied_to_the_root_of_the_blocks(spark):
