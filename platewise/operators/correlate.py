@@ -54,6 +54,8 @@ def pearson_pairs(profiles: DataFrame, features: Sequence[str], tile: int = TILE
                 a, b = np.indices(r.shape)
                 a, b, r = a.ravel() + t.ti * tile, b.ravel() + t.tj * tile, r.ravel()
                 above = a < b
+                if not above.any():
+                    continue
                 r = pd.Series(np.clip(r[above], -1.0, 1.0))
                 yield pd.DataFrame({"feature_a": [names[i] for i in a[above]], "feature_b": [names[i] for i in b[above]], "r": r})
 
