@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -21,6 +21,9 @@ NEIGHBOURS = 15
 GRID_POINTS = 200
 CUT = 3
 BLOCK_ROWS = 2048
+#: Reference vectors of the neighbour search, and the rows of the sample that each is picked from.
+PIVOTS = 16
+PIVOT_SAMPLE = 64
 
 
 def ready_features(
@@ -54,7 +57,7 @@ def _nearest(id_col: str, k: int):
     def search(pdf: pd.DataFrame) -> pd.DataFrame:
         ask, there = pdf[pdf.side != 2], pdf[pdf.side != 1]
         if not len(ask) or not len(there):
-            return pd.DataFrame({id_col: [], "neighbour": [], "distance": []})
+            return pd.DataFrame({id_col: [], "neighbour": [], "distance": [], "block": []})
         b, ids = np.stack(there.v.to_numpy()), there[id_col].to_numpy()
         by_id = np.argsort(ids, kind="stable")
         b, ids = b[by_id], ids[by_id]
@@ -66,39 +69,97 @@ def _nearest(id_col: str, k: int):
             # Stable on ids, so equal distances keep the smaller id.
             near[at : at + 32] = np.argsort(d, axis=1, kind="stable")[:, :keep]
             far[at : at + 32] = np.take_along_axis(d, near[at : at + 32], axis=1)
-        return pd.DataFrame({id_col: np.repeat(own, keep), "neighbour": ids[near.ravel()], "distance": far.ravel()})
+        found = pd.DataFrame({id_col: np.repeat(own, keep), "neighbour": ids[near.ravel()], "distance": far.ravel()})
+        found["block"] = ask.block.iloc[0]
+        # Nothing beyond what the block's rows already have can be among a row's nearest.
+        return found[found.distance <= ask.reach.iloc[0]]
 
     return search
 
 
+def _pivots(rows: DataFrame, id_col: str, count: int) -> np.ndarray:
+    """Vectors far from each other, picked one by one from a sample of ``PIVOT_SAMPLE`` rows per pivot."""
+    drawn = rows.orderBy(F.xxhash64(id_col), id_col).limit(count * PIVOT_SAMPLE).select("v").collect()
+    sample = np.asarray([r["v"] for r in drawn], dtype=float)
+    chosen = [0]
+    far = np.sqrt(((sample - sample[0]) ** 2).sum(axis=1))
+    while len(chosen) < min(count, len(sample)):
+        chosen.append(int(np.argmax(far)))
+        far = np.minimum(far, np.sqrt(((sample - sample[chosen[-1]]) ** 2).sum(axis=1)))
+    return sample[chosen]
+
+
+def neighbour_blocks(df: DataFrame, id_col: str, vec: str, block_rows: int = BLOCK_ROWS, pivots: int = PIVOTS) -> DataFrame:
+    """``id, v, far, block``: rows in blocks of at most ``block_rows`` near each other, with their distances to the pivots.
+
+    Rows are put in order by nearest pivot and distance to it; a block is a run of that order.
+    """
+    rows = df.select(id_col, F.col(vec).cast("array<double>").alias("v"))
+    base = _pivots(rows, id_col, pivots)
+    kind = df.schema[id_col].dataType.simpleString()
+
+    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if len(pdf):
+                v = np.stack(pdf.v.to_numpy())
+                d = np.sqrt(np.stack([((v - p) ** 2).sum(axis=1) for p in base], axis=1))
+                yield pdf.assign(far=list(d), cell=d.argmin(axis=1), near=d.min(axis=1))
+
+    placed = rows.mapInPandas(place, f"{id_col} {kind}, v array<double>, far array<double>, cell int, near double")
+    order = ["cell", "near", id_col]
+    runs = placed.repartitionByRange(max(1, -(-df.count() // block_rows)), *order).sortWithinPartitions(*order)
+    at = F.monotonically_increasing_id()
+    inside = at.bitwiseAND(F.lit((1 << 33) - 1))
+    return stage(runs.select(id_col, "v", "far", (at - inside % block_rows).alias("block")), "neighbour-blocks")
+
+
+def block_pairs(blocks: DataFrame, reach: DataFrame) -> DataFrame | None:
+    """``asks, holds, reach``: the blocks whose rows can hold neighbours of another block's rows; None if there is one block.
+
+    By the triangle inequality two rows lie at least as far apart as their distances to any pivot differ. A block is left
+    out if that bound, over all pivots, exceeds ``reach``: how far the k-th neighbours found so far lie from the asking
+    block's rows. The table of pairs has one row per two blocks, no vectors.
+    """
+    ends = blocks.select("block", F.posexplode("far").alias("p", "d")).groupBy("block", "p").agg(F.min("d").alias("lo"), F.max("d").alias("hi"))
+    ends = ends.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("p", "lo", "hi"))).alias("ends")).join(reach, "block")
+    # One row per block.
+    ends = stage(ends.withColumn("no", F.row_number().over(W.orderBy("block"))), "block-ends")
+    count = ends.count()
+    if count <= 1:
+        return None
+    asks = ends.select(F.col("block").alias("asks"), "reach", F.col("ends").alias("_a"), F.explode(F.sequence(F.lit(1), F.lit(count))).alias("no"))
+    both = asks.join(ends.select("no", F.col("block").alias("holds"), F.col("ends").alias("_b")), "no").where("asks != holds")
+    apart = F.array_max(F.zip_with("_a", "_b", lambda a, b: F.greatest(a["lo"] - b["hi"], b["lo"] - a["hi"])))
+    return both.where(apart <= F.col("reach")).select("asks", "holds", "reach")
+
+
 def knn(
-    df: DataFrame, id_col: str, vec: str, k: int = NEIGHBOURS, block_rows: int = BLOCK_ROWS
+    df: DataFrame, id_col: str, vec: str, k: int = NEIGHBOURS, block_rows: int = BLOCK_ROWS, pivots: int = PIVOTS
 ) -> DataFrame:
     """``id, neighbour, distance, rank``: the exact k nearest rows, the row itself included.
 
-    Rows are dealt into blocks of bounded size; a pair of blocks yields k candidates per row, and a
-    row's candidates (k per block) are ranked together. Ties go to the smaller id.
+    Rows near each other share a block. Every block is searched for its own rows first; how far those neighbours lie
+    bounds the other blocks that a block has to meet (``block_pairs``), so on clustered rows most pairs are skipped. Each
+    meeting yields at most k candidates per row, ranked together in the end. Ties go to the smaller id.
     """
-    blocks = max(1, -(-df.count() // block_rows))
-    dealt = df.select(id_col, F.col(vec).cast("array<double>").alias("v")).withColumn(
-        "_b", F.pmod(F.xxhash64(F.col(id_col)), F.lit(blocks)).cast("int")
-    )
-    every = F.sequence(F.lit(0), F.lit(blocks - 1))
-
-    def meeting(asks, holds, side):
-        return F.struct(asks.alias("asks"), holds.alias("holds"), side.alias("side"))
-
-    mine = F.col("_b")
-    meetings = F.concat(
-        F.transform(every, lambda j: meeting(mine, j, F.when(j == mine, 0).otherwise(1))),
-        F.transform(F.filter(every, lambda j: j != mine), lambda i: meeting(i, mine, F.lit(2))),
-    )
-    spread = dealt.select(id_col, "v", F.inline(meetings))
+    blocks = neighbour_blocks(df, id_col, vec, block_rows, pivots)
     kind = df.schema[id_col].dataType.simpleString()
-    found = spread.groupBy("asks", "holds").applyInPandas(
-        _nearest(id_col, k), f"{id_col} {kind}, neighbour {kind}, distance double"
-    )
+    typed = f"{id_col} {kind}, neighbour {kind}, distance double, block long"
+    endless = F.lit(float("inf"))
+    alone = blocks.select(id_col, "v", "block", endless.alias("reach"), F.lit(0).alias("side"))
+    first = stage(alone.groupBy("block").applyInPandas(_nearest(id_col, k), typed), "neighbours")
+    kth = first.groupBy("block", id_col).agg(F.when(F.count("*") >= k, F.max("distance")).otherwise(endless).alias("d"))
+    # A little more than the bound, for rounding.
+    reach = kth.groupBy("block").agg((F.max("d") * (1 + 1e-9)).alias("reach"))
     best = F.row_number().over(W.partitionBy(id_col).orderBy("distance", "neighbour"))
+    pairs = block_pairs(blocks, reach)
+    if pairs is None:
+        return first.select(id_col, "neighbour", "distance").withColumn("rank", best)
+    pairs = stage(pairs, "block-pairs")
+    asking = blocks.join(pairs, F.col("block") == F.col("asks")).withColumn("side", F.lit(1))
+    holding = blocks.join(pairs, F.col("block") == F.col("holds")).withColumn("side", F.lit(2))
+    others = asking.unionByName(holding).drop("far").groupBy("asks", "holds").applyInPandas(_nearest(id_col, k), typed)
+    found = first.unionByName(others).select(id_col, "neighbour", "distance")
     return found.withColumn("rank", best).where(F.col("rank") <= k)
 
 

@@ -97,6 +97,32 @@ def test_knn_matches_brute_force(cloud, block_rows):
     assert (got[got["rank"] == 1].neighbour.to_numpy() == got[got["rank"] == 1].id.to_numpy()).all()
 
 
+def test_knn_skips_far_blocks(spark):
+    rng = np.random.default_rng(12)
+    x = np.concatenate([rng.normal(size=(100, 5)) + c for c in rng.normal(size=(12, 5)) * 60])
+    df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "id long, v array<double>")
+    got = E.knn(df, "id", "v", 4, 50).toPandas().sort_values(["id", "rank"])
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2))
+    np.testing.assert_array_equal(got.neighbour.to_numpy().reshape(-1, 4), np.argsort(d, axis=1, kind="stable")[:, :4])
+    blocks = E.neighbour_blocks(df, "id", "v", 50)
+    sizes = blocks.groupBy("block").count().collect()
+    assert max(r["count"] for r in sizes) <= 50 and sum(r["count"] for r in sizes) == 1200
+    reach = blocks.select("block").distinct().withColumn("reach", F.lit(15.0))
+    pairs = E.block_pairs(blocks, reach).count()
+    # All pairs of blocks would copy every row to twice the number of blocks.
+    assert pairs < 0.2 * len(sizes) ** 2
+
+
+def test_knn_of_equal_vectors_and_few_rows(spark):
+    df = spark.createDataFrame([(i, [1.0, 2.0]) for i in range(30)] + [(99, [5.0, 2.0])], "id long, v array<double>")
+    got = {}
+    for r in E.knn(df, "id", "v", 3, 7).collect():
+        got.setdefault(r["id"], []).append((r["rank"], r["neighbour"], r["distance"]))
+    assert all(sorted(v) == [(1, 0, 0.0), (2, 1, 0.0), (3, 2, 0.0)] for i, v in got.items() if i != 99)
+    assert sorted(got[99]) == [(1, 99, 0.0), (2, 0, 4.0), (3, 1, 4.0)]
+    assert E.knn(df.limit(2), "id", "v", 15).count() == 4
+
+
 def quantile_reference(x, n):
     if n == len(x):  # every row is a reference: its mean rank
         return (pd.Series(x).rank().to_numpy() - 1) / (n - 1) * (x > x.min()) * (x < x.max()) + (x == x.max())
