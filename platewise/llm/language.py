@@ -27,7 +27,10 @@ from platewise.llm.word_grams import WordTable, grams, plain
 SIZES = (1, 2, 3)
 BUCKETS = 1 << 13
 SCALE = 20.0
-_LETTER = re.compile(r"[^\W\d_]")
+#: Letters, and numerals that are none.
+_LETTER_LIKE = re.compile(r"[^\W\d_]")
+#: Hash classes of doc_ids: each class of a language gives its first texts, then the classes together.
+CLASSES = 256
 #: Public facts: families of common languages, by ISO 639-1 code.
 FAMILIES = {
     "germanic": ("en", "de", "nl", "sv", "da", "no", "nb", "nn", "is", "af"),
@@ -53,27 +56,52 @@ class LanguageModel:
     pairs: tuple[tuple[int, str, str], ...]
 
 
-def profile(words: list[str]) -> np.ndarray:
-    """Bucket shares of a text's words."""
-    bucket, _ = grams(words, SIZES, BUCKETS, whole=False)
-    return np.bincount(bucket, minlength=BUCKETS) / max(1, len(bucket)) * SCALE
+def has_letter(text: str) -> bool:
+    return any(m[0].isalpha() for m in _LETTER_LIKE.finditer(text))
 
 
-def svm(x: np.ndarray, sign: np.ndarray, c: float = 10.0, turns: int = 150) -> tuple[np.ndarray, float]:
+class Profiles:
+    """Rows of bucket shares, the zeros left out: a text holds far fewer n-grams than there are buckets."""
+
+    def __init__(self, rows: list[tuple[np.ndarray, np.ndarray]]):
+        self.rows = rows
+        self.bucket = np.concatenate([b for b, _ in rows])
+        self.share = np.concatenate([v for _, v in rows])
+        self.owner = np.repeat(np.arange(len(rows)), [len(b) for b, _ in rows])
+
+    @classmethod
+    def of(cls, texts: list[list[str]]) -> Profiles:
+        rows = []
+        for words in texts:
+            found, count = np.unique(grams(words, SIZES, BUCKETS, whole=False)[0], return_counts=True)
+            rows.append((found, count / max(1, count.sum()) * SCALE))
+        return cls(rows)
+
+    def at(self, chosen: np.ndarray) -> Profiles:
+        return Profiles([self.rows[i] for i in np.flatnonzero(chosen)])
+
+    def times(self, w: np.ndarray) -> np.ndarray:
+        return np.bincount(self.owner, self.share * w[self.bucket], len(self.rows))
+
+    def summed(self, factor: np.ndarray) -> np.ndarray:
+        return np.bincount(self.bucket, self.share * factor[self.owner], BUCKETS)
+
+
+def svm(x: Profiles, sign: np.ndarray, c: float = 10.0, turns: int = 150) -> tuple[np.ndarray, float]:
     """Weights and bias of a linear machine with squared hinge loss, by accelerated gradient steps, classes balanced."""
     plus, minus = (sign > 0).sum(), (sign < 0).sum()
     cost = c * np.where(sign > 0, len(sign) / (2 * max(1, plus)), len(sign) / (2 * max(1, minus))) / len(sign)
-    v = np.random.default_rng(3).standard_normal(x.shape[1])
+    v = np.random.default_rng(3).standard_normal(BUCKETS)
     for _ in range(8):
-        v = x.T @ (x @ (v / np.linalg.norm(v)))
+        v = x.summed(x.times(v / np.linalg.norm(v)))
     rate = 1 / (1e-3 + 2 * cost.max() * (np.linalg.norm(v) + len(sign)))
-    w, old, b, old_b = np.zeros(x.shape[1]), np.zeros(x.shape[1]), 0.0, 0.0
+    w, old, b, old_b = np.zeros(BUCKETS), np.zeros(BUCKETS), 0.0, 0.0
     for t in range(turns):
         k = t / (t + 3)
         u, ub = w + k * (w - old), b + k * (b - old_b)
-        slack = np.maximum(0, 1 - sign * (x @ u + ub)) * cost * sign
+        slack = np.maximum(0, 1 - sign * (x.times(u) + ub)) * cost * sign
         old, old_b = w, b
-        w, b = u - rate * (1e-3 * u - 2 * x.T @ slack), ub + rate * 2 * slack.sum()
+        w, b = u - rate * (1e-3 * u - 2 * x.summed(slack)), ub + rate * 2 * slack.sum()
     return w, float(b)
 
 
@@ -93,9 +121,9 @@ def train(texts: list[str], languages: list[str]) -> LanguageModel | None:
     rows = [(d, x) for d, x in rows if d]
     if not rows:
         return None
-    x = np.stack([profile(d) for d, _ in rows])
+    x = Profiles.of([d for d, _ in rows])
     names = np.array([n for _, n in rows])
-    means = {n: x[names == n].mean(axis=0) for n in sorted(set(names.tolist()))}
+    means = {n: x.summed((names == n) / (names == n).sum()) for n in sorted(set(names.tolist()))}
     families = _grouped(sorted(means), means)
     machines, pairs = [], []
     for family in families:
@@ -104,7 +132,7 @@ def train(texts: list[str], languages: list[str]) -> LanguageModel | None:
     for f, family in enumerate(families):
         for a, b in combinations(family, 2):
             rows_ab = np.isin(names, (a, b))
-            machines.append(svm(x[rows_ab], np.where(names[rows_ab] == a, 1.0, -1.0)))
+            machines.append(svm(x.at(rows_ab), np.where(names[rows_ab] == a, 1.0, -1.0)))
             pairs.append((f, a, b))
     return LanguageModel(np.stack([w for w, _ in machines], axis=1) * SCALE, np.array([b for _, b in machines]), tuple(families), tuple(pairs))
 
@@ -133,11 +161,19 @@ def decide(margins: np.ndarray, model: LanguageModel) -> tuple[str, float]:
 
 
 def fit(docs: DataFrame, learn: Column, per_language: int = 700) -> LanguageModel | None:
-    """A model from rows of ``docs`` (doc_id, text, lang) with a language, where ``learn`` holds; None without any."""
-    marked = docs.where(F.col("lang").isNotNull() & (F.length("text") > 0) & learn).select("doc_id", "lang", F.xxhash64("doc_id").alias("h"))
-    first = W.partitionBy("lang").orderBy("h", "doc_id")
-    picked = marked.withColumn("_r", F.row_number().over(first)).where(F.col("_r") <= per_language).select("doc_id", "lang").distinct()
-    rows = docs.select("doc_id", "lang", "text").join(picked, ["doc_id", "lang"]).dropDuplicates(["doc_id", "lang"])
+    """A model from rows of ``docs`` (doc_id, text, lang) with a language, where ``learn`` holds; None without any.
+
+    Of rows that share a doc_id and language, the smallest text teaches. Equal votes go to the larger lead, then to the
+    language that comes first in its family.
+    """
+    usable = docs.select("doc_id", "lang", "text").where(F.col("lang").isNotNull() & (F.length("text") > 0) & learn)
+    marked = usable.select("doc_id", "lang", F.xxhash64("doc_id").alias("h"), F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(CLASSES)).alias("c"))
+    order = ["h", "doc_id"]
+    some = marked.withColumn("_r", F.row_number().over(W.partitionBy("lang", "c").orderBy(*order))).where(F.col("_r") <= per_language)
+    picked = some.withColumn("_r", F.row_number().over(W.partitionBy("lang").orderBy(*order))).where(F.col("_r") <= per_language)
+    # At most per_language ids of each language.
+    picked = F.broadcast(picked.select("doc_id", "lang").distinct())
+    rows = usable.join(picked, ["doc_id", "lang"]).groupBy("doc_id", "lang").agg(F.min("text").alias("text"))
     sample = sorted((r["doc_id"], r["lang"], r["text"] or "") for r in rows.collect())
     return train([t for _, _, t in sample], [n for _, n, _ in sample])
 
@@ -172,7 +208,7 @@ def predict(docs: DataFrame, model: LanguageModel | None) -> DataFrame:
                 out += [("und", 0.0)] * len(some)
                 continue
             for text, numbers in zip(some, table.lookup([t.lower().split() for t in some])):
-                if not _LETTER.search(text):
+                if not has_letter(text):
                     out.append(("und", 0.0))
                     continue
                 sums = table.rows[numbers].sum(axis=0)

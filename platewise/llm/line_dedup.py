@@ -15,6 +15,7 @@ empty line. Lines are short or long as they come; a document's lines meet in one
 from __future__ import annotations
 
 import dataclasses
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,8 +30,10 @@ from platewise.session import stage
 
 #: Keys a filter shard should hold.
 SHARD_KEYS = 1 << 20
-#: Bytes of filters that are sent to every task; beyond it, lines are confirmed without the filters' help.
+#: Bytes of filters that are sent to every task; beyond it, each shard's filter meets the keys of its shard alone.
 FILTER_BYTES = 32 << 20
+#: Tasks that share a shard's keys where filters aren't sent to every task.
+SHARD_TASKS = 16
 SLOTS = 4
 
 
@@ -133,13 +136,14 @@ def _halves(keys: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclasses.dataclass(frozen=True)
 class LineStore:
-    """A version of the store. refs: key, n (documents that hold it). filters: shard, body. Both are stored tables."""
+    """A version of the store. refs: key, n (documents, or texts, that hold it). filters: shard, body. Both are stored tables."""
 
     refs: DataFrame
     filters: DataFrame
     shards: int
     min_docs: int
     min_chars: int
+    by_text: bool = False
 
     @property
     def frequent(self) -> DataFrame:
@@ -180,8 +184,13 @@ def _shards_for(keys: int) -> int:
 
 
 def build_store(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, by_text: bool = False) -> LineStore:
-    """A store that holds all rows of ``docs``. by_text: copies of a text count once; such a store can't take deletions."""
-    return _with_filters(stage(count_lines(docs, min_chars, by_text), "line_refs"), min_docs, min_chars)
+    """A store that holds all rows of ``docs``.
+
+    by_text: copies of a text count once. Such a store doesn't know which texts it has counted, so it takes no insertions
+    and no deletions.
+    """
+    store = _with_filters(stage(count_lines(docs, min_chars, by_text), "line_refs"), min_docs, min_chars)
+    return dataclasses.replace(store, by_text=by_text)
 
 
 def _with_filters(refs: DataFrame, min_docs: int, min_chars: int) -> LineStore:
@@ -201,6 +210,8 @@ def delete(store: LineStore, docs: DataFrame) -> LineStore:
 
 
 def _changed(store: LineStore, docs: DataFrame, sign: int) -> LineStore:
+    if store.by_text:
+        raise ValueError("a store that counts texts can't tell which of them are new; build it anew")
     change = count_lines(docs, store.min_chars).select("key", F.lit(0).cast("long").alias("was"), (sign * F.col("n")).alias("n"))
     now = store.refs.select("key", F.col("n").alias("was"), "n").unionByName(change)
     now = stage(now.groupBy("key").agg(F.sum("was").alias("was"), F.sum("n").alias("n")), "line_changes")
@@ -238,8 +249,6 @@ def _candidates(texts: DataFrame, store: LineStore) -> DataFrame:
     shards, min_chars = store.shards, store.min_chars
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import zlib
-
         filters = None if held is None else {s: CuckooFilter.from_bytes(b) for s, b in held.value.items()}
         for batch in batches:
             names, keys = [], []
@@ -258,7 +267,24 @@ def _candidates(texts: DataFrame, store: LineStore) -> DataFrame:
                 names, keys = [names[i] for i in at], [keys[i] for i in at]
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(keys, pa.binary())], ["text_key", "key"])
 
-    return texts.select("text_key", "text").mapInArrow(probe, "text_key string, key binary")
+    found = texts.select("text_key", "text").mapInArrow(probe, "text_key string, key binary")
+    return found if held is not None else _by_shard(found, store)
+
+
+def _by_shard(keys: DataFrame, store: LineStore) -> DataFrame:
+    """The rows of ``keys`` (text_key, key) that pass their shard's filter; ``SHARD_TASKS`` tasks share a shard."""
+
+    def probe(own: pd.DataFrame, bodies: pd.DataFrame) -> pd.DataFrame:
+        if not len(bodies) or not len(own):
+            return own[["text_key", "key"]].iloc[:0]
+        hit = CuckooFilter.from_bytes(bodies["body"].iloc[0]).holds(_halves(own["key"].tolist())[1])
+        return own[["text_key", "key"]][hit]
+
+    part = F.pmod(F.xxhash64("text_key", "key"), F.lit(SHARD_TASKS)).cast("int")
+    dealt = keys.withColumn("shard", _shard(store.shards)).withColumn("part", part)
+    filters = store.filters.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(SHARD_TASKS - 1))))
+    meet = dealt.groupBy("shard", "part").cogroup(filters.groupBy("shard", "part"))
+    return meet.applyInPandas(probe, "text_key string, key binary")
 
 
 def drop_lines(docs: DataFrame, store: LineStore) -> DataFrame:

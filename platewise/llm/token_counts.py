@@ -53,16 +53,20 @@ def token_spans(text: str, path: str, pattern: str) -> tuple[np.ndarray, np.ndar
     return char[starts], char[ends - 1]
 
 
-def share_out(first: np.ndarray, last: np.ndarray, begins: np.ndarray, ends: np.ndarray, rule: str) -> tuple[np.ndarray, np.ndarray]:
-    """For each token its section's number, and whether it crosses a boundary. Number len(begins) stands for no section.
+def share_out(
+    first: np.ndarray, last: np.ndarray, begins: np.ndarray, ends: np.ndarray, rule: str, owners: np.ndarray | None = None
+) -> tuple[np.ndarray, np.ndarray]:
+    """For each token its section's number, and whether it crosses a boundary.
 
-    Sections [begin, end) are in order and don't overlap.
+    Stretches [begin, end) are in order and don't overlap; ``owners`` has the section of each and, last, the number that
+    stands for no section. By default every stretch is a section and len(begins) stands for none.
     """
+    owners = np.arange(len(begins) + 1) if owners is None else owners
     edges = np.stack([begins, ends], axis=1).ravel()
 
     def section(at: np.ndarray) -> np.ndarray:
         slot = np.searchsorted(edges, at, side="right")
-        return np.where(slot % 2 == 1, slot // 2, len(begins))
+        return owners[np.where(slot % 2 == 1, slot // 2, len(begins))]
 
     one, two = section(first), section(last)
     # Between two characters of one gap or section no boundary lies, unless a whole section does.
@@ -82,8 +86,9 @@ def share_out(first: np.ndarray, last: np.ndarray, begins: np.ndarray, ends: np.
 def attribute_tokens(df: DataFrame, text: str, sections: str, path: str, pattern: str, rule: str = "most") -> DataFrame:
     """One row per row of ``df`` and section: doc_id, section, n_tokens, n_crossing (of them, tokens over a boundary), n_chars.
 
-    ``df`` has doc_id, a text and ``sections``: array of (name, begin, end) in characters. Sections are ordered by begin;
-    where they overlap, a later one takes over. Sections that share a name are added up. A null text is empty; empty and
+    ``df`` has doc_id, a text and ``sections``: array of (name, begin, end) in characters. Where
+    sections overlap, the innermost one owns a character: the one that begins last, or of those that begin together the
+    one that ends first; what lies behind it goes back to the section around it. Sections that share a name are added up. A null text is empty; empty and
     missing sections give rows with 0; the null section comes only where something stands outside. A row is handled in one task.
     """
     if rule not in RULES:
@@ -94,12 +99,16 @@ def attribute_tokens(df: DataFrame, text: str, sections: str, path: str, pattern
         for batch in batches:
             out: list[tuple] = []
             for doc, body, parts in zip(*(pieces_of(batch, c) for c in ("doc_id", "text", "sections"))):
-                names, begins, ends = _ordered(parts or [], len(body))
+                given = _sections(parts or [], len(body))
+                owners, begins, ends = _flat(given)
+                names = [name for _, _, name in given]
                 first, last = token_spans(body, path, pattern)
-                own, crosses = share_out(first, last, begins, ends, rule)
+                owners = np.array([*owners, len(names)], np.int64)
+                own, crosses = share_out(first, last, begins, ends, rule, owners)
                 tokens = np.bincount(own, minlength=len(names) + 1)
                 over = np.bincount(own, crosses, minlength=len(names) + 1)
-                chars = np.append(ends - begins, len(body) - (ends - begins).sum())
+                chars = np.bincount(owners[:-1], ends - begins, len(names) + 1)
+                chars[-1] = len(body) - (ends - begins).sum()
                 sums: dict = {}
                 for i, name in enumerate([*names, None]):
                     if i == len(names) and not tokens[i] and not chars[i]:
@@ -120,13 +129,35 @@ def attribute_tokens(df: DataFrame, text: str, sections: str, path: str, pattern
     return read.mapInArrow(count, "doc_id long, section string, n_tokens long, n_crossing long, n_chars long")
 
 
-def _ordered(parts: list[dict], n: int) -> tuple[list[str], np.ndarray, np.ndarray]:
-    rows = sorted((max(0, p["begin"]), min(n, p["end"]), p["name"]) for p in parts if p and None not in (p["name"], p["begin"], p["end"]))
-    begins, ends = np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.int64)
-    begins = np.minimum(begins, n)
-    if len(rows) > 1:
-        ends[:-1] = np.minimum(ends[:-1], begins[1:])
-    return [r[2] for r in rows], begins, np.maximum(ends, begins)
+def _sections(parts: list[dict], n: int) -> list[tuple[int, int, str]]:
+    """(begin, end, name) within the text's n characters; a section around another comes before it."""
+    whole = [(min(n, max(0, p["begin"])), min(n, p["end"]), p["name"]) for p in parts if p and None not in (p["name"], p["begin"], p["end"])]
+    return sorted(((b, max(b, e), name) for b, e, name in whole), key=lambda s: (s[0], -s[1], s[2]))
+
+
+def _flat(sections: list[tuple[int, int, str]]) -> tuple[list[int], np.ndarray, np.ndarray]:
+    """Stretches that don't overlap, in order: the number of the innermost section over each, its begin and its end."""
+    out: list[list[int]] = []
+    open_: list[int] = []
+
+    def put(owner: int, begin: int, end: int) -> None:
+        if begin < end:
+            out.append([owner, begin, end])
+
+    at = 0
+    for i, (begin, _, _) in [*enumerate(sections), (-1, (1 << 62, 0, ""))]:
+        # Sections that end before this one begins give way to those around them.
+        while open_ and at < begin:
+            inner = open_[-1]
+            end = min(sections[inner][1], begin)
+            put(inner, at, end)
+            at = max(at, end)
+            if sections[inner][1] <= begin:
+                open_.pop()
+        at = max(at, begin)
+        open_.append(i)
+    cells = np.array(out, np.int64).reshape(-1, 3)
+    return cells[:, 0].tolist(), cells[:, 1], cells[:, 2]
 
 
 def record_with_sections(df: DataFrame, fields: Sequence[str], separator: str = " ") -> DataFrame:

@@ -210,7 +210,8 @@ def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, turns: int = 60)
 def fit(docs: DataFrame, labels: DataFrame, learn: Column, per_class: int = 1500, clean_share: int = 3) -> ToxicityModel:
     """A model from rows of ``docs`` (doc_id, text) that ``labels`` (doc_id, toxic) marks, where ``learn`` holds.
 
-    Rows without doc_id, text or label teach nothing; a doc_id with several labels is toxic if any says so.
+    Rows without doc_id, text or label teach nothing; a doc_id with several labels is toxic if any says so; of rows
+    that share a doc_id the smallest text teaches, so rows that repeat teach once.
     """
     marked = labels.where(F.col("toxic").isin(0, 1) & learn).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("y"))
     order = F.xxhash64("doc_id")
@@ -220,7 +221,8 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, per_class: int = 1500
     for value, most in ((1, per_class), (0, per_class * clean_share)):
         some.append(marked.where(F.col("y") == value).orderBy(order, "doc_id").limit(most))
     picked = some[0].unionByName(some[1])
-    rows = docs.select("doc_id", "text").where(F.length("text") > 0).join(F.broadcast(picked), "doc_id").dropDuplicates(["doc_id"])
+    rows = docs.select("doc_id", "text").where(F.length("text") > 0).join(F.broadcast(picked), "doc_id")
+    rows = rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("y").alias("y"))
     sample = sorted((r["doc_id"], r["text"], r["y"]) for r in rows.collect())
     marks = np.array([v for _, _, v in sample], np.int64)
     return train([t for _, t, _ in sample], marks, (found.get(0, 0), found.get(1, 0)))

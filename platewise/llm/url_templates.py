@@ -5,7 +5,7 @@ pages share the segment; rarer segments (numbers, ids, titles) become the wildca
 blocked pages doesn't differ significantly from the rest of their node's are merged into the wildcard too. Labels are the
 pages that a rule decides. A template's purity is its share of blocked pages among labelled ones, smoothed towards its
 parent's, which goes back over the host and the host's last label to all pages; templates at or above
-``block_at`` are rejected.
+``block_at`` are rejected. Paths may be of any length.
 """
 
 from __future__ import annotations
@@ -47,50 +47,81 @@ def _smoothed(df: DataFrame, keys: list[str], parent: Column, weight: float, nam
     return sums.select(*keys, ((F.col("_b") + weight * F.col("_p")) / (F.col("_l") + weight)).alias(name))
 
 
+def _finished(rows: DataFrame, level: int, weight: float) -> DataFrame:
+    """Rows of nodes that have fewer than ``min_pages`` pages: every further segment is a wildcard, at any depth.
+
+    Each level down smooths the share of the pages that go as deep; a node has few paths, so their counts fit in a list.
+    """
+    left = F.size("_segments") - level
+    some = rows.groupBy("host", "template").agg(F.collect_list(F.struct(left.alias("r"), "labelled", "blocked")).alias("_deep"))
+
+    def total(name: str, depth: Column) -> Column:
+        deep = F.filter("_deep", lambda x: x["r"] >= depth)
+        return F.aggregate(deep, F.lit(0).cast("long"), lambda acc, x: acc + x[name])
+
+    purity = F.aggregate(
+        F.sequence(F.lit(1), left), F.col("purity"),
+        lambda p, depth: (total("blocked", depth) + weight * p) / (total("labelled", depth) + weight),
+    )
+    out = rows.join(some, ["host", "template"])
+    return out.select("host", "path", F.concat("template", F.repeat(F.lit("/*"), left)).alias("template"), purity.alias("purity"))
+
+
 def template_tree(
-    paths: DataFrame, min_pages: int = 20, z: float = 1.96, weight: float = 4.0, depth: int = 8
+    paths: DataFrame, min_pages: int = 20, z: float = 1.96, weight: float = 4.0, depth: int | None = None
 ) -> DataFrame:
     """host, path, template, purity for the rows of ``paths`` (host, path, n, labelled, blocked; one row per host and path).
 
-    Segments from number ``depth`` on form one last segment. Where nothing is labelled at all, purity is 0.
+    Levels go on as long as some node has ``min_pages`` pages to part; smaller nodes are finished in one step. With a
+    ``depth``, segments from that number on form one last segment. Where nothing is labelled at all, purity is 0.
     """
     whole = paths.agg(F.coalesce(F.sum("labelled"), F.lit(0)).alias("l"), F.coalesce(F.sum("blocked"), F.lit(0)).alias("b")).first()
     base = F.lit(float(whole["b"] / whole["l"]) if whole["l"] else 0.0)
-    segments = F.split(F.regexp_replace("path", "^/", ""), "/", depth)
+    segments = F.split(F.regexp_replace("path", "^/", ""), "/", depth or -1)
     rows = paths.withColumn("_zone", F.element_at(F.split("host", r"\."), -1)).withColumn("_segments", segments)
     zones = _smoothed(rows, ["_zone"], base, weight, "_zone_purity")
     rows = rows.join(zones, "_zone")
     hosts = _smoothed(rows, ["host"], F.col("_zone_purity"), weight, "purity")
-    rows = stage(rows.join(hosts, "host").select("host", "path", "n", "labelled", "blocked", "_segments", F.lit("").alias("template"), "purity"), "url_paths")
-    levels = rows.agg(F.max(F.size("_segments"))).first()[0] or 0
-    for level in range(levels):
+    rows = rows.join(hosts, "host").select("host", "path", "n", "labelled", "blocked", "_segments", F.lit("").alias("template"), "purity")
+    rows, done, level = stage(rows, "url_paths"), [], 0
+    while True:
         here = F.size("_segments") > level
-        rows = rows.withColumn("_segment", F.when(here, F.get("_segments", F.lit(level))))
-        child = rows.where(here).groupBy("host", "template", "_segment").agg(*[F.sum(c).alias(c) for c in ("n", "labelled", "blocked")])
-        child = stage(child, "url_nodes")
-        node = child.groupBy("host", "template").agg(F.sum("labelled").alias("_l"), F.sum("blocked").alias("_b"))
-        both = child.where(F.col("n") >= min_pages).join(node, ["host", "template"])
-        rest_l, rest_b = F.col("_l") - F.col("labelled"), F.col("_b") - F.col("blocked")
+        done.append(rows.where(~here).select("host", "path", "template", "purity"))
+        rows = rows.where(here)
+        node = rows.groupBy("host", "template").agg(*[F.sum(c).alias(f"_{c}") for c in ("n", "labelled", "blocked")])
+        node = stage(node, "url_nodes")
+        large = F.col("_n") >= min_pages
+        small = rows.join(node.where(~large).select("host", "template"), ["host", "template"], "left_semi")
+        done.append(_finished(small, level, weight))
+        if node.where(large).isEmpty():
+            break
+        rows = rows.join(node.where(large), ["host", "template"]).withColumn("_segment", F.get("_segments", F.lit(level)))
+        child = rows.groupBy("host", "template", "_segment", "_labelled", "_blocked").agg(*[F.sum(c).alias(c) for c in ("n", "labelled", "blocked")])
+        rest_l, rest_b = F.col("_labelled") - F.col("labelled"), F.col("_blocked") - F.col("blocked")
         # Two shares, with one page of each kind added to both sides.
         p, q = (F.col("blocked") + 1) / (F.col("labelled") + 2), (rest_b + 1) / (rest_l + 2)
-        pooled = (F.col("_b") + 2) / (F.col("_l") + 4)
+        pooled = (F.col("_blocked") + 2) / (F.col("_labelled") + 4)
         spread = F.sqrt(pooled * (1 - pooled) * (1 / (F.col("labelled") + 2) + 1 / (rest_l + 2)))
-        differs = F.abs(p - q) > z * spread
-        kept = both.where(differs).select("host", "template", "_segment", F.lit(True).alias("_kept"))
+        kept = child.where((F.col("n") >= min_pages) & (F.abs(p - q) > z * spread))
+        kept = stage(kept.select("host", "template", "_segment", F.lit(True).alias("_kept")), "url_branches")
         rows = rows.join(kept, ["host", "template", "_segment"], "left")
         step = F.concat("template", F.lit("/"), F.when(F.col("_kept"), F.col("_segment")).otherwise("*"))
-        rows = stage(rows.withColumn("template", F.when(here, step).otherwise(F.col("template"))).drop("_kept", "_segment"), "url_paths")
-        nodes = _smoothed(rows.where(here), ["host", "template"], F.col("purity"), weight, "_own")
-        rows = rows.join(nodes, ["host", "template"], "left")
-        rows = rows.withColumn("purity", F.when(here, F.col("_own")).otherwise(F.col("purity"))).drop("_own")
-    return rows.select("host", "path", "template", "purity")
+        rows = rows.withColumn("template", step).select("host", "path", "n", "labelled", "blocked", "_segments", "template", "purity")
+        rows = stage(rows, "url_paths")
+        own = _smoothed(rows, ["host", "template"], F.col("purity"), weight, "_own").withColumnRenamed("_own", "purity")
+        rows = rows.drop("purity").join(own, ["host", "template"])
+        level += 1
+    out = done[0]
+    for more in done[1:]:
+        out = out.unionByName(more)
+    return out
 
 
 def judge_urls(pages: DataFrame, rules: Rules, block_at: float = 0.5, **tree) -> DataFrame:
     """page_id, host, path, rule, verdict, template, purity for every row of ``pages`` (page_id, url).
 
     A null url, or one without "://", has an empty host and path and is judged like any other. Rows that repeat each have
-    their own row; each counts. Other columns are ignored. An empty table gives no rows. Pages are counted per host and
+    their own row; each counts. Of rules equal in text the last one given holds. Other columns are ignored. An empty table gives no rows. Pages are counted per host and
     path before anything else, so a hot host costs only its distinct paths.
     """
     read = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))

@@ -31,7 +31,8 @@ def grams(words: list[str], sizes: Iterable[int], buckets: int, whole: bool) ->
     at = np.arange(len(chars))
     hashes, owners = [], []
     code = np.zeros(len(chars), np.uint64)
-    for n in range(1, max(sizes) + 1):
+    # A few short words can be shorter together than the longest n-gram.
+    for n in range(1, min(max(sizes), len(chars)) + 1):
         code[: len(chars) - n + 1] = _step(code[: len(chars) - n + 1], chars[n - 1 :])
         if n in sizes:
             ok = at + n <= ends

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from platewise.llm import hash_forest, language, toxicity, url_templates
+from platewise.llm import hash_forest, language, toxicity, url_templates, word_grams
 from platewise.llm.common import crc_remainder
 from platewise.llm.word_grams import grams
 from tests.llm.helpers import ODD, frame
@@ -115,7 +115,7 @@ def brute_templates(rows, min_pages, z, weight, depth, block_at=0.5):
         c[0] += 1
         c[1] += verdict is not None
         c[2] += verdict == "block"
-    segments = {k: re.sub("^/", "", k[1]).split("/", depth - 1) for k in paths}
+    segments = {k: re.sub("^/", "", k[1]).split("/", depth - 1 if depth else -1) for k in paths}
     total = [sum(c[j] for c in paths.values()) for j in range(3)]
     base = total[2] / total[1] if total[1] else 0.0
 
@@ -159,7 +159,7 @@ def brute_templates(rows, min_pages, z, weight, depth, block_at=0.5):
     return {i: (h, p, r, v or ("block" if purity[h, p] >= block_at else "allow"), template[h, p], round(purity[h, p], 9)) for h, p, r, v, i in pages}
 
 
-@pytest.mark.parametrize("depth", [8, 2])
+@pytest.mark.parametrize("depth", [None, 8, 2])
 def test_url_templates(spark, depth):
     rows = url_rows()
     df = spark.createDataFrame(rows, "page_id long, url string").withColumn("host", F.lit("x")).withColumn("template", F.lit("y")).withColumn("n", F.lit(1))
@@ -172,6 +172,18 @@ def test_url_templates(spark, depth):
     assert url_templates.judge_urls(df, ()).where("rule is not null or verdict = 'block'").count() == 0
 
 
+def test_url_templates_of_long_paths(spark):
+    """Labels that differ far down are told apart, and one endless path doesn't stop the others."""
+    rows = [f"https://deep.net/a/b/c/d/e/f/g/h/{k}/{i}" for k in ("good", "bad") for i in range(60)]
+    rows = [*rows, "https://deep.net/" + "x/" * 3000, *[f"https://few.net/p/q/r/s/t/u/v/w/{i}" for i in range(5)]]
+    rules = (("allow", "deep.net/a/b/c/d/e/f/g/h/good/1"), ("block", "deep.net/a/b/c/d/e/f/g/h/bad/1"))
+    df = spark.createDataFrame(list(enumerate(rows)), "page_id long, url string")
+    got = {r["page_id"]: r for r in url_templates.judge_urls(df, rules).collect()}
+    unruled = {k: {got[i]["verdict"] for i, u in enumerate(rows) if f"/{k}/" in u and got[i]["rule"] is None} for k in ("good", "bad")}
+    assert unruled == {"good": {"allow"}, "bad": {"block"}}
+    assert got[120]["template"].count("/*") >= 2990 and len(got) == len(rows)
+
+
 def test_grams_are_all_grams():
     words = ["idiot", "", "ü", "straße"]
     bucket, owner = grams(words, (1, 2, 3), 1 << 10, whole=True)
@@ -286,3 +298,102 @@ def test_language_without_examples(spark):
     one = spark.createDataFrame([(1, "some words", "en"), (2, "others", "en")], "doc_id long, text string, lang string")
     assert {r["lang_pred"] for r in language.predict(one, language.fit(one, F.lit(True))).collect()} == {"en"}
     assert language.predict(df.limit(0), language.fit(df.limit(0), F.lit(True))).count() == 0
+
+
+def naive_grams(word, sizes, buckets):
+    """Buckets of a word's n-grams, one word at a time."""
+    return word_grams.grams([word], sizes, buckets, whole=False)[0].tolist()
+
+
+def test_letters_and_numerals(spark):
+    texts = ["½ ² ①", "Ⅷ ⅳ", "12 3_4 --", "", None, "ß", "①a"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    model = language.train(["the cat and the dog", "der hund und die katze"], ["en", "de"])
+    got = [r["lang_pred"] for r in language.predict(df, model).orderBy("doc_id").collect()]
+    assert got[:5] == ["und"] * 5 and "und" not in got[5:]
+
+
+@pytest.fixture(scope="module")
+def some_docs(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang").orderBy("doc_id").limit(260).collect()
+    rows = [tuple(r) for r in rows] + [(9001, " ".join(r["text"] for r in rows[:120]), "en"), (9002, None, None), (9003, "", "fr"), (9004, "...", "fr")]
+    return rows + rows[:3]
+
+
+def test_language_scores_equal_a_naive_scorer(spark, some_docs):
+    model = language.train([t or "" for _, t, _ in some_docs], [n or "en" for _, _, n in some_docs])
+    df = spark.createDataFrame(some_docs, "doc_id long, text string, lang string").withColumn("score", F.lit("x"))
+    for r in language.predict(df, model).collect():
+        sums, count = np.zeros(len(model.bias)), 0
+        for chunk in (r["text"] or "").lower().split():
+            for b in naive_grams(word_grams.plain(chunk), language.SIZES, language.BUCKETS) if word_grams.plain(chunk) else []:
+                sums += model.weights[b]
+                count += 1
+        want = language.decide(sums / max(1, count) + model.bias, model) if any(c.isalpha() for c in r["text"] or "") else ("und", 0.0)
+        assert r["lang_pred"] == want[0] and r["score"] == pytest.approx(want[1], rel=1e-9)
+
+
+def test_machines_reach_the_least_loss():
+    """Against plain gradient descent on the same loss, dense and with many steps."""
+    rng = np.random.default_rng(2)
+    dense = (rng.random((60, language.BUCKETS)) < 0.01) * rng.random((60, language.BUCKETS))
+    sign = np.where(rng.random(60) < 0.3, 1.0, -1.0)
+    x = language.Profiles([(np.flatnonzero(r), r[r > 0]) for r in dense])
+    w = rng.standard_normal(language.BUCKETS)
+    np.testing.assert_allclose(x.times(w), dense @ w)
+    np.testing.assert_allclose(x.summed(sign), dense.T @ sign)
+    cost = 10.0 * np.where(sign > 0, 60 / (2 * (sign > 0).sum()), 60 / (2 * (sign < 0).sum())) / 60
+
+    def loss(w, b):
+        return 5e-4 * w @ w + (cost * np.maximum(0, 1 - sign * (dense @ w + b)) ** 2).sum()
+
+    best, b = np.zeros(language.BUCKETS), 0.0
+    rate = 1 / (1e-3 + 2 * cost.max() * (np.linalg.norm(dense @ dense.T, 2) + 60))
+    for _ in range(20_000):
+        slack = np.maximum(0, 1 - sign * (dense @ best + b)) * cost * sign
+        best, b = best - rate * (1e-3 * best - 2 * dense.T @ slack), b + rate * 2 * slack.sum()
+    assert loss(*language.svm(x, sign, turns=4000)) <= loss(best, b) * 1.001
+    assert loss(*language.svm(x, sign)) <= 0.2 * loss(np.zeros(language.BUCKETS), 0.0)
+
+
+def test_repeated_ids_teach_one_fixed_text(spark):
+    rows = [(1, "zebra the", "en"), (1, "apple the", "en"), (1, "", "en"), (2, "der hund", "de")]
+    for order in (rows, rows[::-1]):
+        df = spark.createDataFrame(order, "doc_id long, text string, lang string").repartition(3)
+        model = language.fit(df, F.lit(True))
+        want = language.train(["apple the", "der hund"], ["en", "de"])
+        np.testing.assert_array_equal(model.weights, want.weights)
+
+
+def test_language_sample_follows_the_hash(spark):
+    df = spark.range(5000).selectExpr("id as doc_id", "concat('word', id) as text", "if(id % 3 = 0, 'en', 'de') as lang")
+    taught = []
+    real = language.train
+    language.train = lambda texts, names: taught.extend(zip(texts, names))
+    try:
+        language.fit(df, F.lit(True), per_language=40)
+    finally:
+        language.train = real
+    rows = df.select("text", "lang", F.xxhash64("doc_id").alias("h")).collect()
+    want = [(r["text"], r["lang"]) for n in ("en", "de") for r in sorted((r for r in rows if r["lang"] == n), key=lambda r: r["h"])[:40]]
+    assert sorted(taught) == sorted(want)
+
+
+def test_toxicity_scores_equal_a_naive_scorer(spark, some_docs):
+    rng = np.random.default_rng(1)
+    texts = [t or "" for _, t, _ in some_docs]
+    model = toxicity.train(texts, (rng.random(len(texts)) < 0.4).astype(int))
+    df = spark.createDataFrame([r[:2] for r in some_docs], "doc_id long, text string")
+    for r in toxicity.score(df, model).collect():
+        values = []
+        for chunk in (r["text"] or "").lower().split():
+            word = word_grams.plain(chunk)
+            if word:
+                values.append(np.mean([model.margins[b] for b in naive_grams(word, toxicity.SIZES, toxicity.BUCKETS)]))
+        if not values:
+            assert r["score"] == 0
+            continue
+        n = toxicity.WINDOW
+        top = max(np.mean(values[i : i + n]) for i in range(max(1, len(values) - n + 1)))
+        want = 1 / (1 + np.exp(-(model.slope * (top + model.bias) + model.offset)))
+        assert r["score"] == pytest.approx(want, rel=1e-6, abs=1e-9) and r["predicted"] == (r["score"] >= 0.5)

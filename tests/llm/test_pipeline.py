@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import zlib
 
 import numpy as np
 import public_tokenizers
@@ -94,3 +95,43 @@ def test_registered_names():
 @pytest.mark.parametrize("name", ["op1_hash_forest", "op7_url_templates", "op4_token_attribution"])
 def test_queries_run(spark, name):
     assert registry.QUERIES[name](spark, "/root/testdata/sf0.001").count() > 0
+
+
+CONTRACT = {
+    "op1_hash_forest": {"query_id": "bigint", "rank": "int", "vec_id": "bigint", "score": "double"},
+    "op2_wavelet_tokens": {"doc_id": "bigint", "start": "bigint", "n_tokens": "bigint", "ids_crc32": "bigint"},
+    "op3_toxicity": {"doc_id": "bigint", "held_out": "boolean", "score": "double", "predicted": "int"},
+    "op5_packing": {"doc_id": "bigint", "start": "bigint", "length": "bigint", "ids_crc32": "bigint", "doc_tokens": "bigint", "sequence_id": "bigint", "offset": "bigint"},
+    "op7_url_templates": {"page_id": "bigint", "host": "string", "path": "string", "rule": "string", "verdict": "string"},
+    "op8_line_dedup": {"doc_id": "bigint", "n_lines": "bigint", "n_dropped": "bigint", "kept_sha256": "string"},
+    "op9_chosen_path": {"doc_id": "bigint", "n_shingles": "bigint", "component_id": "bigint", "kept": "boolean"},
+    "op10_language": {"doc_id": "bigint", "held_out": "boolean", "lang_pred": "string", "score": "double"},
+    "op6_decontamination": {"doc_id": "bigint", "item_id": "bigint", "similarity": "double"},
+}
+
+
+@pytest.mark.parametrize("name", sorted(CONTRACT))
+def test_contract_of_the_registered_queries(spark, name):
+    folder = "/root/testdata/sf0.001"
+    got = registry.QUERIES[name](spark, folder)
+    kinds = dict(got.dtypes)
+    assert {c: kinds[c] for c in CONTRACT[name]} == CONTRACT[name]
+    rows = got.collect()
+    table = {"op1_hash_forest": ("embeddings", "vec_id"), "op7_url_templates": ("pages", "page_id")}.get(name, ("documents", "doc_id"))
+    ids = [r[0] for r in spark.read.parquet(f"{folder}/{table[0]}.parquet").select(table[1]).collect()]
+    if name == "op1_hash_forest":
+        asked = [i for i in ids if i % 50 == 0]
+        assert sorted((r["query_id"], r["rank"]) for r in rows) == sorted((i, k) for i in asked for k in range(1, 6))
+    elif name == "op5_packing":
+        held: dict = {}
+        for r in rows:
+            held.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+            assert 0 < r["length"] <= 4096
+        for pieces in held.values():
+            assert all(a + n == b for (a, n), (b, _) in zip(sorted(pieces), sorted(pieces)[1:])) and min(pieces)[0] == 0
+        assert {r["doc_id"] for r in rows} == set(ids) and sorted(held) == list(range(len(held)))
+    elif name != "op6_decontamination":
+        assert sorted(r[table[1]] for r in rows) == sorted(ids)
+    if name in ("op3_toxicity", "op10_language"):
+        modulus, rest = (5, 0) if name == "op3_toxicity" else (4, 2)
+        assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % modulus == rest) and 0 <= r["score"] <= 1 for r in rows)

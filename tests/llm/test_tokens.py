@@ -154,6 +154,44 @@ def test_attribution_against_library_offsets(spark, rule):
         assert {n: tuple(v) for n, v in want.items()} == {n: v for (d, n), v in got.items() if d == k}, (k, text)
 
 
+@pytest.mark.parametrize("rule", token_counts.RULES)
+def test_attribution_of_nested_sections(spark, rule):
+    """A character belongs to the section that begins last of those around it; what follows goes back to the outer one."""
+    rng = random.Random(7)
+    data = [(0, "some text that is 24 long", [("outer", 0, 24), ("inner", 5, 9)])]
+    for k, (_, text) in enumerate([*prose(6, 12, 20), (0, ""), (0, None)], 1):
+        n = len(text or "")
+        spans = [sorted(rng.choices(range(n + 1), k=2)) for _ in range(rng.randint(0, 6))]
+        data.append((k, text, [(f"s{j}", a, b) for j, (a, b) in enumerate(spans)]))
+    df = spark.createDataFrame(data, "doc_id long, text string, sections array<struct<name:string,begin:int,end:int>>").withColumn("section", F.lit(1))
+    got = {(r["doc_id"], r["section"]): (r["n_tokens"], r["n_chars"]) for r in token_counts.attribute_tokens(df, "text", "sections", BYTES, public_tokenizers.PATTERN, rule).collect()}
+    assert got[0, "outer"][1] == 20 and got[0, "inner"][1] == 4
+    encode = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")).encode
+    for k, text, spans in data:
+        text = text or ""
+        around = [[s for s in spans if s[1] <= i < s[2]] for i in range(len(text))]
+        owner = [max(a, key=lambda s: (s[1], -s[2], s[0]))[0] if a else None for a in around]
+        want = {name: [0, owner.count(name)] for name, _, _ in spans}
+        if None in owner:
+            want[None] = [0, owner.count(None)]
+        for a, b in encode(text, add_special_tokens=False).offsets:
+            inside = owner[a : max(b, a + 1)]
+            own = max(inside, key=inside.count) if rule == "most" else inside[0 if rule == "first" else -1]
+            want.setdefault(own, [0, 0])[0] += 1
+        assert {n: v for (d, n), v in got.items() if d == k} == {n: tuple(v) for n, v in want.items()}, (k, text, spans)
+
+
+def test_attribution_of_odd_tables(spark):
+    kind = "doc_id long, text string, sections array<struct<name:string,begin:int,end:int>>"
+    how = ("text", "sections", BYTES, public_tokenizers.PATTERN)
+    assert token_counts.attribute_tokens(spark.createDataFrame([], kind), *how).count() == 0
+    long = LONG[0][1] * 5
+    rows = [(1, long, [("all", 0, len(long))]), (1, long, None), (None, "x", [("none", 0, None), ("late", 50, 60)])]
+    got = token_counts.attribute_tokens(spark.createDataFrame(rows, kind).withColumn("n_tokens", F.lit("x")), *how).collect()
+    n = {(r["doc_id"], r["section"]): r["n_tokens"] for r in got}
+    assert n[1, "all"] == n[1, None] > 1000 and n[None, None] == 1 and n[None, "late"] == 0
+
+
 def test_attribution_of_fields(spark):
     df = spark.createDataFrame([(1, "src0", None, "Hello there"), (2, None, "en", None)], "doc_id long, source string, lang string, text string")
     records = token_counts.record_with_sections(df, ["source", "lang", "text"])
