@@ -21,9 +21,9 @@ from platewise.operators import scaling as S
 from platewise.operators import standardize as T
 from platewise.operators import subsets as U
 from platewise.operators import violin as V
-from platewise.operators.ordered import long_form
+from platewise.operators.ordered import group_quantiles, long_form, table_quantiles
 from platewise.plans import inputs as X
-from platewise.plans.inputs import MEASURES, ROLES, rnd, rounded, with_steady
+from platewise.plans.inputs import MEASURES, ROLES, rnd, rounded, scored
 from platewise.plans.profile import profile_scores
 from platewise.session import new_folder, stage
 from platewise.sources import tables as IO
@@ -106,12 +106,12 @@ def control_scores(spark, sf):
 
 @query
 def emd_concentrations(spark, sf):
-    return with_steady(dose_scores(spark, sf), "EMD_score")
+    return scored(dose_scores(spark, sf))
 
 
 @query
 def emd_controls(spark, sf):
-    return with_steady(control_scores(spark, sf), "EMD_score")
+    return scored(control_scores(spark, sf))
 
 
 @query
@@ -136,7 +136,7 @@ def rank_features(spark, sf):
 def score_panels(spark, sf):
     scores = stage(dose_scores(spark, sf), "dose-scores")
     out = W.score_panels(W.against_control(scores, ROLES))
-    return with_steady(rounded(out, ["median_emd"]), "EMD_score")
+    return scored(rounded(out, ["median_emd"]))
 
 
 @query
@@ -610,6 +610,24 @@ def knn(spark, sf):
     return rounded(E.knn(e, "vec_id", "embedding"), ["distance"], 6)
 
 
+@query
+def whole_table_quantiles(spark, sf):
+    """All line items as one group: ranks are found by radix passes alone."""
+    probs = (0.0, 0.025, 0.25, 0.5, 0.9, 0.975, 1.0)
+    row = table_quantiles(X.profiles(spark, sf), MEASURES, probs)
+    named = F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).alias("q")) for f in MEASURES])
+    rows = row.select(F.inline(named)).select("feature", F.posexplode("q").alias("at", "q"))
+    return rows.select("feature", F.get(F.array(*[F.lit(p) for p in probs]), F.col("at")).alias("p"), rnd("q").alias("q"))
+
+
+@query
+def crowded_day_quantiles(spark, sf):
+    """Days as groups too large for a task that may put 2^13 values in order, so every one of them is narrowed first."""
+    got = group_quantiles(X.flawed_profiles(spark, sf), ["Metadata_Day"], MEASURES, [0.05, 0.5, 0.95], [F.count(F.lit(1)).alias("n")], 1 << 13)
+    cells = [rnd(F.get(F.col(f), F.lit(i))).alias(f"{f}_{p}") for f in MEASURES for i, p in enumerate(("low", "median", "high"))]
+    return got.select("Metadata_Day", "n", *cells)
+
+
 @query
 def density(spark, sf):
     got = E.density(X.event_values(spark, sf), ["value"])
@@ -680,7 +698,7 @@ def table_header(spark, sf):
 
 
 @query
-def combine_worker_files(spark, sf):
+def combine_instances(spark, sf):
     """The same table in every worker's folder, with and without a column."""
     root = new_folder(spark, "worker-files")
     for name, df in X.object_tables(spark, sf).items():
@@ -693,7 +711,7 @@ def combine_worker_files(spark, sf):
 
 
 @query
-def combine_instances(spark, sf):
+def combine_parts(spark, sf):
     root = new_folder(spark, "workers")
     for name, df in X.object_tables(spark, sf).items():
         narrow = df.drop("l_tax") if name == "Cytoplasm" else df
@@ -726,6 +744,9 @@ def feature_list_round_trip(spark, sf):
 def lookup_round_trip(spark, sf):
     path = new_folder(spark, "lookup")
     IO.write_tsv(X.feature_lookup(spark, sf), path)
+    # A file of its own, as curators leave them: notes before the header and between the rows.
+    notes = ["# curated by hand", "feature\tcategory\torganelle", "# feature\tTexture\tNuclei", "#rp_norm_noted\tTexture\tOther", "rp_norm_noted\tTexture\t"]
+    spark.createDataFrame([(n,) for n in notes], "value string").coalesce(1).write.mode("append").text(path)
     return IO.read_lookup(spark, path)
 
 
@@ -734,4 +755,4 @@ def lookup_round_trip(spark, sf):
 
 @query
 def profile_dose_scores(spark, sf):
-    return with_steady(profile_scores(spark, sf), "EMD_score")
+    return scored(profile_scores(spark, sf))

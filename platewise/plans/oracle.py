@@ -23,10 +23,6 @@ def r(expr: str, digits: int = 4) -> str:
     return f"(round({expr}, {digits}) + 0.0)"
 
 
-def steady(expr: str, digits: int = 5) -> str:
-    return f"(round(({expr}) * pi(), {digits}) / pi() + 0.0)"
-
-
 def ctes(*parts: str) -> str:
     return "WITH " + ",\n".join(parts)
 
@@ -178,8 +174,8 @@ control_scores AS (SELECT feature AS "Feature", concat(p, '_', {DAY}, '_11') AS
 SCORE_COLUMNS = f'"Feature", "Population1", "Population2", "Concentration", {DAY}, "Count1", "Count2"'
 VS_CONTROL = """"Population2" = '11'"""
 
-ORACLE["emd_concentrations"] = f"""{ctes(DOSE)} SELECT {SCORE_COLUMNS}, {steady('"EMD_score"')} AS "EMD_score" FROM dose_scores"""
-ORACLE["emd_controls"] = f"""{ctes(STD, CONTROL)} SELECT {SCORE_COLUMNS}, {steady('"EMD_score"')} AS "EMD_score" FROM control_scores"""
+ORACLE["emd_concentrations"] = f"""{ctes(DOSE)} SELECT {SCORE_COLUMNS}, {r('"EMD_score" + 1e-9', 6)} AS "EMD_score" FROM dose_scores"""
+ORACLE["emd_controls"] = f"""{ctes(STD, CONTROL)} SELECT {SCORE_COLUMNS}, {r('"EMD_score" + 1e-9', 6)} AS "EMD_score" FROM control_scores"""
 
 EVENTS = """event_long AS (SELECT concat('D', dayofmonth(ts) % 4) AS "Metadata_Day", event_type AS pop, value FROM events)"""
 ORACLE["emd_event_types"] = f"""{ctes(EVENTS, emd("event_long", "ev", DAY))}
@@ -190,7 +186,7 @@ RANKED = """ranked AS (SELECT "Feature", median_emd, CAST(row_number() OVER (ORD
 ORACLE["rank_features"] = f"""{ctes(DOSE, RANKED.format(source="dose_scores"))}
 SELECT "Feature", {r("median_emd")} AS median_emd, position FROM ranked"""
 ORACLE["score_panels"] = f"""{ctes(DOSE, f"treat AS (SELECT * FROM dose_scores WHERE {VS_CONTROL})", RANKED.format(source="treat"))}
-SELECT {SCORE_COLUMNS}, {steady('"EMD_score"')} AS "EMD_score", {r("median_emd")} AS median_emd, position,
+SELECT {SCORE_COLUMNS}, {r('"EMD_score" + 1e-9', 6)} AS "EMD_score", {r("median_emd")} AS median_emd, position,
   CASE WHEN "EMD_score" > 7 THEN 'log' ELSE 'linear' END AS panel
 FROM treat JOIN ranked USING ("Feature")"""
 
@@ -647,13 +643,14 @@ ORACLE["scan_subsets"] = f"""{ctes(MEASURE)} SELECT "cell_ID", CASE WHEN {DAY} <
 FROM measure WHERE {DAY} IN ('D1', 'D5', 'D7', 'D9')"""
 ORACLE["table_header"] = "SELECT CAST(i AS INTEGER) AS pos, name FROM (VALUES " + ", ".join(
     f"({i}, '{c}')" for i, c in enumerate(["cell_ID", "Metadata_Day", *MEASURES])) + ") t(i, name)"
-ORACLE["combine_worker_files"] = f"""{ctes(MEASURE)} SELECT object AS "Subfolder", count(*) AS n,
-  count(CASE WHEN object <> 'Cytoplasm' THEN l_tax END) AS taxed, {r("sum(l_quantity)")} AS quantity FROM measure GROUP BY object"""
 ORACLE["combine_instances"] = f"""{ctes(MEASURE)} SELECT object AS "Subfolder", count(*) AS n,
   count(CASE WHEN object <> 'Cytoplasm' THEN l_tax END) AS taxed, {r("sum(l_quantity)")} AS quantity FROM measure GROUP BY object"""
+ORACLE["combine_parts"] = f"""{ctes(MEASURE)} SELECT object AS "Subfolder", count(*) AS n,
+  count(CASE WHEN object <> 'Cytoplasm' THEN l_tax END) AS taxed, {r("sum(l_quantity)")} AS quantity FROM measure GROUP BY object"""
 ORACLE["partitioned_sink"] = f"""{ctes(MEASURE)} SELECT {DAY}, {CONC}, count(*) AS n, {r("sum(l_quantity)")} AS quantity FROM measure GROUP BY {DAY}, {CONC}"""
 ORACLE["feature_list_round_trip"] = f"{ctes(NAMED)} SELECT DISTINCT feature FROM named"
-ORACLE["lookup_round_trip"] = f"{ctes(NAMED, LOOKUP)} SELECT feature, category, organelle FROM lookup"
+ORACLE["lookup_round_trip"] = f"""{ctes(NAMED, LOOKUP)} SELECT feature, category, organelle FROM lookup
+UNION ALL SELECT 'rp_norm_noted', 'Texture', '' """
 
 # ---- the whole analysis
 
@@ -671,4 +668,15 @@ row_off AS (SELECT {META_LIST}, {", ".join(f"{f} - m_{f} AS {f}" for f in _POOLE
 day_med AS (SELECT {DAY}, {", ".join(f"median({f}) AS d_{f}" for f in _POOLED)} FROM row_off GROUP BY {DAY}),
 std AS (SELECT {META_LIST}, {", ".join(f"{f} - d_{f} AS rp_norm_{f}" for f in _POOLED)} FROM row_off JOIN day_med USING ({DAY}))"""
 ORACLE["profile_dose_scores"] = f"""{ctes(dose_ctes(_CHAIN, "std", [f"rp_norm_{f}" for f in _POOLED]))}
-SELECT {SCORE_COLUMNS}, {steady('"EMD_score"')} AS "EMD_score" FROM dose_scores"""
+SELECT {SCORE_COLUMNS}, {r('"EMD_score" + 1e-9', 6)} AS "EMD_score" FROM dose_scores"""
+
+# ---- quantiles of large groups
+
+_PROBS = (0.0, 0.025, 0.25, 0.5, 0.9, 0.975, 1.0)
+ORACLE["whole_table_quantiles"] = " UNION ALL ".join(
+    f"SELECT '{f}' AS feature, CAST({p} AS DOUBLE) AS p, {r(f'quantile_cont({f}, {p})')} AS q FROM lineitem" for f in MEASURES for p in _PROBS
+)
+_FLAWED_DAYS = ", ".join(
+    f"""{r(f"quantile_cont({f}, {p}) FILTER (NOT isnan({f}))")} AS "{f}_{n}" """ for f in MEASURES for n, p in (("low", 0.05), ("median", 0.5), ("high", 0.95))
+)
+ORACLE["crowded_day_quantiles"] = f"{ctes(FLAWED)} SELECT {DAY}, count(*) AS n, {_FLAWED_DAYS} FROM flawed GROUP BY {DAY}"
