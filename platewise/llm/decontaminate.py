@@ -96,7 +96,8 @@ def near_pairs(windows: DataFrame, items: DataFrame) -> DataFrame:
     """
     left = windows.select("text_key", "start", "m", "print", F.explode(blocks(F.col("print"), WINDOW_CHANGES)).alias("block"))
     right = items.select("item_id", "m", F.col("print").alias("item_print"), F.explode(blocks(F.col("print"), ITEM_CHANGES)).alias("block"))
-    near = left.join(right, ["m", "block"])
+    # Shuffled by the hash of the block: the items' table, some 5,000 rows an item, is not for the driver to hand out.
+    near = left.join(right.hint("shuffle_merge"), ["m", "block"])
     return near.withColumn("hamming", F.bit_count(F.col("print").bitwiseXOR(F.col("item_print"))))
 
 
