@@ -1,34 +1,30 @@
 """Dose series, model fits by information criterion, and feature selection from them.
 
-Each curve is linear in all but two of its parameters (slope ``b`` and midpoint ``e``), so a fit is
-a search over (b, e) with the rest solved in closed form: a coarse grid over everything plausible,
-then ever finer grids around the best point. A series has as many points as there are doses, known
-when the plan is built, so the sums over points are plain expressions in generated code. The
-search is global; its residuals can be smaller than those of a local solver started at one guess.
+A series has as many points as there are doses, known when the plan is built, so straight lines and
+constants are plain expressions in generated code. Curves are fitted in Arrow batches of series
+(:mod:`platewise.functions.curves`): the linear parameters are projected out, damped steps from
+several starts find slope and midpoint, and nothing bounds these. The residuals can be smaller
+than those of a local solver started at one guess.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from platewise.functions.numeric import natural_log
+from platewise.functions.curves import fit
+from platewise.functions.numeric import natural_log, no_nan
 from platewise.roles import Roles
 from platewise.session import stage
 
-# Parameters per model, and the offset inside the logarithms.
+# Parameters per model.
 MODEL_PARAMETERS = {"BC4": 4, "BC5": 5, "LL4": 4, "WB1.4": 4, "Lin": 2, "Con": 1}
 CURVES = ("BC4", "BC5", "LL4", "WB1.4")
-LOG_OFFSET = 1e-10
-
-# Coarse search: |b| and e on geometric grids; LL4 needs only b > 0 (b -> -b swaps its asymptotes).
-B_RANGE, B_STEPS = (0.05, 50.0), 28
-E_RANGE, E_STEPS = (0.02, 24.0), 40
-REFINEMENTS, FINE_STEPS = 5, 4
-SINGULAR = 1e-12
 
 
 def fitted_doses(roles: Roles, excluded: Sequence[int] = (2,)) -> list[int]:
@@ -71,11 +67,6 @@ def _ys(n: int) -> list[str]:
     return [f"y[{i}]" for i in range(n)]
 
 
-def _points(df: DataFrame, n: int) -> DataFrame:
-    """Give each point its own column, so generated code reads it once."""
-    return df.select("*", *[F.expr(f"y[{i}] AS _y{i}") for i in range(n)])
-
-
 def fit_linear(series: DataFrame, n: int) -> DataFrame:
     """Least-squares line through ``y`` over x = 0..n-1: ``Feature, Day, Slope, Intercept, ssr``."""
     y = _ys(n)
@@ -95,98 +86,27 @@ def fit_constant(series: DataFrame, n: int) -> DataFrame:
     return got.select("Feature", "Day", "Level", F.expr(f"{ssr} AS ssr"))
 
 
-def _geometric(low: float, high: float, steps: int) -> list[float]:
-    return [low * (high / low) ** (i / (steps - 1)) for i in range(steps)]
-
-
-def _shapes(df: DataFrame, n: int) -> DataFrame:
-    """Add the curve's shape ``_g{i}`` at every point for the row's model, ``b`` and ``e``."""
-    keep = df.columns
-    out = _points(df, n).select("*", F.expr(f"ln(e + {_number(LOG_OFFSET)}) AS _le"))
-    ys = [f"_y{i}" for i in range(n)]
-    z = [F.expr(f"exp(b * ({_number(math.log(i + LOG_OFFSET))} - _le)) AS _z{i}") for i in range(n)]
-    out = out.select(*keep, *ys, *z)
-    g = [
-        F.expr(f"CASE WHEN Model = 'WB1.4' THEN exp(-_z{i}) ELSE 1.0D / (1.0D + _z{i}) END AS _g{i}")
-        for i in range(n)
-    ]
-    return out.select(*keep, *ys, *g)
-
+def fit_curves(series: DataFrame, n: int, models: Sequence[str] = CURVES) -> DataFrame:
+    """``Feature, Day, Model, b, e, ssr`` of the Brain-Cousens, log-logistic and Weibull curves.
 
-def _solve(df: DataFrame, n: int) -> DataFrame:
-    """Add ``_c1``, ``_c2`` (coefficients of g and x g), the means taken out, and ``_gain``.
-
-    ``_gain`` is how much of the (centered) sum of squares ``_syy`` the curve explains. BC4 has no
-    intercept; LL4 and WB1.4 have no x g term.
+    Residuals of a curve never exceed those of the curves it contains. Where the best curve lies at infinity (a step, a
+    power of the dose), b and e are where the steps stopped. A series with a value that is not finite has nulls.
     """
-    y = [f"_y{i}" for i in range(n)]
-    g = [f"_g{i}" for i in range(n)]
-    h = [f"{_number(i)} * _g{i}" for i in range(n)]
-    free = "CASE WHEN Model = 'BC4' THEN 0.0D ELSE 1.0D END"
-    means = {"_my": y, "_mg": g, "_mh": h}
-    out = df.select(
-        "*", *[F.expr(f"{free} * {_sum(v)} / {_number(n)} AS {name}") for name, v in means.items()]
-    )
-    dy = [f"({v} - _my)" for v in y]
-    dg = [f"({v} - _mg)" for v in g]
-    dh = [f"({v} - _mh)" for v in h]
-    sums = {"_syy": (dy, dy), "_sgg": (dg, dg), "_shh": (dh, dh), "_sgh": (dg, dh), "_sgy": (dg, dy), "_shy": (dh, dy)}
-    out = out.select(
-        "*",
-        *[F.expr(_sum([f"{p} * {q}" for p, q in zip(u, v)]) + f" AS {name}") for name, (u, v) in sums.items()],
-    ).withColumn("_det", F.expr("_sgg * _shh - _sgh * _sgh"))
-    two = f"Model IN ('BC4', 'BC5') AND _det > {_number(SINGULAR)} * _sgg * _shh"
-    one = f"_sgg > {_number(SINGULAR)}"
-    out = out.select(
-        "*",
-        F.expr(f"CASE WHEN {two} THEN try_divide(_sgy * _shh - _shy * _sgh, _det) "
-               f"WHEN {one} THEN try_divide(_sgy, _sgg) ELSE 0.0D END AS _c1"),
-        F.expr(f"CASE WHEN {two} THEN try_divide(_shy * _sgg - _sgy * _sgh, _det) ELSE 0.0D END AS _c2"),
-    )
-    return out.withColumn("_gain", F.expr("_c1 * _sgy + _c2 * _shy"))
-
-
-def _best(grid: DataFrame, n: int) -> DataFrame:
-    """The grid point with the smallest residual per series and model; ties by (b, e)."""
-    solved = _solve(_shapes(grid, n), n)
-    unexplained = F.lit(1.0) - F.coalesce(F.try_divide(F.col("_gain"), F.col("_syy")), F.lit(0.0))
-    ranked = F.struct(F.round(unexplained, 12).alias("miss"), "b", "e")
-    return (
-        solved.groupBy("Feature", "Day", "Model")
-        .agg(F.min(ranked).alias("_at"), F.first("y").alias("y"))
-        .select("Feature", "Day", "Model", "y", F.col("_at.b").alias("b"), F.col("_at.e").alias("e"))
-    )
-
-
-def fit_curves(
-    series: DataFrame, n: int, models: Sequence[str] = CURVES, refinements: int = REFINEMENTS
-) -> DataFrame:
-    """``Feature, Day, Model, b, e, ssr`` of the Brain-Cousens, log-logistic and Weibull curves."""
-    sizes = _geometric(*B_RANGE, B_STEPS)
-    mids = _geometric(*E_RANGE, E_STEPS)
-
-    def listed(values: Sequence[float]) -> str:
-        return "array(" + ", ".join(_number(v) for v in values) + ")"
-
-    up = listed(sizes)
-    both = listed([s for b in sizes for s in (b, -b)])
-    todo = series.select("*", F.explode(F.array(*[F.lit(m) for m in models])).alias("Model"))
-    grid = todo.select("*", F.expr(f"explode(CASE WHEN Model = 'LL4' THEN {up} ELSE {both} END) AS b"))
-    best = _best(grid.select("*", F.expr(f"explode({listed(mids)}) AS e")), n)
-    log_b = math.log(B_RANGE[1] / B_RANGE[0]) / (B_STEPS - 1)
-    log_e = math.log(E_RANGE[1] / E_RANGE[0]) / (E_STEPS - 1)
-    moves = range(-FINE_STEPS, FINE_STEPS + 1)
-    for _ in range(refinements):
-        up_b = listed([math.exp(log_b * k / FINE_STEPS) for k in moves])
-        up_e = listed([math.exp(log_e * k / FINE_STEPS) for k in moves])
-        near = best.select("*", F.expr(f"explode({up_b}) AS _ub")).select("*", F.expr(f"explode({up_e}) AS _ue"))
-        best = _best(near.selectExpr("Feature", "Day", "Model", "y", "b * _ub AS b", "e * _ue AS e"), n)
-        log_b, log_e = log_b / FINE_STEPS, log_e / FINE_STEPS
-    solved = _solve(_shapes(best, n), n)
-    left = [
-        f"power(_y{i} - _my - _c1 * (_g{i} - _mg) - _c2 * ({_number(i)} * _g{i} - _mh), 2)" for i in range(n)
-    ]
-    return solved.select("Feature", "Day", "Model", "b", "e", F.expr(f"{_sum(left)} AS ssr"))
+    models = list(models)
+    key = series.select("Feature", "Day").schema.simpleString()[len("struct<"):-1]
+
+    def fitted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if len(batch):
+                got = fit(np.array(batch["y"].tolist(), dtype=float).reshape(len(batch), n), models)
+                for model, (b, e, ssr) in got.items():
+                    yield batch[["Feature", "Day"]].assign(Model=model, b=b, e=e, ssr=ssr)
+
+    # A few hundred series fill a task, so the small table is spread over all of the cluster.
+    parts = int(series.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = series.select("Feature", "Day", "y").repartition(parts, "Feature", "Day")
+    out = spread.mapInPandas(fitted, key + ", Model: string, b: double, e: double, ssr: double")
+    return out.select("Feature", "Day", "Model", *[no_nan(F.col(c)).alias(c) for c in ("b", "e", "ssr")])
 
 
 def score_models(residuals: DataFrame, n: int) -> DataFrame:

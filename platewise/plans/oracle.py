@@ -2,11 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
-from platewise.operators.doseresponse import (
-    B_RANGE, B_STEPS, E_RANGE, E_STEPS, FINE_STEPS, REFINEMENTS, _geometric,
-)
 from platewise.plans.inputs import DIMENSIONS, MEASURES
 
 ORACLE: dict[str, str] = {}
@@ -313,46 +308,57 @@ ORACLE["fit_lines"] = f"""{ctes(LINES)} SELECT "Feature", "Day", {r("slope", 3)}
   {r("level", 3)} AS "Level", {r("line_ssr", 3)} AS line_ssr, {r("level_ssr", 3)} AS level_ssr FROM resid"""
 
 def _curve_fits() -> str:
-    """The grid search of the curve models with its refinements, level by level."""
-    sizes = _geometric(*B_RANGE, B_STEPS)
-    both = [s for b in sizes for s in (b, -b)]
-    listed = lambda values: "[" + ", ".join(f"CAST({v!r} AS DOUBLE)" for v in values) + "]"
+    """Pattern search of the curve models from the best point of each cell of a wide grid.
+
+    Its own search, by its own formulas: plain normal equations on values scaled by the largest, cells of slope and midpoint,
+    and moves that shrink. Only the curves themselves are shared with the fits it checks.
+    """
     id_ = '"Feature", "Day", "Model"'
-    parts = [f"""grid0 AS (SELECT {id_}, b, unnest({listed(_geometric(*E_RANGE, E_STEPS))}) AS e FROM (
-  SELECT {id_}, unnest(CASE WHEN "Model" = 'LL4' THEN {listed(sizes)} ELSE {listed(both)} END) AS b FROM (
-    SELECT DISTINCT "Feature", "Day", unnest(['BC4', 'BC5', 'LL4', 'WB1.4']) AS "Model" FROM series)))"""]
-    log_b = math.log(B_RANGE[1] / B_RANGE[0]) / (B_STEPS - 1)
-    log_e = math.log(E_RANGE[1] / E_RANGE[0]) / (E_STEPS - 1)
-    for k in range(REFINEMENTS + 1):
-        parts.append(f"""shape{k} AS (SELECT {id_}, b, e, x, y, CASE WHEN "Model" = 'WB1.4' THEN exp(-exp(z)) ELSE 1 / (1 + exp(z)) END AS g
-  FROM (SELECT grid{k}.*, x, y, least(b * (ln(x + 1e-10) - ln(e + 1e-10)), 700) AS z FROM grid{k} JOIN series USING ("Feature", "Day"))),
-mean{k} AS (SELECT *, f * avg(y) OVER w AS my, f * avg(g) OVER w AS mg, f * avg(x * g) OVER w AS mh
-  FROM (SELECT *, CASE "Model" WHEN 'BC4' THEN 0.0 ELSE 1.0 END AS f FROM shape{k}) WINDOW w AS (PARTITION BY {id_}, b, e)),
-dots{k} AS (SELECT {id_}, b, e, any_value(my) AS my, any_value(mg) AS mg, any_value(mh) AS mh, sum((y - my) * (y - my)) AS syy, sum((g - mg) * (g - mg)) AS sgg,
-  sum((x * g - mh) * (x * g - mh)) AS shh, sum((g - mg) * (x * g - mh)) AS sgh, sum((g - mg) * (y - my)) AS sgy,
-  sum((x * g - mh) * (y - my)) AS shy FROM mean{k} GROUP BY {id_}, b, e),
-coef{k} AS (SELECT *, CASE WHEN two THEN (sgy * shh - shy * sgh) / det WHEN sgg > 1e-12 THEN sgy / sgg ELSE 0 END AS c1,
-    CASE WHEN two THEN (shy * sgg - sgy * sgh) / det ELSE 0 END AS c2
-  FROM (SELECT *, "Model" IN ('BC4', 'BC5') AND det > 1e-12 * sgg * shh AS two FROM (SELECT *, sgg * shh - sgh * sgh AS det FROM dots{k}))),
-best{k} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY {id_}
-  ORDER BY round(1 - coalesce((c1 * sgy + c2 * shy) / nullif(syy, 0), 0), 12), b, e) AS place FROM coef{k}) WHERE place = 1)""")
-        if k < REFINEMENTS:
-            moves = range(-FINE_STEPS, FINE_STEPS + 1)
-            up_b = listed([math.exp(log_b * m / FINE_STEPS) for m in moves])
-            up_e = listed([math.exp(log_e * m / FINE_STEPS) for m in moves])
-            parts.append(f"""grid{k + 1} AS (SELECT {id_}, b * ub AS b, e * unnest({up_e}) AS e
-  FROM (SELECT {id_}, b, e, unnest({up_b}) AS ub FROM best{k}))""")
-            log_b, log_e = log_b / FINE_STEPS, log_e / FINE_STEPS
-    last = REFINEMENTS
-    parts.append(f"""curve_ssr AS (SELECT {id_}, sum(power(y - my - c1 * (g - mg) - c2 * (x * g - mh), 2)) AS ssr
-  FROM best{last} JOIN shape{last} USING ({id_}, b, e) GROUP BY {id_}),
+    # The residual of a candidate (id_, y, b, m): shape on the doses 0..7, intercept out, one or two directions out.
+    def residual(source: str, keep: str) -> str:
+        spread = "list_transform(range(0, 8), lambda i: b * (ln(i + 1e-10) - m))"
+        logs = """CASE WHEN "Model" = 'WB1.4' THEN list_transform(s, lambda v: CASE WHEN low THEN CASE WHEN v < -6 THEN v + ln(1 - exp(v) / 2 + exp(2 * v) / 6 - exp(3 * v) / 24) ELSE ln(1 - exp(-exp(least(v, 700)))) END ELSE -exp(least(v, 700)) END)
+      WHEN low AND "Model" <> 'BC4' THEN list_transform(s, lambda v: -greatest(-v, 0) - ln(1 + exp(-abs(v))))
+      ELSE list_transform(s, lambda v: -greatest(v, 0) - ln(1 + exp(-abs(v)))) END"""
+        second = "list_transform(range(0, 8), lambda i: CASE WHEN i = 0 THEN -1e300 ELSE ln(greatest(i, 1)) - greatest(s[i + 1], 0) - ln(1 + exp(-abs(s[i + 1]))) END)"
+        return f"""SELECT {keep}, b, m, (dyy - CASE WHEN pp > 1e-26 THEN py * py / pp ELSE 0 END
+      - CASE WHEN two AND qq > 1e-14 * hh THEN qy * qy / qq ELSE 0 END) AS miss
+  FROM (SELECT *, list_inner_product(q, q) AS qq, list_inner_product(q, dy) AS qy, list_inner_product(h, h) AS hh
+  FROM (SELECT *, CASE WHEN pp > 1e-26 THEN list_transform(range(1, 9), lambda i: h[i] - ph / pp * p[i]) ELSE h END AS q
+  FROM (SELECT *, list_inner_product(p, p) AS pp, list_inner_product(p, dy) AS py, list_inner_product(p, h) AS ph, list_inner_product(dy, dy) AS dyy
+  FROM (SELECT *, "Model" IN ('BC4', 'BC5') AS two, list_transform(y, lambda v: v - f * list_avg(y)) AS dy,
+    list_transform(g, lambda v: v - f * list_avg(g)) AS p, list_transform(xg, lambda v: v - f * list_avg(xg)) AS h
+  FROM (SELECT *, list_transform(lg, lambda v: exp(greatest(v - list_max(lg), -745))) AS g, list_transform(lx, lambda v: exp(greatest(v - list_max(lx), -745))) AS xg,
+    CASE "Model" WHEN 'BC4' THEN 0.0 ELSE 1.0 END AS f
+  FROM (SELECT *, {logs} AS lg, {second} AS lx
+  FROM (SELECT *, list_median(s) < 0 AS low FROM (SELECT *, {spread} AS s FROM {source}))))))))"""
+
+    moved = f"""(SELECT {id_}, y, origin, step, turn, miss AS before, b * exp(step * db) AS b,
+      CASE WHEN held THEN m * exp(-step * db) ELSE m END + step * dm * (1 + 1 / abs(b)) AS m
+    FROM search, unnest([-1, -0.3, 0, 0.3, 1]) AS t(db), unnest([-1, -0.3, 0, 0.3, 1]) AS t2(dm),
+      unnest([true, false]) AS t3(held) WHERE turn < 400 AND step > 1e-5)"""
+    return f"""vectors AS MATERIALIZED (SELECT "Feature", "Day", list(y ORDER BY x) AS y FROM series GROUP BY ALL),
+cells AS (SELECT {id_}, y, CAST(sign * exp(0.2 * i) AS DOUBLE) AS b, CAST(m AS DOUBLE) AS m, i // 2 AS cell_b, CAST(floor(m / 2) AS INTEGER) AS cell_m
+  FROM vectors, unnest(['BC4', 'BC5', 'LL4', 'WB1.4']) AS t("Model"), unnest([1.0, -1.0]) AS t2(sign), range(-20, 28) AS t3(i),
+    (SELECT k * 0.75 - 24 AS m FROM range(0, 56) AS t4(k) UNION ALL SELECT k * 0.06 - 1 AS m FROM range(0, 60) AS t5(k)
+     UNION ALL SELECT ln(k) FROM range(1, 8) AS t6(k))
+  WHERE "Model" <> 'LL4' OR sign > 0),
+coarse AS ({residual("cells", f"{id_}, y, cell_b, cell_m")}),
+winners AS (SELECT {id_}, y, arg_min(b, miss) AS b, arg_min(m, miss) AS m, min(miss) AS miss FROM coarse GROUP BY {id_}, y, cell_b, cell_m, b > 0),
+origins AS MATERIALIZED (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY {id_} ORDER BY miss, b, m) AS origin FROM winners) WHERE origin <= 16),
+found AS (
+  WITH RECURSIVE search AS (
+    SELECT {id_}, y, origin, b, m, miss, CAST(0.2 AS DOUBLE) AS step, 0 AS turn FROM origins
+    UNION ALL
+    SELECT {id_}, any_value(y), origin, arg_min(b, miss), arg_min(m, miss), min(miss),
+      CASE WHEN min(miss) < any_value(before) THEN any_value(step) * 1.4 ELSE any_value(step) * 0.6 END, any_value(turn) + 1
+    FROM ({residual(moved, f"{id_}, y, origin, step, turn, before")})
+    GROUP BY {id_}, origin)
+  SELECT {id_}, min(miss) AS ssr FROM search GROUP BY {id_}),
 fits AS (SELECT "Feature", "Day", "Model", 8 * ln(ssr / 8) + 2 * k AS "AIC", 8 * ln(ssr / 8) + k * ln(8) AS "BIC", slope AS "Slope" FROM (
-    SELECT {id_}, ssr, CAST(NULL AS DOUBLE) AS slope, CASE "Model" WHEN 'BC5' THEN 5 ELSE 4 END AS k FROM curve_ssr
+    SELECT {id_}, ssr, CAST(NULL AS DOUBLE) AS slope, CASE "Model" WHEN 'BC5' THEN 5 ELSE 4 END AS k FROM found
     UNION ALL SELECT "Feature", "Day", 'Lin', line_ssr, slope, 2 FROM resid
-    UNION ALL SELECT "Feature", "Day", 'Con', level_ssr, NULL, 1 FROM resid))""")
-    return ",\n".join(parts)
-
-
+    UNION ALL SELECT "Feature", "Day", 'Con', level_ssr, NULL, 1 FROM resid))"""
 FITS = LINES + ",\n" + _curve_fits()
 ORACLE["fit_models"] = f"""{ctes(FITS)} SELECT "Feature", "Day", "Model", {r('"AIC"', 3)} AS "AIC", {r('"BIC"', 3)} AS "BIC", {r('"Slope"', 3)} AS "Slope" FROM fits"""
 SELECTED = """days AS (SELECT "Feature", "Day", min("AIC" + "BIC") AS best, min(CASE WHEN "Model" = 'Con' THEN "AIC" + "BIC" END) AS flat,
