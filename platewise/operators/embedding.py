@@ -20,6 +20,8 @@ from platewise.session import stage
 NEIGHBOURS = 15
 GRID_POINTS = 200
 CUT = 3
+#: Bandwidths beyond which a Gaussian kernel (e^-40.5 of its top) is below what a sum of doubles can show.
+REACH = 9.0
 BLOCK_ROWS = 2048
 #: Reference vectors of the neighbour search, and the rows of the sample that each is picked from.
 PIVOTS = 16
@@ -173,7 +175,8 @@ def density(
     """``feature, point, x, density``: Gaussian kernel density of each feature clipped to percentiles.
 
     Scott's bandwidth sd * n^(-1/5); the grid reaches three bandwidths past the clipped range. A
-    feature without spread has density 0.
+    feature without spread has density 0. The bandwidth shrinks as rows grow, and with it the share of the
+    grid that a value adds to.
     """
     clean = replace_columns(df, {f: finite(F.col(f"`{f}`").cast("double")) for f in features})
     bounds = table_quantiles(clean, features, [lower / 100, upper / 100]).first()
@@ -213,21 +216,31 @@ def density(
         "feature", "size", "bandwidth", "point",
         (F.col("_low") + (F.col("_high") - F.col("_low")) * F.col("point") / F.lit(float(points - 1))).alias("x"),
     )
-    # features x grid points rows, kept with each feature as one array.
-    lattice = grid.where(F.col("bandwidth") > 0).groupBy("feature", "size", "bandwidth").agg(
-        F.array_sort(F.collect_list(F.struct("point", "x"))).alias("_grid")
+    kernels = kernel_rows(values, shape.select("feature", "bandwidth", low.alias("_low"), high.alias("_high")), points)
+    curve = kernels.groupBy("feature", "point").agg(F.sum("height").alias("_sum"))
+    norm = F.col("size") * F.col("bandwidth") * F.sqrt(F.lit(2.0) * F.pi())
+    # A point that no value reaches has density 0, and so has a feature without spread.
+    height = F.when(F.col("bandwidth") > 0, F.col("_sum") / norm)
+    return grid.join(curve, ["feature", "point"], "left").select(
+        "feature", "point", "x", F.coalesce(height, F.lit(0.0)).alias("density")
     )
-    kernels = values.join(F.broadcast(lattice), "feature").select(
-        "feature", "size", "bandwidth", "value", "n", F.inline("_grid")
-    )
-    z = (F.col("x") - F.col("value")) / F.col("bandwidth")
-    height = F.col("n") * F.exp(F.lit(-0.5) * z * z)
-    norm = F.max(F.col("size") * F.col("bandwidth")) * F.sqrt(F.lit(2.0) * F.pi())
-    curve = kernels.groupBy("feature", "point", "x").agg((F.sum(height) / norm).alias("density"))
-    flat = grid.where(~F.coalesce(F.col("bandwidth") > 0, F.lit(False))).select(
-        "feature", "point", "x", F.lit(0.0).alias("density")
-    )
-    return curve.unionByName(flat)
+
+
+def kernel_rows(values: DataFrame, shape: DataFrame, points: int = GRID_POINTS) -> DataFrame:
+    """``feature, point, height``: a row per distinct value and grid point that its kernel reaches.
+
+    A band join of values and points: the grid is evenly spaced, so the points within ``REACH`` bandwidths of a value
+    are a run of numbers that follows from the value. ``shape`` has one row per feature.
+    """
+    low, width = F.col("_low"), F.col("bandwidth")
+    step = (F.col("_high") - low) / F.lit(float(points - 1))
+    first = F.greatest(F.ceil((F.col("value") - REACH * width - low) / step), F.lit(0))
+    last = F.least(F.floor((F.col("value") + REACH * width - low) / step), F.lit(points - 1))
+    near = values.join(F.broadcast(shape.where(width > 0)), "feature")
+    near = near.select("feature", "value", "n", "bandwidth", "_low", "_high", F.explode(F.when(first <= last, F.sequence(first, last))).alias("point"))
+    x = low + (F.col("_high") - low) * F.col("point") / F.lit(float(points - 1))
+    z = (x - F.col("value")) / width
+    return near.select("feature", F.col("point").cast("int").alias("point"), (F.col("n") * F.exp(F.lit(-0.5) * z * z)).alias("height"))
 
 
 def embedding_features(

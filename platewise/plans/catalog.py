@@ -634,19 +634,24 @@ def density(spark, sf):
     return rounded(got, ["x", "density"], 6)
 
 
+def _embedded(spark, sf, k, scale=True):
+    got = E.embed(X.vectors(spark, sf), "vec_id", VECTOR_DIMS, k, scale)
+    return rounded(got, [f"dim{j + 1}" for j in range(k)], 6)
+
+
 @query
 def embed_doses(spark, sf):
-    return E.embed(X.vectors(spark, sf), "vec_id", [f"f{i}" for i in range(X.DIMENSIONS)], 2)
+    return _embedded(spark, sf, 2)
 
 
 @query
 def embed_unscaled(spark, sf):
-    return E.embed(X.vectors(spark, sf), "vec_id", [f"f{i}" for i in range(X.DIMENSIONS)], 2, scale=False)
+    return _embedded(spark, sf, 2, scale=False)
 
 
 @query
 def embed_three_dimensions(spark, sf):
-    return E.embed(X.vectors(spark, sf), "vec_id", [f"f{i}" for i in range(X.DIMENSIONS)], 3)
+    return _embedded(spark, sf, 3)
 
 
 @query

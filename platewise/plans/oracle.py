@@ -633,6 +633,48 @@ c AS (SELECT value, count(*) AS times FROM v GROUP BY value)
 SELECT 'value' AS feature, CAST(point AS INTEGER) AS point, {r("x", 6)} AS x,
   {r("sum(times * exp(-0.5 * power((x - value) / w, 2))) / (any_value(n) * any_value(w) * sqrt(2 * pi()))", 6)} AS density
 FROM g, c GROUP BY point, x"""
+def _power(name: str, matrix: str) -> str:
+    """``name`` (lam, v): top eigenvalue and vector of ``matrix`` (m, a list of rows), by squaring it until one direction is left."""
+    squared = "list_transform(m, lambda a: list_transform(m, lambda b: list_inner_product(a, b)))"
+    trace = "list_sum(list_transform(range(1, len(m) + 1), lambda i: m[i][i]))"
+    return f"""{name}_p AS (SELECT 0 AS t, m FROM {matrix} UNION ALL SELECT t + 1, list_transform(m, lambda a: list_transform(a, lambda c: c / w))
+  FROM (SELECT t, m, {trace} AS w FROM (SELECT t, {squared} AS m FROM {name}_p WHERE t < 36))),
+{name}_d AS (SELECT m, list_transform(range(1, len(m) + 1), lambda i: m[i][i]) AS d FROM {name}_p WHERE t = 36),
+{name}_v AS (SELECT list_transform(m[top], lambda c: c / sqrt(m[top][top])) AS v FROM (SELECT m, list_position(d, list_max(d)) AS top FROM {name}_d)),
+{name} AS (SELECT v, list_inner_product(v, list_transform(m, lambda a: list_inner_product(a, v))) AS lam FROM {name}_v, {matrix})"""
+
+
+def _embedded(rows: str, k: int) -> str:
+    """Coordinates on the ``k`` leading axes of ``rows`` (vec_id, i, value)."""
+    parts = [f"""emb_c AS (SELECT vec_id, i, value - avg(value) OVER (PARTITION BY i) AS c FROM {rows}),
+emb_s AS (SELECT a.i, b.i AS j, sum(a.c * b.c) AS s FROM emb_c a JOIN emb_c b USING (vec_id) GROUP BY a.i, b.i),
+emb_0 AS (SELECT list(line ORDER BY i) AS m FROM (SELECT i, list(s ORDER BY j) AS line FROM emb_s GROUP BY i))"""]
+    for j in range(k):
+        parts.append(_power(f"axis{j}", f"emb_{j}"))
+        left = "list_transform(range(1, len(m) + 1), lambda a: list_transform(range(1, len(m) + 1), lambda b: m[a][b] - lam * v[a] * v[b]))"
+        parts.append(f"emb_{j + 1} AS (SELECT {left} AS m FROM emb_{j}, axis{j})")
+    parts.append(f"emb_x AS (SELECT vec_id, list(value ORDER BY i) AS x FROM {rows} GROUP BY vec_id)")
+    dims = ", ".join(r(f"list_inner_product(x, axis{j}.v)", 6) + f" AS dim{j + 1}" for j in range(k))
+    return ",\n".join(parts) + f"\nSELECT vec_id, {dims} FROM emb_x, {', '.join(f'axis{j}' for j in range(k))}"
+
+
+_EMBED_LONG = f"""emb_l AS (SELECT vec_id, i, CAST(embedding[i] AS DOUBLE) AS value FROM embeddings, range(1, {DIMENSIONS + 1}) t(i))"""
+# The quantile transform of every dimension, as in "quantile_uniform", with a dimension's number as key.
+_EMBED_UNIFORM = _EMBED_LONG + """,
+emb_n AS (SELECT count(*) AS n, least(1000, count(*)) - 1 AS q FROM embeddings),
+emb_k AS (SELECT i, value, row_number() OVER (PARTITION BY i ORDER BY value) - 1 AS k FROM emb_l),
+emb_q AS (SELECT lo.i, lo.value + (h - floor(h)) * (hi.value - lo.value) AS q
+  FROM (SELECT CAST(j AS DOUBLE) * (n - 1) / q AS h FROM emb_n, range(0, 1000) t(j) WHERE j <= q)
+  JOIN emb_k lo ON lo.k = CAST(floor(h) AS BIGINT) JOIN emb_k hi ON hi.i = lo.i AND hi.k = CAST(ceil(h) AS BIGINT)),
+emb_u AS (SELECT i, value, count(*) FILTER (emb_q.q < value) AS lt, count(*) FILTER (emb_q.q <= value) AS le, max(emb_q.q) FILTER (emb_q.q <= value) AS a,
+    min(emb_q.q) FILTER (emb_q.q > value) AS b, value <= min(emb_q.q) AS first, value >= max(emb_q.q) AS last
+  FROM (SELECT DISTINCT i, value FROM emb_l) JOIN emb_q USING (i) GROUP BY i, value),
+emb_m AS (SELECT i, value, CASE WHEN first THEN 0.0 WHEN last THEN 1.0 WHEN le > lt THEN (lt + le - 1) / 2.0 / emb_n.q
+    ELSE (le - 1 + (value - a) / (b - a)) / emb_n.q END AS u FROM emb_u, emb_n),
+emb_r AS (SELECT vec_id, i, u AS value FROM emb_l JOIN emb_m USING (i, value))"""
+ORACLE["embed_unscaled"] = "WITH RECURSIVE " + _EMBED_LONG + ",\n" + _embedded("emb_l", 2)
+ORACLE["embed_doses"] = "WITH RECURSIVE " + _EMBED_UNIFORM + ",\n" + _embedded("emb_r", 2)
+ORACLE["embed_three_dimensions"] = "WITH RECURSIVE " + _EMBED_UNIFORM + ",\n" + _embedded("emb_r", 3)
 _EF = _DIMS
 ORACLE["embedding_features"] = f"""{ctes(VECTORS)},
 h AS (SELECT * REPLACE (CASE WHEN vec_id % 5 <> 0 THEN f0 END AS f0) FROM vec),

@@ -175,6 +175,22 @@ def test_density_matches_gaussian_kde_and_flat(spark):
     assert (got[got.feature == "flat"].density == 0).all() and (got.feature == "flat").sum() == 50
 
 
+def test_density_between_far_lumps_is_zero_and_kernels_stay_in_reach(spark):
+    x = np.concatenate([np.linspace(0, 1, 4000), [1000.0, 1000.5]])
+    df = spark.createDataFrame(pd.DataFrame({"x": x}))
+    got = E.density(df, ["x"], 0, 100).toPandas().sort_values("point")
+    w = x.std(ddof=1) * len(x) ** -0.2
+    want = np.exp(-0.5 * ((got.x.to_numpy()[:, None] - x) / w) ** 2).sum(axis=1) / (len(x) * w * np.sqrt(2 * np.pi))
+    assert len(got) == 200 and got.density.min() == 0
+    np.testing.assert_allclose(got.density, want, atol=1e-15)
+    values = df.select(F.lit("x").alias("feature"), F.col("x").alias("value"), F.lit(1).alias("n"))
+    low, high = x.min() - 3 * w, x.max() + 3 * w
+    shape = df.limit(1).select(F.lit("x").alias("feature"), F.lit(w).alias("bandwidth"), F.lit(low).alias("_low"), F.lit(high).alias("_high"))
+    rows = E.kernel_rows(values, shape)
+    grid = np.linspace(low, high, 200)
+    assert rows.count() == (np.abs(grid[:, None] - x) <= 9 * w).sum() < 0.2 * 200 * len(x)
+
+
 def test_embedding_is_keyed_and_oriented(cloud):
     pdf, df = cloud
     got = E.embed(df, "id", ["a", "b", "c"], 2, scale=False).toPandas().sort_values("id")
