@@ -3,17 +3,17 @@
 from __future__ import annotations
 
 import csv
-from collections import defaultdict
+from collections import Counter
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from platewise.functions.numeric import no_nan
 from platewise.roles import floating_columns
+from platewise.session import stage
 
 
 def _reader(spark: SparkSession, sep: str, schema: T.StructType | str | None):
@@ -54,59 +54,99 @@ def read_csv(
     return df.select(*[F.col(f"`{c}`") for c in columns]) if columns else df
 
 
-def list_files(spark: SparkSession, path: str, pattern: str | None = None, recursive: bool = False) -> list[str]:
-    """Paths of the files under ``path``; their content is not read."""
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", recursive)
-    if pattern:
-        reader = reader.option("pathGlobFilter", pattern)
-    try:
-        return sorted(r["path"] for r in reader.load(path).select("path").collect())
-    except AnalysisException as e:
-        if e.getCondition() == "PATH_NOT_FOUND":
-            return []
-        raise
+def _column_names(header: Sequence[str]) -> list[str]:
+    """Names as Spark gives them: repeated ones get their position, empty ones too."""
+    names = [h.strip() for h in header]
+    seen = Counter(n.lower() for n in names)
+    return [f"_c{i}" if not n else f"{n}{i}" if seen[n.lower()] > 1 else n for i, n in enumerate(names)]
+
+
+def _guessed(df: DataFrame, names: Sequence[str]) -> dict[str, T.DataType]:
+    """The narrowest of integer, long, double and boolean that takes all values of a column; else string."""
+    kinds = (T.IntegerType(), T.LongType(), T.DoubleType())
+
+    def fits(name: str) -> Column:
+        c = F.col(f"`{name}`")
+        good = [F.count(c.try_cast(k)) for k in kinds] + [F.count(F.when(F.lower(c).isin("true", "false"), c))]
+        return F.struct(F.count(c).alias("n"), F.array(*good).alias("good"))
 
+    found = df.agg(*[fits(n).alias(f"_{i}") for i, n in enumerate(names)]).first()
+    out = {}
+    for name, got in zip(names, found):
+        match = [k for k, good in zip((*kinds, T.BooleanType()), got["good"]) if good == got["n"] > 0]
+        out[name] = match[0] if match else T.StringType()
+    return out
 
-def _read_by_name(spark: SparkSession, files: Sequence[str], sep: str, schema=None) -> DataFrame:
-    """Union by column name of files whose headers may differ; adds ``_file``.
 
-    One job reads the first line of every file; files with the same header are read together, so the plan has one
-    scan per distinct header.
+def _read_by_name(
+    spark: SparkSession, path: str, sep: str, schema: T.StructType | None = None, pattern: str | None = None, recursive: bool = False
+) -> DataFrame:
+    """Union by column name of files whose headers may differ; adds ``_file``, the name of the file as a URL.
+
+    Spark finds the files. One pass takes the first line of each, another reads all of them by position, whatever their
+    headers; where there are several headers each row meets its file's by join. The distinct headers come to the driver,
+    file names do not. Without a schema, types are guessed from all values (a third pass); no dates are guessed.
     """
-    if not files:
-        raise FileNotFoundError("no files match")
-    known = {f.name: f for f in schema.fields} if schema is not None else {}
-    groups: dict[tuple[str, ...], list[str]] = defaultdict(list)
-    lines = spark.read.text(list(files)).where(F.col("_metadata.file_block_start") == 0)
-    # Spark names the file of a row as a URL, and takes plain paths.
-    path = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
-    by_file = path.alias("f"), F.monotonically_increasing_id().alias("i"), F.col("value")
-    first = lines.select(*by_file).groupBy("f").agg(F.min_by("value", "i").alias("line"))
-    # A header names a handful of layouts: one row per layout with its files comes back.
-    for line, paths in first.groupBy("line").agg(F.sort_array(F.collect_list("f"))).orderBy("line").collect():
-        groups[tuple(next(csv.reader([line], delimiter=sep)))] += paths
-    parts = []
-    for header, paths in groups.items():
-        typed = T.StructType([known.get(c, T.StructField(c, T.StringType())) for c in header]) if known else None
-        df = _reader(spark, sep, typed).csv(paths)
-        parts.append(_nan_as_null(df.select("*", F.col("_metadata.file_path").alias("_file"))))
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    def options(reader):
+        reader = reader.option("recursiveFileLookup", recursive)
+        return reader.option("pathGlobFilter", pattern) if pattern else reader
+
+    try:
+        lines = options(spark.read).text(path).where(F.col("_metadata.file_block_start") == 0)
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            raise FileNotFoundError(f"no files match {path}") from e
+        raise
+    lines = lines.select(F.col("_metadata.file_path").alias("_file"), F.monotonically_increasing_id().alias("i"), "value")
+    # One row per file.
+    heads = stage(lines.groupBy("_file").agg(F.min_by("value", "i").alias("_head")), "file-headers")
+    layouts = sorted(r["_head"] for r in heads.select("_head").distinct().collect())
+    if not layouts:
+        raise FileNotFoundError(f"no files match {path}")
+    places: dict[str, list[tuple[str, int]]] = {}
+    width = 0
+    for line in layouts:
+        header = _column_names(next(csv.reader([line], delimiter=sep)))
+        width = max(width, len(header))
+        for i, name in enumerate(header):
+            places.setdefault(name, []).append((line, i))
+    by_place = T.StructType([T.StructField(f"_p{i}", T.StringType()) for i in range(width)])
+    # A header is skipped by Spark, not compared with the schema.
+    rows = options(_reader(spark, sep, by_place).option("enforceSchema", True)).csv(path)
+    rows = rows.select("*", F.col("_metadata.file_path").alias("_file"))
+    if len(layouts) > 1:
+        rows = rows.join(heads, "_file")
+
+    def value(name: str) -> Column:
+        if len(layouts) == 1:
+            return F.col(f"_p{places[name][0][1]}")
+        at: dict[int, list[str]] = {}
+        for line, i in places[name]:
+            at.setdefault(i, []).append(line)
+        return F.coalesce(*[F.when(F.col("_head").isin(own), F.col(f"_p{i}")) for i, own in at.items()])
+
+    named = rows.select(*[value(n).alias(n) for n in places], "_file")
+    kinds = _guessed(named, list(places)) if schema is None else {f.name: f.dataType for f in schema.fields}
+    typed = [F.col(f"`{n}`").try_cast(kinds.get(n, T.StringType())).alias(n) for n in places]
+    return _nan_as_null(named.select(*typed, "_file"))
+
+
+def _part(name: str) -> Column:
+    """A piece of ``_file`` as plain text; a plus sign stays one."""
+    piece = F.regexp_extract("_file", name, 1)
+    return F.url_decode(F.replace(piece, F.lit("+"), F.lit("%2B")))
 
 
 def combine_instances(spark: SparkSession, root: str, file: str, schema: T.StructType | None = None) -> DataFrame:
     """The same file of every worker folder under ``root``, by column name, with ``Subfolder``."""
-    files = list_files(spark, f"{root}/*/{file}")
-    df = _read_by_name(spark, files, "\t", schema)
-    folder = F.regexp_extract("_file", r"([^/]+)/[^/]+$", 1)
-    return df.withColumn("Subfolder", F.url_decode(folder)).drop("_file")
+    df = _read_by_name(spark, f"{root}/*/{file}", "\t", schema)
+    return df.withColumn("Subfolder", _part(r"([^/]+)/[^/]+$")).drop("_file")
 
 
 def combine_parts(spark: SparkSession, root: str, name: str, schema: T.StructType | None = None) -> DataFrame:
     """``combine_instances`` where each worker's table is a folder ``root/worker/name/part-*``."""
-    parts = list_files(spark, f"{root}/*/{name}", "part-*")
-    df = _read_by_name(spark, parts, "\t", schema)
-    worker = F.regexp_extract("_file", r"([^/]+)/[^/]+/[^/]+$", 1)
-    return df.withColumn("Subfolder", F.url_decode(worker)).drop("_file")
+    df = _read_by_name(spark, f"{root}/*/{name}", "\t", schema, "part-*")
+    return df.withColumn("Subfolder", _part(r"([^/]+)/[^/]+/[^/]+$")).drop("_file")
 
 
 def scan_glob(
@@ -118,9 +158,8 @@ def scan_glob(
     schema: T.StructType | None = None,
 ) -> DataFrame:
     """All files matching a name pattern, by column name, with ``subset`` = file name without suffix."""
-    df = _read_by_name(spark, list_files(spark, path, pattern, recursive), sep, schema)
-    name = F.regexp_extract("_file", r"([^/]+)$", 1)
-    return df.withColumn("subset", F.regexp_replace(F.url_decode(name), r"\.[^.]*$", "")).drop("_file")
+    df = _read_by_name(spark, path, sep, schema, pattern, recursive)
+    return df.withColumn("subset", F.regexp_replace(_part(r"([^/]+)$"), r"\.[^.]*$", "")).drop("_file")
 
 
 def read_lookup(spark: SparkSession, path: str) -> DataFrame:

@@ -37,6 +37,24 @@ def test_workers_combine_by_name(spark, tmp_path):
         IO.combine_instances(spark, str(tmp_path), "None.txt")
 
 
+def test_files_of_many_layouts_meet_by_name(spark, tmp_path):
+    write(tmp_path / "a+b" / "t.txt", 'id\tx\tnote\n1\t1.5\t"tab\there"\nid\t2\tid\n')
+    write(tmp_path / "two" / "t.txt", "note\tid\nshort\nplain\t7\textra\n")
+    write(tmp_path / "three" / "t.txt", "x\tflag\tx\ninf\ttrue\t1\nnan\tfalse\t2\n")
+    write(tmp_path / "empty" / "t.txt", "")
+    write(tmp_path / "bare" / "t.txt", "id\tx\tnote\n")
+    df = IO.combine_instances(spark, str(tmp_path), "t.txt")
+    got = {tuple(r[c] for c in ("Subfolder", "id", "x", "note", "flag", "x0", "x2")) for r in df.collect()}
+    assert got == {
+        ("a+b", "1", 1.5, "tab\there", None, None, None), ("a+b", "id", 2.0, "id", None, None, None),
+        ("two", None, None, "short", None, None, None), ("two", "7", None, "plain", None, None, None),
+        ("three", None, None, None, True, float("inf"), 1), ("three", None, None, None, False, None, 2),
+    }
+    kinds = T.StructType([T.StructField("id", T.LongType()), T.StructField("x", T.DoubleType())])
+    typed = IO.combine_instances(spark, str(tmp_path), "t.txt", kinds)
+    assert sorted((r["id"] for r in typed.collect()), key=str) == [1, 7, None, None, None, None]
+
+
 def test_scan_glob_flat_and_recursive(spark, tmp_path):
     write(tmp_path / "s_D1.txt", "a\n1\n")
     write(tmp_path / "deep" / "s_D5.txt", "a\n2\n")
