@@ -30,10 +30,8 @@ from platewise.session import stage
 
 #: Keys a filter shard should hold.
 SHARD_KEYS = 1 << 20
-#: Bytes of filters that are sent to every task; beyond it, each shard's filter meets the keys of its shard alone.
-FILTER_BYTES = 32 << 20
-#: Tasks that share a shard's keys where filters aren't sent to every task.
-SHARD_TASKS = 16
+#: Texts a task remembers, so as to deal with their copies once.
+SEEN_TEXTS = 1 << 16
 SLOTS = 4
 
 
@@ -239,52 +237,79 @@ def _changed(store: LineStore, docs: DataFrame, sign: int) -> LineStore:
     return LineStore(refs, stage(filters, "line_filters"), store.shards, store.min_docs, store.min_chars)
 
 
+def _first_slots(store: LineStore, slots: int) -> np.ndarray:
+    """Where each shard's slots begin, and their number at the end: about ``slots`` in all, at least one to a shard.
+
+    A shard has slots in proportion to the lines with its keys, so that a very common line's shard is shared by many. One
+    number per shard, that is per million frequent keys, comes to the driver.
+    """
+    load = np.zeros(store.shards)
+    for r in store.refs.groupBy(_shard(store.shards).alias("shard")).agg(F.sum("n").alias("n")).collect():
+        load[r["shard"]] = r["n"]
+    share = np.maximum(np.ceil(load * slots / max(load.sum(), 1)), 1).astype(np.int64)
+    return np.concatenate([[0], np.cumsum(share)])
+
+
 def _candidates(texts: DataFrame, store: LineStore) -> DataFrame:
-    """text_key, key: the distinct line keys of each text that pass the filters."""
-    size = store.filters.agg(F.sum(F.length("body"))).first()[0] or 0
-    held = None
-    if size <= FILTER_BYTES:
-        bodies = {r["shard"]: bytes(r["body"]) for r in store.filters.collect()}
-        held = texts.sparkSession.sparkContext.broadcast(bodies)
+    """text_key, key: the distinct line keys of each text that pass their shard's filter.
+
+    Keys go to the slots of their shard, where a copy of its filter comes first and the keys stream past it: a task holds
+    one filter at a time. A task deals with copies of a text once.
+    """
+    spark = texts.sparkSession
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    first = _first_slots(store, tasks)
     shards, min_chars = store.shards, store.min_chars
 
-    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        filters = None if held is None else {s: CuckooFilter.from_bytes(b) for s, b in held.value.items()}
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[str] = set()
         for batch in batches:
-            names, keys = [], []
+            names, keys, spread = [], [], []
             for name, text in zip(pieces_of(batch, "text_key"), pieces_of(batch, "text")):
+                if name in seen:
+                    continue
+                if len(seen) >= SEEN_TEXTS:
+                    seen.clear()
+                seen.add(name)
                 own = [k for k in {*hashed_keys(text, min_chars)} if k]
                 names += [name] * len(own)
                 keys += own
-            if filters is not None and keys:
-                shard = np.array([zlib.crc32(k[:8]) % shards for k in keys]) if shards > 1 else np.zeros(len(keys), int)
-                hit = np.zeros(len(keys), bool)
-                low = _halves(keys)[1]
-                for s, f in filters.items():
-                    at = np.flatnonzero(shard == s)
-                    hit[at] = f.holds(low[at])
-                at = np.flatnonzero(hit).tolist()
-                names, keys = [names[i] for i in at], [keys[i] for i in at]
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(keys, pa.binary())], ["text_key", "key"])
-
-    found = texts.select("text_key", "text").mapInArrow(probe, "text_key string, key binary")
-    return found if held is not None else _by_shard(found, store)
-
-
-def _by_shard(keys: DataFrame, store: LineStore) -> DataFrame:
-    """The rows of ``keys`` (text_key, key) that pass their shard's filter; ``SHARD_TASKS`` tasks share a shard."""
-
-    def probe(own: pd.DataFrame, bodies: pd.DataFrame) -> pd.DataFrame:
-        if not len(bodies) or not len(own):
-            return own[["text_key", "key"]].iloc[:0]
-        hit = CuckooFilter.from_bytes(bodies["body"].iloc[0]).holds(_halves(own["key"].tolist())[1])
-        return own[["text_key", "key"]][hit]
-
-    part = F.pmod(F.xxhash64("text_key", "key"), F.lit(SHARD_TASKS)).cast("int")
-    dealt = keys.withColumn("shard", _shard(store.shards)).withColumn("part", part)
-    filters = store.filters.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(SHARD_TASKS - 1))))
-    meet = dealt.groupBy("shard", "part").cogroup(filters.groupBy("shard", "part"))
-    return meet.applyInPandas(probe, "text_key string, key binary")
+                spread += [int(name[:15], 16)] * len(own)
+            slot = np.zeros(0, np.int64)
+            if keys:
+                shard = np.array([zlib.crc32(k[:8]) % shards for k in keys]) if shards > 1 else np.zeros(len(keys), np.int64)
+                mixed = _halves(keys)[1] ^ np.array(spread, np.uint64)
+                slot = first[shard] + (mixed % (first[shard + 1] - first[shard]).astype(np.uint64)).astype(np.int64)
+            cells = [pa.array(slot, pa.int64()), pa.array(names, pa.string()), pa.array(keys, pa.binary())]
+            yield pa.RecordBatch.from_arrays(cells, ["slot", "text_key", "key"])
+
+    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, held_for = None, -1
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            slot = batch.column(0).to_numpy()
+            body, names, keys = batch.column(1), batch.column(2), batch.column(3)
+            hits = [np.zeros(0, np.int64)]
+            starts = np.flatnonzero(np.diff(slot, prepend=-1))
+            for at, end in zip(starts.tolist(), [*starts[1:].tolist(), len(slot)]):
+                if body[at].is_valid:
+                    held, held_for = CuckooFilter.from_bytes(body[at].as_py()), slot[at]
+                    at += 1
+                if at < end and held_for == slot[at]:
+                    low = _halves(keys.slice(at, end - at).to_pylist())[1]
+                    hits.append(at + np.flatnonzero(held.holds(low)))
+            kept = pa.array(np.concatenate(hits))
+            yield pa.RecordBatch.from_arrays([names.take(kept), keys.take(kept)], ["text_key", "key"])
+
+    dealt = texts.select("text_key", "text").mapInArrow(deal, "slot long, text_key string, key binary")
+    dealt = dealt.select("slot", F.lit(None).cast("binary").alias("body"), "text_key", "key")
+    ends = spark.createDataFrame([(s, int(first[s]), int(first[s + 1]) - 1) for s in range(shards)], "shard int, low long, high long")
+    copies = store.filters.join(ends, "shard").select(
+        F.explode(F.sequence("low", "high")).alias("slot"), "body", F.lit(None).cast("string").alias("text_key"), F.lit(None).cast("binary").alias("key")
+    )
+    met = copies.unionByName(dealt).repartitionById(tasks, F.pmod("slot", F.lit(tasks)).cast("int"))
+    return met.sortWithinPartitions("slot", F.col("body").isNull()).mapInArrow(probe, "text_key string, key binary")
 
 
 def drop_lines(docs: DataFrame, store: LineStore) -> DataFrame:

@@ -53,11 +53,16 @@ def test_line_dedup(spark, min_docs, min_chars):
     assert "key" in line_dedup.drop_lines(docs, store).columns
 
 
-def test_line_dedup_without_filters(spark, monkeypatch):
-    monkeypatch.setattr(line_dedup, "FILTER_BYTES", -1)
+@pytest.mark.parametrize("partitions", ["1", "3", "40"])
+def test_line_dedup_whatever_the_partitions(spark, partitions):
     rows = line_rows(2)
     docs = frame(spark, rows)
-    assert dropped(docs, line_dedup.build_store(docs, 3)) == brute_lines(rows, 3)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    try:
+        assert dropped(docs, line_dedup.build_store(docs, 3)) == brute_lines(rows, 3)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
 
 
 def test_line_dedup_can_be_undone(spark, monkeypatch):
@@ -379,17 +384,22 @@ def test_a_store_of_texts_takes_no_changes(spark):
 
 
 def test_filters_by_shard(spark, monkeypatch):
-    """Filters too large to be sent everywhere meet only their shard's keys; the result is the same."""
+    """Keys meet the filter of their shard alone; a common line's shard has most slots; copies count as rows."""
     rng = random.Random(6)
-    rows = [(i, "\n".join(rng.choices([f"line {k}" for k in range(300)], k=20))) for i in range(150)] + ODD
+    rows = [(i, "\n".join(["common", *rng.choices([f"line {k}" for k in range(300)], k=20)])) for i in range(150)] + ODD
+    rows += [(1000 + i, "common\nonly in copies\nline 7") for i in range(200)]
     docs = frame(spark, rows)
     monkeypatch.setattr(line_dedup, "SHARD_KEYS", 32)
     store = line_dedup.build_store(docs, min_docs=8)
     assert store.shards > 1
-    columns = ["doc_id", "text", "n_lines", "n_dropped"]
-    sent = sorted(map(tuple, line_dedup.drop_lines(docs, store).select(columns).collect()), key=str)
-    monkeypatch.setattr(line_dedup, "FILTER_BYTES", 0)
-    joined = sorted(map(tuple, line_dedup.drop_lines(docs, store).select(columns).collect()), key=str)
-    assert sent == joined and any(r[3] for r in sent)
+    assert dropped(docs, store) == brute_lines(rows, 8)
+    first = line_dedup._first_slots(store, 100)
+    shares = first[1:] - first[:-1]
+    assert len(first) == store.shards + 1 and shares.min() >= 1 and 100 <= first[-1] <= 100 + store.shards
+    monkeypatch.setattr(line_dedup, "SEEN_TEXTS", 2)
+    assert dropped(docs, store) == brute_lines(rows, 8)
+    passed = line_dedup._candidates(docs.selectExpr("coalesce(text, '') AS text", "md5(coalesce(text, '')) AS text_key"), store)
+    frequent = {bytes(r["key"]) for r in store.frequent.collect()}
+    assert frequent <= {bytes(r["key"]) for r in passed.collect()}
     empty = line_dedup.build_store(docs, min_docs=10_000)
     assert line_dedup.drop_lines(docs, empty).where("n_dropped > 0").count() == 0
