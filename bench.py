@@ -8,7 +8,7 @@ import sys
 import time
 
 from platewise.plans.catalog import QUERIES
-from platewise.session import build_session
+from platewise.session import build_session, stages
 
 HEADLINE = (
     "pool_cells",
@@ -56,9 +56,10 @@ def main() -> None:
     wanted = sys.argv[1:] or HEADLINE
     times: dict[str, float] = {}
     for name in wanted:
-        start = time.perf_counter()
-        QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
-        times[name] = round(time.perf_counter() - start, 3)
+        with stages(spark):
+            start = time.perf_counter()
+            QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
+            times[name] = round(time.perf_counter() - start, 3)
         print(f"{name} {times[name]}", file=sys.stderr, flush=True)
     print(
         json.dumps(

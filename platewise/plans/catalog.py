@@ -23,8 +23,8 @@ from platewise.operators import subsets as U
 from platewise.operators import violin as V
 from platewise.operators.ordered import group_quantiles, long_form, table_quantiles
 from platewise.plans import inputs as X
+from platewise.plans import profile as A
 from platewise.plans.inputs import MEASURES, ROLES, rnd, rounded, scored
-from platewise.plans.profile import profile_scores
 from platewise.session import new_folder, stage
 from platewise.sources import tables as IO
 
@@ -280,13 +280,18 @@ def select_features(spark, sf):
     return M.select_features(fits(spark, sf), ROLES.days)
 
 
-def _shifted_fits(spark, sf):
+def _shifted(spark, sf):
+    """Standardized profiles with two features made to respond to the dose."""
     dose = F.col("Concentration")
     q = F.col("rp_norm_l_quantity")
-    p = standardized(spark, sf).withColumns({
+    return standardized(spark, sf).withColumns({
         "rp_norm_shifted": q + (F.lit(ROLES.control) - dose) * 4,
         "rp_norm_bent": q + F.greatest(F.lit(0), F.lit(7) - dose) * 6,
     })
+
+
+def _shifted_fits(spark, sf):
+    p = _shifted(spark, sf)
     names = ["rp_norm_l_tax", "rp_norm_shifted", "rp_norm_bent"]
     return M.fit_models(W.emd_concentrations(T.trim_selected(p, names, ROLES), ROLES), ROLES)
 
@@ -662,6 +667,14 @@ def embedding_features(spark, sf):
     return rounded(E.embedding_features(coords, holed, "vec_id", VECTOR_DIMS), ["value"], 6)
 
 
+@query
+def embedded_features(spark, sf):
+    """Every dimension on the coordinates of the embedding."""
+    v = X.vectors(spark, sf)
+    got = E.embedding_features(E.embed(v, "vec_id", VECTOR_DIMS, 2, scale=False), v, "vec_id", VECTOR_DIMS)
+    return rounded(got, ["dim1", "dim2", "value"], 6)
+
+
 # ---- sources and sinks -----------------------------------------------------------------------
 
 
@@ -760,4 +773,22 @@ def lookup_round_trip(spark, sf):
 
 @query
 def profile_dose_scores(spark, sf):
-    return scored(profile_scores(spark, sf))
+    return scored(A.profile_scores(spark, sf))
+
+
+@query
+def sampled_distances(spark, sf):
+    """Sample, filter, distances: 300 rows of every day and concentration."""
+    names = [*MEASURES, "holes", "flat", "Number_Object_Number_x"]
+    # Ids repeat in the table, and a draw by id needs one row per id.
+    cells = _flawed_with_flat(spark, sf).groupBy("cell_ID", "Metadata_Day", "Concentration").agg(*[F.max(f).alias(f) for f in names])
+    got = A.sampled_distances(cells, ROLES, 300, ("l_discount",))
+    return rounded(got, ["MMD_Score", "Mahalanobis_Score", "EMD_Score"], 6)
+
+
+@query
+def selected_profiles(spark, sf):
+    """Fit, select, trim, prune by correlation, trim: the table of the features that are left."""
+    std = stage(_shifted(spark, sf), "shifted")
+    _, kept, table = A.selected_profiles(std, ROLES, ROLES.days)
+    return rounded(table.select("cell_ID", "Metadata_Day", "Concentration", *kept), kept)

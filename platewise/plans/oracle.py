@@ -570,8 +570,8 @@ def ready(source: str, name: str) -> str:
     return f"""{name} AS (SELECT vec_id, {CONC}, {", ".join(f"{scaled(f)} AS {f}" for f in _DIMS)} FROM {source})"""
 
 
-def mmd(source: str, name: str) -> str:
-    d2 = " + ".join(f"(a.{f} - b.{f}) * (a.{f} - b.{f})" for f in _DIMS)
+def mmd(source: str, name: str, dims=tuple(_DIMS)) -> str:
+    d2 = " + ".join(f"(a.{f} - b.{f}) * (a.{f} - b.{f})" for f in dims)
     return f"""{name}_k AS (SELECT a.{CONC} AS ga, b.{CONC} AS gb, avg(exp(-0.24 * ({d2}))) AS k
   FROM {source} a JOIN {source} b ON a.{CONC} = b.{CONC} OR a.{CONC} = 11 GROUP BY ga, gb),
 {name} AS (SELECT x.ga AS "Group_A", x.gb AS "Group_B", aa.k + bb.k - 2 * x.k AS score
@@ -579,17 +579,17 @@ def mmd(source: str, name: str) -> str:
   WHERE x.ga = 11 AND x.gb <> 11)"""
 
 
-def mean_emd(source: str, name: str) -> str:
-    return f"""{name}_l AS ({unpivoted(source, f"{CONC} AS pop", _DIMS)}), {emd(f"{name}_l", f"{name}_e0", "feature")},
+def mean_emd(source: str, name: str, dims=tuple(_DIMS)) -> str:
+    return f"""{name}_l AS ({unpivoted(source, f"{CONC} AS pop", dims)}), {emd(f"{name}_l", f"{name}_e0", "feature")},
 {name} AS (SELECT 11 AS "Group_A", p AS "Group_B", avg(score) AS score FROM {name}_e0 WHERE q = 11 GROUP BY p)"""
 
 
 ORACLE["mmd"] = f"""{ctes(POPULATIONS, ready("pop", "rdy"), mmd("rdy", "m"))} SELECT "Group_A", "Group_B", {r("score", 6)} AS "MMD_Score" FROM m"""
 ORACLE["mean_emd"] = f"""{ctes(POPULATIONS, ready("pop", "rdy"), mean_emd("rdy", "e"))} SELECT "Group_A", "Group_B", {r("score", 6)} AS "EMD_Score" FROM e"""
-def mahalanobis(source: str, name: str) -> str:
+def mahalanobis(source: str, name: str, dims=tuple(_DIMS)) -> str:
     """Squared distance as the sum of squared residuals of each dimension on those before it."""
-    parts = [f"""{name}_0 AS (SELECT vec_id, {CONC}, {", ".join(f"{f} - (SELECT avg({f}) FROM {source} WHERE {CONC} = 11) AS {f}" for f in _DIMS)} FROM {source})"""]
-    for k, f in enumerate(_DIMS):
+    parts = [f"""{name}_0 AS (SELECT vec_id, {CONC}, {", ".join(f"{f} - (SELECT avg({f}) FROM {source} WHERE {CONC} = 11) AS {f}" for f in dims)} FROM {source})"""]
+    for k, f in enumerate(dims):
         done = [f"r{j}" for j in range(k)]
         if k == 0:
             parts.append(f"{name}_1 AS (SELECT *, {f} AS r0 FROM {name}_0)")
@@ -599,7 +599,7 @@ def mahalanobis(source: str, name: str) -> str:
         keep = ", ".join([f"{name}_{k}.*"])
         parts.append(f"""{name}_{k + 1} AS (SELECT {keep}, {left} AS r{k} FROM {name}_{k},
   (SELECT {slopes} FROM {name}_{k} WHERE {CONC} = 11))""")
-    d = len(_DIMS)
+    d = len(dims)
     variances = ", ".join(f"sum(r{k} * r{k}) / (count(*) - 1) AS v{k}" for k in range(d))
     total = " + ".join(f"r{k} * r{k} / v{k}" for k in range(d))
     parts.append(f"""{name} AS (SELECT 11 AS "Group_A", {CONC} AS "Group_B", avg(sqrt({total})) AS score
@@ -621,6 +621,22 @@ def _distances() -> str:
 
 
 ORACLE["population_distances"] = _distances()
+def _sampled_distances() -> str:
+    dims = ("l_quantity", "l_extendedprice", "l_tax")
+    parts = [FLAWED, f"""pooled AS (SELECT "cell_ID", {DAY}, {CONC}, {", ".join(f"max({f}) AS {f}" for f in dims)} FROM clean GROUP BY "cell_ID", {DAY}, {CONC}),
+placed AS (SELECT *, row_number() OVER (PARTITION BY {DAY}, {CONC} ORDER BY md5("cell_ID" || ':1'), "cell_ID") AS place FROM pooled),
+filled AS (SELECT "cell_ID" AS vec_id, {DAY}, {CONC}, {", ".join(f"coalesce({f}, avg({f}) OVER (PARTITION BY {DAY}, {CONC})) AS {f}" for f in dims)}
+  FROM placed WHERE place <= 300)"""]
+    rows = []
+    for d in ("D1", "D5", "D7", "D9"):
+        parts += [f"""y{d} AS (SELECT vec_id, {CONC}, {", ".join(f"{scaled(f)} AS {f}" for f in dims)} FROM filled WHERE {DAY} = '{d}')""",
+                  mmd(f"y{d}", f"m{d}", dims), mahalanobis(f"y{d}", f"h{d}", dims), mean_emd(f"y{d}", f"e{d}", dims)]
+        rows.append(f"""SELECT "Group_A", "Group_B", {r(f"m{d}.score", 6)} AS "MMD_Score", {r(f"h{d}.score", 6)} AS "Mahalanobis_Score",
+  {r(f"e{d}.score", 6)} AS "EMD_Score", '{d}' AS "Condition" FROM m{d} JOIN h{d} USING ("Group_A", "Group_B") JOIN e{d} USING ("Group_A", "Group_B")""")
+    return ctes(*parts) + " " + " UNION ALL ".join(rows)
+
+
+ORACLE["sampled_distances"] = _sampled_distances()
 ORACLE["knn"] = f"""WITH d AS (SELECT a.vec_id, b.vec_id AS neighbour, sqrt(list_sum(list_transform(range(1, {DIMENSIONS + 1}),
     lambda i: power(CAST(a.embedding[i] AS DOUBLE) - CAST(b.embedding[i] AS DOUBLE), 2)))) AS distance FROM embeddings a, embeddings b),
 k AS (SELECT *, CAST(row_number() OVER (PARTITION BY vec_id ORDER BY distance, neighbour) AS INTEGER) AS rank FROM d)
@@ -681,6 +697,11 @@ h AS (SELECT * REPLACE (CASE WHEN vec_id % 5 <> 0 THEN f0 END AS f0) FROM vec),
 b AS (SELECT {", ".join(f"quantile_cont({f}, 0.05) AS lo_{f}, quantile_cont({f}, 0.95) AS hi_{f}" for f in _EF)} FROM h),
 s AS ({" UNION ALL ".join(f"SELECT vec_id, f10, f11, '{f}' AS feature, CASE WHEN {f} IS NOT NULL THEN (least(greatest({f}, lo_{f}), hi_{f}) - lo_{f}) / (hi_{f} - lo_{f}) END AS value FROM h, b" for f in _EF)})
 SELECT vec_id, {r("f10", 6)} AS dim1, {r("f11", 6)} AS dim2, feature, {r("value", 6)} AS value, value IS NULL AS missing FROM s"""
+ORACLE["embedded_features"] = f"""WITH RECURSIVE {VECTORS},
+b AS (SELECT {", ".join(f"quantile_cont({f}, 0.05) AS lo_{f}, quantile_cont({f}, 0.95) AS hi_{f}" for f in _EF)} FROM vec),
+s AS ({" UNION ALL ".join(f"SELECT vec_id, '{f}' AS feature, (least(greatest({f}, lo_{f}), hi_{f}) - lo_{f}) / (hi_{f} - lo_{f}) AS value FROM vec, b" for f in _EF)}),
+{_EMBED_LONG}, coords AS ({"WITH RECURSIVE " + _embedded("emb_l", 2)})
+SELECT vec_id, dim1, dim2, feature, {r("value", 6)} AS value, false AS missing FROM s JOIN coords USING (vec_id)"""
 
 # ---- sources and sinks
 

@@ -7,11 +7,13 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame, SparkSession
 
 from platewise.operators.correlate import prune_correlated
+from platewise.operators.distance import distances_by_day
 from platewise.operators.doseresponse import fit_models, select_features
 from platewise.operators.emd import emd_concentrations
 from platewise.operators.identity import normalize_keys
 from platewise.operators.pooling import pool_cells
 from platewise.operators.standardize import standardize_row_day, trim_selected, trim_wells
+from platewise.operators.subsets import ALWAYS_EXCLUDED, DAY_CAP, filter_features, sample_capped
 from platewise.plans import inputs
 from platewise.roles import Roles
 from platewise.session import stage
@@ -46,3 +48,14 @@ def selected_profiles(
     if len(responding) > 1:
         kept = sorted(r["feature"] for r in prune_correlated(first, roles, responding).collect())
     return responding, kept, trim_selected(std, kept, roles)
+
+
+def sampled_distances(
+    df: DataFrame, roles: Roles, cap: int = DAY_CAP, excluded: Sequence[str] = ALWAYS_EXCLUDED
+) -> DataFrame:
+    """The three population distances of every day, on a sample of each day and concentration.
+
+    Features are filtered by the sample's own missing share and variance; of what is left every value is used.
+    """
+    drawn = stage(sample_capped(df, roles, cap), "sample")
+    return distances_by_day(filter_features(drawn, roles, excluded), roles)
