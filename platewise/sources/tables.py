@@ -61,13 +61,31 @@ def _column_names(header: Sequence[str]) -> list[str]:
     return [f"_c{i}" if not n else f"{n}{i}" if seen[n.lower()] > 1 else n for i, n in enumerate(names)]
 
 
+#: What a number in a text can look like. A value of another form is not cast: a failing cast raises and catches an
+#: error inside the task, which takes far longer than the pattern.
+_WHOLE = r"^[\x00-\x20\x7f]*[+-]?[0-9]+[\x00-\x20\x7f]*$"
+_REAL = (
+    r"(?i)^[\x00-\x20\x7f]*[+-]?(([0-9]+\.?[0-9]*|\.[0-9]+)(e[+-]?[0-9]+)?[fd]?|inf(inity)?|nan"
+    r"|0x[0-9a-f]*\.?[0-9a-f]*p[+-]?[0-9]+[fd]?)[\x00-\x20\x7f]*$"
+)
+_FORMS = {T.IntegerType(): _WHOLE, T.LongType(): _WHOLE, T.DoubleType(): _REAL}
+
+
+def _as(c: Column, kind: T.DataType) -> Column:
+    """``try_cast``, tried only on values that look like one of the kind."""
+    return F.when(c.rlike(_FORMS[kind]), c.try_cast(kind)) if kind in _FORMS else c.try_cast(kind)
+
+
 def _guessed(df: DataFrame, names: Sequence[str]) -> dict[str, T.DataType]:
     """The narrowest of integer, long, double and boolean that takes all values of a column; else string."""
     kinds = (T.IntegerType(), T.LongType(), T.DoubleType())
 
     def fits(name: str) -> Column:
         c = F.col(f"`{name}`")
-        good = [F.count(c.try_cast(k)) for k in kinds] + [F.count(F.when(F.lower(c).isin("true", "false"), c))]
+        # A whole number is read once, as a long, for both of the whole kinds.
+        whole = _as(c, T.LongType())
+        good = [F.count(F.when(whole.between(-(1 << 31), (1 << 31) - 1), c)), F.count(whole), F.count(_as(c, T.DoubleType()))]
+        good.append(F.count(F.when(F.lower(c).isin("true", "false"), c)))
         return F.struct(F.count(c).alias("n"), F.array(*good).alias("good"))
 
     found = df.agg(*[fits(n).alias(f"_{i}") for i, n in enumerate(names)]).first()
@@ -127,26 +145,26 @@ def _read_by_name(
 
     named = rows.select(*[value(n).alias(n) for n in places], "_file")
     kinds = _guessed(named, list(places)) if schema is None else {f.name: f.dataType for f in schema.fields}
-    typed = [F.col(f"`{n}`").try_cast(kinds.get(n, T.StringType())).alias(n) for n in places]
+    typed = [_as(F.col(f"`{n}`"), kinds.get(n, T.StringType())).alias(n) for n in places]
     return _nan_as_null(named.select(*typed, "_file"))
 
 
-def _part(name: str) -> Column:
-    """A piece of ``_file`` as plain text; a plus sign stays one."""
-    piece = F.regexp_extract("_file", name, 1)
+def _part(back: int) -> Column:
+    """The piece of ``_file`` that many slashes from its end, as plain text; a plus sign stays one."""
+    piece = F.substring_index(F.substring_index("_file", "/", -back), "/", 1)
     return F.url_decode(F.replace(piece, F.lit("+"), F.lit("%2B")))
 
 
 def combine_instances(spark: SparkSession, root: str, file: str, schema: T.StructType | None = None) -> DataFrame:
     """The same file of every worker folder under ``root``, by column name, with ``Subfolder``."""
     df = _read_by_name(spark, f"{root}/*/{file}", "\t", schema)
-    return df.withColumn("Subfolder", _part(r"([^/]+)/[^/]+$")).drop("_file")
+    return df.withColumn("Subfolder", _part(2)).drop("_file")
 
 
 def combine_parts(spark: SparkSession, root: str, name: str, schema: T.StructType | None = None) -> DataFrame:
     """``combine_instances`` where each worker's table is a folder ``root/worker/name/part-*``."""
     df = _read_by_name(spark, f"{root}/*/{name}", "\t", schema, "part-*")
-    return df.withColumn("Subfolder", _part(r"([^/]+)/[^/]+/[^/]+$")).drop("_file")
+    return df.withColumn("Subfolder", _part(3)).drop("_file")
 
 
 def scan_glob(
@@ -159,7 +177,7 @@ def scan_glob(
 ) -> DataFrame:
     """All files matching a name pattern, by column name, with ``subset`` = file name without suffix."""
     df = _read_by_name(spark, path, sep, schema, pattern, recursive)
-    return df.withColumn("subset", F.regexp_replace(_part(r"([^/]+)$"), r"\.[^.]*$", "")).drop("_file")
+    return df.withColumn("subset", F.regexp_replace(_part(1), r"\.[^.]*$", "")).drop("_file")
 
 
 def read_lookup(spark: SparkSession, path: str) -> DataFrame:

@@ -81,3 +81,25 @@ def test_sinks(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "p")).where("day = 'D5'").first()["c"] == 3
     IO.write_tsv(df, str(tmp_path / "t"))
     assert {tuple(r) for r in IO.read_tsv(spark, str(tmp_path / "t")).collect()} == {("D1", 2, 1.5), ("D5", 3, None)}
+
+
+def test_guessing_casts_only_what_looks_like_a_number(spark, tmp_path):
+    """A cast that fails costs an error in the task, and every value was cast to all kinds."""
+    kept = ["1", " 7", "+3", "2147483648", "99999999999999999999", "-1.5", ".5", "1e5", "1d", "inf", "-Infinity", "NaN", "0x1p3"]
+    lost = ["", "D1", "1_2", "1e", "+", ".", "1.5.2", "nand", "0x1"]
+    df = spark.createDataFrame([(v,) for v in kept + lost], "v string")
+    for kind in (T.IntegerType(), T.LongType(), T.DoubleType()):
+        got = df.select(IO._as(df.v, kind).alias("a"), df.v.try_cast(kind).alias("b")).collect()
+        assert [str(r["a"]) for r in got] == [str(r["b"]) for r in got]
+    looks = df.where(df.v.rlike(IO._REAL)).collect()
+    assert {r["v"] for r in looks} == set(kept)
+
+
+def test_worker_folder_of_a_long_path(spark, tmp_path):
+    """The folder is cut out of the path; a pattern over the whole path took most of the query's time."""
+    deep = tmp_path / ("a" * 120) / ("b" * 120)
+    write(deep / "w+1" / "t.txt" / "part-0.csv", "a\n1\n")
+    write(deep / "w 2" / "t.txt" / "part-0.csv", "a\n2\n")
+    df = IO.combine_parts(spark, str(deep), "t.txt")
+    assert {(r["Subfolder"], r["a"]) for r in df.collect()} == {("w+1", 1), ("w 2", 2)}
+    assert "regexp_extract" not in df._jdf.queryExecution().optimizedPlan().toString()
