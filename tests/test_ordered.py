@@ -155,3 +155,16 @@ def test_ranges_follow_the_size_of_a_group(spark):
     got = O.assign_ranges(df, ["g"], "value", 64).groupBy("g").agg(F.countDistinct("_range").alias("r")).collect()
     ranges = {r["g"]: r["r"] for r in got}
     assert ranges["large"] > 50 and ranges["small"] <= 6
+
+
+def test_large_groups_are_narrowed_in_one_counting_pass(spark):
+    """Radix passes over all values took most of the time; now few values are left after bounds and one count."""
+    n = 200_000
+    df = spark.range(n).select((F.col("id") % 2).alias("g"), F.xxhash64("id").cast("double").alias("x"), (F.col("id") % 5).cast("double").alias("y"))
+    ranks, left = O._selected(df, ["g"], ["x", "y"], [0.1, 0.5], 10_000)
+    assert left.count() < 0.02 * n and left.where("feature = 'y'").isEmpty()
+    values = {g: np.sort([r["x"] for r in df.where(F.col("g") == g).collect()]) for g in (0, 1)}
+    got = {r["g"]: r for r in O.group_quantiles(df, ["g"], ["x", "y"], [0.1, 0.5], [F.count("*").alias("n")], 100_000).collect()}
+    for g, v in values.items():
+        np.testing.assert_allclose(got[g]["x"], np.quantile(v, [0.1, 0.5]), rtol=1e-12)
+        assert got[g]["n"] == n // 2 and got[g]["y"] == [0.0, 2.0]
