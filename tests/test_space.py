@@ -113,6 +113,19 @@ def test_knn_skips_far_blocks(spark):
     assert pairs < 0.2 * len(sizes) ** 2
 
 
+def test_closest_rows_keep_ties_and_exact_distances():
+    rng = np.random.default_rng(21)
+    b = np.concatenate([rng.normal(size=(300, 8)), np.tile(rng.normal(size=(1, 8)), (40, 1)), 1e6 + rng.normal(size=(50, 8))])
+    a = np.concatenate([b[::3], rng.normal(size=(20, 8)), [[np.inf] * 8, [np.nan] * 8]])
+    with np.errstate(all="ignore"):
+        d = np.sqrt(((a[:, None, :] - b[None, :, :]) ** 2).sum(axis=2))
+    for keep in (1, 7, len(b)):
+        near, far = E._closest(a, b, keep)
+        want = np.argsort(d, axis=1, kind="stable")[:, :keep]
+        np.testing.assert_array_equal(near, want)
+        np.testing.assert_array_equal(far, np.take_along_axis(d, want, axis=1))
+
+
 def test_knn_of_equal_vectors_and_few_rows(spark):
     df = spark.createDataFrame([(i, [1.0, 2.0]) for i in range(30)] + [(99, [5.0, 2.0])], "id long, v array<double>")
     got = {}
