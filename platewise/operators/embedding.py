@@ -61,29 +61,36 @@ def embed(
     return got.select(id_col, *[(F.get("_a", F.lit(j)) * s).alias(f"dim{j + 1}") for j, s in enumerate(signs)])
 
 
-def _closest(a: np.ndarray, b: np.ndarray, keep: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places in ``b`` and distances of the ``keep`` nearest of each row of ``a``; equal distances keep the earlier place.
-
-    Inner products leave out what can't be among them, by more than their rounding; distances are taken of the rest.
-    """
-    with np.errstate(all="ignore"):
-        la, lb = (a * a).sum(axis=1), (b * b).sum(axis=1)
-        rough = la[:, None] + lb[None, :] - 2 * (a @ b.T)
-        rough[np.isnan(rough)] = np.inf
-        bound = np.partition(rough, keep - 1, axis=1)[:, keep - 1] + ROUNDING * (la + lb.max())
-        bound[np.isnan(bound)] = np.inf
-        row, place = np.nonzero(rough <= bound[:, None])
-        exact = np.empty(len(row))
-        for at in range(0, len(row), EXACT_PAIRS):
-            r, p = row[at : at + EXACT_PAIRS], place[at : at + EXACT_PAIRS]
-            exact[at : at + EXACT_PAIRS] = np.sqrt(((a[r] - b[p]) ** 2).sum(axis=1))
-    order = np.lexsort((place, exact, row))
-    starts = np.searchsorted(row, np.arange(len(a)))
-    first = order[starts[:, None] + np.arange(keep)]
-    return place[first], exact[first]
+def _closest_rows():
+    """The search of one batch, as a function that is sent to the tasks whole."""
+
+    def closest(a: np.ndarray, b: np.ndarray, keep: int) -> tuple[np.ndarray, np.ndarray]:
+        """Places in ``b`` and distances of the ``keep`` nearest of each row of ``a``; equal distances keep the earlier place.
+
+        Inner products leave out what can't be among them, by more than their rounding; distances are taken of the rest.
+        """
+        with np.errstate(all="ignore"):
+            la, lb = (a * a).sum(axis=1), (b * b).sum(axis=1)
+            rough = la[:, None] + lb[None, :] - 2 * (a @ b.T)
+            rough[np.isnan(rough)] = np.inf
+            bound = np.partition(rough, keep - 1, axis=1)[:, keep - 1] + ROUNDING * (la + lb.max())
+            bound[np.isnan(bound)] = np.inf
+            row, place = np.nonzero(rough <= bound[:, None])
+            exact = np.empty(len(row))
+            for at in range(0, len(row), EXACT_PAIRS):
+                r, p = row[at : at + EXACT_PAIRS], place[at : at + EXACT_PAIRS]
+                exact[at : at + EXACT_PAIRS] = np.sqrt(((a[r] - b[p]) ** 2).sum(axis=1))
+        order = np.lexsort((place, exact, row))
+        starts = np.searchsorted(row, np.arange(len(a)))
+        first = order[starts[:, None] + np.arange(keep)]
+        return place[first], exact[first]
+
+    return closest
 
 
 def _nearest(id_col: str, k: int):
+    closest = _closest_rows()
+
     def search(pdf: pd.DataFrame) -> pd.DataFrame:
         ask, there = pdf[pdf.side != 2], pdf[pdf.side != 1]
         if not len(ask) or not len(there):
@@ -95,7 +102,7 @@ def _nearest(id_col: str, k: int):
         keep = min(k, len(ids))
         near, far = np.empty((len(a), keep), np.int64), np.empty((len(a), keep))
         for at in range(0, len(a), COMPARED_ROWS):
-            near[at : at + COMPARED_ROWS], far[at : at + COMPARED_ROWS] = _closest(a[at : at + COMPARED_ROWS], b, keep)
+            near[at : at + COMPARED_ROWS], far[at : at + COMPARED_ROWS] = closest(a[at : at + COMPARED_ROWS], b, keep)
         found = pd.DataFrame({id_col: np.repeat(own, keep), "neighbour": ids[near.ravel()], "distance": far.ravel()})
         found["block"] = ask.block.iloc[0]
         # Nothing beyond what the block's rows already have can be among a row's nearest.

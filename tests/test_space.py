@@ -120,7 +120,7 @@ def test_closest_rows_keep_ties_and_exact_distances():
     with np.errstate(all="ignore"):
         d = np.sqrt(((a[:, None, :] - b[None, :, :]) ** 2).sum(axis=2))
     for keep in (1, 7, len(b)):
-        near, far = E._closest(a, b, keep)
+        near, far = E._closest_rows()(a, b, keep)
         want = np.argsort(d, axis=1, kind="stable")[:, :keep]
         np.testing.assert_array_equal(near, want)
         np.testing.assert_array_equal(far, np.take_along_axis(d, want, axis=1))
