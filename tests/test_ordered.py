@@ -168,3 +168,46 @@ def test_large_groups_are_narrowed_in_one_counting_pass(spark):
     for g, v in values.items():
         np.testing.assert_allclose(got[g]["x"], np.quantile(v, [0.1, 0.5]), rtol=1e-12)
         assert got[g]["n"] == n // 2 and got[g]["y"] == [0.0, 2.0]
+
+
+def _written(spark, tmp_path, rows=20_000):
+    rng = np.random.default_rng(11)
+    pdf = pd.DataFrame({"g": rng.choice(["a", "b"], rows), "x": rng.normal(size=rows), "y": rng.normal(size=rows)})
+    spark.createDataFrame(pdf).write.parquet(str(tmp_path / "t"))
+    return pdf, spark.read.parquet(str(tmp_path / "t"))
+
+
+def test_only_rows_near_a_wanted_rank_are_stacked(spark, tmp_path, monkeypatch):
+    pdf, df = _written(spark, tmp_path)
+    stacked, plain = [], O.long_form
+
+    def counted(some, ids, features):
+        stacked.append(some.count())
+        return plain(some, ids, features)
+
+    monkeypatch.setattr(O, "long_form", counted)
+    got = {r["g"]: r for r in O.group_quantiles(df, ["g"], ["x", "y"], [0.5], task_values=1000).collect()}
+    for g, part in pdf.groupby("g"):
+        for f in ("x", "y"):
+            np.testing.assert_allclose(got[g][f], [np.median(part[f])], rtol=1e-12)
+    assert 0 < sum(stacked) < len(pdf) / 10
+
+
+def test_rows_are_not_read_again_where_all_groups_are_large(spark, tmp_path):
+    pdf, df = _written(spark, tmp_path)
+    large = O.group_quantiles(df, ["g"], ["x"], [0.5], task_values=1000)
+    assert not set(large.inputFiles()) & set(df.inputFiles())
+    assert {r["g"]: r["x"][0] for r in large.collect()} == pytest.approx(pdf.groupby("g").x.median().to_dict(), rel=1e-12)
+    few = df.unionByName(spark.createDataFrame([("c", 1.0, 2.0), ("c", 3.0, None)], df.schema))
+    mixed = {r["g"]: r["x"][0] for r in O.group_quantiles(few, ["g"], ["x"], [0.5], task_values=1000).collect()}
+    assert mixed == pytest.approx({**pdf.groupby("g").x.median().to_dict(), "c": 2.0}, rel=1e-12)
+
+
+def test_cuts_share_the_shuffle_of_the_counted_rows(spark, tmp_path, capsys):
+    _, df = _written(spark, tmp_path)
+    counted = O.long_form(df, ["g"], ["x", "y"]).groupBy("g", "feature", "value").agg(F.count(F.lit(1)).alias("n"))
+    got = O.running_totals(counted, ["g", "feature"], "value", {"n": F.col("n")})
+    got.collect()
+    got.explain("formatted")
+    # The cuts read the shuffle of the counted rows, the totals that of the ranges.
+    assert capsys.readouterr().out.count("- ReusedExchange") == 2
