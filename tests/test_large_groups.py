@@ -2,10 +2,11 @@ import datetime as dt
 
 import numpy as np
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from platewise.operators import ordered as O
-from platewise.plans import inputs
+from platewise.plans import catalog, inputs
 
 
 def test_sketches_of_part_of_the_rows_only_propose(spark, monkeypatch):
@@ -55,3 +56,18 @@ def test_constant_keys_are_those_of_the_text(spark, tmp_path):
     biorep = F.concat(F.lit("BR"), (F.col("l_suppkey") % 4 + 1).cast("string"))
     want = li.select("l_orderkey", biorep, tech, F.concat(tech, (F.col("l_partkey") % 10 + 2).cast("int").cast("string")))
     assert sorted(map(tuple, got.collect()), key=lambda r: r[0]) == sorted(map(tuple, want.collect()), key=lambda r: r[0])
+
+
+@pytest.mark.parametrize("name", ["trimmed", "_wider"])
+def test_the_day_step_does_not_repeat_the_row_step(spark, tmp_path, monkeypatch, name):
+    """Scores and correlations start from stored rows of the row step; before, the day step read the line items anew each time."""
+    _line_items(spark, tmp_path)
+    stored, plain = {}, catalog.T.stage
+
+    def kept(df, what):
+        stored[what] = plain(df, what)
+        return stored[what]
+
+    monkeypatch.setattr(catalog.T, "stage", kept)
+    getattr(catalog, name)(spark, str(tmp_path)).collect()
+    assert stored["row-standardized"].count() == 45 and not {"cell_ID", "Day_Well_BR"} & set(stored["row-standardized"].columns)
