@@ -70,7 +70,7 @@ def test_few_and_many_features_agree(wide, monkeypatch):
     assert O.table_quantiles(df, some, [0.25, 0.9]).first() == few
 
 
-@pytest.mark.parametrize("step", ["median", "embedded", "uniform", "three", "coloured"])
+@pytest.mark.parametrize("step", ["median", "embedded", "uniform", "three", "coloured", "clipped"])
 def test_no_filter_reads_many_features(wide, monkeypatch, step):
     """The optimizer's time and memory doubled with each of them: 64 features filled a driver's heap of 750 MB on 500 rows."""
     pdf, df = wide
